@@ -46,6 +46,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def explode_array(df, arr: Column, keep: list, pos: str | None = None, item: str = "_x"):
+    """One row per array element, without re-evaluating ``arr``.
+
+    ``explode``/``inline`` make Catalyst infer a ``size(arr) > 0`` filter and
+    push it below the projection, which evaluates an expensive array
+    expression twice.  The ``_outer`` form has no inferred filter; the one
+    row it emits for an empty or NULL array is dropped right after.
+    """
+    if pos:
+        out = df.select(*keep, F.posexplode_outer(arr).alias(pos, item))
+    else:
+        out = df.select(*keep, F.explode_outer(arr).alias(item))
+    return out.filter(F.col(item).isNotNull())
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: trim every Unicode whitespace char at both ends."""
     return F.btrim(col_of(c), F.lit(WS_CHARS))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import col_of, let, token_estimate
+from ..functions.text import col_of, explode_array, let, token_estimate
 from .sections import cascade_array
 
 CHUNK_FIELDS = ("text", "section", "chunk_part")
@@ -45,7 +45,8 @@ def window_chunks(df: DataFrame, size: int, overlap: int, key: str = "doc_id",
     t = col_of(text)
     offsets = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1, F.lit(step))).otherwise(
         F.array().cast("array<int>"))
-    return (df.select(key, t.alias("_t"), F.posexplode(offsets).alias("_i", "offset"))
+    staged = df.select(key, t.alias("_t"), offsets.alias("_o"))
+    return (explode_array(staged, F.col("_o"), [key, "_t"], pos="_i", item="offset")
             .select(key, (F.col("_i") + 1).alias("part"), F.col("offset").cast("bigint"),
                     F.substring("_t", F.col("offset") + 1, F.lit(size)).alias("text")))
 
@@ -72,7 +73,10 @@ def chunk_array(text, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE) -> Column:
     section; others are split by cascade sections, long sections into
     overlapping windows numbered from 1.
     """
-    t = col_of(text)
+    return let(col_of(text), lambda t: _chunk_array(t, chunk_size))
+
+
+def _chunk_array(t: Column, chunk_size: int) -> Column:
     cpc, _, step = chunk_geometry(chunk_size)
     single = F.array(F.struct(t.alias("text"), F.lit(None).cast("string").alias("section"),
                               F.lit(None).cast("string").alias("chunk_part")))
@@ -92,9 +96,9 @@ def split_chunks(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, key:
     t = col_of(text)
     arr = chunk_array(t, chunk_size)
     multi = token_estimate(t) > chunk_size
-    return (df.select(key, *keep, arr.alias("_c"), multi.alias("_multi"))
-            .select(key, *keep, F.posexplode("_c").alias("chunk_index", "_x"),
-                    F.when(F.col("_multi"), F.size("_c")).alias("total_chunks"))
+    staged = df.select(key, *keep, arr.alias("_c"), multi.alias("_multi"))
+    staged = staged.select(key, *keep, "_c", F.when(F.col("_multi"), F.size("_c")).alias("total_chunks"))
+    return (explode_array(staged, F.col("_c"), [key, *keep, "total_chunks"], pos="chunk_index")
             .select(key, *keep, "chunk_index", "_x.text", "_x.section", "_x.chunk_part",
                     "total_chunks"))
 
@@ -102,7 +106,10 @@ def split_chunks(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, key:
 def first_chunk_struct(text, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE) -> Column:
     """struct<text, section, chunk_part, total_chunks> of the first chunk,
     computed without building the other chunks (their count is arithmetic)."""
-    t = col_of(text)
+    return let(col_of(text), lambda t: _first_chunk(t, chunk_size))
+
+
+def _first_chunk(t: Column, chunk_size: int) -> Column:
     cpc, _, step = chunk_geometry(chunk_size)
 
     def body(secs):
@@ -138,5 +145,7 @@ def chunk_role(chunks: DataFrame) -> DataFrame:
 
 def chunk_counts(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
-    """Chunks per document from the array size: no explode, no shuffle."""
-    return df.select(key, F.size(chunk_array(text, chunk_size)).alias("n_chunks"))
+    """Chunks per document, by arithmetic on section lengths: no chunk text
+    is built, nothing is exploded, no shuffle."""
+    c = first_chunk_struct(text, chunk_size)["total_chunks"]
+    return df.select(key, F.coalesce(c, F.lit(1)).alias("n_chunks"))

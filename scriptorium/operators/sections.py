@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import WS_CLASS, col_of, let, py_strip
+from ..functions.text import WS_CLASS, col_of, explode_array, let, py_strip
 
 # fixed values: heading patterns of the segment splitter, in this order
 SEGMENT_PATTERNS = {
@@ -125,8 +125,9 @@ def _segments(c) -> Column:
 
 def section_segments(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per heading hit: (key, seq, section, start_pos, text)."""
-    return (df.select(key, F.inline(_segments(text)))
-            .select(key, "seq", "section", F.col("start_pos").cast("bigint"), "text"))
+    return (explode_array(df, _segments(text), [key])
+            .select(key, "_x.seq", "_x.section", F.col("_x.start_pos").cast("bigint").alias("start_pos"),
+                    "_x.text"))
 
 
 def paper_sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,7 +143,7 @@ def paper_sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return F.filter(F.array(*picks), lambda x: x.isNotNull())
 
     parts = F.split(mark_headings(text), _MARK, -1)
-    return (df.select(key, F.explode(let(parts, body)).alias("s"))
+    return (explode_array(df, let(parts, body), [key], item="s")
             .select(key, F.col("s.section").alias("section"), py_strip(F.col("s.seg")).alias("text")))
 
 
@@ -157,7 +158,10 @@ def cascade_array(c) -> Column:
     starts before the cut also ends before it.  Hence five independent
     searches and a running minimum; no prefix copies.
     """
-    t = col_of(c)
+    return let(col_of(c), _cascade)
+
+
+def _cascade(t: Column) -> Column:
     firsts = F.array(*[F.regexp_instr(t, F.lit(java_pattern(p))) for p in CASCADE_PATTERNS.values()])
 
     def body(s):
@@ -183,5 +187,5 @@ def cascade_array(c) -> Column:
 
 def section_cascade(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Long form of the cascade: (key, section, start_pos, text)."""
-    return (df.select(key, F.inline(cascade_array(text)))
-            .select(key, "section", F.col("start_pos").cast("bigint"), "text"))
+    return (explode_array(df, cascade_array(text), [key])
+            .select(key, "_x.section", F.col("_x.start_pos").cast("bigint").alias("start_pos"), "_x.text"))

@@ -14,8 +14,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import answers as an
+from ..functions import fixed
+from ..functions import prompts as pr
 from ..functions import text as tx
 from ..operators import chunks as ch
+from ..operators import joins as jn
+from ..operators import requests as rq
+from ..operators import responses as rs
 from ..operators import sections as se
 from . import duck as dk
 from . import fixtures as fx
@@ -38,6 +44,14 @@ def register(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- inputs --
 
+_NAME_SQL = "'paper_' || CAST(doc_id AS VARCHAR) || '.pdf'"
+
+
+def paper_name(doc_id) -> F.Column:
+    """File name of a paper, as the listing would give it."""
+    return F.concat(F.lit("paper_"), F.col(doc_id).cast("string"), F.lit(".pdf"))
+
+
 def documents(spark, sf_dir) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
@@ -203,6 +217,262 @@ def q_window_chunks(spark, sf_dir):
     return ch.window_chunks(d, _WIN_SIZE, _WIN_OVERLAP)
 
 
+
+# ------------------------------------------------------- prompts, requests --
+
+def extracted_papers(spark, sf_dir) -> DataFrame:
+    """F-PAPERS as extraction returns them: one cleaning pass + metadata."""
+    return rq.extract(spread(fx.papers(spark, sf_dir)))
+
+
+D_EXTRACTED = (f"(SELECT doc_id, t1 AS text, {_TITLE_SQL} AS title, '' AS authors, "
+               f"regexp_extract(t1, 'arXiv:(\\p{{Nd}}+\\.\\p{{Nd}}+v\\p{{Nd}}+)', 1) AS arxiv_id "
+               f"FROM (SELECT doc_id, {dk.clean('text')} AS t1 FROM ({fx.duck_sql_text(fx.F_PAPERS)})))")
+
+
+def _header_sql(section="NULL", part="NULL", total="NULL") -> str:
+    def line(label, value, cond):
+        return f"CASE WHEN {cond} THEN {dk.lit(label)} || {value} || chr(10) ELSE '' END"
+    return " || ".join([
+        line(fixed.HEADER_TITLE, "title", "coalesce(title, '') <> ''"),
+        line(fixed.HEADER_AUTHORS, "authors", "coalesce(authors, '') <> ''"),
+        line(fixed.HEADER_ARXIV, "arxiv_id", "coalesce(arxiv_id, '') <> ''"),
+        line(fixed.HEADER_SECTION, f"{section}", f"{section} IS NOT NULL"),
+        line(fixed.HEADER_PART, f"{part}", f"{part} IS NOT NULL"),
+        line(fixed.HEADER_TOTAL, f"CAST({total} AS VARCHAR)", f"{total} IS NOT NULL")])
+
+
+def _structured_sql(text, header) -> str:
+    return f"CASE WHEN ({header}) <> '' THEN ({header}) || chr(10) || chr(10) || {text} ELSE {text} END"
+
+
+@register("structure_text", f"""
+SELECT c.doc_id, c.chunk_index,
+       {_structured_sql('c.text', _header_sql('c.section', 'c.chunk_part', 'c.total_chunks'))} AS structured
+FROM ({_chunks_sql(CHUNK_SIZE)}) c JOIN {D_EXTRACTED} m ON c.doc_id = m.doc_id""")
+def q_structure_text(spark, sf_dir):
+    d = extracted_papers(spark, sf_dir).withColumn("text", tx.normalize_text("text"))
+    c = ch.split_chunks(d, CHUNK_SIZE, keep=("title", "authors", "arxiv_id"))
+    return c.select("doc_id", "chunk_index", pr.structure_text(
+        "text", "title", "authors", "arxiv_id", "section", "chunk_part", "total_chunks").alias("structured"))
+
+
+_PRE_SQL = f"""
+SELECT c.doc_id, {_structured_sql('c.text', _header_sql('c.section', 'c.chunk_part', 'c.total_chunks'))} AS structured
+FROM (SELECT * FROM ({_chunks_sql(CHUNK_SIZE)}) WHERE chunk_index = 0) c JOIN {D_EXTRACTED} m ON c.doc_id = m.doc_id"""
+
+
+@register("preprocess", _PRE_SQL)
+def q_preprocess(spark, sf_dir):
+    return rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE).select("doc_id", "structured")
+
+
+def _analysis_prompt_sql(x) -> str:
+    return f"({dk.lit(pr.ANALYSIS_HEAD)} || {x} || {dk.lit(pr.ANALYSIS_TAIL)})"
+
+
+@register("analysis_prompt",
+          f"SELECT doc_id, {_analysis_prompt_sql('structured')} AS prompt FROM ({_PRE_SQL})")
+def q_analysis_prompt(spark, sf_dir):
+    return (rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE)
+            .select("doc_id", pr.analysis_prompt("structured").alias("prompt")))
+
+
+def _truncate_sql(p: str, limit: int) -> str:
+    parts = f"string_split({p}, '-----')"
+    p1, p0, p2 = f"{parts}[2]", f"{parts}[1]", f"{parts}[3]"
+    avail = f"({limit} - length({p0}) - length({p2}) - 10)"
+    keep = f"(CASE WHEN {avail} >= 0 THEN least({avail}, length({p1})) ELSE greatest(length({p1}) + {avail}, 0) END)"
+    return (f"CASE WHEN length({p}) <= {limit} THEN {p} WHEN len({parts}) < 3 THEN substr({p}, 1, {limit}) "
+            f"ELSE {p0} || '-----' || substr({p1}, 1, {keep}) || {dk.lit(fixed.TRUNCATION_MARKER)} "
+            f"|| '-----' || {p2} END")
+
+
+_TRUNC_LIMIT = 1000
+
+
+@register("truncate_prompt",
+          f"SELECT doc_id, {_truncate_sql('p', _TRUNC_LIMIT)} AS prompt FROM "
+          f"(SELECT doc_id, {_analysis_prompt_sql(dk.normalize('text'))} AS p FROM documents)")
+def q_truncate_prompt(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", pr.truncate_prompt(pr.analysis_prompt(tx.normalize_text("text")),
+                                                 _TRUNC_LIMIT).alias("prompt"))
+
+
+def _section_prompt_sql(text, section) -> str:
+    focus = f"{dk.lit(pr.SECTION_GENERIC[0])} || {section} || {dk.lit(pr.SECTION_GENERIC[1])}"
+    cases = " ".join(f"WHEN {dk.lit(k)} THEN {dk.lit(v)}" for k, v in pr.SECTION_FOCUS.items())
+    return (f"(chr(10) || CASE {section} {cases} ELSE {focus} END || {dk.lit(pr.SECTION_BODY)} || {text} "
+            f"|| {dk.lit(pr.SECTION_TAIL)})")
+
+
+@register("section_prompt",
+          f"SELECT doc_id, section, {_section_prompt_sql('text', 'section')} AS prompt FROM "
+          f"(SELECT doc_id, section, arg_max(text, seq) AS text FROM ({dk.segments_sql(D_PAPERS)}) "
+          f"GROUP BY doc_id, section)")
+def q_section_prompt(spark, sf_dir):
+    s = se.paper_sections(papers(spark, sf_dir))
+    return s.select("doc_id", "section", pr.section_prompt("text", "section").alias("prompt"))
+
+
+_PAIRS_SQL = ("(SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.text AS a_text, b.text AS b_text "
+              f"FROM (SELECT doc_id, lang, {dk.normalize('text')} AS text FROM documents) a "
+              f"JOIN (SELECT doc_id, lang, {dk.normalize('text')} AS text FROM documents) b "
+              "ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang)")
+
+
+def _pairs(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "lang", tx.normalize_text("text").alias("text"))
+    pairs = (d.select(F.col("doc_id").alias("a_id"), "lang")
+             .withColumn("b_id", F.col("a_id") + 1))
+    return jn.pair_papers(pairs, d, on=["lang"])
+
+
+@register("comparison_pairs",
+          f"SELECT a_id, b_id, CAST(length(a_text) AS BIGINT) AS a_chars, "
+          f"CAST(length(b_text) AS BIGINT) AS b_chars FROM {_PAIRS_SQL}")
+def q_comparison_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("a_id", "b_id", F.length("a_text").alias("a_chars"),
+                                        F.length("b_text").alias("b_chars"))
+
+
+@register("comparison_prompt",
+          f"SELECT a_id, b_id, {dk.lit(pr.COMPARISON_HEAD)} || a_text || {dk.lit(pr.COMPARISON_MID)} "
+          f"|| b_text || {dk.lit(pr.COMPARISON_TAIL)} AS prompt FROM {_PAIRS_SQL}")
+def q_comparison_prompt(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("a_id", "b_id",
+                                        pr.comparison_prompt("a_text", "b_text").alias("prompt"))
+
+
+def _pick_sql(role, table) -> str:
+    return (f"CASE {role} WHEN 'initial' THEN {dk.lit(table['initial'])} WHEN 'final' THEN "
+            f"{dk.lit(table['final'])} ELSE {dk.lit(table['middle'])} END")
+
+
+_LABEL_SQL = ("'Parte ' || CAST(chunk_index + 1 AS VARCHAR) || '/' || CAST(coalesce(total_chunks, 1) AS VARCHAR) "
+              f"|| {dk.lit(fixed.CHUNK_LABEL_SECTION)} || coalesce(section, {dk.lit(fixed.DEFAULT_CHUNK_SECTION)}) "
+              f"|| CASE WHEN coalesce(chunk_part, '') <> '' THEN {dk.lit(fixed.CHUNK_LABEL_SUBPART)} || chunk_part "
+              "|| ')' ELSE '' END")
+_ROLE_SQL = ("CASE WHEN chunk_index = 0 THEN 'initial' WHEN chunk_index = coalesce(total_chunks, 1) - 1 "
+             "THEN 'final' ELSE 'middle' END")
+_CHUNK_PROMPTS_SQL = f"""
+SELECT doc_id, chunk_index, role, label,
+       {_truncate_sql(f"({_pick_sql('role', pr.CHUNK_HEAD)} || label || {_pick_sql('role', pr.CHUNK_FOCUS)} || text || {_pick_sql('role', pr.CHUNK_TAIL)})", fixed.PROMPT_CHAR_LIMIT)} AS prompt
+FROM (SELECT *, {_ROLE_SQL} AS role, {_LABEL_SQL} AS label FROM ({_chunks_sql(CHUNK_SIZE)}))"""
+
+
+@register("chunk_prompts", _CHUNK_PROMPTS_SQL)
+def q_chunk_prompts(spark, sf_dir):
+    c = rq.chunk_prompts(ch.split_chunks(papers(spark, sf_dir), CHUNK_SIZE))
+    return c.select("doc_id", "chunk_index", "role", "label", "prompt")
+
+
+@register("chat_requests",
+          f"SELECT doc_id AS request_id, {dk.lit(fixed.DEFAULT_MODEL)} AS model, CAST(2 AS BIGINT) AS n_messages, "
+          f"{dk.lit(pr.SYSTEM_MESSAGE)} AS system, {_truncate_sql(_analysis_prompt_sql('structured'), fixed.PROMPT_CHAR_LIMIT)} AS prompt, "
+          f"CAST({fixed.DEFAULT_TEMPERATURE} AS DOUBLE) AS temperature, CAST({fixed.ANSWER_TOKEN_CAP} AS BIGINT) AS max_tokens "
+          f"FROM ({_PRE_SQL})")
+def q_chat_requests(spark, sf_dir):
+    d = rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE)
+    r = rq.chat_requests(d.withColumn("prompt", pr.truncate_prompt(pr.analysis_prompt("structured"))),
+                         max_tokens=8000)
+    return r.select(F.col("doc_id").alias("request_id"), "request.model",
+                    F.size("request.messages").alias("n_messages"),
+                    F.col("request.messages")[0]["content"].alias("system"),
+                    F.col("request.messages")[1]["content"].alias("prompt"),
+                    "request.temperature", "request.max_tokens")
+
+
+# ---------------------------------------------------------------- answers --
+
+_ATT_SQL = fx.duck_sql_text(fx.F_ATT)
+
+
+@register("first_success", f"""
+SELECT request_id, attempt, ok, content, attempts FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ok DESC,
+                               CASE WHEN ok THEN attempt ELSE -attempt END) AS rn,
+         count(*) OVER (PARTITION BY request_id) AS attempts
+  FROM ({_ATT_SQL}) WHERE attempt <= {fixed.MAX_ATTEMPTS}) WHERE rn = 1""")
+def q_first_success(spark, sf_dir):
+    return rs.first_success(fx.attempts(spark, sf_dir))
+
+
+_RESP_SQL = fx.duck_sql_text(fx.F_RESP)
+
+
+@register("response_join", f"""
+SELECT d.doc_id AS request_id, r.content, r.doc_id IS NOT NULL AS answered
+FROM documents d LEFT JOIN (SELECT * FROM ({_RESP_SQL}) WHERE doc_id IN (SELECT doc_id FROM labels)) r
+  ON d.doc_id = r.doc_id""")
+def q_response_join(spark, sf_dir):
+    reqs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"))
+    resp = (fx.responses(spark, sf_dir)
+            .join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+            .select(F.col("doc_id").alias("request_id"), "content"))
+    return rs.response_join(reqs, resp).select("request_id", "content", "answered")
+
+
+def _fenced_sql(c: str) -> str:
+    return (f"CASE WHEN strpos({c}, '```json') > 0 THEN {dk.py_strip(f'split_part(split_part({c}, {dk.lit(chr(96) * 3 + 'json')}, 2), {dk.lit(chr(96) * 3)}, 1)')} "
+            f"WHEN strpos({c}, '```') > 0 THEN {dk.py_strip(f'split_part({c}, {dk.lit(chr(96) * 3)}, 2)')} ELSE {c} END")
+
+
+@register("fenced_json", f"SELECT doc_id, kind, {_fenced_sql('content')} AS js FROM ({_RESP_SQL})")
+def q_fenced_json(spark, sf_dir):
+    return fx.responses(spark, sf_dir).select("doc_id", "kind", an.fenced_json("content").alias("js"))
+
+
+def _parse_sql(src: str, name: str) -> str:
+    """Parse branches in DuckDB (json_valid is strict about trailing text)."""
+    kn = f"json_extract(js, '$.nombre')::VARCHAR"
+    falsy = (f"(json_type(js, '$.nombre') IS NULL OR {kn} IN ('null', '\"\"', 'false', '[]', '{{}}') "
+             f"OR (json_type(js, '$.nombre') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND {kn}::DOUBLE = 0))")
+    fb = dk.lit(fixed.FALLBACK_NOT_AVAILABLE)
+    err = lambda msg: dk.lit(fixed.ERROR_PREFIX) + " || " + msg
+    type_msg = (f"CASE t WHEN 'ARRAY' THEN {dk.lit(fixed.ERROR_LIST)} "
+                f"WHEN 'VARCHAR' THEN CASE WHEN strpos(js::JSON->>'$', 'nombre') > 0 THEN {dk.lit(fixed.ERROR_STR_INDEX)} ELSE {dk.lit(fixed.ERROR_STR_ASSIGN)} END "
+                f"WHEN 'NULL' THEN {dk.lit(fixed.ERROR_NOT_ITERABLE.format('NoneType'))} "
+                f"WHEN 'BOOLEAN' THEN {dk.lit(fixed.ERROR_NOT_ITERABLE.format('bool'))} "
+                f"WHEN 'DOUBLE' THEN {dk.lit(fixed.ERROR_NOT_ITERABLE.format('float'))} "
+                f"ELSE {dk.lit(fixed.ERROR_NOT_ITERABLE.format('int'))} END")
+    return f"""
+SELECT *,
+  CASE branch WHEN 'parsed' THEN CASE WHEN {falsy} THEN {name} ELSE json_extract_string(js, '$.nombre') END
+              ELSE {name} END AS nombre,
+  CASE branch WHEN 'parsed' THEN json_extract_string(js, '$.resumen')
+              WHEN 'fallback' THEN {dk.py_strip('content')} ELSE {dk.lit(fixed.ERROR_SUMMARY)} END AS resumen,
+  CASE branch WHEN 'parsed' THEN json_extract_string(js, '$.resultados')
+              WHEN 'fallback' THEN {fb} ELSE {dk.lit(fixed.ERROR_RESULTS)} END AS resultados,
+  CASE WHEN branch = 'parsed' THEN CASE json_extract(js, '$.exito')::VARCHAR WHEN 'true' THEN true
+       WHEN 'false' THEN false END END AS exito,
+  CASE branch WHEN 'parsed' THEN json_extract_string(js, '$.performance')
+              WHEN 'fallback' THEN {fb} ELSE {dk.lit(fixed.ERROR_PERFORMANCE)} END AS performance,
+  CASE branch WHEN 'parsed' THEN json_extract_string(js, '$.error')
+              WHEN 'error' THEN {err(f"CASE WHEN content IS NULL THEN {dk.lit(fixed.ERROR_NONE_CONTENT)} ELSE {type_msg} END")} END AS error,
+  CASE branch WHEN 'parsed' THEN array_to_string(json_keys(js), ',')
+                   || CASE WHEN json_type(js, '$.nombre') IS NULL THEN ',nombre' ELSE '' END
+              WHEN 'fallback' THEN 'nombre,resumen,resultados,exito,performance'
+              ELSE 'nombre,error,resumen,resultados,exito,performance' END AS keys
+FROM (
+  SELECT *, CASE WHEN content IS NULL THEN 'error' WHEN NOT valid THEN 'fallback'
+                 WHEN t = 'OBJECT' THEN 'parsed' ELSE 'error' END AS branch
+  FROM (SELECT *, json_type(js) AS t
+        FROM (SELECT * EXCLUDE (js0), CASE WHEN json_valid(js0) THEN js0 END AS js, js0 IS NOT NULL AND json_valid(js0) AS valid
+              FROM (SELECT *, {_fenced_sql('content')} AS js0 FROM {src}))))"""
+
+
+_PARSE_COLS = "doc_id, kind, branch, nombre, resumen, resultados, exito, performance, error, keys"
+
+
+@register("parse_response",
+          f"SELECT {_PARSE_COLS} FROM ({_parse_sql(f'(SELECT *, {_NAME_SQL} AS paper_name FROM ({_RESP_SQL}))', 'paper_name')})")
+def q_parse_response(spark, sf_dir):
+    r = spread(fx.responses(spark, sf_dir)).withColumn("paper_name", paper_name("doc_id"))
+    return rs.analysis_columns(rs.parse_response(r)).select(*_PARSE_COLS.split(", "))
+
+
 # ------------------------------------------------------------- flagship --
 
 def flagship(spark, sf_dir):
