@@ -20,9 +20,15 @@ from ..functions import prompts as pr
 from ..functions import text as tx
 from ..operators import chunks as ch
 from ..operators import joins as jn
+from ..operators import merge as mg
+from ..operators import report as rp
 from ..operators import requests as rq
 from ..operators import responses as rs
 from ..operators import sections as se
+from ..session import scratch_path
+from ..sources import files as src_files
+from ..sources import pages as src_pages
+from ..sources import sink
 from . import duck as dk
 from . import fixtures as fx
 from .common import spread, table, widen_ints
@@ -473,6 +479,261 @@ def q_parse_response(spark, sf_dir):
     return rs.analysis_columns(rs.parse_response(r)).select(*_PARSE_COLS.split(", "))
 
 
+
+# ------------------------------------------------------ merge and reports --
+
+_PART_SQL = fx.duck_sql_text(fx.F_PART)
+
+
+@register("merge_results", f"""
+WITH w AS (SELECT *, max(CASE WHEN NOT is_str THEN seq END) OVER (PARTITION BY conv_id, k) AS L,
+                  max(seq) OVER (PARTITION BY conv_id, k) AS last FROM ({_PART_SQL}))
+SELECT conv_id, k,
+  CASE WHEN coalesce(max(L) = max(last), false) THEN arg_max(v, seq) FILTER (WHERE NOT is_str)
+       ELSE string_agg(v, chr(10) || chr(10) ORDER BY seq) FILTER (WHERE is_str AND seq > coalesce(L, -1)) END AS merged,
+  NOT coalesce(max(L) = max(last), false) AS merged_is_str
+FROM w GROUP BY conv_id, k""")
+def q_merge_results(spark, sf_dir):
+    return mg.merge_results(fx.partials(spark, sf_dir))
+
+
+def _render_sql(js: str, key: str) -> str:
+    """str(value) of a present key (NULL when the key is missing)."""
+    path = f"'$.\"' || {key} || '\"'" if not key.startswith("'") else f"'$.{key[1:-1]}'"
+    return (f"CASE json_type({js}, {path}) WHEN 'VARCHAR' THEN json_extract_string({js}, {path}) "
+            f"WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE WHEN json_extract({js}, {path})::VARCHAR = 'true' "
+            f"THEN 'True' ELSE 'False' END ELSE json_extract({js}, {path})::VARCHAR END")
+
+
+def _known_sql(key: str, default: str, fallback: str, error: str) -> str:
+    return (f"CASE branch WHEN 'parsed' THEN coalesce({_render_sql('js', dk.lit(key))}, {dk.lit(default)}) "
+            f"WHEN 'fallback' THEN {fallback} ELSE {error} END")
+
+
+_KNOWN_LIST = ", ".join(dk.lit(k) for k in fixed.KNOWN_KEYS)
+
+
+def _block_sql() -> str:
+    extras = (f"CASE branch WHEN 'parsed' THEN array_to_string(list_transform(list_filter(json_keys(js), "
+              f"lambda k: k NOT IN ({_KNOWN_LIST})), lambda k: k || ': ' || {_render_sql('js', 'k')} || chr(10)), '') "
+              f"WHEN 'fallback' THEN '' ELSE 'error: ' || error || chr(10) END")
+    fb = dk.lit(fixed.FALLBACK_NOT_AVAILABLE)
+    summary = _known_sql(fixed.KEY_SUMMARY, fixed.NOT_AVAILABLE, dk.py_strip("content"), dk.lit(fixed.ERROR_SUMMARY))
+    results = _known_sql(fixed.KEY_RESULTS, fixed.NOT_AVAILABLE, fb, dk.lit(fixed.ERROR_RESULTS))
+    return (f"(chr(10) || {dk.lit(fixed.CONSOLIDATION_PART)} || CAST(chunk_index + 1 AS VARCHAR) || ':' || chr(10) "
+            f"|| {dk.lit(fixed.CONSOLIDATION_SUMMARY)} || {summary} || chr(10) "
+            f"|| {dk.lit(fixed.CONSOLIDATION_RESULTS)} || {results} || chr(10) || {extras})")
+
+
+_CHUNK_NAME_SQL = "'paper_' || CAST(doc_id AS VARCHAR) || '.pdf_chunk_' || CAST(chunk_index + 1 AS VARCHAR)"
+_CHUNK_ANSWERS_SQL = _parse_sql(
+    f"(SELECT *, {_CHUNK_NAME_SQL} AS paper_name FROM "
+    f"({fx.duck_sql_text(fx.F_CHUNK_RESP, chunks='(' + _chunks_sql(CHUNK_SIZE) + ')')}))", "paper_name")
+
+
+def chunk_answers(spark, sf_dir) -> DataFrame:
+    """Parsed answers to every chunk request of F-PAPERS (chunk_size 250)."""
+    chunks = ch.split_chunks(papers(spark, sf_dir), CHUNK_SIZE)
+    resp = fx.chunk_responses(chunks)
+    named = resp.withColumn("paper_name", F.concat(paper_name("doc_id"), F.lit("_chunk_"),
+                                                   (F.col("chunk_index") + 1).cast("string")))
+    return rs.parse_response(named)
+
+
+_CONSOLIDATION_SQL = f"""
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_parts,
+       {dk.lit(pr.CONSOLIDATION_HEAD[0])} || 'paper_' || CAST(doc_id AS VARCHAR) || '.pdf' || {dk.lit(pr.CONSOLIDATION_HEAD[1])}
+       || string_agg(block, '' ORDER BY chunk_index) || {dk.lit(pr.CONSOLIDATION_TAIL)} AS prompt
+FROM (SELECT doc_id, chunk_index, {_block_sql()} AS block FROM ({_CHUNK_ANSWERS_SQL})) GROUP BY doc_id"""
+
+
+@register("consolidation_prompt", _CONSOLIDATION_SQL)
+def q_consolidation_prompt(spark, sf_dir):
+    answers = chunk_answers(spark, sf_dir).withColumn("paper_name", paper_name("doc_id"))
+    return mg.consolidation_prompt(answers).select("doc_id", "n_parts", "prompt")
+
+
+_RUN_SQL = fx.duck_sql_text(fx.F_RUN)
+
+
+@register("status_filter", f"SELECT doc_id, nombre, error FROM ({_RUN_SQL}) WHERE status = 'error'")
+def q_status_filter(spark, sf_dir):
+    return rp.with_status(fx.run_results(spark, sf_dir), fixed.STATUS_ERROR).select("doc_id", "nombre", "error")
+
+
+@register("result_union", f"""
+SELECT doc_id, nombre, status, '/out/paper_' || CAST(doc_id AS VARCHAR) || '.json' AS output_path, NULL AS error
+FROM ({_RUN_SQL}) WHERE status = 'success'
+UNION ALL
+SELECT doc_id, nombre, status, NULL AS output_path, error FROM ({_RUN_SQL}) WHERE status = 'error'""")
+def q_result_union(spark, sf_dir):
+    run = fx.run_results(spark, sf_dir)
+    ok = (rp.with_status(run, fixed.STATUS_SUCCESS)
+          .select("doc_id", "nombre", "status",
+                  F.concat(F.lit("/out/paper_"), F.col("doc_id").cast("string"), F.lit(".json")).alias("output_path")))
+    err = rp.with_status(run, fixed.STATUS_ERROR).select("doc_id", "nombre", "status", "error")
+    return mg.result_union(ok, err)
+
+
+@register("processing_summary", f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') AS successes,
+       count(*) FILTER (WHERE status = 'error') AS errors FROM ({_RUN_SQL})""")
+def q_processing_summary(spark, sf_dir):
+    return rp.processing_summary(fx.run_results(spark, sf_dir))
+
+
+def _summary_sql() -> str:
+    def row(block, n, line):
+        return f"SELECT {block} AS block, CAST(NULL AS VARCHAR) AS sort_key, {n} AS n, {line} AS line FROM c"
+    L = dk.lit
+    head = [row(0, 0, f"CASE WHEN total = 0 THEN {L(fixed.SUMMARY_EMPTY)} ELSE {L(fixed.SUMMARY_DONE)} END")]
+    head += [row(0, i, f"{L(lbl)} || CAST({col} AS VARCHAR)") + " WHERE total > 0"
+             for i, (lbl, col) in enumerate([(fixed.SUMMARY_TOTAL, "total"), (fixed.SUMMARY_OK, "successes"),
+                                             (fixed.SUMMARY_ERR, "errors")], start=1)]
+    head += [row(0, 4, "''") + " WHERE total > 0",
+             row(1, 0, L(fixed.SUMMARY_OK_HEAD)) + " WHERE successes > 0",
+             row(3, 0, "''") + " WHERE errors > 0",
+             row(3, 1, L(fixed.SUMMARY_ERR_HEAD)) + " WHERE errors > 0"]
+    name = f"coalesce(nombre, {L(fixed.SUMMARY_UNKNOWN_NAME)})"
+    names = [f"SELECT 2 AS block, {name} AS sort_key, 0 AS n, '- ' || {name} AS line FROM r WHERE status = 'success'",
+             f"SELECT 4 AS block, {name} AS sort_key, 0 AS n, '- ' || {name} || ': ' || "
+             f"coalesce(error, {L(fixed.SUMMARY_UNKNOWN_ERROR)}) AS line FROM r WHERE status = 'error'"]
+    return (f"WITH r AS ({_RUN_SQL}), c AS (SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') "
+            f"AS successes, count(*) FILTER (WHERE status = 'error') AS errors FROM r)\n"
+            + "\nUNION ALL\n".join(head + names))
+
+
+@register("summary_listing", _summary_sql())
+def q_summary_listing(spark, sf_dir):
+    return rp.summary_listing(fx.run_results(spark, sf_dir))
+
+
+_ANSWERS_SQL = _parse_sql(f"(SELECT *, {_NAME_SQL} AS paper_name FROM ({_RESP_SQL}))", "paper_name")
+
+
+def answers(spark, sf_dir) -> DataFrame:
+    r = spread(fx.responses(spark, sf_dir)).withColumn("paper_name", paper_name("doc_id"))
+    return rs.parse_response(r)
+
+
+def _defaults_sql() -> str:
+    fb = dk.lit(fixed.FALLBACK_NOT_AVAILABLE)
+    return (f"nombre AS title, "
+            f"{_known_sql(fixed.KEY_SUMMARY, fixed.REPORT_DEFAULT_SUMMARY, dk.py_strip('content'), dk.lit(fixed.ERROR_SUMMARY))} AS summary, "
+            f"{_known_sql(fixed.KEY_RESULTS, fixed.REPORT_DEFAULT_RESULTS, fb, dk.lit(fixed.ERROR_RESULTS))} AS results, "
+            f"{_known_sql(fixed.KEY_PERFORMANCE, fixed.REPORT_DEFAULT_PERFORMANCE, fb, dk.lit(fixed.ERROR_PERFORMANCE))} AS performance_text")
+
+
+@register("result_defaults", f"SELECT doc_id, {_defaults_sql()} FROM ({_ANSWERS_SQL})")
+def q_result_defaults(spark, sf_dir):
+    return rp.result_defaults(answers(spark, sf_dir)).select("doc_id", "title", "summary", "results",
+                                                             "performance_text")
+
+
+def _report_sql() -> str:
+    ex = "json_extract(js, '$.exito')::VARCHAR"
+    label = (f"CASE WHEN branch <> 'parsed' OR json_type(js, '$.exito') IS NULL OR json_type(js, '$.exito') = 'NULL' "
+             f"THEN {dk.lit(fixed.REPORT_UNDETERMINED)} WHEN {ex} IN ('false', '\"\"', '[]', '{{}}') OR "
+             f"(json_type(js, '$.exito') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND {ex}::DOUBLE = 0) "
+             f"THEN {dk.lit(fixed.REPORT_NO)} ELSE {dk.lit(fixed.REPORT_YES)} END")
+    L = dk.lit
+    return (f"SELECT doc_id, {L(chr(10) + fixed.REPORT_TITLE)} || title || "
+            f"{L(chr(10) + fixed.REPORT_RULE + chr(10) * 2 + fixed.REPORT_SUMMARY + chr(10))} || summary || "
+            f"{L(chr(10) * 2 + fixed.REPORT_RESULTS + chr(10))} || results || {L(chr(10) * 2 + fixed.REPORT_SUCCESS)} || "
+            f"label || {L(chr(10) * 2 + fixed.REPORT_PERFORMANCE + chr(10))} || performance_text || chr(10) AS report "
+            f"FROM (SELECT doc_id, {_defaults_sql()}, {label} AS label FROM ({_ANSWERS_SQL}))")
+
+
+@register("human_report", _report_sql())
+def q_human_report(spark, sf_dir):
+    return rp.human_report(answers(spark, sf_dir)).select("doc_id", "report")
+
+
+@register("strip_internal", f"SELECT doc_id, keys FROM ({_ANSWERS_SQL})")
+def q_strip_internal(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    meta = F.to_variant_object(F.struct(F.col("paper_name").alias("source_file")))
+    with_meta = a.withColumn("analysis", F.map_concat("analysis", F.create_map(F.lit(fixed.METADATA_KEY), meta)))
+    out = rp.strip_internal(with_meta, "analysis")
+    return out.select("doc_id", F.array_join(F.map_keys("analysis"), ",").alias("keys"))
+
+
+# -------------------------------------------------------- sources, sinks --
+
+@register("doc_manifest",
+          f"SELECT path, name, {_STEM_SQL} AS stem FROM (SELECT path, regexp_extract(path, '[^/]*$', 0) AS name "
+          f"FROM ({_FILES_SQL})) WHERE lower(name) LIKE '%.pdf'")
+def q_doc_manifest(spark, sf_dir):
+    return src_files.doc_manifest(fx.files(spark, sf_dir))
+
+
+@register("file_metadata",
+          f"SELECT name, CASE WHEN size IS NOT NULL THEN {_STEM_SQL} END AS base_name, size, "
+          f"CASE WHEN size IS NOT NULL THEN modified_epoch END AS modified_epoch, path FROM "
+          f"(SELECT *, regexp_extract(path, '[^/]*$', 0) AS name FROM ({_FILES_SQL}))")
+def q_file_metadata(spark, sf_dir):
+    f = fx.files(spark, sf_dir).withColumn("modified", F.timestamp_seconds("modified_epoch"))
+    m = src_files.file_metadata(f)
+    return m.select("name", "base_name", "size", F.unix_seconds("modified").alias("modified_epoch"), "path")
+
+
+@register("page_assembly", """
+SELECT conv_id AS doc_id, string_agg(text || chr(10), '' ORDER BY turn) AS text, count(*) AS n_pages
+FROM conversations GROUP BY conv_id""")
+def q_page_assembly(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.col("text").alias("page_text"))
+    return src_pages.assemble_pages(pages)
+
+
+@register("latest_by_stem", """
+SELECT source, arg_max(doc_id, doc_id) AS doc_id, arg_max(n_chars, doc_id) AS n_chars
+FROM documents GROUP BY source""")
+def q_latest_by_stem(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return mg.latest_by_key(d, "source", "doc_id")
+
+
+@register("skip_processed", """
+SELECT '/in/paper_' || CAST(doc_id AS VARCHAR) || '.pdf' AS path, 'paper_' || CAST(doc_id AS VARCHAR) AS stem
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def q_skip_processed(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/in/"), paper_name("doc_id")).alias("path"))
+    files = files.withColumn("stem", tx.paper_stem("path"))
+    done = table(spark, sf_dir, "labels").select(tx.paper_stem(paper_name("doc_id")).alias("stem"))
+    return jn.skip_processed(files, done)
+
+
+_SAVE_COLS = "stem, source_file, branch, nombre, resumen, resultados, exito, performance, error, keys"
+
+
+@register("save_analysis", f"""
+SELECT 'paper_' || CAST(doc_id AS VARCHAR) AS stem, paper_name AS source_file, branch, nombre, resumen, resultados,
+       exito, performance, error, keys || ',__metadata__' AS keys FROM ({_ANSWERS_SQL})""")
+def q_save_analysis(spark, sf_dir):
+    path = scratch_path(spark, "save_analysis")
+    a = answers(spark, sf_dir)
+    sink.save_analyses(a.select("paper_name", "analysis"), path, run_ts="2026-01-01T00:00:00")
+    back = sink.latest_analyses(spark, path)
+    typed = rs.analysis_columns(back)
+    branch = (F.when(F.map_contains_key("analysis", F.lit(fixed.KEY_ERROR))
+                     & (F.col("resumen") == F.lit(fixed.ERROR_SUMMARY)), F.lit("error"))
+              .when(F.col("resultados") == F.lit(fixed.FALLBACK_NOT_AVAILABLE), F.lit("fallback"))
+              .otherwise(F.lit("parsed")))
+    return typed.withColumn("branch", branch).select(*_SAVE_COLS.split(", "))
+
+
+@register("processed_keys", "SELECT DISTINCT 'paper_' || CAST(doc_id AS VARCHAR) AS stem FROM labels")
+def q_processed_keys(spark, sf_dir):
+    path = scratch_path(spark, "processed_keys")
+    done = table(spark, sf_dir, "labels").select(
+        paper_name("doc_id").alias("paper_name"),
+        F.create_map(F.lit(fixed.KEY_NAME), paper_name("doc_id").cast("variant")).alias("analysis"))
+    sink.save_analyses(done, path, run_ts="2026-01-01T00:00:00")
+    return sink.processed_keys(spark, path).distinct()
+
+
 # ------------------------------------------------------------- flagship --
 
 def flagship(spark, sf_dir):

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("documents", "conversations", "labels", "pages")
+PLACEHOLDERS = TABLES + ("chunks",)
 
 # F-PAPERS: documents with headings, four layouts by doc_id % 4.
 F_PAPERS = r"""
@@ -47,6 +48,24 @@ from (select doc_id, '{{"nombre":"P' || CAST(doc_id AS {S}) || '","resumen":"R'
       || '","exito":true,"performance":0.5,"extra":["a","b"]}}' as j from {documents}) t
 """
 
+# F-CHUNK-RESP: answers to chunk requests, one kind per parse branch by
+# (doc_id + chunk_index) % 9, with extra keys of every JSON type.
+F_CHUNK_RESP = r"""
+select doc_id, chunk_index, (doc_id + chunk_index) % 9 as kind, CASE (doc_id + chunk_index) % 9
+ WHEN 0 THEN '```json' || chr(10) || j || chr(10) || '```'
+ WHEN 1 THEN j
+ WHEN 2 THEN '```' || chr(10) || j || chr(10) || '```'
+ WHEN 3 THEN 'Here you go: ```json' || j || '``` hope it helps ```json {{}} ```'
+ WHEN 4 THEN ' plain prose, no json '
+ WHEN 5 THEN '{{"nombre":"","resumen":"r","exito":false}}'
+ WHEN 6 THEN '[1,2]'
+ WHEN 7 THEN '```python' || chr(10) || j || '```'
+ ELSE NULL END as content
+from (select doc_id, chunk_index, '{{"resumen":"R' || CAST(doc_id AS {S}) || '.' || CAST(chunk_index AS {S})
+      || '","resultados":"S' || CAST(chunk_index AS {S}) || '","conceptos_clave":["a","b"],"score":0.5,'
+      || '"ok":true,"none":null}}' as j from {chunks}) t
+"""
+
 # F-FILES: a directory listing; extension by doc_id % 4; size unknown for
 # every seventh file (stat failed).
 F_FILES = r"""
@@ -93,11 +112,12 @@ def spark_sql_text(sql: str) -> str:
     return sql.replace("{S}", "STRING")
 
 
-def duck_sql_text(sql: str) -> str:
-    """Fixture text for DuckDB: tables are the registered views."""
+def duck_sql_text(sql: str, **sources: str) -> str:
+    """Fixture text for DuckDB: tables are the registered views, other
+    placeholders are given as SQL text."""
     out = sql.replace("{S}", "VARCHAR")
-    for t in TABLES:
-        out = out.replace("{" + t + "}", t)
+    for t in PLACEHOLDERS:
+        out = out.replace("{" + t + "}", sources.get(t, t))
     return out.replace("{{", "{").replace("}}", "}")
 
 
@@ -133,3 +153,8 @@ def attempts(spark, sf_dir):
 
 def run_results(spark, sf_dir):
     return run_fixture(spark, F_RUN, sf_dir)
+
+
+def chunk_responses(chunks: DataFrame) -> DataFrame:
+    """F-CHUNK-RESP over a (doc_id, chunk_index) frame."""
+    return chunks.sparkSession.sql(spark_sql_text(F_CHUNK_RESP), chunks=chunks.select("doc_id", "chunk_index"))
