@@ -31,6 +31,7 @@ from ..sources import pages as src_pages
 from ..sources import sink
 from . import duck as dk
 from . import fixtures as fx
+from . import flows as fl
 from .common import spread, table, widen_ints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -734,6 +735,99 @@ def q_processed_keys(spark, sf_dir):
     return sink.processed_keys(spark, path).distinct()
 
 
+
+# ------------------------------------------------------------------ flows --
+
+FLOW_COLS = "doc_id, prompt, branch, nombre, resumen, resultados, exito, performance, error, keys"
+
+
+def named_papers(spark, sf_dir) -> DataFrame:
+    return spread(fx.papers(spark, sf_dir)).withColumn("paper_name", paper_name("doc_id"))
+
+
+def _table_responder(spark, sf_dir):
+    resp = fx.responses(spark, sf_dir).select("doc_id", "content")
+    return lambda requests: resp
+
+
+def _flow_out(df: DataFrame, extra=()) -> DataFrame:
+    return rs.analysis_columns(df).select(*FLOW_COLS.split(", "), *extra)
+
+
+def _flow_sql(requests_sql: str, extra: str = "") -> str:
+    src = (f"(SELECT q.*, r.kind, r.content, {_NAME_SQL.replace('doc_id', 'q.doc_id')} AS paper_name "
+           f"FROM ({requests_sql}) q LEFT JOIN ({_RESP_SQL}) r ON q.doc_id = r.doc_id)")
+    return f"SELECT {FLOW_COLS}{extra} FROM ({_parse_sql(src, 'paper_name')})"
+
+
+_PROMPT_OF = lambda x: _truncate_sql(_analysis_prompt_sql(x), fixed.PROMPT_CHAR_LIMIT)
+
+
+@register("flow_direct", _flow_sql(f"SELECT doc_id, {_PROMPT_OF('structured')} AS prompt FROM ({_PRE_SQL})"))
+def q_flow_direct(spark, sf_dir):
+    return _flow_out(fl.flow_direct(named_papers(spark, sf_dir), _table_responder(spark, sf_dir), CHUNK_SIZE))
+
+
+_FIRST_SQL = (f"SELECT c.doc_id, {_PROMPT_OF(_structured_sql(dk.clean('c.text'), _header_sql()))} AS prompt "
+              f"FROM (SELECT * FROM ({_chunks_sql(CHUNK_SIZE)}) WHERE chunk_index = 0) c "
+              f"JOIN {D_EXTRACTED} m ON c.doc_id = m.doc_id")
+
+
+@register("flow_first_chunk", _flow_sql(_FIRST_SQL))
+def q_flow_first_chunk(spark, sf_dir):
+    return _flow_out(fl.flow_first_chunk(named_papers(spark, sf_dir), _table_responder(spark, sf_dir),
+                                         CHUNK_SIZE))
+
+
+_MULTI_DOCS = f"(SELECT doc_id FROM {D_PAPERS} WHERE length(text) // 4 > {CHUNK_SIZE})"
+_MR_REQUESTS = (f"SELECT doc_id, CAST(1 AS BIGINT) AS n_parts, {_PROMPT_OF('structured')} AS prompt FROM ({_PRE_SQL}) "
+                f"WHERE doc_id NOT IN {_MULTI_DOCS} "
+                f"UNION ALL SELECT doc_id, n_parts, prompt FROM ({_CONSOLIDATION_SQL}) WHERE doc_id IN {_MULTI_DOCS}")
+
+
+@register("flow_map_reduce", _flow_sql(_MR_REQUESTS, ", n_parts"))
+def q_flow_map_reduce(spark, sf_dir):
+    return _flow_out(fl.flow_map_reduce(named_papers(spark, sf_dir), fx.chunk_responses,
+                                        _table_responder(spark, sf_dir), CHUNK_SIZE), ["n_parts"])
+
+
+@register("flow_batch_report", f"""
+WITH todo AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+fs AS ({ORACLE['first_success']})
+SELECT count(*) AS total, count(*) FILTER (WHERE fs.ok) AS successes,
+       count(*) FILTER (WHERE NOT coalesce(fs.ok, false)) AS errors
+FROM todo t LEFT JOIN fs ON t.doc_id = fs.request_id""")
+def q_flow_batch_report(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", paper_name("doc_id").alias("paper_name"))
+    files = docs.withColumn("stem", tx.paper_stem("paper_name"))
+    done = table(spark, sf_dir, "labels").select(tx.paper_stem(paper_name("doc_id")).alias("stem"))
+    _, summary = fl.flow_batch_report(files, done, fx.attempts(spark, sf_dir))
+    return summary
+
+
+@register("incremental_ingest", f"""
+SELECT 'paper_' || CAST(doc_id AS VARCHAR) AS stem, branch, nombre, resumen, resultados, exito, performance,
+       error, keys || ',__metadata__' AS keys FROM ({_parse_sql(f'(SELECT *, {_NAME_SQL} AS paper_name FROM ({_RESP_SQL}))', 'paper_name')})""")
+def q_incremental_ingest(spark, sf_dir):
+    """Stage the documents as two input files, stream them in twice: the
+    second run finds nothing new, so each paper appears once."""
+    from ..streaming import ingest
+    base = scratch_path(spark, "ingest")
+    in_dir, out_dir, ckpt = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
+    docs = table(spark, sf_dir, "documents").select("doc_id", paper_name("doc_id").alias("paper_name"), "text")
+    ingest.stage_documents(docs, in_dir)
+    respond = _table_responder(spark, sf_dir)
+    for _ in range(2):
+        ingest.ingest_stream(spark, in_dir, out_dir, ckpt, respond, CHUNK_SIZE)
+    back = rs.analysis_columns(sink.read_analyses(spark, out_dir))
+    branch = (F.when(F.map_contains_key("analysis", F.lit(fixed.KEY_ERROR))
+                     & (F.col("resumen") == F.lit(fixed.ERROR_SUMMARY)), F.lit("error"))
+              .when(F.col("resultados") == F.lit(fixed.FALLBACK_NOT_AVAILABLE), F.lit("fallback"))
+              .otherwise(F.lit("parsed")))
+    return back.withColumn("branch", branch).select(
+        "stem", "branch", "nombre", "resumen", "resultados", "exito", "performance", "error", "keys")
+
+
 # ------------------------------------------------------------- flagship --
 
 def flagship(spark, sf_dir):
