@@ -746,8 +746,7 @@ def named_papers(spark, sf_dir) -> DataFrame:
 
 
 def _table_responder(spark, sf_dir):
-    resp = fx.responses(spark, sf_dir).select("doc_id", "content")
-    return lambda requests: resp
+    return fl.table_responder(fx.responses(spark, sf_dir), ["doc_id"])
 
 
 def _flow_out(df: DataFrame, extra=()) -> DataFrame:

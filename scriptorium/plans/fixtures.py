@@ -51,7 +51,7 @@ from (select doc_id, '{{"nombre":"P' || CAST(doc_id AS {S}) || '","resumen":"R'
 # F-CHUNK-RESP: answers to chunk requests, one kind per parse branch by
 # (doc_id + chunk_index) % 9, with extra keys of every JSON type.
 F_CHUNK_RESP = r"""
-select doc_id, chunk_index, (doc_id + chunk_index) % 9 as kind, CASE (doc_id + chunk_index) % 9
+select t.*, (doc_id + chunk_index) % 9 as kind, CASE (doc_id + chunk_index) % 9
  WHEN 0 THEN '```json' || chr(10) || j || chr(10) || '```'
  WHEN 1 THEN j
  WHEN 2 THEN '```' || chr(10) || j || chr(10) || '```'
@@ -61,7 +61,7 @@ select doc_id, chunk_index, (doc_id + chunk_index) % 9 as kind, CASE (doc_id + c
  WHEN 6 THEN '[1,2]'
  WHEN 7 THEN '```python' || chr(10) || j || '```'
  ELSE NULL END as content
-from (select doc_id, chunk_index, '{{"resumen":"R' || CAST(doc_id AS {S}) || '.' || CAST(chunk_index AS {S})
+from (select *, '{{"resumen":"R' || CAST(doc_id AS {S}) || '.' || CAST(chunk_index AS {S})
       || '","resultados":"S' || CAST(chunk_index AS {S}) || '","conceptos_clave":["a","b"],"score":0.5,'
       || '"ok":true,"none":null}}' as j from {chunks}) t
 """
@@ -121,8 +121,18 @@ def duck_sql_text(sql: str, **sources: str) -> str:
     return out.replace("{{", "{").replace("}}", "}")
 
 
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
+    """The driver tables; the text tables get enough partitions first, so
+    the fixture statements themselves run in parallel."""
+    from .common import spread
+    out = {}
+    for n in names:
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet")
+        out[n] = spread(df, SPREAD_KEYS[n]) if n in SPREAD_KEYS else df
+    return out
 
 
 def run_fixture(spark: SparkSession, sql: str, sf_dir: str) -> DataFrame:
@@ -157,4 +167,4 @@ def run_results(spark, sf_dir):
 
 def chunk_responses(chunks: DataFrame) -> DataFrame:
     """F-CHUNK-RESP over a (doc_id, chunk_index) frame."""
-    return chunks.sparkSession.sql(spark_sql_text(F_CHUNK_RESP), chunks=chunks.select("doc_id", "chunk_index"))
+    return chunks.sparkSession.sql(spark_sql_text(F_CHUNK_RESP), chunks=chunks)

@@ -1,8 +1,10 @@
 """End-to-end flows.
 
-The model is a *responder*: a function ``requests DataFrame -> responses
-DataFrame`` (key columns + ``content``) that the caller supplies — usually a
-``mapInPandas`` over their own batch endpoint, or a table of answers.  The
+The model is a *responder*: a function ``requests DataFrame -> the same rows
+with a ``content`` column`` that the caller supplies — usually a
+``mapInPandas`` over their own batch endpoint, or a join with a table of
+answers.  Returning the request rows (instead of answers to be joined back)
+keeps the request lineage single-use, so nothing upstream is computed twice.  The
 flows only build requests and consume answers; every step is a DataFrame
 transformation.
 
@@ -38,8 +40,13 @@ Responder = Callable[[DataFrame], DataFrame]
 
 
 def _answer(requests: DataFrame, respond: Responder, keys: list[str]) -> DataFrame:
-    answers = respond(requests.select(*keys, "prompt", "request")).select(*keys, "content")
-    return requests.join(answers, keys, "left")
+    return respond(requests)
+
+
+def table_responder(answers: DataFrame, keys: list[str], content: str = "content") -> Responder:
+    """Responder backed by a table of answers (left join on ``keys``)."""
+    a = answers.select(*keys, F.col(content).alias("content"))
+    return lambda requests: requests.join(a, keys, "left")
 
 
 def flow_direct(docs: DataFrame, respond: Responder, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE,
@@ -74,26 +81,61 @@ def flow_map_reduce(docs: DataFrame, respond_chunks: Responder, respond: Respond
 
     Papers that fit in one chunk get the single analysis prompt; the others
     one request per chunk and a consolidation request.
+
+    Plan shape: one pass over the documents builds every first-stage
+    request (a paper's analysis prompt, or its chunk prompts), so cleaning
+    and chunking run once.  The per-paper aggregation is the only shuffle;
+    the finished single-chunk papers and the consolidation requests both
+    read its output (the exchange is reused, nothing upstream reruns).
     """
     e = rq.extract(docs)
-    staged = e.withColumn("_t", normalize_text("text"))
-    multi = ch.token_estimate(F.col("_t")) > chunk_size
-    single = rq.preprocess(staged.filter(~multi).drop("_t"), chunk_size)
-    single_req = rq.chat_requests(single.select(
-        "doc_id", name, F.lit(1).alias("n_parts"),
-        pr.truncate_prompt(pr.analysis_prompt("structured")).alias("prompt")))
-
-    chunks = ch.split_chunks(staged.filter(multi), chunk_size, text="_t", keep=(name,))
-    chunk_req = rq.chat_requests(rq.chunk_prompts(chunks))
-    chunk_ans = _answer(chunk_req, respond_chunks, ["doc_id", "chunk_index"])
+    chunks = ch.split_chunks(e.withColumn("_t", normalize_text("text")), chunk_size, text="_t",
+                             keep=(name, "title", "authors", "arxiv_id"))
+    single = F.col("total_chunks").isNull()
+    total = F.coalesce(F.col("total_chunks"), F.lit(1))
+    idx = F.col("chunk_index")
+    role = F.when(idx == 0, "initial").when(idx == total - 1, "final").otherwise("middle")
+    label = pr.chunk_label(idx, total, F.col("section"), F.col("chunk_part"))
+    whole = pr.analysis_prompt(pr.structure_text("text", "title", "authors", "arxiv_id"))
+    prompt = pr.truncate_prompt(F.when(single, whole).otherwise(pr.chunk_prompt("text", label, role)))
+    stage1 = rq.chat_requests(chunks.select("doc_id", "chunk_index", name, single.alias("_single"),
+                                            prompt.alias("prompt")))
+    answered = _answer(stage1, respond_chunks_or_final(respond_chunks, respond), ["doc_id", "chunk_index"])
     chunk_name = F.concat(F.col(name), F.lit("_chunk_"), (F.col("chunk_index") + 1).cast("string"))
-    parsed = rs.parse_response(chunk_ans.withColumn("_chunk_name", chunk_name), name="_chunk_name")
-    cons = mg.consolidation_prompt(parsed.select("doc_id", name, "chunk_index", "analysis"), name=name)
-    cons_req = rq.chat_requests(cons.select("doc_id", name, "n_parts", "prompt"))
-
-    requests = single_req.unionByName(cons_req)
-    return rs.parse_response(_answer(requests, respond, ["doc_id"]), name=name).select(
+    parsed = rs.parse_response(answered.withColumn(
+        "_answer_name", F.when(F.col("_single"), F.col(name)).otherwise(chunk_name)), name="_answer_name")
+
+    grouped = parsed.select(
+        "doc_id", name, "chunk_index", "_single", "prompt", "branch", "analysis",
+        F.when(~F.col("_single"), mg.consolidation_block("chunk_index", "analysis")).alias("_block"),
+    ).groupBy("doc_id").agg(
+        F.first(name).alias(name),
+        F.max(F.col("_single").cast("int")).alias("_single"),
+        F.count(F.lit(1)).alias("n_parts"),
+        F.first("prompt").alias("_prompt1"), F.first("branch").alias("_branch1"),
+        F.first("analysis").alias("_analysis1"),
+        F.expr("listagg(_block, '') WITHIN GROUP (ORDER BY chunk_index)").alias("_blocks"))
+
+    done = grouped.filter(F.col("_single") == 1).select(
+        "doc_id", name, "n_parts", F.col("_prompt1").alias("prompt"), F.col("_branch1").alias("branch"),
+        F.col("_analysis1").alias("analysis"))
+    cons = grouped.filter(F.col("_single") == 0).select(
+        "doc_id", name, "n_parts", pr.consolidation_prompt_text(F.col(name), F.col("_blocks")).alias("prompt"))
+    final = rs.parse_response(_answer(rq.chat_requests(cons), respond, ["doc_id"]), name=name).select(
         "doc_id", name, "n_parts", "prompt", "branch", "analysis")
+    return done.unionByName(final)
+
+
+def respond_chunks_or_final(respond_chunks: Responder, respond: Responder) -> Responder:
+    """First-stage responder: chunk requests go to ``respond_chunks``, the
+    whole-paper requests of single-chunk papers to ``respond`` (keyed by
+    doc_id).  With one real model endpoint both are the same function."""
+    def both(requests: DataFrame) -> DataFrame:
+        c = respond_chunks(requests).withColumnRenamed("content", "_cc")
+        f = respond(c).withColumnRenamed("content", "_fc")
+        return (f.withColumn("content", F.when(F.col("_single"), F.col("_fc")).otherwise(F.col("_cc")))
+                .drop("_cc", "_fc"))
+    return both
 
 
 def flow_batch_report(files: DataFrame, done: DataFrame | None, attempts: DataFrame,
