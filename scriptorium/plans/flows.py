@@ -35,6 +35,7 @@ from ..operators import merge as mg
 from ..operators import report as rp
 from ..operators import requests as rq
 from ..operators import responses as rs
+from ..session import checkpoint_root
 
 Responder = Callable[[DataFrame], DataFrame]
 
@@ -84,9 +85,12 @@ def flow_map_reduce(docs: DataFrame, respond_chunks: Responder, respond: Respond
 
     Plan shape: one pass over the documents builds every first-stage
     request (a paper's analysis prompt, or its chunk prompts), so cleaning
-    and chunking run once.  The per-paper aggregation is the only shuffle;
+    and chunking run once.  The per-paper aggregation is the only shuffle.
+    Its result (one small row per paper: the first-stage answers and the
+    consolidation blocks) is checkpointed to the shared checkpoint folder:
     the finished single-chunk papers and the consolidation requests both
-    read its output (the exchange is reused, nothing upstream reruns).
+    read it, and answers already paid for are never recomputed when a later
+    stage fails or an executor is lost.
     """
     e = rq.extract(docs)
     chunks = ch.split_chunks(e.withColumn("_t", normalize_text("text")), chunk_size, text="_t",
@@ -115,6 +119,8 @@ def flow_map_reduce(docs: DataFrame, respond_chunks: Responder, respond: Respond
         F.first("prompt").alias("_prompt1"), F.first("branch").alias("_branch1"),
         F.first("analysis").alias("_analysis1"),
         F.expr("listagg(_block, '') WITHIN GROUP (ORDER BY chunk_index)").alias("_blocks"))
+    checkpoint_root(grouped.sparkSession)
+    grouped = grouped.checkpoint(eager=True)
 
     done = grouped.filter(F.col("_single") == 1).select(
         "doc_id", name, "n_parts", F.col("_prompt1").alias("prompt"), F.col("_branch1").alias("branch"),
