@@ -830,4 +830,6 @@ def q_incremental_ingest(spark, sf_dir):
 # ------------------------------------------------------------- flagship --
 
 def flagship(spark, sf_dir):
-    return QUERIES["split_chunks"](spark, sf_dir)
+    """The intended end-to-end flow: chunk requests, parsed answers,
+    consolidation, final analyses."""
+    return QUERIES["flow_map_reduce"](spark, sf_dir)
