@@ -14,9 +14,6 @@ from ..functions import fixed
 from ..functions.text import col_of, explode_array, let, token_estimate
 from .sections import cascade_array
 
-CHUNK_FIELDS = ("text", "section", "chunk_part")
-
-
 def chunk_geometry(chunk_size: int) -> tuple[int, int, int]:
     """(chars per chunk, overlap, step) for a chunk size in tokens."""
     cpc = chunk_size * fixed.CHARS_PER_TOKEN

@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import prompts as pr
-from ..functions.text import col_of, normalize_text, paper_metadata
-from .chunks import first_chunk_struct, split_chunks
+from ..functions.text import clean_text, col_of, normalize_text, paper_metadata
+from .chunks import first_chunk_struct
 
 
 def extract(df: DataFrame, text: str = "text") -> DataFrame:
     """What extraction returns: one cleaning pass plus the paper metadata of
     the cleaned text (columns ``text``, ``title``, ``authors``, ``arxiv_id``)."""
-    from ..functions.text import clean_text
     cleaned = df.withColumn(text, clean_text(text))
     return (cleaned.withColumn("_m", paper_metadata(text))
             .select(*[c for c in cleaned.columns], "_m.title", "_m.authors", "_m.arxiv_id"))
@@ -63,5 +62,3 @@ def chat_requests(df: DataFrame, prompt: str = "prompt", model: str = fixed.DEFA
                   max_tokens: int = fixed.DEFAULT_MAX_TOKENS) -> DataFrame:
     return df.withColumn("request", pr.chat_request(col_of(prompt), model, temperature, max_tokens))
 
-
-__all__ = ["extract", "preprocess", "chunk_prompts", "chat_requests", "split_chunks"]

@@ -62,7 +62,10 @@ def processed_keys(spark: SparkSession, path: str | None) -> DataFrame | None:
     if path is None:
         return None
     try:
-        return read_analyses(spark, path).select("stem")
+        # Only the source file is needed: a streaming path lookup, no
+        # parse of the analysis values.
+        src = F.get_json_object(F.col("value"), f"$.{fixed.METADATA_KEY}.source_file")
+        return spark.read.text(path).select(paper_stem(base_name(src)).alias("stem"))
     except Exception as e:  # no output written yet
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], "stem string")

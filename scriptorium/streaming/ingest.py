@@ -14,7 +14,6 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import base_name, paper_stem
@@ -51,5 +50,3 @@ def stage_documents(docs: DataFrame, in_dir: str, parts: int = 2) -> None:
     (docs.select("doc_id", "paper_name", "text").repartition(parts, "doc_id")
      .write.mode("append").parquet(in_dir))
 
-
-__all__ = ["ingest_stream", "stage_documents", "F"]
