@@ -397,7 +397,7 @@ _ATT_SQL = fx.duck_sql_text(fx.F_ATT)
 
 
 @register("first_success", f"""
-SELECT request_id, attempt, ok, content, attempts FROM (
+SELECT request_id, CAST(attempt AS BIGINT) AS attempt, ok, content, attempts FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ok DESC,
                                CASE WHEN ok THEN attempt ELSE -attempt END) AS rn,
          count(*) OVER (PARTITION BY request_id) AS attempts
@@ -585,7 +585,8 @@ def q_processing_summary(spark, sf_dir):
 
 def _summary_sql() -> str:
     def row(block, n, line):
-        return f"SELECT {block} AS block, CAST(NULL AS VARCHAR) AS sort_key, {n} AS n, {line} AS line FROM c"
+        return (f"SELECT CAST({block} AS BIGINT) AS block, CAST(NULL AS VARCHAR) AS sort_key, "
+                f"CAST({n} AS BIGINT) AS n, {line} AS line FROM c")
     L = dk.lit
     head = [row(0, 0, f"CASE WHEN total = 0 THEN {L(fixed.SUMMARY_EMPTY)} ELSE {L(fixed.SUMMARY_DONE)} END")]
     head += [row(0, i, f"{L(lbl)} || CAST({col} AS VARCHAR)") + " WHERE total > 0"
@@ -596,8 +597,9 @@ def _summary_sql() -> str:
              row(3, 0, "''") + " WHERE errors > 0",
              row(3, 1, L(fixed.SUMMARY_ERR_HEAD)) + " WHERE errors > 0"]
     name = f"coalesce(nombre, {L(fixed.SUMMARY_UNKNOWN_NAME)})"
-    names = [f"SELECT 2 AS block, {name} AS sort_key, 0 AS n, '- ' || {name} AS line FROM r WHERE status = 'success'",
-             f"SELECT 4 AS block, {name} AS sort_key, 0 AS n, '- ' || {name} || ': ' || "
+    names = [f"SELECT CAST(2 AS BIGINT) AS block, {name} AS sort_key, CAST(0 AS BIGINT) AS n, '- ' || {name} AS line "
+             f"FROM r WHERE status = 'success'",
+             f"SELECT CAST(4 AS BIGINT) AS block, {name} AS sort_key, CAST(0 AS BIGINT) AS n, '- ' || {name} || ': ' || "
              f"coalesce(error, {L(fixed.SUMMARY_UNKNOWN_ERROR)}) AS line FROM r WHERE status = 'error'"]
     return (f"WITH r AS ({_RUN_SQL}), c AS (SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') "
             f"AS successes, count(*) FILTER (WHERE status = 'error') AS errors FROM r)\n"

@@ -43,26 +43,32 @@ def _norm(v):
     return v
 
 
+DUCK_TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double",
+              "INTEGER": "int"}
+
+
 def rows_of_spark(df):
     cols = sorted(df.columns)
-    return cols, [tuple(_norm(r[c]) for c in cols) for r in df.select(*cols).collect()]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return cols, [types[c] for c in cols], [tuple(_norm(r[c]) for c in cols) for r in df.select(*cols).collect()]
 
 
 def rows_of_duck(con, sql):
-    rel = con.execute(sql)
-    names = [d[0] for d in rel.description]
+    rel = con.sql(sql)
+    names = list(rel.columns)
+    types = dict(zip(names, [DUCK_TYPES.get(str(t), str(t)) for t in rel.types]))
     cols = sorted(names)
     idx = [names.index(c) for c in cols]
-    return cols, [tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()]
+    return cols, [types[c] for c in cols], [tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()]
 
 
 def compare(spark, con, sf_dir, name, fn, sql):
     t0 = time.time()
-    s_cols, s_rows = rows_of_spark(fn(spark, sf_dir))
+    s_cols, s_types, s_rows = rows_of_spark(fn(spark, sf_dir))
     t1 = time.time()
-    d_cols, d_rows = rows_of_duck(con, sql)
+    d_cols, d_types, d_rows = rows_of_duck(con, sql)
     t2 = time.time()
-    ok_cols = s_cols == d_cols
+    ok_cols = s_cols == d_cols and s_types == d_types
     ok_n = len(s_rows) == len(d_rows)
     cs, cd = Counter(s_rows), Counter(d_rows)
     ok_v = ok_cols and cs == cd
@@ -70,7 +76,7 @@ def compare(spark, con, sf_dir, name, fn, sql):
     if not ok_v:
         only_s = list((cs - cd).elements())[:2]
         only_d = list((cd - cs).elements())[:2]
-        detail = f"\n   spark cols={s_cols}\n   duck  cols={d_cols}\n   only spark: {str(only_s)[:600]}\n   only duck: {str(only_d)[:600]}"
+        detail = f"\n   spark cols={list(zip(s_cols, s_types))}\n   duck  cols={list(zip(d_cols, d_types))}\n   only spark: {str(only_s)[:600]}\n   only duck: {str(only_d)[:600]}"
     return ok_cols and ok_n and ok_v, f"{name}: rows {len(s_rows)}/{len(d_rows)} cols {ok_cols} values {ok_v} ({t1 - t0:.1f}s spark, {t2 - t1:.1f}s duck){detail}"
 
 
