@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.  Reads at most
+    ``max_rows + 1`` rows, so the check is cheap even on a huge side."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
-    unchanged (sort-merge join, with AQE free to switch at run time).
-
-    The check reads at most ``max_rows + 1`` rows, so it costs little even
-    when the side is huge.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    unchanged (sort-merge join, with AQE free to switch at run time)."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def skip_processed(files: DataFrame, done: DataFrame | None, key: str = "stem") -> DataFrame:
@@ -26,7 +27,13 @@ def skip_processed(files: DataFrame, done: DataFrame | None, key: str = "stem")
     if done is None:
         return files
     keys = done.select(key).where(F.col(key).isNotNull())
-    return files.join(sized_broadcast(keys), key, "left_anti")
+    if fits_broadcast(keys):
+        return files.join(F.broadcast(keys), key, "left_anti")
+    # Large key set: dedupe first.  distinct() is a partial aggregate, so a
+    # key written many times (copies of one paper) shrinks to one row per
+    # map task before the shuffle; the files side of the sort-merge anti
+    # join can be split by AQE's skew handling.
+    return files.join(keys.distinct(), key, "left_anti")
 
 
 def pair_papers(pairs: DataFrame, docs: DataFrame, a: str = "a_id", b: str = "b_id",

@@ -48,3 +48,12 @@ def test_manifest_extension_case(spark):
     files = spark.createDataFrame([("/d/a.pdf",), ("/d/b.PDF",), ("/d/c.txt",), ("/d/pdf",)], "path string")
     got = sorted((r.name, r.stem) for r in src_files.doc_manifest(files).collect())
     assert got == [("a.pdf", "a"), ("b.PDF", "b")]
+
+
+def test_skip_processed_large_done_set(spark, monkeypatch):
+    from scriptorium.operators import joins
+    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 1)
+    files = spark.createDataFrame([(s,) for s in "abcde"], "stem string")
+    done = spark.createDataFrame([("a",)] * 50 + [("c",), (None,)], "stem string")
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_rows=1: False)
+    assert sorted(r.stem for r in joins.skip_processed(files, done).collect()) == ["b", "d", "e"]
