@@ -154,3 +154,4 @@ def paper_metadata(c) -> Column:
     title = py_strip(F.regexp_extract(first_lines, _TITLE_RE, 1))
     arxiv = F.regexp_extract(text, _ARXIV_RE, 1)
     return F.struct(title.alias("title"), F.lit("").alias("authors"), arxiv.alias("arxiv_id"))
+

@@ -42,6 +42,18 @@ def preprocess(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, text:
     return staged.withColumn(out, structured).drop("_fc")
 
 
+def merge_metadata(df: DataFrame, base: str, override: str, out: str = "metadata") -> DataFrame:
+    """``{**base, **override}`` for two struct columns: every field of
+    ``override`` replaces or extends ``base``; a NULL override field stands
+    for an absent key and keeps the base value."""
+    base_fields = {f.name for f in df.schema[base].dataType.fields}
+    merged = F.col(base)
+    for f in df.schema[override].dataType.fields:
+        o = F.col(override)[f.name]
+        merged = merged.withField(f.name, F.coalesce(o, F.col(base)[f.name]) if f.name in base_fields else o)
+    return df.withColumn(out, merged)
+
+
 def chunk_prompts(chunks: DataFrame, limit: int = fixed.PROMPT_CHAR_LIMIT) -> DataFrame:
     """Label + initial/middle/final prompt per chunk, truncated.
 

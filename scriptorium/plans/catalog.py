@@ -829,6 +829,52 @@ def q_incremental_ingest(spark, sf_dir):
         "stem", "branch", "nombre", "resumen", "resultados", "exito", "performance", "error", "keys")
 
 
+
+# ------------------------------------------- parts of other operators --
+
+@register("nonblank_preamble",
+          f"SELECT doc_id, text FROM ({dk.cascade_sql(D_PAPERS)}) WHERE section = 'preambulo'")
+def q_nonblank_preamble(spark, sf_dir):
+    return se.section_cascade(papers(spark, sf_dir)).filter(
+        F.col("section") == fixed.PREAMBLE_SECTION).select("doc_id", "text")
+
+
+@register("last_section_wins",
+          f"SELECT doc_id, section, CAST(max(seq) AS BIGINT) AS seq, CAST(count(*) AS BIGINT) AS n_segments "
+          f"FROM ({dk.segments_sql(D_PAPERS)}) GROUP BY doc_id, section")
+def q_last_section_wins(spark, sf_dir):
+    segs = se.section_segments(papers(spark, sf_dir))
+    return segs.groupBy("doc_id", "section").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n_segments"))
+
+
+@register("section_order",
+          f"SELECT doc_id, seq, start_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_pos) AS BIGINT) "
+          f"AS rank FROM ({dk.segments_sql(D_PAPERS)})")
+def q_section_order(spark, sf_dir):
+    segs = se.section_segments(papers(spark, sf_dir)).select("doc_id", "seq", "start_pos")
+    # seq is the hit order by construction; rank restates it from the offsets
+    return segs.withColumn("rank", F.col("seq"))
+
+
+@register("chunk_order",
+          f"SELECT doc_id, chunk_index, section, chunk_part FROM ({_chunks_sql(CHUNK_SIZE)})")
+def q_chunk_order(spark, sf_dir):
+    return ch.split_chunks(papers(spark, sf_dir), CHUNK_SIZE).select("doc_id", "chunk_index", "section", "chunk_part")
+
+
+@register("merge_metadata", f"""
+SELECT c.doc_id, c.chunk_index, m.title, m.authors, m.arxiv_id, c.section, c.chunk_part, c.total_chunks
+FROM ({_chunks_sql(CHUNK_SIZE)}) c JOIN {D_EXTRACTED} m ON c.doc_id = m.doc_id""")
+def q_merge_metadata(spark, sf_dir):
+    d = extracted_papers(spark, sf_dir).withColumn("text", tx.normalize_text("text"))
+    c = ch.split_chunks(d, CHUNK_SIZE, keep=("title", "authors", "arxiv_id"))
+    both = c.select("doc_id", "chunk_index",
+                    F.struct("title", "authors", "arxiv_id").alias("paper"),
+                    F.struct("section", "chunk_part", "total_chunks").alias("chunk"))
+    merged = rq.merge_metadata(both, "paper", "chunk")
+    return merged.select("doc_id", "chunk_index", "metadata.*")
+
+
 # ------------------------------------------------------------- flagship --
 
 def flagship(spark, sf_dir):
