@@ -71,6 +71,20 @@ def explode_array(df, arr: Column, keep: list, pos: str | None = None, item: str
     return out.filter(F.col(item).isNotNull())
 
 
+def compute_once(df, keep: list, **exprs):
+    """Add computed columns that later filters cannot be pushed beneath.
+
+    A filter on a computed column is normally pushed below the projection
+    with the expression substituted, so an expensive expression (a regex
+    over the whole text) runs in the filter and again in the projection.
+    Produced by a one-row generator, the columns are evaluated once and a
+    filter on them stays above.
+    """
+    row = F.struct(*[v.alias(k) for k, v in exprs.items()])
+    return (df.select(*keep, F.inline_outer(F.array(row)))
+            .select(*keep, *exprs))
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: trim every Unicode whitespace char at both ends."""
     return F.btrim(col_of(c), F.lit(WS_CHARS))

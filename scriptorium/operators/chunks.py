@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import col_of, explode_array, let, token_estimate
+from ..functions.text import col_of, compute_once, explode_array, let, token_estimate
 from .sections import cascade_array
 
 def chunk_geometry(chunk_size: int) -> tuple[int, int, int]:
@@ -128,6 +128,13 @@ def _first_chunk(t: Column, chunk_size: int) -> Column:
         let(ordered_sections(t, chunk_size), body))
 
 
+def fits_one_chunk_rows(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, key: str = "doc_id",
+                        text: str = "text") -> DataFrame:
+    """Documents whose estimated tokens fit in one chunk: (key, est_tokens)."""
+    est = compute_once(df, [key], est_tokens=token_estimate(text))
+    return est.filter(F.col("est_tokens") <= chunk_size)
+
+
 def first_chunk(chunks: DataFrame) -> DataFrame:
     """Table form: the chunk with index 0 of each document."""
     return chunks.filter(F.col("chunk_index") == 0)

@@ -102,9 +102,7 @@ def q_token_estimate(spark, sf_dir):
           f"SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS est_tokens FROM {D_PAPERS} "
           f"WHERE length(text) // 4 <= {CHUNK_SIZE}")
 def q_fits_one_chunk(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    return (p.filter(tx.fits_one_chunk("text", CHUNK_SIZE))
-            .select("doc_id", tx.token_estimate("text").alias("est_tokens")))
+    return ch.fits_one_chunk_rows(papers(spark, sf_dir), CHUNK_SIZE)
 
 
 _STEM_SQL = ("CASE WHEN regexp_matches(name, '^(\\.*[^.].*)\\.[^.]*$', 's') "
