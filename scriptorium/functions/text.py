@@ -163,9 +163,11 @@ def paper_metadata(c) -> Column:
     Title: text before the first ``Abstract`` or ``.`` within the first three
     lines (lines joined by a space), trimmed.  Authors are never filled.
     """
-    text = col_of(c)
-    first_lines = F.translate(F.substring_index(text, "\n", 3), "\n", " ")
-    title = py_strip(F.regexp_extract(first_lines, _TITLE_RE, 1))
-    arxiv = F.regexp_extract(text, _ARXIV_RE, 1)
-    return F.struct(title.alias("title"), F.lit("").alias("authors"), arxiv.alias("arxiv_id"))
+    def body(text):
+        first_lines = F.translate(F.substring_index(text, "\n", 3), "\n", " ")
+        title = py_strip(F.regexp_extract(first_lines, _TITLE_RE, 1))
+        arxiv = F.regexp_extract(text, _ARXIV_RE, 1)
+        return F.struct(title.alias("title"), F.lit("").alias("authors"), arxiv.alias("arxiv_id"))
+
+    return let(col_of(c), body)
 

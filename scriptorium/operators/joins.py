@@ -41,11 +41,19 @@ def pair_papers(pairs: DataFrame, docs: DataFrame, a: str = "a_id", b: str = "b_
     """Attach both texts to each requested pair (a_id, b_id).
 
     Pairs are given, never enumerated: no all-pairs blow-up.  Two equi-joins
-    on the paper id; a paper in very many pairs is a skewed join key, which
-    AQE's skew-join splitting handles.  ``on`` adds columns both sides must
-    share.
+    against the same documents frame, so both sides share one exchange of
+    the documents (Spark reuses it) instead of preparing the texts twice; a
+    paper in very many pairs is a skewed join key, which AQE's skew-join
+    splitting handles.  ``on`` adds columns both papers must share.
     """
     on = on or []
-    left = docs.select(F.col(key).alias(a), F.col(text).alias("a_text"), *on)
-    right = docs.select(F.col(key).alias(b), F.col(text).alias("b_text"), *on)
-    return pairs.join(left, [a, *on]).join(right, [b, *on]).select(a, b, *on, "a_text", "b_text")
+    d = docs.select(key, text, *on)
+    da, db = d.alias("_pa"), d.alias("_pb")
+    p = pairs.alias("_pairs")
+    first = p.join(da, [F.col(f"_pairs.{a}") == F.col(f"_pa.{key}")]
+                   + [F.col(f"_pairs.{c}") == F.col(f"_pa.{c}") for c in on])
+    both = first.join(db, [F.col(f"_pairs.{b}") == F.col(f"_pb.{key}")]
+                      + [F.col(f"_pairs.{c}") == F.col(f"_pb.{c}") for c in on])
+    return both.select(F.col(f"_pairs.{a}").alias(a), F.col(f"_pairs.{b}").alias(b),
+                       *[F.col(f"_pairs.{c}").alias(c) for c in on],
+                       F.col(f"_pa.{text}").alias("a_text"), F.col(f"_pb.{text}").alias("b_text"))
