@@ -18,7 +18,9 @@ from .chunks import first_chunk_struct
 def extract(df: DataFrame, text: str = "text") -> DataFrame:
     """What extraction returns: one cleaning pass plus the paper metadata of
     the cleaned text (columns ``text``, ``title``, ``authors``, ``arxiv_id``)."""
-    cleaned = df.withColumn(text, clean_text(text))
+    # A paper without text is still a paper (the original's extractor returns
+    # a string, possibly empty): keep the row, never drop it.
+    cleaned = df.withColumn(text, clean_text(F.coalesce(F.col(text), F.lit(""))))
     return (cleaned.withColumn("_m", paper_metadata(text))
             .select(*[c for c in cleaned.columns], "_m.title", "_m.authors", "_m.arxiv_id"))
 

@@ -15,9 +15,12 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     cores (one parquet row group is one split) is hash-partitioned on
     ``key``, which also prepares later per-document aggregations.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave as is
+        return df
+    if parts >= cores:
         return df
     return df.repartition(cores, key)
 

@@ -41,13 +41,18 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Return the shared scratch folder; set a local one only when unset."""
-    root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        sc = None
+    root = spark.conf.get(_CHECKPOINT_KEY, None) or (sc.getCheckpointDir() if sc else None)
     if not root:
         root = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        if sc:
+            sc.setCheckpointDir(root)
+    elif sc and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 

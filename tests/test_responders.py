@@ -52,3 +52,14 @@ def test_call_responder_retries(spark):
     assert got[3] == ("ok", True, 2, None)
     parsed = rs.parse_response(call_responder(flaky)(req).withColumn("paper_name", F.lit("p")))
     assert {r.doc_id: r.branch for r in parsed.collect()} == {1: "fallback", 2: "error", 3: "fallback"}
+
+
+def test_null_text_keeps_the_paper(spark):
+    docs = spark.createDataFrame([(1, "paper_1.pdf", None), (2, "paper_2.pdf", "Some text. More.")],
+                                 "doc_id bigint, paper_name string, text string")
+    answers = spark.createDataFrame([(1, '{"resumen":"x"}'), (2, '{"resumen":"y"}')], "doc_id bigint, content string")
+    for flow in (fl.flow_direct, fl.flow_first_chunk):
+        out = flow(docs, fl.table_responder(answers, ["doc_id"]), 10)
+        assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+    out = fl.flow_map_reduce(docs, fl.table_responder(answers, ["doc_id"]), fl.table_responder(answers, ["doc_id"]), 2)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2]
