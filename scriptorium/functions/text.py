@@ -115,6 +115,17 @@ def normalize_text(c) -> Column:
     return F.trim(x)
 
 
+def reclean(c) -> Column:
+    """Another cleaning pass over text that ``clean_text`` already produced.
+
+    Such text is printable ASCII, where the only whitespace is the space and
+    nothing is left to delete, so the pass reduces to collapsing space runs
+    and trimming: one cheap regex instead of three scans.  Equal to
+    ``clean_text`` on that input (tested).
+    """
+    return F.trim(F.regexp_replace(col_of(c), "  +", " "))
+
+
 def layout_clean(c) -> Column:
     """Page-number lines and short running-header lines out of raw text.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import prompts as pr
-from ..functions.text import clean_text, col_of, normalize_text, paper_metadata
+from ..functions.text import clean_text, col_of, paper_metadata, reclean
 from .chunks import first_chunk_struct
 
 
@@ -26,14 +26,17 @@ def extract(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def preprocess(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, text: str = "text",
-               out: str = "structured") -> DataFrame:
-    """Clean again, chunk, and structure the first chunk.
+               out: str = "structured", cleaned: bool = False) -> DataFrame:
+    """Clean (one pass), chunk, and structure the first chunk.
 
     One chunk: header from the paper metadata.  Several: header from the
     first chunk's metadata (paper metadata + section, part, total).  Only
-    the first chunk is built; the rest are counted.
+    the first chunk is built; the rest are counted.  ``cleaned`` says the
+    text comes from ``extract`` (already cleaned once), which allows the
+    cheap form of the pass.
     """
-    staged = df.withColumn("_fc", first_chunk_struct(normalize_text(text), chunk_size))
+    t = reclean(text) if cleaned else clean_text(text)
+    staged = df.withColumn("_fc", first_chunk_struct(t, chunk_size))
     fc = F.col("_fc")
     multi = fc["total_chunks"].isNotNull()
     structured = pr.structure_text(

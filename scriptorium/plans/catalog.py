@@ -256,7 +256,7 @@ SELECT c.doc_id, c.chunk_index,
        {_structured_sql('c.text', _header_sql('c.section', 'c.chunk_part', 'c.total_chunks'))} AS structured
 FROM ({_chunks_sql(CHUNK_SIZE)}) c JOIN {D_EXTRACTED} m ON c.doc_id = m.doc_id""")
 def q_structure_text(spark, sf_dir):
-    d = extracted_papers(spark, sf_dir).withColumn("text", tx.normalize_text("text"))
+    d = extracted_papers(spark, sf_dir).withColumn("text", tx.reclean("text"))
     c = ch.split_chunks(d, CHUNK_SIZE, keep=("title", "authors", "arxiv_id"))
     return c.select("doc_id", "chunk_index", pr.structure_text(
         "text", "title", "authors", "arxiv_id", "section", "chunk_part", "total_chunks").alias("structured"))
@@ -269,7 +269,7 @@ FROM (SELECT * FROM ({_chunks_sql(CHUNK_SIZE)}) WHERE chunk_index = 0) c JOIN {D
 
 @register("preprocess", _PRE_SQL)
 def q_preprocess(spark, sf_dir):
-    return rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE).select("doc_id", "structured")
+    return rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE, cleaned=True).select("doc_id", "structured")
 
 
 def _analysis_prompt_sql(x) -> str:
@@ -279,7 +279,7 @@ def _analysis_prompt_sql(x) -> str:
 @register("analysis_prompt",
           f"SELECT doc_id, {_analysis_prompt_sql('structured')} AS prompt FROM ({_PRE_SQL})")
 def q_analysis_prompt(spark, sf_dir):
-    return (rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE)
+    return (rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE, cleaned=True)
             .select("doc_id", pr.analysis_prompt("structured").alias("prompt")))
 
 
@@ -379,7 +379,7 @@ def q_chunk_prompts(spark, sf_dir):
           f"CAST({fixed.DEFAULT_TEMPERATURE} AS DOUBLE) AS temperature, CAST({fixed.ANSWER_TOKEN_CAP} AS BIGINT) AS max_tokens "
           f"FROM ({_PRE_SQL})")
 def q_chat_requests(spark, sf_dir):
-    d = rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE)
+    d = rq.preprocess(extracted_papers(spark, sf_dir), CHUNK_SIZE, cleaned=True)
     r = rq.chat_requests(d.withColumn("prompt", pr.truncate_prompt(pr.analysis_prompt("structured"))),
                          max_tokens=8000)
     return r.select(F.col("doc_id").alias("request_id"), "request.model",
@@ -864,7 +864,7 @@ def q_chunk_order(spark, sf_dir):
 SELECT c.doc_id, c.chunk_index, m.title, m.authors, m.arxiv_id, c.section, c.chunk_part, c.total_chunks
 FROM ({_chunks_sql(CHUNK_SIZE)}) c JOIN {D_EXTRACTED} m ON c.doc_id = m.doc_id""")
 def q_merge_metadata(spark, sf_dir):
-    d = extracted_papers(spark, sf_dir).withColumn("text", tx.normalize_text("text"))
+    d = extracted_papers(spark, sf_dir).withColumn("text", tx.reclean("text"))
     c = ch.split_chunks(d, CHUNK_SIZE, keep=("title", "authors", "arxiv_id"))
     both = c.select("doc_id", "chunk_index",
                     F.struct("title", "authors", "arxiv_id").alias("paper"),

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import prompts as pr
-from ..functions.text import clean_text, normalize_text
+from ..functions.text import reclean
 from ..operators import chunks as ch
 from ..operators import joins as jn
 from ..operators import merge as mg
@@ -54,7 +54,7 @@ def flow_direct(docs: DataFrame, respond: Responder, chunk_size: int = fixed.DEF
                 name: str = "paper_name") -> DataFrame:
     """doc_id, paper_name, prompt, branch, analysis."""
     e = rq.extract(docs)
-    pre = rq.preprocess(e, chunk_size)
+    pre = rq.preprocess(e, chunk_size, cleaned=True)
     req = rq.chat_requests(pre.select("doc_id", name, pr.truncate_prompt(
         pr.analysis_prompt("structured")).alias("prompt")))
     return rs.parse_response(_answer(req, respond, ["doc_id"]), name=name).select(
@@ -67,8 +67,8 @@ def flow_first_chunk(docs: DataFrame, respond: Responder, chunk_size: int = fixe
     first chunk of the cleaned text, and the header carries the paper
     metadata only: that chunk always fits in one prompt."""
     e = rq.extract(docs)
-    first = ch.first_chunk_struct(normalize_text("text"), chunk_size)["text"]
-    text = clean_text(first)
+    first = ch.first_chunk_struct(reclean("text"), chunk_size)["text"]
+    text = reclean(first)
     structured = pr.structure_text(text, "title", "authors", "arxiv_id")
     req = rq.chat_requests(e.select("doc_id", name, pr.truncate_prompt(
         pr.analysis_prompt(structured)).alias("prompt")))
@@ -93,7 +93,7 @@ def flow_map_reduce(docs: DataFrame, respond_chunks: Responder, respond: Respond
     stage fails or an executor is lost.
     """
     e = rq.extract(docs)
-    chunks = ch.split_chunks(e.withColumn("_t", normalize_text("text")), chunk_size, text="_t",
+    chunks = ch.split_chunks(e.withColumn("_t", reclean("text")), chunk_size, text="_t",
                              keep=(name, "title", "authors", "arxiv_id"))
     single = F.col("total_chunks").isNull()
     total = F.coalesce(F.col("total_chunks"), F.lit(1))

@@ -47,3 +47,18 @@ def test_paper_stem(spark):
     paths = ["/in/a.pdf", "/in/a.b.PDF", "/in/.bashrc", "/in/...", "/in/noext", "rel/x.", "/in/..a.pdf"]
     got = _apply(spark, tx.paper_stem, paths)
     assert got == [os.path.splitext(os.path.basename(p))[0] for p in paths]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab .\t\n\xa0 \x1cé\x7f\x01")), max_size=30),
+                min_size=1, max_size=20))
+def test_reclean_equals_clean_on_clean_text(spark, values):
+    cleaned = [models.clean(v) for v in values]
+    assert _apply(spark, tx.reclean, cleaned) == [models.clean(v) for v in cleaned]
+
+
+def test_preprocess_is_one_pass_on_raw_text(spark):
+    from scriptorium.operators import requests as rq
+    df = spark.createDataFrame([(1, "a é b.", "", "", "")], "doc_id bigint, text string, title string, "
+                               "authors string, arxiv_id string")
+    assert rq.preprocess(df, 10).collect()[0].structured == "a  b."
