@@ -116,8 +116,10 @@ def flow_map_reduce(docs: DataFrame, respond_chunks: Responder, respond: Respond
         F.first(name).alias(name),
         F.max(F.col("_single").cast("int")).alias("_single"),
         F.count(F.lit(1)).alias("n_parts"),
-        F.first("prompt").alias("_prompt1"), F.first("branch").alias("_branch1"),
-        F.first("analysis").alias("_analysis1"),
+        # a single-chunk paper's one answer is final; multi-chunk papers carry none
+        F.first(F.when(F.col("_single"), F.col("prompt")), ignorenulls=True).alias("_prompt1"),
+        F.first(F.when(F.col("_single"), F.col("branch")), ignorenulls=True).alias("_branch1"),
+        F.first(F.when(F.col("_single"), F.col("analysis")), ignorenulls=True).alias("_analysis1"),
         F.expr("listagg(_block, '') WITHIN GROUP (ORDER BY chunk_index)").alias("_blocks"))
     checkpoint_root(grouped.sparkSession)
     grouped = grouped.checkpoint(eager=True)
