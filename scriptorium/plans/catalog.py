@@ -784,10 +784,26 @@ _MR_REQUESTS = (f"SELECT doc_id, CAST(1 AS BIGINT) AS n_parts, {_PROMPT_OF('stru
                 f"UNION ALL SELECT doc_id, n_parts, prompt FROM ({_CONSOLIDATION_SQL}) WHERE doc_id IN {_MULTI_DOCS}")
 
 
+def _fixture_model(spark, sf_dir):
+    """Deterministic stand-in for the model in both stages: chunk requests
+    get F-CHUNK-RESP answers, whole-paper and consolidation requests the
+    paper's F-RESP answer."""
+    per_paper = fl.table_responder(fx.responses(spark, sf_dir), ["doc_id"])
+
+    def respond(requests: DataFrame) -> DataFrame:
+        if "_single" not in requests.columns:
+            return per_paper(requests)
+        c = fx.chunk_responses(requests).withColumnRenamed("content", "_cc").drop("kind", "j")
+        f = per_paper(c).withColumnRenamed("content", "_fc")
+        return (f.withColumn("content", F.when(F.col("_single"), F.col("_fc")).otherwise(F.col("_cc")))
+                .drop("_cc", "_fc"))
+    return respond
+
+
 @register("flow_map_reduce", _flow_sql(_MR_REQUESTS, ", n_parts"))
 def q_flow_map_reduce(spark, sf_dir):
-    return _flow_out(fl.flow_map_reduce(named_papers(spark, sf_dir), fx.chunk_responses,
-                                        _table_responder(spark, sf_dir), CHUNK_SIZE), ["n_parts"])
+    return _flow_out(fl.flow_map_reduce(named_papers(spark, sf_dir), _fixture_model(spark, sf_dir),
+                                        CHUNK_SIZE), ["n_parts"])
 
 
 @register("flow_batch_report", f"""

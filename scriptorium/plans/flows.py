@@ -76,12 +76,14 @@ def flow_first_chunk(docs: DataFrame, respond: Responder, chunk_size: int = fixe
         "doc_id", name, "prompt", "branch", "analysis")
 
 
-def flow_map_reduce(docs: DataFrame, respond_chunks: Responder, respond: Responder,
-                    chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, name: str = "paper_name") -> DataFrame:
+def flow_map_reduce(docs: DataFrame, respond: Responder, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE,
+                    name: str = "paper_name") -> DataFrame:
     """doc_id, paper_name, n_parts, prompt (the last request), branch, analysis.
 
     Papers that fit in one chunk get the single analysis prompt; the others
-    one request per chunk and a consolidation request.
+    one request per chunk and a consolidation request.  One responder serves
+    both stages (each request is sent once); first-stage rows carry
+    ``chunk_index`` and ``_single``, second-stage rows only ``doc_id``.
 
     Plan shape: one pass over the documents builds every first-stage
     request (a paper's analysis prompt, or its chunk prompts), so cleaning
@@ -104,7 +106,7 @@ def flow_map_reduce(docs: DataFrame, respond_chunks: Responder, respond: Respond
     prompt = pr.truncate_prompt(F.when(single, whole).otherwise(pr.chunk_prompt("text", label, role)))
     stage1 = rq.chat_requests(chunks.select("doc_id", "chunk_index", name, single.alias("_single"),
                                             prompt.alias("prompt")))
-    answered = _answer(stage1, respond_chunks_or_final(respond_chunks, respond), ["doc_id", "chunk_index"])
+    answered = _answer(stage1, respond, ["doc_id", "chunk_index"])
     chunk_name = F.concat(F.col(name), F.lit("_chunk_"), (F.col("chunk_index") + 1).cast("string"))
     parsed = rs.parse_response(answered.withColumn(
         "_answer_name", F.when(F.col("_single"), F.col(name)).otherwise(chunk_name)), name="_answer_name")
@@ -134,18 +136,6 @@ def flow_map_reduce(docs: DataFrame, respond_chunks: Responder, respond: Respond
     return done.unionByName(final)
 
 
-def respond_chunks_or_final(respond_chunks: Responder, respond: Responder) -> Responder:
-    """First-stage responder: chunk requests go to ``respond_chunks``, the
-    whole-paper requests of single-chunk papers to ``respond`` (keyed by
-    doc_id).  With one real model endpoint both are the same function."""
-    def both(requests: DataFrame) -> DataFrame:
-        c = respond_chunks(requests).withColumnRenamed("content", "_cc")
-        f = respond(c).withColumnRenamed("content", "_fc")
-        return (f.withColumn("content", F.when(F.col("_single"), F.col("_fc")).otherwise(F.col("_cc")))
-                .drop("_cc", "_fc"))
-    return both
-
-
 def flow_batch_report(files: DataFrame, done: DataFrame | None, attempts: DataFrame,
                       max_attempts: int = fixed.MAX_ATTEMPTS, name: str = "paper_name") -> tuple[DataFrame, DataFrame]:
     """(results, summary).

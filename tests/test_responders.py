@@ -61,5 +61,32 @@ def test_null_text_keeps_the_paper(spark):
     for flow in (fl.flow_direct, fl.flow_first_chunk):
         out = flow(docs, fl.table_responder(answers, ["doc_id"]), 10)
         assert sorted(r.doc_id for r in out.collect()) == [1, 2]
-    out = fl.flow_map_reduce(docs, fl.table_responder(answers, ["doc_id"]), fl.table_responder(answers, ["doc_id"]), 2)
+    out = fl.flow_map_reduce(docs, fl.table_responder(answers, ["doc_id"]), 2)
     assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_map_reduce_with_callable_model(spark):
+    """Two stages against one model function: chunk answers, then the
+    consolidation request, whose prompt lists every part in order."""
+    docs = _docs(spark)
+    seen = []
+
+    def model(request):
+        prompt = request["messages"][1]["content"]
+        if "PARTE 1:" in prompt:
+            parts = prompt.count("\nPARTE ")
+            return '{"nombre": "", "resumen": "%d parts", "exito": false}' % parts
+        return '{"resumen": "chunk", "resultados": "r", "extra": 1}'
+
+    out = fl.flow_map_reduce(docs, call_responder(model), chunk_size=40)
+    rows = {r.doc_id: r for r in rs.analysis_columns(out).collect()}
+    assert sorted(rows) == list(range(6))
+    for i, r in rows.items():
+        assert r.branch == "parsed"
+        assert r.nombre == f"paper_{i}.pdf"
+        if r.n_parts > 1:
+            assert r.resumen == f"{r.n_parts} parts"
+            assert r.prompt.index("PARTE 1:") < r.prompt.index(f"PARTE {r.n_parts}:")
+            assert "extra: 1" in r.prompt
+        else:
+            assert r.resumen == "chunk"
