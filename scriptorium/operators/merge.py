@@ -12,27 +12,42 @@ from ..functions import prompts as pr
 
 
 def merge_results(partials: DataFrame, group: str = "conv_id", seq: str = "seq", key: str = "k",
-                  value: str = "v", is_str: str = "is_str") -> DataFrame:
+                  value: str = "v", is_str: str = "is_str", bucket_width: int = 1024) -> DataFrame:
     """Per (group, key) left fold of partial results: a string onto a string
     is joined with a blank line, anything else replaces.
 
     Closed form: with L the last non-string position, the value at L if it
-    is the last position, else the strings after L joined in order.  One
-    aggregate; ``max``/``max_by`` combine map-side, only the strings of a
-    key travel.
+    is the last position, else the strings after L joined in order.
+
+    The fold is associative, so it runs in two levels.  Level 1 groups by
+    (group, key, seq bucket): each bucket keeps only its last non-string
+    value and the strings after it, already joined.  Level 2 combines a
+    key's buckets in order: buckets before the one holding the global L are
+    dropped, the others' tails are joined.  A key with a huge number of
+    parts is thus spread over ``seq // bucket_width`` groups, and the final
+    step sees one row per bucket.
     """
     non_str = ~F.col(is_str)
-    g = partials.groupBy(group, key).agg(
+    part = F.struct(F.col(seq).alias("s"), F.col(value).alias("v"))
+    lvl1 = partials.groupBy(group, key, F.floor(F.col(seq) / F.lit(bucket_width)).alias("_b")).agg(
         F.max(seq).alias("_last"),
         F.max(F.when(non_str, F.col(seq))).alias("_L"),
-        F.max(F.when(non_str, F.struct(F.col(seq).alias("s"), F.col(value).alias("v")))).alias("_vL"),
-        F.collect_list(F.when(F.col(is_str), F.struct(F.col(seq).alias("s"), F.col(value).alias("v"))))
-        .alias("_strs"))
+        F.max(F.when(non_str, part)).alias("_vL"),
+        F.collect_list(F.when(F.col(is_str), part)).alias("_strs"))
     after = F.filter(F.array_sort("_strs"), lambda x: F.col("_L").isNull() | (x["s"] > F.col("_L")))
-    joined = F.array_join(F.transform(after, lambda x: x["v"]), fixed.MERGE_JOIN)
+    tails = lvl1.select(group, key, "_b", "_last", "_L", "_vL",
+                        F.array_join(F.transform(after, lambda x: x["v"]), fixed.MERGE_JOIN).alias("_tail"),
+                        F.size(after).alias("_n"))
+    lvl2 = tails.groupBy(group, key).agg(
+        F.max("_last").alias("_last"), F.max("_L").alias("_L"), F.max("_vL").alias("_vL"),
+        F.collect_list(F.struct("_b", "_tail", "_n")).alias("_parts"))
+    l_bucket = F.floor(F.col("_L") / F.lit(bucket_width))
+    keep = F.filter(F.array_sort("_parts"),
+                    lambda p: (F.col("_L").isNull() | (p["_b"] >= l_bucket)) & (p["_n"] > 0))
+    joined = F.array_join(F.transform(keep, lambda p: p["_tail"]), fixed.MERGE_JOIN)
     last_is_value = F.coalesce(F.col("_L") == F.col("_last"), F.lit(False))
-    return g.select(group, key, F.when(last_is_value, F.col("_vL.v")).otherwise(joined).alias("merged"),
-                    (~last_is_value).alias("merged_is_str"))
+    return lvl2.select(group, key, F.when(last_is_value, F.col("_vL.v")).otherwise(joined).alias("merged"),
+                       (~last_is_value).alias("merged_is_str"))
 
 
 def consolidation_block(index, analysis) -> F.Column:

@@ -68,6 +68,8 @@ def test_merge_matches_fold(spark, groups):
     rows = [(g, "k", i, is_str, v) for g, items in enumerate(groups) for i, (is_str, v) in enumerate(items)]
     df = spark.createDataFrame(rows, "conv_id bigint, k string, seq bigint, is_str boolean, v string")
     got = {r.conv_id: (r.merged, r.merged_is_str) for r in mg.merge_results(df).collect()}
+    narrow = {r.conv_id: (r.merged, r.merged_is_str) for r in mg.merge_results(df, bucket_width=2).collect()}
+    assert narrow == got
     for g, items in enumerate(groups):
         want = models.merge([("k", v if is_str else ("N", v)) for is_str, v in items])["k"]
         assert got[g] == ((want[1], False) if isinstance(want, tuple) else (want, True))
