@@ -57,3 +57,16 @@ def test_skip_processed_large_done_set(spark, monkeypatch):
     done = spark.createDataFrame([("a",)] * 50 + [("c",), (None,)], "stem string")
     monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_rows=1: False)
     assert sorted(r.stem for r in joins.skip_processed(files, done).collect()) == ["b", "d", "e"]
+
+
+def test_scan_files_lists_pdfs_without_reading_them(spark, tmp_path):
+    for name, body in [("a.pdf", b"%PDF-1"), ("b.PDF", b"%PDF-22"), ("c.txt", b"x"), ("d.pdf.bak", b"y")]:
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "e.pdf").write_bytes(b"%PDF")
+    files = src_files.scan_files(spark, str(tmp_path))
+    assert "content" not in files.columns
+    got = sorted((r.path.rsplit("/", 1)[1], r.size) for r in files.collect())
+    assert got == [("a.pdf", 6), ("b.PDF", 7)]
+    meta = src_files.file_metadata(files).collect()
+    assert sorted(r.base_name for r in meta) == ["a", "b"]
