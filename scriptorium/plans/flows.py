@@ -157,3 +157,53 @@ def flow_batch_report(files: DataFrame, done: DataFrame | None, attempts: DataFr
         F.concat(F.lit(fixed.PAPER_ERROR_PREFIX), F.coalesce(F.col("content"), F.lit("no answer"))).alias("error"))
     results = mg.result_union(ok_rows, err_rows)
     return results, rp.processing_summary(results)
+
+
+def run_batch(docs: DataFrame, respond: Responder, out_dir: str | None, run_ts: str,
+              chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, skip_done: bool = True,
+              name: str = "paper_name") -> tuple[DataFrame, DataFrame]:
+    """The library pipeline over a batch of papers: skip papers that already
+    have an output, analyse the rest (first-chunk flow), save the successful
+    analyses, and return (results, summary).
+
+    ``docs``: doc_id, paper_name, text.  A paper whose model call failed
+    (the responder reports ``ok`` false, e.g. ``call_responder`` after its
+    attempts) is an error row ``Error: <message>``, not an exception and not
+    saved; a malformed answer is still a success, as in the original.  The
+    analysed rows are checkpointed once, so saving and reporting never
+    repeat a model call.
+    """
+    from ..sources import sink
+    from ..functions.text import base_name, paper_stem
+
+    files = docs.withColumn("stem", paper_stem(base_name(name)))
+    done = sink.processed_keys(docs.sparkSession, out_dir) if (skip_done and out_dir) else None
+    todo = jn.skip_processed(files, done)
+
+    def keep_call_status(requests: DataFrame) -> DataFrame:
+        out = respond(requests)
+        if "ok" not in out.columns:
+            out = out.withColumn("ok", F.lit(True)).withColumn("call_error", F.lit(None).cast("string"))
+        return out.withColumnRenamed("ok", "_call_ok").withColumnRenamed("call_error", "_call_error")
+
+    e = rq.extract(todo)
+    first = ch.first_chunk_struct(reclean("text"), chunk_size)["text"]
+    structured = pr.structure_text(reclean(first), "title", "authors", "arxiv_id")
+    req = rq.chat_requests(e.select("doc_id", name, "stem", pr.truncate_prompt(
+        pr.analysis_prompt(structured)).alias("prompt")))
+    analysed = rs.parse_response(keep_call_status(req), name=name).select(
+        "doc_id", name, "stem", "branch", "analysis", "_call_ok", "_call_error")
+    checkpoint_root(analysed.sparkSession)
+    analysed = analysed.checkpoint(eager=True)
+
+    ok = analysed.filter(F.col("_call_ok"))
+    if out_dir:
+        sink.save_analyses(ok.select(name, "analysis"), out_dir, run_ts=run_ts)
+    ok_rows = rs.analysis_columns(ok).select(
+        "doc_id", "nombre", F.lit(fixed.STATUS_SUCCESS).alias("status"),
+        F.concat(F.lit((out_dir or "") + "/"), F.col("stem"), F.lit(".json")).alias("output_path"))
+    err_rows = analysed.filter(~F.col("_call_ok")).select(
+        "doc_id", F.col(name).alias("nombre"), F.lit(fixed.STATUS_ERROR).alias("status"),
+        F.concat(F.lit(fixed.PAPER_ERROR_PREFIX), F.coalesce(F.col("_call_error"), F.lit(""))).alias("error"))
+    results = mg.result_union(ok_rows, err_rows)
+    return results, rp.processing_summary(results)

@@ -90,3 +90,26 @@ def test_map_reduce_with_callable_model(spark):
             assert "extra: 1" in r.prompt
         else:
             assert r.resumen == "chunk"
+
+
+def test_run_batch_saves_successes_and_skips_them_next_time(spark):
+    from scriptorium.session import scratch_path
+    from scriptorium.sources import sink
+    out = scratch_path(spark, "run-batch")
+    docs = _docs(spark)
+
+    def model(request):
+        if "Title 3\n" in request["messages"][1]["content"]:
+            raise RuntimeError("service down")
+        return '{"resumen": "ok"}'
+
+    results, summary = fl.run_batch(docs, call_responder(model), out, "2026-01-01T00:00:00", chunk_size=50)
+    s = summary.collect()[0]
+    assert (s.total, s.successes, s.errors) == (6, 5, 1)
+    err = results.filter("status = 'error'").collect()
+    assert [(r.doc_id, r.error) for r in err] == [(3, "Error: service down")]
+    assert sorted(r.stem for r in sink.processed_keys(spark, out).collect()) == \
+        ["paper_0", "paper_1", "paper_2", "paper_4", "paper_5"]
+    results2, summary2 = fl.run_batch(docs, call_responder(lambda r: '{"resumen": "again"}'), out,
+                                      "2026-01-02T00:00:00", chunk_size=50)
+    assert [r.doc_id for r in results2.collect()] == [3]
