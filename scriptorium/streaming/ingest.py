@@ -27,10 +27,16 @@ DOC_SCHEMA = "doc_id bigint, paper_name string, text string"
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, respond: Responder,
                   chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, run_ts: str | None = None,
                   schema: str = DOC_SCHEMA,
-                  flow: Callable[..., DataFrame] = flow_first_chunk) -> None:
+                  flow: Callable[..., DataFrame] = flow_first_chunk,
+                  max_files_per_trigger: int | None = None) -> None:
     """Process every new parquet file of ``in_dir`` once and append the
-    analyses to ``out_dir``; returns when all available input is done."""
-    stream = spark.readStream.schema(schema).parquet(in_dir)
+    analyses to ``out_dir``; returns when all available input is done.
+    ``max_files_per_trigger`` bounds each micro-batch when a large backlog
+    arrives (AvailableNow still drains all of it)."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(in_dir)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         files = df.withColumn("stem", paper_stem(base_name("paper_name")))

@@ -70,3 +70,19 @@ def test_scan_files_lists_pdfs_without_reading_them(spark, tmp_path):
     assert got == [("a.pdf", 6), ("b.PDF", 7)]
     meta = src_files.file_metadata(files).collect()
     assert sorted(r.base_name for r in meta) == ["a", "b"]
+
+
+def test_stream_in_small_batches_writes_each_paper_once(spark):
+    from scriptorium.plans import flows as fl
+    from scriptorium.streaming import ingest
+    base = scratch_path(spark, "test-stream")
+    docs = spark.createDataFrame([(i, f"paper_{i}.pdf", f"Text {i}. body") for i in range(8)],
+                                 "doc_id bigint, paper_name string, text string")
+    ingest.stage_documents(docs, f"{base}/in", parts=4)
+    answers = spark.createDataFrame([(i, '{"resumen":"r"}') for i in range(8)], "doc_id bigint, content string")
+    respond = fl.table_responder(answers, ["doc_id"])
+    for _ in range(2):
+        ingest.ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", respond, 100,
+                             max_files_per_trigger=1)
+    stems = sorted(r.stem for r in sink.read_analyses(spark, f"{base}/out").collect())
+    assert stems == [f"paper_{i}" for i in range(8)]
