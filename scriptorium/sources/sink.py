@@ -2,8 +2,8 @@
 
 Records are JSON lines (the analysis keys in answer order plus
 ``__metadata__``: processed_date, source_file), written in append mode into
-hash-bucket folders so that the file count stays bounded however many papers
-a run has.  A paper written twice has two records; readers take the latest
+hash-bucket folders, rebalanced so that the number and size of files follow
+the data, not the number of tasks.  A paper written twice has two records; readers take the latest
 (``latest_analyses``), which is what overwriting the paper's file does in
 the original.  Appends are atomic per task through Spark's commit protocol,
 so a lost executor leaves no partial files behind.
@@ -37,7 +37,10 @@ def save_analyses(df: DataFrame, path: str, run_ts: str, analysis: str = "analys
     stem = paper_stem(base_name(source_file))
     out = df.select(F.pmod(F.xxhash64(stem), F.lit(buckets)).alias("bucket"),
                     record_json(analysis, source_file, run_ts).alias("value"))
-    out.write.mode("append").partitionBy("bucket").text(path)
+    # rebalance: AQE gives each bucket its own tasks (splitting large ones,
+    # merging small ones), so a run writes a few well-sized files per bucket
+    # instead of one small file per task and bucket.
+    out.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").text(path)
 
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
