@@ -198,7 +198,7 @@ def run_batch(docs: DataFrame, respond: Responder, out_dir: str | None, run_ts:
 
     ok = analysed.filter(F.col("_call_ok"))
     if out_dir:
-        sink.save_analyses(ok.select(name, "analysis"), out_dir, run_ts=run_ts)
+        sink.save_analyses(ok.select(name, "analysis"), out_dir, run_ts=run_ts, materialized=True)
     ok_rows = rs.analysis_columns(ok).select(
         "doc_id", "nombre", F.lit(fixed.STATUS_SUCCESS).alias("status"),
         F.concat(F.lit((out_dir or "") + "/"), F.col("stem"), F.lit(".json")).alias("output_path"))

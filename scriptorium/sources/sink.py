@@ -31,9 +31,23 @@ def record_json(analysis, source_file, run_ts) -> F.Column:
         F.create_map(F.lit(fixed.METADATA_KEY), meta)))
 
 
+KEYS_DIR = "_keys"  # names starting with "_" are skipped when the records are read
+
+
 def save_analyses(df: DataFrame, path: str, run_ts: str, analysis: str = "analysis",
-                  source_file: str = "paper_name", buckets: int = BUCKETS) -> None:
-    """Append one record per row under ``path`` (bucket folders)."""
+                  source_file: str = "paper_name", buckets: int = BUCKETS,
+                  materialized: bool = False) -> None:
+    """Append one record per row under ``path`` (bucket folders) and the
+    paper keys to ``path/_keys`` (parquet: stem, processed_date).
+
+    Two outputs are written from the same rows, so the rows are checkpointed
+    first unless ``materialized`` says they already are: recomputing them
+    could repeat model calls.
+    """
+    if not materialized:
+        from ..session import checkpoint_root
+        checkpoint_root(df.sparkSession)
+        df = df.checkpoint(eager=True)
     stem = paper_stem(base_name(source_file))
     out = df.select(F.pmod(F.xxhash64(stem), F.lit(buckets)).alias("bucket"),
                     record_json(analysis, source_file, run_ts).alias("value"))
@@ -41,6 +55,8 @@ def save_analyses(df: DataFrame, path: str, run_ts: str, analysis: str = "analys
     # merging small ones), so a run writes a few well-sized files per bucket
     # instead of one small file per task and bucket.
     out.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").text(path)
+    keys = df.select(stem.alias("stem"), F.lit(run_ts).cast("string").alias("processed_date"))
+    keys.hint("rebalance").write.mode("append").parquet(f"{path}/{KEYS_DIR}")
 
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
@@ -61,15 +77,13 @@ def latest_analyses(spark: SparkSession, path: str) -> DataFrame:
 
 def processed_keys(spark: SparkSession, path: str | None) -> DataFrame | None:
     """Stems that already have an output; ``None`` when there is no output
-    location (then nothing counts as processed)."""
+    location (then nothing counts as processed).  Reads the key index (one
+    parquet column), not the records."""
     if path is None:
         return None
     try:
-        # Only the source file is needed: a streaming path lookup, no
-        # parse of the analysis values.
-        src = F.get_json_object(F.col("value"), f"$.{fixed.METADATA_KEY}.source_file")
-        return spark.read.text(path).select(paper_stem(base_name(src)).alias("stem"))
+        return spark.read.parquet(f"{path}/{KEYS_DIR}").select("stem")
     except Exception as e:  # no output written yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return spark.createDataFrame([], "stem string")
         raise
