@@ -6,9 +6,9 @@ keep their JSON types.  ``to_json`` of the map is the saved record.
 
 Parser strictness: the original parser rejects trailing text after the
 value, accepts duplicate keys (last wins) and NaN.  Spark's
-``try_parse_json`` accepts trailing text, so the text is wrapped in ``[`` and
-``]`` and must give exactly one element; duplicate keys and NaN are rejected
-by it and therefore lead to the fallback record (an accepted difference).
+``try_parse_json`` accepts trailing text, so validity is checked on two
+wrappings (see ``json_kind``); duplicate keys and NaN are rejected by it and
+therefore lead to the fallback record (an accepted difference).
 """
 
 from __future__ import annotations
@@ -38,11 +38,19 @@ def json_kind(js) -> Column:
     """Type of the single JSON value in ``js``: object, array, string, bool,
     null, int, float; NULL when ``js`` is not exactly one JSON value."""
     j = col_of(js)
-    wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), j, F.lit("]"))), "$",
-                                "array<variant>")
+
+    def items(suffix):
+        return F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), j, F.lit(suffix))), "$",
+                                        "array<variant>"))
+
+    # Exactly one JSON value: "[js]" has one element and "[js,0]" two.  Any
+    # text after the value closes one of the two arrays early (the parser
+    # ignores what follows a complete value), so both hold only for a
+    # single value.
+    single = (items("]") == 1) & (items(",0]") == 2)
     head = F.substring(F.ltrim(j, F.lit(JSON_WS)), 1, 1)
     number_kind = F.when(F.btrim(j, F.lit(JSON_WS)).rlike(r"[.eE]"), "float").otherwise("int")
-    return F.when(F.size(wrapped) == 1, F.when(head == "{", "object").when(head == "[", "array")
+    return F.when(single, F.when(head == "{", "object").when(head == "[", "array")
                   .when(head == '"', "string").when(head.isin("t", "f"), "bool")
                   .when(head == "n", "null").otherwise(number_kind))
 

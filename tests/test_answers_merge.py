@@ -11,7 +11,8 @@ from tests import models
 J = '{"nombre":"P","resumen":"R","exito":true,"performance":0.5,"extra":["a","b"]}'
 CONTENTS = ["```json\n" + J + "\n```", J, "```\n" + J + "\n```", "x ```json" + J + "``` y ```json {} ```",
             " plain prose ", '{"nombre":"","resumen":"r","exito":false}', "[1,2]", "```python\n" + J + "```",
-            None, "{}", "null", '"text"', "1", "```json\n" + J, J + " trailing", '{"nombre":0}',
+            None, "{}", "null", '"text"', "1", "```json\n" + J, J + " trailing", "0]", "1,2]x", "[1] ]",
+            '{"a":1}}', '{"nombre":0}',
             '{"nombre":[]}', '{"nombre":null,"a":1}', '{"nombre":false}', '"has nombre inside"']
 
 

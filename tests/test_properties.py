@@ -47,7 +47,9 @@ def test_parse_matches_model(spark, contents):
         if branch == "parsed":
             assert r.keys.split(",") == list(obj.keys()), c
             want = obj["nombre"]
-            assert r.nombre == (want if isinstance(want, str) else json.dumps(want, separators=(",", ":"))), c
+            # non-string values are compared as values: their JSON text may
+            # differ in number spelling (0.0 vs 0), a documented difference
+            assert (r.nombre == want) if isinstance(want, str) else (json.loads(r.nombre) == want), c
         elif branch == "fallback":
             assert r.resumen == c.strip() and r.nombre == "doc.pdf"
 
