@@ -27,10 +27,15 @@ def fenced_json(content) -> Column:
     """JSON text out of an answer: inside the first ```json fence, else the
     first plain fence, else the answer as is; fenced text is stripped."""
     c = col_of(content)
-    after_json = F.substring_index(F.substr(c, F.instr(c, "```json") + F.lit(7)), "```", 1)
-    first_fence = F.substring_index(F.substring_index(c, "```", 2), "```", -1)
-    return (F.when(F.instr(c, "```json") > 0, py_strip(after_json))
-            .when(F.instr(c, "```") > 0, py_strip(first_fence))
+    # Python's split() finds each delimiter after the end of the previous
+    # one, so the n-th piece is cut from the remainder after a delimiter
+    # (substring_index with a count > 1 would also see overlapping hits).
+    after_json = F.substr(c, F.instr(c, "```json") + F.lit(7))
+    json_piece = F.substring_index(F.substring_index(after_json, "```json", 1), "```", 1)
+    after_fence = F.substr(c, F.instr(c, "```") + F.lit(3))
+    fence_piece = F.substring_index(after_fence, "```", 1)
+    return (F.when(F.instr(c, "```json") > 0, py_strip(json_piece))
+            .when(F.instr(c, "```") > 0, py_strip(fence_piece))
             .otherwise(c))
 
 

@@ -89,3 +89,35 @@ def test_windows_cover_text(spark, texts, size, overlap):
     for i, t in enumerate(texts):
         mine = sorted((r.offset, r.text, r.part) for r in rows if r.doc_id == i)
         assert mine == [(o, t[o:o + size], o // step + 1) for o in range(0, len(t), step)]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["```json", "```", "`", "json", "{}", "x", " ", "\n", "\xa0", "ab"]),
+                         max_size=10).map("".join), min_size=1, max_size=12))
+def test_fenced_json_matches_model(spark, contents):
+    from scriptorium.functions import answers as an
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "i int, c string")
+    got = [r[0] for r in df.orderBy("i").select(an.fenced_json("c")).collect()]
+    assert got == [models.fenced(c) for c in contents]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["Abstract", "abstract", ".", "arXiv:", "12", "3", "v", "v2", " ",
+                                          "\n", "Title", "x"]), max_size=12).map("".join),
+                min_size=1, max_size=12))
+def test_metadata_matches_model(spark, texts):
+    from scriptorium.functions import text as tx
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [tuple(r) for r in df.orderBy("i").select(tx.paper_metadata("t").alias("m"))
+           .select("m.title", "m.authors", "m.arxiv_id").collect()]
+    assert got == [models.metadata(t) for t in texts]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="./ab", max_size=8), min_size=1, max_size=12))
+def test_stem_matches_os_path(spark, paths):
+    import os
+    from scriptorium.functions import text as tx
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    got = [tuple(r) for r in df.orderBy("i").select(tx.base_name("p"), tx.paper_stem("p")).collect()]
+    assert got == [(os.path.basename(p), os.path.splitext(os.path.basename(p))[0]) for p in paths]
