@@ -121,3 +121,59 @@ def test_stem_matches_os_path(spark, paths):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
     got = [tuple(r) for r in df.orderBy("i").select(tx.base_name("p"), tx.paper_stem("p")).collect()]
     assert got == [(os.path.basename(p), os.path.splitext(os.path.basename(p))[0]) for p in paths]
+
+
+simple = st.one_of(st.none(), st.booleans(), st.integers(-3, 3), st.sampled_from(["", "s", "false", "x y"]))
+analyses = st.dictionaries(st.sampled_from(["nombre", "resumen", "resultados", "exito", "performance", "k"]),
+                           simple, max_size=6)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(analyses, min_size=1, max_size=10))
+def test_report_and_blocks_match_model(spark, items):
+    from scriptorium.operators import report as rp
+    df = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(items)], "i int, js string")
+    df = df.withColumn("analysis", F.from_json("js", "map<string,variant>"))
+    rows = (rp.human_report(df).withColumn("block", mg.consolidation_block("i", "analysis"))
+            .orderBy("i").collect())
+    for r, a in zip(rows, items):
+        assert r.report == models.report(a)
+        assert r.block == models.block(r.i, a)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "T", "Ti tle"]), st.sampled_from(["", "a1"]),
+                          st.one_of(st.none(), st.sampled_from(["", "abstract"])),
+                          st.one_of(st.none(), st.sampled_from(["1", "2"])),
+                          st.one_of(st.none(), st.integers(1, 9))), min_size=1, max_size=10))
+def test_structure_matches_model(spark, metas):
+    rows = [(i, "body", t, "", a, s, p, n) for i, (t, a, s, p, n) in enumerate(metas)]
+    df = spark.createDataFrame(rows, "i int, text string, title string, authors string, arxiv_id string, "
+                                     "section string, chunk_part string, total_chunks int")
+    got = [r[0] for r in df.orderBy("i").select(pr.structure_text(
+        "text", "title", "authors", "arxiv_id", "section", "chunk_part", "total_chunks")).collect()]
+    want = []
+    for t, a, s, p, n in metas:
+        meta = {"title": t, "authors": "", "arxiv_id": a}
+        meta.update({k: v for k, v in (("section", s), ("chunk_part", p), ("total_chunks", n)) if v is not None})
+        want.append(models.structure("body", meta))
+    assert got == want
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["success", "error"]), st.sampled_from(["a.pdf", "b.pdf", "c"]),
+                          st.one_of(st.none(), st.sampled_from(["boom", "Error: x"]))), max_size=8))
+def test_summary_lines_match_model(spark, runs):
+    from scriptorium.operators import report as rp
+    df = spark.createDataFrame([(s, n, e) for s, n, e in runs] or [], "status string, nombre string, error string")
+    lines = sorted((r.block, r.sort_key or "", r.n, r.line) for r in rp.summary_listing(df).collect())
+    text = "".join(line + "\n" for _, _, _, line in lines)
+    results = []
+    # name order; equal names ordered by their line, as the test reads them
+    for s, n, e in sorted(runs, key=lambda x: (x[1], x[2] if x[2] is not None else "Error desconocido")):
+        d = {"status": s, "nombre": n}
+        if e is not None:
+            d["error"] = e
+        results.append(d)
+    want = models.summary(results)
+    assert text == (want if runs else want + "\n")
