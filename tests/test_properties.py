@@ -35,7 +35,7 @@ answers = st.one_of(
     st.none())
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(answers, min_size=1, max_size=12))
 def test_parse_matches_model(spark, contents):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "i int, content string")
@@ -54,7 +54,7 @@ def test_parse_matches_model(spark, contents):
             assert r.resumen == c.strip() and r.nombre == "doc.pdf"
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.text(alphabet="ab-", max_size=40), st.integers(0, 45)), min_size=1, max_size=10))
 def test_truncate_matches_model(spark, cases):
     df = spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(cases)], "i int, p string, n int")
@@ -63,7 +63,7 @@ def test_truncate_matches_model(spark, cases):
         assert got == [models.truncate(p, limit) for p, _ in cases]
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.booleans(), st.sampled_from(["u", "v", "w"])), min_size=1, max_size=6),
                 min_size=1, max_size=6))
 def test_merge_matches_fold(spark, groups):
@@ -77,7 +77,7 @@ def test_merge_matches_fold(spark, groups):
         assert got[g] == ((want[1], False) if isinstance(want, tuple) else (want, True))
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.text(alphabet="xy ", max_size=60), min_size=1, max_size=8),
        st.integers(2, 12), st.integers(0, 5))
 def test_windows_cover_text(spark, texts, size, overlap):
@@ -91,7 +91,7 @@ def test_windows_cover_text(spark, texts, size, overlap):
         assert mine == [(o, t[o:o + size], o // step + 1) for o in range(0, len(t), step)]
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["```json", "```", "`", "json", "{}", "x", " ", "\n", "\xa0", "ab"]),
                          max_size=10).map("".join), min_size=1, max_size=12))
 def test_fenced_json_matches_model(spark, contents):
@@ -101,7 +101,7 @@ def test_fenced_json_matches_model(spark, contents):
     assert got == [models.fenced(c) for c in contents]
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["Abstract", "abstract", ".", "arXiv:", "12", "3", "v", "v2", " ",
                                           "\n", "Title", "x"]), max_size=12).map("".join),
                 min_size=1, max_size=12))
@@ -113,7 +113,7 @@ def test_metadata_matches_model(spark, texts):
     assert got == [models.metadata(t) for t in texts]
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="./ab", max_size=8), min_size=1, max_size=12))
 def test_stem_matches_os_path(spark, paths):
     import os
@@ -128,7 +128,7 @@ analyses = st.dictionaries(st.sampled_from(["nombre", "resumen", "resultados", "
                            simple, max_size=6)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(analyses, min_size=1, max_size=10))
 def test_report_and_blocks_match_model(spark, items):
     from scriptorium.operators import report as rp
@@ -141,7 +141,7 @@ def test_report_and_blocks_match_model(spark, items):
         assert r.block == models.block(r.i, a)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["", "T", "Ti tle"]), st.sampled_from(["", "a1"]),
                           st.one_of(st.none(), st.sampled_from(["", "abstract"])),
                           st.one_of(st.none(), st.sampled_from(["1", "2"])),
@@ -160,7 +160,7 @@ def test_structure_matches_model(spark, metas):
     assert got == want
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["success", "error"]), st.sampled_from(["a.pdf", "b.pdf", "c"]),
                           st.one_of(st.none(), st.sampled_from(["boom", "Error: x"]))), max_size=8))
 def test_summary_lines_match_model(spark, runs):

@@ -14,7 +14,7 @@ def _docs(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(WORDS), max_size=12).map(" ".join), min_size=1, max_size=12))
 def test_cascade_matches_prefix_search(spark, texts):
     got = sorted(tuple(r) for r in se.section_cascade(_docs(spark, texts)).collect())
@@ -22,7 +22,7 @@ def test_cascade_matches_prefix_search(spark, texts):
     assert got == want
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(WORDS), max_size=12).map(" ".join), min_size=1, max_size=12))
 def test_segments_match_per_pattern_hits(spark, texts):
     got = sorted((r.doc_id, r.section, r.start_pos, r.text)
