@@ -177,3 +177,30 @@ def test_summary_lines_match_model(spark, runs):
         results.append(d)
     want = models.summary(results)
     assert text == (want if runs else want + "\n")
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.dictionaries(st.integers(0, 20), st.lists(st.booleans(), min_size=1, max_size=6), min_size=1,
+                       max_size=8))
+def test_first_success_matches_brute_force(spark, histories):
+    rows = [(rid, a + 1, ok, f"{rid}:{a + 1}") for rid, oks in histories.items() for a, ok in enumerate(oks)]
+    df = spark.createDataFrame(rows, "request_id bigint, attempt int, ok boolean, content string")
+    got = {r.request_id: (r.attempt, r.ok, r.content) for r in rs.first_success(df, max_attempts=3).collect()}
+    for rid, oks in histories.items():
+        tried = oks[:3]
+        wins = [i for i, ok in enumerate(tried) if ok]
+        pick = wins[0] if wins else len(tried) - 1
+        assert got[rid] == (pick + 1, tried[pick], f"{rid}:{pick + 1}")
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 10 ** 6), st.integers(-10 ** 9, 10 ** 9)), min_size=1,
+                max_size=30, unique_by=lambda x: x[1]))
+def test_latest_by_key_matches_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, "k string, seq bigint, v bigint")
+    got = {r.k: (r.seq, r.v) for r in mg.latest_by_key(df, "k", "seq").collect()}
+    want = {}
+    for k, s, v in rows:
+        if k not in want or s > want[k][0]:
+            want[k] = (s, v)
+    assert got == want
