@@ -62,3 +62,15 @@ def test_preprocess_is_one_pass_on_raw_text(spark):
     df = spark.createDataFrame([(1, "a é b.", "", "", "")], "doc_id bigint, text string, title string, "
                                "authors string, arxiv_id string")
     assert rq.preprocess(df, 10).collect()[0].structured == "a  b."
+
+
+def test_layout_clean_rules(spark):
+    import re
+    rows = ["intro\n 12 \nnext page", "a\n3\n4\nb", "top\nPaper arXiv:2401.00001v1 preprint\nbody",
+            "x\n" + "h" * 60 + "arXiv" + "t\ny", "no newline 5 here", "p\n٣\nq"]
+
+    def model(t):
+        t = re.sub(r"\n\s*\d+\s*\n", "\n", t)
+        return re.sub(r"\n.{1,50}arXiv.{1,50}\n", "\n", t)
+
+    assert _apply(spark, tx.layout_clean, rows) == [model(t) for t in rows]
