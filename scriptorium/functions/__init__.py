@@ -1,0 +1,3 @@
+"""Column -> Column building blocks: text cleaning and metadata (``text``),
+prompts (``prompts``), answer parsing (``answers``) and the fixed output
+values (``fixed``)."""
