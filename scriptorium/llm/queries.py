@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import chat_format, language_id, line_spread, minhash_dedup, packing, token_counts
 from .common import table
 
 
@@ -12,5 +14,82 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_dedup,)}
-ORACLE: dict[str, str] = {}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"),
+                                    public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, text without cross-site boilerplate."""
+    out = line_spread.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", F.col("_spread_lines").alias("n_lines"),
+                      F.col("_spread_removed").alias("n_removed"), "text")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language_id.learn(language_id.train_rows(docs))
+    out = language_id.predict(docs.select("doc_id", "text"), prototypes)
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything but conv_id is read back from the formatted output."""
+    probe = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat_format.format_chat(turns.withColumn("parts", chat_format.text_parts(F.col("text"))))
+    read = out.select("conv_id", "formatted", "segments",
+                      chat_format.read_turns(F.col("formatted")).alias("turns"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat_format.unescape(F.array_join(
+        F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), ""))
+    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"),
+                       loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select("conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+QUERIES = {f.__name__: f for f in (op4_minhash_dedup, op5_best_fit_packing, op6_token_counts, op7_line_dedup,
+                                   op8_language_id, op10_chat_formatting)}
+
+ORACLE: dict[str, str] = {
+    "op7_line_dedup": f"""
+with l as (
+  select doc_id, 's' || source as site, text, unnest(string_split(text, chr(10))) as line,
+         generate_subscripts(string_split(text, chr(10)), 1) as pos
+  from documents),
+k as (select *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t from l),
+per_text as (select t, text, min(site) as site, min(doc_id) as first from k where t <> '' group by t, text),
+b as (select t, min(first) as first from per_text group by t
+      having count(distinct site) >= {line_spread.MIN_SITES}),
+j as (select k.doc_id, k.pos, k.line, coalesce(k.doc_id <> b.first, false) as gone
+      from k left join b on k.t = b.t)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
+       coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text
+from j group by doc_id
+""",
+    "op10_chat_formatting": r"""
+with t as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s as (
+  select conv_id, count(*) as n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as said,
+         coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
+         sum(length('<turn ') + length(role) + 2 + length(text) + length('</turn>') + 1
+             + length(text) - length(replace(replace(replace(replace(text, '\', ''), '<', ''), '>', ''), '#', ''))) as formatted_chars
+  from t group by conv_id)
+select conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_chars,
+       sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars
+from s
+""",
+}
