@@ -1,20 +1,32 @@
-"""Token ids of whole texts from cached ids of their chunks.
+"""Token ids of whole texts from remembered ids of their parts.
 
 A text is cut where its tokenizer would cut it anyway, so that the ids of the
-text are the ids of its chunks in a row.  Each Python worker remembers the ids
-of chunks it has met (a bounded cache) and asks the tokenizers library only
-for new ones, a batch at a time.
+text are the ids of its chunks in a row.  A chunk is cut further into the
+tokenizer's pre-tokens, and those are merged by the tokenizers library's BPE
+model.  Each Python worker remembers chunks and pre-tokens it has met, both in
+bounded dictionaries that start anew when full.
+
+Pre-tokens are found here for chunks in Latin letters, ASCII signs and white
+space, where this pattern and the library's name the same characters; a chunk
+with any other character, or with a special string, goes to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+from array import array
 
-import numpy as np
+CHUNKS = 500_000  # remembered per Python worker
+PRETOKENS = 500_000
 
-CACHE = 400_000  # chunks kept per Python worker; a full cache starts anew
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{LATIN}]*")
+# The tokenizers' pre-token patterns (fixed), for plain chunks.
+_WORD_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s{LATIN}0-9]+")
+BYTE_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 
 _TWO_SPACES = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -28,15 +40,23 @@ def words(text: str) -> list[str]:
 
 def spaced(text: str) -> list[str]:
     """Cuts for byte-level tokenizers that keep a space with the next word:
-    before each space that stands between two other characters.  There the
-    pattern always starts a new pre-token."""
-    if not text:
-        return []
+    at each space that stands between two other characters, where their
+    pattern always starts a new pre-token.  All chunks but the first stand
+    for themselves with that space before."""
     if _TWO_SPACES.search(text) or text[0] == " " or text[-1] == " ":
-        head, *tail = _SAFE_SPACE.split(text)
-    else:
-        head, *tail = text.split(" ")
-    return [head, *[" " + t for t in tail]] if tail else [head]
+        return _SAFE_SPACE.split(text)
+    return text.split(" ")
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Character of a byte-level vocabulary -> byte: printable bytes stand for
+    themselves, the others for 256, 257, ... in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
+
+
+_CHAR_OF = [c for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
 
 
 @functools.lru_cache(4)
@@ -47,19 +67,83 @@ def library(path: str):
 
 
 @functools.lru_cache(4)
-def _cache(path: str, dtype: str) -> dict[str, bytes]:
-    return {}
-
-
-def encode(texts: list[str], path: str, cut, dtype: str = "<u4") -> list[bytes]:
-    """Ids of each whole text as little-endian integers of ``dtype``."""
-    cache = _cache(path, dtype)
-    if len(cache) > CACHE:
-        cache.clear()
-    chunks = [cut(t) if t else [] for t in texts]
-    new = list({c for cs in chunks for c in cs if c not in cache})
-    for at in range(0, len(new), 20_000):
-        part = new[at:at + 20_000]
-        for chunk, e in zip(part, library(path).encode_batch_fast(part, add_special_tokens=False)):
-            cache[chunk] = np.array(e.ids, dtype).tobytes()
-    return [b"".join(map(cache.__getitem__, cs)) for cs in chunks]
+def specials(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
+def plain(chunk: str, path: str) -> bool:
+    return _PLAIN.fullmatch(chunk) is not None and not ("<" in chunk and any(s in chunk for s in specials(path)))
+
+
+def merge(pretoken: str, path: str) -> list[int]:
+    """Ids of one pre-token by the library's BPE model."""
+    if not pretoken.isascii() or " " in pretoken or "\n" in pretoken or "\t" in pretoken or "\r" in pretoken:
+        pretoken = "".join([_CHAR_OF[b] for b in pretoken.encode("utf-8")])
+    return [t.id for t in _model(path).tokenize(pretoken)]
+
+
+@functools.lru_cache(4)
+def _model(path: str):
+    return library(path).model
+
+
+class _Chunks(dict):
+    """Chunk -> ids as bytes, worked out when first asked for."""
+
+    def __init__(self, path: str, kind: str, code: str):
+        self.path, self.kind, self.code = path, kind, code
+        self.pretokens: dict[str, bytes] = {}
+        self.pattern = _WORD_PATTERN if kind == "words" else BYTE_PATTERN
+
+    def ids(self, chunk: str) -> bytes:
+        if not plain(chunk, self.path):
+            return array(self.code, library(self.path).encode(chunk, add_special_tokens=False).ids).tobytes()
+        found = self.pattern.findall(chunk.lower() if self.kind == "words" else chunk)
+        known = self.pretokens
+        for p in found:
+            if p not in known:
+                known[p] = array(self.code, merge(p, self.path)).tobytes()
+        return known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
+
+    def __missing__(self, chunk: str) -> bytes:
+        b = self[chunk] = self.ids(chunk if self.kind == "words" else " " + chunk)
+        return b
+
+
+@functools.lru_cache(8)
+def _remembered(path: str, kind: str, code: str) -> _Chunks:
+    return _Chunks(path, kind, code)
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
+def encode(texts: list[str | None], path: str, kind: str, code: str = "I") -> list[bytes]:
+    """Ids of each whole text as integers of array type ``code`` (little-endian
+    on the machines Spark runs on).  ``kind``: ``words`` or ``spaced``."""
+    known = _remembered(path, kind, code)
+    if len(known) > CHUNKS:
+        known.clear()
+    if len(known.pretokens) > PRETOKENS:
+        known.pretokens.clear()
+    out = []
+    for t in texts:
+        if not t:
+            out.append(b"")
+        elif kind == "words":
+            # In Latin-1 the tokenizer's lower-casing is Python's, sign by sign.
+            # Special strings are matched before lower-casing: a text with "<" waits.
+            if "<" not in t and _latin(t):
+                t = t.lower()
+            out.append(b"".join(map(known.__getitem__, words(t))))
+        else:
+            head, *tail = spaced(t)
+            out.append(known.ids(head) + b"".join(map(known.__getitem__, tail)) if head
+                       else b"".join(map(known.__getitem__, tail)))
+    return out

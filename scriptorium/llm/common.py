@@ -89,3 +89,25 @@ def slices(batches, rows: int = 500):
     for pdf in batches:
         for at in range(0, len(pdf), rows):
             yield pdf.iloc[at:at + rows].reset_index(drop=True)
+
+
+def runs(batches, keys: list[str]):
+    """Rows of one key after another, as pandas frames, from the sorted
+    batches of a task.  Only one key's rows (and a batch) are held."""
+    import pandas as pd
+    parts, current = [], None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        change = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        change[0] = True
+        starts = [*change.nonzero()[0].tolist(), len(pdf)]
+        for lo, hi in zip(starts, starts[1:]):
+            key = tuple(pdf[k].iat[lo] for k in keys)
+            if key != current:
+                if parts:
+                    yield current, pd.concat(parts) if len(parts) > 1 else parts[0]
+                parts, current = [], key
+            parts.append(pdf.iloc[lo:hi])
+    if parts:
+        yield current, pd.concat(parts) if len(parts) > 1 else parts[0]

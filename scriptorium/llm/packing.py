@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         tail = np.array([end_id], "<u4").tobytes()
         for pdf in slices(batches):
             rows = []
-            encoded = chunk_ids.encode(pdf["text"].tolist(), tokenizer, chunk_ids.words)
+            encoded = chunk_ids.encode(pdf["text"].tolist(), tokenizer, "words")
             for i, ids in zip(pdf["doc_id"], encoded):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):

@@ -6,10 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, line_spread, minhash_dedup, packing, token_counts
+from . import (chat_format, embedding_dedup, language_id, line_spread, minhash_dedup, packing, sentencepiece_viterbi,
+               token_counts, topk_threshold, training_order)
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids of every whole text, and the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = sentencepiece_viterbi.encode(docs, model).drop("text")
+    return sentencepiece_viterbi.decode(ids, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded")
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_threshold.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,11 +56,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slot, shard, n_tokens and checksum of every sequence, read back from the shards."""
+    out = training_order.materialise(table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("word_bpe_49k.json"), end_id=49407)
+    return out.select("slot", "shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything but conv_id is read back from the formatted output."""
     probe = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
-                                  "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = chat_format.format_chat(turns.withColumn("parts", chat_format.text_parts(F.col("text"))))
     read = out.select("conv_id", "formatted", "segments",
@@ -57,8 +83,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_dedup, op5_best_fit_packing, op6_token_counts, op7_line_dedup,
-                                   op8_language_id, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_topk_search, op4_minhash_dedup,
+                                   op5_best_fit_packing, op6_token_counts, op7_line_dedup, op8_language_id,
+                                   op9_training_order, op10_chat_formatting)}
 
 ORACLE: dict[str, str] = {
     "op7_line_dedup": f"""

@@ -68,7 +68,8 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
-    """One-permutation signature per (non-empty) set, shape (len(sets), bins).
+    """One-permutation signature per set, shape (len(sets), bins); zeros for
+    the empty set.
 
     The hash range is cut into ``bins`` equal parts and each keeps its least
     hash.  An empty part copies the part named by a universal hash of
@@ -83,7 +84,7 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
         at = b[first].astype(np.int64)
         out[row, at] = s[first]
         filled[row, at] = True
-    attempt, (r, c) = 0, np.nonzero(~filled)
+    attempt, (r, c) = 0, np.nonzero(~filled & filled.any(1, keepdims=True))
     while len(r):
         seed = np.uint64(attempt) * np.uint64(0x9E3779B97F4A7C15)
         donor = (mix(c.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + seed) % np.uint64(bins)).astype(np.int64)

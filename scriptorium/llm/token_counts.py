@@ -3,14 +3,13 @@
 Offline, every string of the vocabulary is encoded by itself; those that come
 back as the one token they name are proved *whole*.  In a text, a pre-token
 that is such a string counts as one token without any merging; only the rest
-is merged, by the tokenizers library.  Counts of chunks already met are
+is merged, by the library's BPE model.  Counts of parts already met are
 remembered (bounded) by each Python worker.
 
 Counts equal those of the library on the whole text, special strings inside
-texts included (the library's default: each is one token).  Pre-tokens are
-found here for chunks in Latin letters, ASCII signs and white space, where
-this pattern and the library's agree by definition of the classes; a chunk
-with any other character goes to the library whole.
+texts included (the library's default: each is one token).  Chunks
+outside Latin letters and ASCII signs go to the library whole (see
+``chunk_ids``).
 
 Defined results: NULL and empty texts have 0 bytes and 0 tokens.  Repeated
 rows and repeated or NULL ids are counted row by row.
@@ -29,25 +28,11 @@ from pyspark.sql import functions as F
 from . import chunk_ids
 from .common import ship, slices
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-# The byte-level pre-tokenizer's pattern (fixed), for chunks of the characters named in _PLAIN.
-_PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LATIN}]*")
-
-
-def _byte_alphabet() -> dict[str, int]:
-    """Character of a byte-level vocabulary -> byte: printable bytes stand for
-    themselves, the others for 256, 257, ... in order."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
-
-
 def prove_whole(path: str) -> frozenset[str]:
     """The vocabulary strings that encode alone as one token, their own."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    alphabet = _byte_alphabet()
+    alphabet = chunk_ids.byte_alphabet()
     strings = []
     for token, i in vocab.items():
         if all(c in alphabet for c in token):
@@ -65,42 +50,45 @@ def _caches(path: str) -> tuple[dict[str, int], dict[str, int]]:
     return {}, {}
 
 
-@functools.lru_cache(2)
-def _specials(path: str) -> list[str]:
-    with open(path, encoding="utf-8") as f:
-        return [t["content"] for t in json.load(f)["added_tokens"]]
-
-
-def _merge(strings: list[str], path: str) -> list[int]:
-    encoded = chunk_ids.library(path).encode_batch_fast(strings, add_special_tokens=False)
-    return [len(e.ids) for e in encoded]
-
-
 def count(texts: list[str | None], path: str, whole: frozenset[str]) -> list[int]:
     """Tokens of each whole text."""
     chunks, merged = _caches(path)
-    for cache in (chunks, merged):
-        if len(cache) > chunk_ids.CACHE:
-            cache.clear()
-    special = _specials(path)
-    cut = []
+    if len(chunks) > chunk_ids.CHUNKS:
+        chunks.clear()
+    if len(merged) > chunk_ids.PRETOKENS:
+        merged.clear()
+    special = chunk_ids.specials(path)
+
+    def tokens(chunk: str) -> int:
+        if not chunk_ids.plain(chunk, path):
+            return len(chunk_ids.library(path).encode(chunk, add_special_tokens=False).ids)
+        n = 0
+        for p in chunk_ids.BYTE_PATTERN.findall(chunk):
+            if p in whole:
+                n += 1
+                continue
+            k = merged.get(p)
+            if k is None:
+                k = merged[p] = len(chunk_ids.merge(p, path))
+            n += k
+        return n
+
+    def segment(text: str) -> int:
+        """A text without special strings, but for its first chunk."""
+        first, *rest = chunk_ids.spaced(text)
+        for c in rest:
+            if c not in chunks:
+                chunks[c] = tokens(" " + c)
+        return tokens(first) + sum(map(chunks.__getitem__, rest))
+
+    out = []
     for t in texts:
         if t and any(s in t for s in special):  # special strings stand between ordinary texts
             parts = re.split("(" + "|".join(map(re.escape, special)) + ")", t)
-            cut.append([c for p in parts for c in ([p] if p in special else chunk_ids.spaced(p))])
+            out.append(sum(1 if p in special else segment(p) for p in parts if p))
         else:
-            cut.append(chunk_ids.spaced(t) if t else [])
-    new = list({c for cs in cut for c in cs if c not in chunks})
-    for at in range(0, len(new), 20_000):
-        part = new[at:at + 20_000]
-        foreign = [c for c in part if c in special or not _PLAIN.fullmatch(c)]
-        chunks.update(zip(foreign, _merge(foreign, path)))
-        split = {c: _PRETOKEN.findall(c) for c in part if c not in chunks}
-        rest = list({p for ps in split.values() for p in ps if p not in whole and p not in merged})
-        merged.update(zip(rest, _merge(rest, path)))
-        for c, ps in split.items():
-            chunks[c] = sum(1 if p in whole else merged[p] for p in ps)
-    return [sum(map(chunks.__getitem__, cs)) for cs in cut]
+            out.append(segment(t) if t else 0)
+    return out
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text",
