@@ -78,14 +78,39 @@ def is_falsy(v) -> Column:
             | (~head.isin('"', "[", "{") & (F.try_variant_get(v, "$", "double") == 0)))
 
 
+# A compact JSON text's tokens: strings, numbers and words, single signs.
+_JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[-+.0-9A-Za-z]+|[\[\]{},:]'
+
+
+def _py_string(token: Column) -> Column:
+    """Python's repr of a JSON string token: single quotes unless only a
+    single quote stands inside."""
+    inner = F.replace(F.substr(token, F.lit(2), F.length(token) - 2), F.lit('\\"'), F.lit('"'))
+    inner = F.replace(inner, F.lit("\\/"), F.lit("/"))
+    single, double = F.contains(inner, F.lit("'")), F.contains(inner, F.lit('"'))
+    quoted = F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(single & ~double, F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(quoted)
+
+
+def py_repr(json_text) -> Column:
+    """Compact JSON text of a container as Python prints it: ``['a', 1, None]``.
+    Backslash escapes of newline, tab and backslash are the same in both;
+    other control characters and exponents keep JSON's spelling."""
+    tokens = F.regexp_extract_all(col_of(json_text), F.lit(_JSON_TOKEN), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit('"')), _py_string(t))
+                                    .when(t == "null", "None").when(t == "true", "True").when(t == "false", "False")
+                                    .when(t == ",", ", ").when(t == ":", ": ").otherwise(t)), "")
+
+
 def py_str(v) -> Column:
     """``str(value)`` for a JSON value: strings as they are, null as None,
-    booleans as True/False, anything else as compact JSON.  (Containers and
-    some floats print differently from Python's repr: documented.)"""
+    booleans as True/False, arrays and objects as Python prints them."""
     v = col_of(v)
     j = F.to_json(v)
+    head = F.substring(j, 1, 1)
     return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(F.substring(j, 1, 1) == '"', F.try_variant_get(v, "$", "string"))
+            .when(head == '"', F.try_variant_get(v, "$", "string"))
+            .when(head.isin("[", "{"), py_repr(j))
             .when(j == "null", F.lit("None"))
             .when(j == "true", F.lit("True"))
             .when(j == "false", F.lit("False"))

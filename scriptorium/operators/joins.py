@@ -1,59 +1,54 @@
-"""Joins: skipping processed inputs, pairing papers, size-checked broadcast."""
+"""Joins: skipping processed inputs, pairing papers.  No hints and no size
+checks: Spark's own size limit and adaptive execution choose the strategy."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest key set broadcast to every executor (rows of short keys).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  Reads at most
-    ``max_rows + 1`` rows, so the check is cheap even on a huge side."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
-    unchanged (sort-merge join, with AQE free to switch at run time)."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
 
 def skip_processed(files: DataFrame, done: DataFrame | None, key: str = "stem") -> DataFrame:
     """Inputs whose key has no output yet; ``done=None`` (no output
-    location) keeps every input, as the original does."""
+    location) keeps every input, as the original does.
+
+    ``distinct`` is a partial aggregate, so a key written many times shrinks
+    to one row per map task; the files side of a sort-merge anti join can be
+    split by AQE's skew handling.
+    """
     if done is None:
         return files
-    keys = done.select(key).where(F.col(key).isNotNull())
-    if fits_broadcast(keys):
-        return files.join(F.broadcast(keys), key, "left_anti")
-    # Large key set: dedupe first.  distinct() is a partial aggregate, so a
-    # key written many times (copies of one paper) shrinks to one row per
-    # map task before the shuffle; the files side of the sort-merge anti
-    # join can be split by AQE's skew handling.
-    return files.join(keys.distinct(), key, "left_anti")
+    return files.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def first_per_key(files: DataFrame, key: str = "stem", order: str = "paper_name", row: str = "doc_id") -> DataFrame:
+    """One input per key within a run: the first by ``order`` (then ``row``).
+    The others would find its output and be skipped, as in the original."""
+    first = files.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(row).alias("r")))
+                                                      .alias("_f"))
+    return (files.join(first, files[key].eqNullSafe(first["_k"])
+                       & files[order].eqNullSafe(first["_f"]["o"]) & files[row].eqNullSafe(first["_f"]["r"]), "left_semi"))
 
 
 def pair_papers(pairs: DataFrame, docs: DataFrame, a: str = "a_id", b: str = "b_id",
-                key: str = "doc_id", text: str = "text", on: list[str] | None = None) -> DataFrame:
+                key: str = "doc_id", text: str = "text", on: list[str] | None = None,
+                keep_missing: bool = False) -> DataFrame:
     """Attach both texts to each requested pair (a_id, b_id).
 
+    ``keep_missing`` keeps a pair whose paper is not in ``docs`` with a NULL
+    text instead of leaving it out.
+
     Pairs are given, never enumerated: no all-pairs blow-up.  Two equi-joins
-    against the same documents frame, so both sides share one exchange of
-    the documents (Spark reuses it) instead of preparing the texts twice; a
-    paper in very many pairs is a skewed join key, which AQE's skew-join
-    splitting handles.  ``on`` adds columns both papers must share.
+    against the documents; a paper in very many pairs is a skewed join key,
+    which AQE's skew-join splitting handles.  ``on`` adds columns both papers must share.
     """
     on = on or []
     d = docs.select(key, text, *on)
     da, db = d.alias("_pa"), d.alias("_pb")
     p = pairs.alias("_pairs")
     first = p.join(da, [F.col(f"_pairs.{a}") == F.col(f"_pa.{key}")]
-                   + [F.col(f"_pairs.{c}") == F.col(f"_pa.{c}") for c in on])
+                   + [F.col(f"_pairs.{c}") == F.col(f"_pa.{c}") for c in on], "left" if keep_missing else "inner")
     both = first.join(db, [F.col(f"_pairs.{b}") == F.col(f"_pb.{key}")]
-                      + [F.col(f"_pairs.{c}") == F.col(f"_pb.{c}") for c in on])
+                      + [F.col(f"_pairs.{c}") == F.col(f"_pb.{c}") for c in on], "left" if keep_missing else "inner")
     return both.select(F.col(f"_pairs.{a}").alias(a), F.col(f"_pairs.{b}").alias(b),
                        *[F.col(f"_pairs.{c}").alias(c) for c in on],
                        F.col(f"_pa.{text}").alias("a_text"), F.col(f"_pb.{text}").alias("b_text"))

@@ -19,35 +19,28 @@ def merge_results(partials: DataFrame, group: str = "conv_id", seq: str = "seq",
     Closed form: with L the last non-string position, the value at L if it
     is the last position, else the strings after L joined in order.
 
-    The fold is associative, so it runs in two levels.  Level 1 groups by
-    (group, key, seq bucket): each bucket keeps only its last non-string
-    value and the strings after it, already joined.  Level 2 combines a
-    key's buckets in order: buckets before the one holding the global L are
-    dropped, the others' tails are joined.  A key with a huge number of
-    parts is thus spread over ``seq // bucket_width`` groups, and the final
-    step sees one row per bucket.
+    First L and the last position per key (``max``/``max_by`` combine
+    map-side), then only the strings after L travel: they are joined in
+    blocks of ``bucket_width`` positions and the blocks in order.  Positions
+    are rows of one (group, key); a key with very many parts is spread over
+    its blocks, and the last step sees one row per block.
     """
     non_str = ~F.col(is_str)
-    part = F.struct(F.col(seq).alias("s"), F.col(value).alias("v"))
-    lvl1 = partials.groupBy(group, key, F.floor(F.col(seq) / F.lit(bucket_width)).alias("_b")).agg(
-        F.max(seq).alias("_last"),
-        F.max(F.when(non_str, F.col(seq))).alias("_L"),
-        F.max(F.when(non_str, part)).alias("_vL"),
-        F.collect_list(F.when(F.col(is_str), part)).alias("_strs"))
-    after = F.filter(F.array_sort("_strs"), lambda x: F.col("_L").isNull() | (x["s"] > F.col("_L")))
-    tails = lvl1.select(group, key, "_b", "_last", "_L", "_vL",
-                        F.array_join(F.transform(after, lambda x: x["v"]), fixed.MERGE_JOIN).alias("_tail"),
-                        F.size(after).alias("_n"))
-    lvl2 = tails.groupBy(group, key).agg(
-        F.max("_last").alias("_last"), F.max("_L").alias("_L"), F.max("_vL").alias("_vL"),
-        F.collect_list(F.struct("_b", "_tail", "_n")).alias("_parts"))
-    l_bucket = F.floor(F.col("_L") / F.lit(bucket_width))
-    keep = F.filter(F.array_sort("_parts"),
-                    lambda p: (F.col("_L").isNull() | (p["_b"] >= l_bucket)) & (p["_n"] > 0))
-    joined = F.array_join(F.transform(keep, lambda p: p["_tail"]), fixed.MERGE_JOIN)
+    ends = partials.groupBy(group, key).agg(
+        F.max(seq).alias("_last"), F.max(F.when(non_str, F.col(seq))).alias("_L"),
+        F.max_by(value, F.when(non_str, F.col(seq))).alias("_vL"))
+    tail = (partials.where(F.col(is_str)).join(ends.select(group, key, "_L"), [group, key])
+            .where(F.col("_L").isNull() | (F.col(seq) > F.col("_L"))))
+    blocks = (tail.groupBy(group, key, F.floor(F.col(seq) / F.lit(bucket_width)).alias("_b"))
+              .agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(value).alias("v")))).alias("_p")))
+    joined = (blocks.select(group, key, "_b", F.array_join(F.transform("_p", lambda x: x["v"]), fixed.MERGE_JOIN)
+                            .alias("_t"))
+              .groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_p"))
+              .select(group, key, F.array_join(F.transform("_p", lambda x: x["_t"]), fixed.MERGE_JOIN).alias("_joined")))
     last_is_value = F.coalesce(F.col("_L") == F.col("_last"), F.lit(False))
-    return lvl2.select(group, key, F.when(last_is_value, F.col("_vL.v")).otherwise(joined).alias("merged"),
-                       (~last_is_value).alias("merged_is_str"))
+    return ends.join(joined, [group, key], "left").select(
+        group, key, F.when(last_is_value, F.col("_vL")).otherwise(F.col("_joined")).alias("merged"),
+        (~last_is_value).alias("merged_is_str"))
 
 
 def consolidation_block(index, analysis) -> F.Column:
@@ -91,13 +84,14 @@ def result_union(ok: DataFrame, err: DataFrame) -> DataFrame:
     return ok.unionByName(err, allowMissingColumns=True)
 
 
-def latest_by_key(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """The row with the highest ``seq`` per key (the last write wins).
+def latest_by_key(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The row with the highest ``order`` columns per key (the last write
+    wins; further columns break ties).
 
     ``max_by`` is a partial aggregate: each map task reduces its rows to one
     per key before the shuffle, so a key with a huge number of versions
     costs one row per task.
     """
     cols = [c for c in df.columns if c != key]
-    best = F.max_by(F.struct(*cols), F.col(seq))
+    best = F.max_by(F.struct(*cols), F.struct(*order))
     return df.groupBy(key).agg(best.alias("_r")).select(key, *[F.col("_r." + c).alias(c) for c in cols])

@@ -25,7 +25,7 @@ def summary_listing(results: DataFrame) -> DataFrame:
     """The run report as ordered lines: (block, sort_key, line).
 
     Reading ``line`` ordered by (block, sort_key) gives the report text.
-    The counts come from one global aggregate; the name lines are one row
+    ``results`` is read twice (counts, lines): hand in a stored table.  The counts come from one global aggregate; the name lines are one row
     per result, so the report never gathers all names in one task or
     string.  Names are listed in name order (the original lists them in
     directory order).
@@ -49,14 +49,13 @@ def summary_listing(results: DataFrame) -> DataFrame:
         F.col("h.block").alias("block"), F.lit(None).cast("string").alias("sort_key"), F.col("h.n").alias("n"),
         F.col("h.line").alias("line"))
     name = F.coalesce(F.col("nombre"), F.lit(fixed.SUMMARY_UNKNOWN_NAME))
-    ok = (with_status(results, fixed.STATUS_SUCCESS)
-          .select(F.lit(2).alias("block"), name.alias("sort_key"), F.lit(0).alias("n"),
-                  F.concat(F.lit("- "), name).alias("line")))
-    err = (with_status(results, fixed.STATUS_ERROR)
-           .select(F.lit(4).alias("block"), name.alias("sort_key"), F.lit(0).alias("n"),
-                   F.concat(F.lit("- "), name, F.lit(": "),
-                            F.coalesce(F.col("error"), F.lit(fixed.SUMMARY_UNKNOWN_ERROR))).alias("line")))
-    return head.unionByName(ok).unionByName(err)
+    ok = F.col("status") == fixed.STATUS_SUCCESS
+    entries = results.where(F.col("status").isin(fixed.STATUS_SUCCESS, fixed.STATUS_ERROR)).select(
+        F.when(ok, 2).otherwise(4).alias("block"), name.alias("sort_key"), F.lit(0).alias("n"),
+        F.when(ok, F.concat(F.lit("- "), name)).otherwise(
+            F.concat(F.lit("- "), name, F.lit(": "),
+                     F.coalesce(F.col("error"), F.lit(fixed.SUMMARY_UNKNOWN_ERROR)))).alias("line"))
+    return head.unionByName(entries)
 
 
 def human_report(df: DataFrame, analysis: str = "analysis", out: str = "report") -> DataFrame:

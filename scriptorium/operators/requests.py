@@ -26,14 +26,15 @@ def extract(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def preprocess(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, text: str = "text",
-               out: str = "structured", cleaned: bool = False) -> DataFrame:
+               out: str = "structured", cleaned: bool = False, count: str | None = None) -> DataFrame:
     """Clean (one pass), chunk, and structure the first chunk.
 
     One chunk: header from the paper metadata.  Several: header from the
     first chunk's metadata (paper metadata + section, part, total).  Only
     the first chunk is built; the rest are counted.  ``cleaned`` says the
     text comes from ``extract`` (already cleaned once), which allows the
-    cheap form of the pass.
+    cheap form of the pass; ``count`` names a column for the number of
+    chunks (all but the first are left out).
     """
     t = reclean(text) if cleaned else clean_text(text)
     staged = df.withColumn("_fc", first_chunk_struct(t, chunk_size))
@@ -44,6 +45,8 @@ def preprocess(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, text:
         section=F.when(multi, fc["section"]),
         chunk_part=F.when(multi, fc["chunk_part"]),
         total_chunks=F.when(multi, fc["total_chunks"]))
+    if count:
+        staged = staged.withColumn(count, F.coalesce(fc["total_chunks"], F.lit(1)))
     return staged.withColumn(out, structured).drop("_fc")
 
 

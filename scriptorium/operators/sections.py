@@ -39,8 +39,6 @@ CASCADE_PATTERNS = {
     "conclusion": r"conclusion|discussion|4\.?\s+",
 }
 
-CASCADE_ORDER = tuple(CASCADE_PATTERNS) + (fixed.PREAMBLE_SECTION,)
-
 
 def java_pattern(p: str) -> str:
     """Case-insensitive pattern with Python's Unicode whitespace class."""
@@ -94,7 +92,8 @@ def _exclusive_prefix_sums(lengths: Column, rounds: int = 24) -> Column:
     Spark has no scan over arrays; doubling steps keep it linear-logarithmic
     instead of the quadratic cost of appending inside ``aggregate``.  Every
     intermediate array is bound once (``let``), so no step re-evaluates the
-    one before.  Handles up to 2**rounds elements.
+    one before.  Handles up to 2**rounds elements and raises an
+    error beyond (the analyzer cannot nest many more steps).
     """
     def step(a, d):
         return F.when(F.size(a) > d, F.transform(
@@ -106,7 +105,11 @@ def _exclusive_prefix_sums(lengths: Column, rounds: int = 24) -> Column:
             acc = let(acc, _bind(step, 1 << r))
         return acc
 
-    return let(lengths, run)
+    def checked(lens):
+        return F.when(F.size(lens) <= 1 << rounds, run(lens)).otherwise(
+            F.raise_error(F.lit(f"more than {1 << rounds} headings in one text")).cast("array<int>"))
+
+    return let(lengths, checked)
 
 
 def _segments(c) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as an
@@ -33,6 +33,7 @@ from . import duck as dk
 from . import fixtures as fx
 from . import flows as fl
 from .common import spread, table, widen_ints
+from .settings import JobSettings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,7 +66,7 @@ def documents(spark, sf_dir) -> DataFrame:
 
 def papers(spark, sf_dir) -> DataFrame:
     """F-PAPERS, cleaned as the pipeline cleans (two passes)."""
-    return spread(fx.papers(spark, sf_dir)).select(
+    return fx.papers(spark, sf_dir).select(
         "doc_id", tx.normalize_text("text").alias("text"))
 
 
@@ -128,7 +129,7 @@ _TITLE_SQL = dk.py_strip(
           f"regexp_extract(t1, 'arXiv:(\\p{{Nd}}+\\.\\p{{Nd}}+v\\p{{Nd}}+)', 1) AS arxiv_id "
           f"FROM (SELECT doc_id, {dk.clean('text')} AS t1 FROM ({fx.duck_sql_text(fx.F_PAPERS)}))")
 def q_paper_metadata(spark, sf_dir):
-    p = spread(fx.papers(spark, sf_dir))
+    p = fx.papers(spark, sf_dir)
     return (p.select("doc_id", tx.paper_metadata(tx.clean_text("text")).alias("m"))
             .select("doc_id", "m.title", "m.authors", "m.arxiv_id"))
 
@@ -227,7 +228,7 @@ def q_window_chunks(spark, sf_dir):
 
 def extracted_papers(spark, sf_dir) -> DataFrame:
     """F-PAPERS as extraction returns them: one cleaning pass + metadata."""
-    return rq.extract(spread(fx.papers(spark, sf_dir)))
+    return rq.extract(fx.papers(spark, sf_dir))
 
 
 D_EXTRACTED = (f"(SELECT doc_id, t1 AS text, {_TITLE_SQL} AS title, '' AS authors, "
@@ -308,7 +309,7 @@ def q_truncate_prompt(spark, sf_dir):
 def _section_prompt_sql(text, section) -> str:
     focus = f"{dk.lit(pr.SECTION_GENERIC[0])} || {section} || {dk.lit(pr.SECTION_GENERIC[1])}"
     cases = " ".join(f"WHEN {dk.lit(k)} THEN {dk.lit(v)}" for k, v in pr.SECTION_FOCUS.items())
-    return (f"(chr(10) || CASE {section} {cases} ELSE {focus} END || {dk.lit(pr.SECTION_BODY)} || {text} "
+    return (f"(CASE {section} {cases} ELSE {focus} END || {dk.lit(pr.SECTION_BODY)} || {text} "
             f"|| {dk.lit(pr.SECTION_TAIL)})")
 
 
@@ -474,7 +475,7 @@ _PARSE_COLS = "doc_id, kind, branch, nombre, resumen, resultados, exito, perform
 @register("parse_response",
           f"SELECT {_PARSE_COLS} FROM ({_parse_sql(f'(SELECT *, {_NAME_SQL} AS paper_name FROM ({_RESP_SQL}))', 'paper_name')})")
 def q_parse_response(spark, sf_dir):
-    r = spread(fx.responses(spark, sf_dir)).withColumn("paper_name", paper_name("doc_id"))
+    r = fx.responses(spark, sf_dir).withColumn("paper_name", paper_name("doc_id"))
     return rs.analysis_columns(rs.parse_response(r)).select(*_PARSE_COLS.split(", "))
 
 
@@ -501,7 +502,9 @@ def _render_sql(js: str, key: str) -> str:
     path = f"'$.\"' || {key} || '\"'" if not key.startswith("'") else f"'$.{key[1:-1]}'"
     return (f"CASE json_type({js}, {path}) WHEN 'VARCHAR' THEN json_extract_string({js}, {path}) "
             f"WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE WHEN json_extract({js}, {path})::VARCHAR = 'true' "
-            f"THEN 'True' ELSE 'False' END ELSE json_extract({js}, {path})::VARCHAR END")
+            f"THEN 'True' ELSE 'False' END WHEN 'ARRAY' THEN '[' || array_to_string(list_transform("
+            f"TRY_CAST(json_extract({js}, {path}) AS VARCHAR[]), lambda x: chr(39) || x || chr(39)), ', ') || ']' "
+            f"ELSE json_extract({js}, {path})::VARCHAR END")
 
 
 def _known_sql(key: str, default: str, fallback: str, error: str) -> str:
@@ -613,7 +616,7 @@ _ANSWERS_SQL = _parse_sql(f"(SELECT *, {_NAME_SQL} AS paper_name FROM ({_RESP_SQ
 
 
 def answers(spark, sf_dir) -> DataFrame:
-    r = spread(fx.responses(spark, sf_dir)).withColumn("paper_name", paper_name("doc_id"))
+    r = fx.responses(spark, sf_dir).withColumn("paper_name", paper_name("doc_id"))
     return rs.parse_response(r)
 
 
@@ -742,7 +745,7 @@ FLOW_COLS = "doc_id, prompt, branch, nombre, resumen, resultados, exito, perform
 
 
 def named_papers(spark, sf_dir) -> DataFrame:
-    return spread(fx.papers(spark, sf_dir)).withColumn("paper_name", paper_name("doc_id"))
+    return fx.papers(spark, sf_dir).withColumn("paper_name", paper_name("doc_id"))
 
 
 def _table_responder(spark, sf_dir):
@@ -802,22 +805,88 @@ def _fixture_model(spark, sf_dir):
 
 @register("flow_map_reduce", _flow_sql(_MR_REQUESTS, ", n_parts"))
 def q_flow_map_reduce(spark, sf_dir):
-    return _flow_out(fl.flow_map_reduce(named_papers(spark, sf_dir), _fixture_model(spark, sf_dir),
-                                        CHUNK_SIZE), ["n_parts"])
+    """With each paper's last request; that of a one-chunk paper is rebuilt."""
+    docs = named_papers(spark, sf_dir)
+    out = fl.flow_map_reduce(docs, _fixture_model(spark, sf_dir), CHUNK_SIZE)
+    only = (fl.map_requests(docs, JobSettings(chunk_size=CHUNK_SIZE)).where("_single")
+            .select("doc_id", F.col("prompt").alias("_only")))
+    out = out.join(only, "doc_id", "left").withColumn("prompt", F.coalesce("prompt", "_only"))
+    return _flow_out(out, ["n_parts"])
+
+
+_FS_SQL = ORACLE["first_success"]
+
+
+def _called(spark, sf_dir) -> DataFrame:
+    """F-ATT as the outcome of each paper's call: doc_id, ok, content, call_error."""
+    fs = rs.first_success(fx.attempts(spark, sf_dir))
+    return fs.select(F.col("request_id").alias("doc_id"), "ok", F.when(F.col("ok"), F.col("content")).alias("content"),
+                     F.when(~F.col("ok"), F.col("content")).alias("call_error"))
+
+
+@register("flow_call_failures", f"""
+SELECT request_id AS doc_id, CASE WHEN ok THEN 'parsed' ELSE 'failed' END AS branch,
+       CASE WHEN ok THEN json_extract_string(content, '$.nombre') END AS nombre,
+       CASE WHEN ok THEN json_extract_string(content, '$.resumen') END AS resumen,
+       CASE WHEN NOT ok THEN content END AS call_error
+FROM ({_FS_SQL})""")
+def q_flow_call_failures(spark, sf_dir):
+    """Papers whose calls all failed keep their row, without an analysis."""
+    respond = fl.table_responder(_called(spark, sf_dir), ["doc_id"])
+    out = rs.analysis_columns(fl.flow_first_chunk(named_papers(spark, sf_dir), respond, CHUNK_SIZE))
+    return out.select("doc_id", "branch", "nombre", "resumen", "call_error")
+
+
+@register("flow_chunk_failures", f"""
+SELECT doc_id, count(*) AS n_parts, bool_and(NOT bad) AS ok,
+       'down ' || CAST(min(CASE WHEN bad THEN chunk_index END) AS VARCHAR) AS call_error
+FROM (SELECT doc_id, chunk_index, (doc_id + chunk_index) % 11 = 3 AS bad FROM ({_chunks_sql(CHUNK_SIZE)}))
+GROUP BY doc_id""")
+def q_flow_chunk_failures(spark, sf_dir):
+    """One failed chunk call makes the paper fail, with the first one's error."""
+    model = _fixture_model(spark, sf_dir)
 
+    def respond(requests: DataFrame) -> DataFrame:
+        out = model(requests)
+        if "chunk_index" not in requests.columns:
+            return out
+        bad = (F.col("doc_id") + F.col("chunk_index")) % 11 == 3
+        return out.withColumns({"ok": ~bad, "call_error": F.when(bad, F.concat(
+            F.lit("down "), F.col("chunk_index").cast("string")))})
 
-@register("flow_batch_report", f"""
-WITH todo AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
-fs AS ({ORACLE['first_success']})
-SELECT count(*) AS total, count(*) FILTER (WHERE fs.ok) AS successes,
-       count(*) FILTER (WHERE NOT coalesce(fs.ok, false)) AS errors
-FROM todo t LEFT JOIN fs ON t.doc_id = fs.request_id""")
-def q_flow_batch_report(spark, sf_dir):
+    out = fl.flow_map_reduce(named_papers(spark, sf_dir), respond, CHUNK_SIZE)
+    return out.select("doc_id", "n_parts", "ok", "call_error")
+
+
+def _batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = documents(spark, sf_dir).select("doc_id", "text", paper_name("doc_id").alias("paper_name"))
-    files = docs.withColumn("stem", tx.paper_stem("paper_name"))
     done = table(spark, sf_dir, "labels").select(tx.paper_stem(paper_name("doc_id")).alias("stem"))
-    _, summary = fl.flow_batch_report(files, done, fx.attempts(spark, sf_dir))
-    return summary
+    respond = fl.table_responder(_called(spark, sf_dir), ["doc_id"])
+    return fl.run_batch(docs, respond, scratch_path(spark, "batch"), "2026-01-01T00:00:00", CHUNK_SIZE, done=done)
+
+
+_TODO_SQL = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+
+
+@register("flow_batch_report", f"""
+SELECT 'paper_' || CAST(t.doc_id AS VARCHAR) AS stem,
+       CASE WHEN fs.ok THEN json_extract_string(content, '$.nombre')
+            ELSE 'paper_' || CAST(t.doc_id AS VARCHAR) || '.pdf' END AS nombre,
+       CASE WHEN fs.ok THEN json_extract_string(content, '$.resumen') END AS resumen,
+       CASE WHEN fs.ok THEN 'success' ELSE 'error' END AS status, fs.ok AS saved,
+       CASE WHEN NOT fs.ok THEN {dk.lit(fixed.PAPER_ERROR_PREFIX)} || content END AS error
+FROM ({_TODO_SQL}) t JOIN ({_FS_SQL}) fs ON t.doc_id = fs.request_id""")
+def q_flow_batch_report(spark, sf_dir):
+    """The whole batch: skip, first-chunk flow, store, result rows."""
+    results, _ = _batch(spark, sf_dir)
+    return results.select("stem", "nombre", "resumen", "status", F.col("output_path").isNotNull().alias("saved"), "error")
+
+
+@register("batch_summary", f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE fs.ok) AS successes, count(*) FILTER (WHERE NOT fs.ok) AS errors
+FROM ({_TODO_SQL}) t JOIN ({_FS_SQL}) fs ON t.doc_id = fs.request_id""")
+def q_batch_summary(spark, sf_dir):
+    return _batch(spark, sf_dir)[1]
 
 
 @register("incremental_ingest", f"""
@@ -854,11 +923,13 @@ def q_nonblank_preamble(spark, sf_dir):
 
 
 @register("last_section_wins",
-          f"SELECT doc_id, section, CAST(max(seq) AS BIGINT) AS seq, CAST(count(*) AS BIGINT) AS n_segments "
+          f"SELECT doc_id, section, arg_max(text, seq) AS text, CAST(count(*) AS BIGINT) AS n_segments "
           f"FROM ({dk.segments_sql(D_PAPERS)}) GROUP BY doc_id, section")
 def q_last_section_wins(spark, sf_dir):
-    segs = se.section_segments(papers(spark, sf_dir))
-    return segs.groupBy("doc_id", "section").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n_segments"))
+    """The library's last segment per name, beside how many there were."""
+    p = papers(spark, sf_dir)
+    n = se.section_segments(p).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n_segments"))
+    return se.paper_sections(p).join(n, ["doc_id", "section"]).select("doc_id", "section", "text", "n_segments")
 
 
 @register("section_order",
@@ -866,8 +937,8 @@ def q_last_section_wins(spark, sf_dir):
           f"AS rank FROM ({dk.segments_sql(D_PAPERS)})")
 def q_section_order(spark, sf_dir):
     segs = se.section_segments(papers(spark, sf_dir)).select("doc_id", "seq", "start_pos")
-    # seq is the hit order by construction; rank restates it from the offsets
-    return segs.withColumn("rank", F.col("seq"))
+    w = Window.partitionBy("doc_id").orderBy("start_pos")
+    return segs.withColumn("rank", F.row_number().over(w))
 
 
 @register("chunk_order",

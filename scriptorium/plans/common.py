@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Give row-local heavy work (regex over whole texts) enough tasks.
+def spread(scan: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Deal a scanned table of few row groups to all cores.
 
-    A large input already arrives in many file splits and is left alone: no
-    shuffle.  A small input that fits in fewer splits than the cluster has
-    cores (one parquet row group is one split) is hash-partitioned on
-    ``key``, which also prepares later per-document aggregations.
+    The driver's small tables are one row group, so one split, so one task.
+    Only for scans (a scan's partitions are known without running anything);
+    the library's operators never call it and take inputs as they come.
     """
     try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
+        cores = scan.sparkSession.sparkContext.defaultParallelism
+        parts = scan.rdd.getNumPartitions()
     except Exception:  # no RDD access (e.g. a Spark Connect session): leave as is
-        return df
-    if parts >= cores:
-        return df
-    return df.repartition(cores, key)
+        return scan
+    return scan if parts >= cores else scan.repartition(cores, key)
 
 
 def widen_ints(df: DataFrame) -> DataFrame:

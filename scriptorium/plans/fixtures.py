@@ -32,21 +32,31 @@ select doc_id, CASE v
 from p
 """
 
-# F-RESP: model answers, one kind per parse branch (doc_id % 9).
+def _json_string(text: str) -> str:
+    """The inside of a JSON string holding ``text`` (SQL of both engines)."""
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for code, letter in ((34, "chr(34)"), (10, "'n'"), (13, "'r'"), (9, "'t'")):
+        out = f"replace({out}, chr({code}), chr(92) || {letter})"
+    return out
+
+
+# F-RESP: model answers that carry the document's whole text, one kind per
+# parse branch (doc_id % 9).
 F_RESP = r"""
 select doc_id, doc_id % 9 as kind, CASE doc_id % 9
  WHEN 0 THEN '```json' || chr(10) || j || chr(10) || '```'
  WHEN 1 THEN j
  WHEN 2 THEN '```' || chr(10) || j || chr(10) || '```'
  WHEN 3 THEN 'Here you go: ```json' || j || '``` hope it helps ```json {{}} ```'
- WHEN 4 THEN ' plain prose, no json '
- WHEN 5 THEN '{{"nombre":"","resumen":"r","exito":false}}'
- WHEN 6 THEN '[1,2]'
+ WHEN 4 THEN ' plain prose, no json: ' || text || ' '
+ WHEN 5 THEN '{{"nombre":"","resumen":"' || s || '","exito":false}}'
+ WHEN 6 THEN '[1,"' || s || '"]'
  WHEN 7 THEN '```python' || chr(10) || j || '```'
  ELSE NULL END as content
-from (select doc_id, '{{"nombre":"P' || CAST(doc_id AS {S}) || '","resumen":"R' || CAST(doc_id AS {S})
-      || '","exito":true,"performance":0.5,"extra":["a","b"]}}' as j from {documents}) t
-"""
+from (select doc_id, text, s, '{{"nombre":"P' || CAST(doc_id AS {S}) || '","resumen":"' || s
+      || '","exito":true,"performance":0.5,"extra":["a","b"]}}' as j
+      from (select doc_id, text, @TEXT@ as s from {documents}) d) t
+""".replace("@TEXT@", _json_string("text"))
 
 # F-CHUNK-RESP: answers to chunk requests, one kind per parse branch by
 # (doc_id + chunk_index) % 9, with extra keys of every JSON type.
@@ -81,7 +91,7 @@ from {documents}
 # even conversation holds a non-string value.
 F_PART = r"""
 select conv_id, role as k, turn as seq, NOT (turn % 3 = 1 AND conv_id % 2 = 0) as is_str,
-       substr(text, 1, 12) as v
+       text as v
 from {conversations}
 """
 
@@ -90,13 +100,14 @@ from {conversations}
 F_ATT = r"""
 select doc_id as request_id, attempt, attempt > doc_id % 5 as ok,
        CASE WHEN attempt > doc_id % 5
-            THEN '{{"nombre":"P' || CAST(doc_id AS {S}) || '","resumen":"attempt ' || CAST(attempt AS {S}) || '"}}'
+            THEN '{{"nombre":"P' || CAST(doc_id AS {S}) || '","resumen":"attempt ' || CAST(attempt AS {S})
+                 || ': ' || s || '"}}'
             ELSE 'timeout ' || CAST(attempt AS {S}) END as content
-from (select doc_id, 1 as attempt from {documents}
-      union all select doc_id, 2 as attempt from {documents}
-      union all select doc_id, 3 as attempt from {documents}
-      union all select doc_id, 4 as attempt from {documents}) a
-"""
+from (select doc_id, @TEXT@ as s, 1 as attempt from {documents}
+      union all select doc_id, @TEXT@ as s, 2 as attempt from {documents}
+      union all select doc_id, @TEXT@ as s, 3 as attempt from {documents}
+      union all select doc_id, @TEXT@ as s, 4 as attempt from {documents}) a
+""".replace("@TEXT@", _json_string("text"))
 
 # F-RUN: run results; quality 1 -> success, 0 -> error, no label -> error.
 F_RUN = r"""

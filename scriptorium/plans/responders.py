@@ -15,47 +15,50 @@ and returns the same rows with a ``content`` column.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions import fixed
+from ..session import ship
 
 Call = Callable[[dict], str]
 
 
-def call_responder(call: Call, max_attempts: int = fixed.MAX_ATTEMPTS,
-                   retry_delay: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+def call_responder(call: Call, max_attempts: int = fixed.MAX_ATTEMPTS, retry_delay: float = 0.0,
+                   concurrency: int = 1) -> Callable[[DataFrame], DataFrame]:
     """Responder that calls ``call(request) -> content`` for every row.
 
     ``request`` is the chat request as a dict (model, messages, temperature,
     max_tokens).  Adds ``content``, ``ok``, ``attempts`` and ``call_error``.
+    A task keeps up to ``concurrency`` calls in flight (threads: the calls
+    wait for a service) and holds one batch of rows at a time.
     """
     def respond(requests: DataFrame) -> DataFrame:
+        ship(requests.sparkSession)
         schema = (T.StructType(list(requests.schema.fields))
                   .add("content", T.StringType()).add("ok", T.BooleanType())
                   .add("attempts", T.IntegerType()).add("call_error", T.StringType()))
 
+        def attempt(request):
+            request, error = _plain(request), None
+            for n in range(1, max_attempts + 1):
+                try:
+                    return call(request), True, n, None
+                except Exception as e:  # the attempt failed: keep its message
+                    error = str(e)
+                    if n < max_attempts and retry_delay:
+                        time.sleep(retry_delay)
+            return None, False, max_attempts, error
+
         def run(batches: Iterator) -> Iterator:
-            for pdf in batches:
-                contents, oks, tries, errors = [], [], [], []
-                for req in pdf["request"]:
-                    req = _plain(req)
-                    content, ok, n, err = None, False, 0, None
-                    for n in range(1, max_attempts + 1):
-                        try:
-                            content, ok, err = call(req), True, None
-                            break
-                        except Exception as e:  # the attempt failed: keep its message
-                            err = str(e)
-                            if n < max_attempts and retry_delay:
-                                time.sleep(retry_delay)
-                    contents.append(content)
-                    oks.append(ok)
-                    tries.append(n)
-                    errors.append(err)
-                yield pdf.assign(content=contents, ok=oks, attempts=tries, call_error=errors)
+            with ThreadPoolExecutor(max(1, concurrency)) as pool:
+                for pdf in batches:
+                    done = list(pool.map(attempt, pdf["request"]))
+                    yield pdf.assign(content=[d[0] for d in done], ok=[d[1] for d in done],
+                                     attempts=[d[2] for d in done], call_error=[d[3] for d in done])
 
         return requests.mapInPandas(run, schema)
 

@@ -4,7 +4,7 @@ The library itself never creates a session; these helpers serve tests,
 ``bench.py`` and small jobs.  Scratch data (materialised tables, sinks used
 by checks) lives below ``spark.checkpoint.dir`` — the shared folder a cluster
 names for this purpose.  A default under ``/tmp`` is set only when the
-session has none (local runs and tests).
+session has none (local runs and tests); on a cluster it must be named.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = None
     root = spark.conf.get(_CHECKPOINT_KEY, None) or (sc.getCheckpointDir() if sc else None)
     if not root:
+        if sc and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, root)
         if sc:
@@ -59,3 +62,27 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder name below the shared scratch folder."""
     return f"{checkpoint_root(spark)}/scriptorium/{name}-{uuid.uuid4().hex[:12]}"
+
+
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, once per application.
+
+    Functions sent to the executors refer to its modules by name.  Where the
+    package is not installed on the workers, Spark's own file server hands
+    them a zip of its sources (some kilobytes)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scriptorium_shipped", False):
+        return
+    name = os.path.basename(PACKAGE)
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(PACKAGE):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, PACKAGE)))
+    sc.addPyFile(path)
+    sc._scriptorium_shipped = True

@@ -1,16 +1,26 @@
-"""Analysis sink: one JSON record per paper.
-
-Records are JSON lines (the analysis keys in answer order plus
-``__metadata__``: processed_date, source_file), written in append mode into
-hash-bucket folders, rebalanced so that the number and size of files follow
-the data, not the number of tasks.  A paper written twice has two records; readers take the latest
-(``latest_analyses``), which is what overwriting the paper's file does in
-the original.  Appends are atomic per task through Spark's commit protocol,
-so a lost executor leaves no partial files behind.
+"""Analysis sink: one table, one write per batch.
+
+A row is the outcome of one paper in one batch: ``stem``, ``source_file``,
+``status``, ``error``, ``processed_at`` (a real timestamp), the record as JSON
+text (the analysis keys in answer order plus ``__metadata__``), and the folder
+column ``batch``.  A batch is written once, by one job, replacing whatever an
+earlier attempt of the same batch left behind (dynamic partition overwrite),
+so a replay neither repeats nor loses records.  Keys and records are read from
+the same rows: there is no moment at which one is there without the other.
+
+A paper written by several batches has several rows; readers take the latest
+(``latest_analyses``), which is what overwriting the paper's file does in the
+original.  Failed papers are rows with status ``error``: they are in the
+batch's report, but not among the processed keys, so the next run tries them
+again.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,71 +29,82 @@ from ..functions.answers import ANALYSIS_TYPE
 from ..functions.text import base_name, paper_stem
 from ..operators.merge import latest_by_key
 
-BUCKETS = 64
+SCHEMA = ("stem string, source_file string, status string, error string, processed_at timestamp, "
+          "value string, batch string")
 
 
-def record_json(analysis, source_file, run_ts) -> F.Column:
-    meta = F.to_variant_object(F.struct(F.lit(run_ts).cast("string").alias("processed_date"),
-                                        F.col(source_file).alias("source_file")))
+def record_json(analysis, source_file, processed_at) -> F.Column:
+    """The record; ``__metadata__`` holds processed_date and source_file."""
+    meta = F.to_variant_object(F.struct(
+        F.date_format(processed_at, "yyyy-MM-dd'T'HH:mm:ss").alias("processed_date"),
+        F.col(source_file).alias("source_file")))
     m = F.col(analysis) if isinstance(analysis, str) else analysis
     return F.to_json(F.map_concat(
         F.map_filter(m, lambda k, v: k != F.lit(fixed.METADATA_KEY)),
         F.create_map(F.lit(fixed.METADATA_KEY), meta)))
 
 
-KEYS_DIR = "_keys"  # names starting with "_" are skipped when the records are read
+def batch_name(run_ts: str) -> str:
+    """A new batch's name: the timestamp and a unique ending."""
+    return re.sub(r"[^0-9A-Za-z.-]", "_", run_ts) + "-" + uuid.uuid4().hex[:8]
+
 
+def save_outcomes(df: DataFrame, path: str, run_ts: str, batch: str | None = None, analysis: str = "analysis",
+                  source_file: str = "paper_name", status: str = "status", error: str = "error") -> str:
+    """Write one row per paper under ``path`` as ``batch`` (by default a new
+    one named after ``run_ts``, an ISO timestamp); returns the batch's name.
 
-def save_analyses(df: DataFrame, path: str, run_ts: str, analysis: str = "analysis",
-                  source_file: str = "paper_name", buckets: int = BUCKETS,
-                  materialized: bool = False) -> None:
-    """Append one record per row under ``path`` (bucket folders) and the
-    paper keys to ``path/_keys`` (parquet: stem, processed_date).
+    The rows are evaluated once.  ``rebalance`` lets file counts follow the
+    data, not the number of tasks."""
+    batch = batch or batch_name(run_ts)
+    at = F.lit(run_ts).cast("timestamp")
+    done = F.col(status) == fixed.STATUS_SUCCESS
+    out = df.select(
+        paper_stem(base_name(source_file)).alias("stem"), F.col(source_file).alias("source_file"),
+        F.col(status).alias("status"), F.col(error).alias("error"), at.alias("processed_at"),
+        F.when(done, record_json(analysis, source_file, at)).alias("value"), F.lit(batch).alias("batch"))
+    (out.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch").parquet(path))
+    return batch
 
-    Two outputs are written from the same rows, so the rows are checkpointed
-    first unless ``materialized`` says they already are: recomputing them
-    could repeat model calls.
-    """
-    if not materialized:
-        from ..session import checkpoint_root
-        checkpoint_root(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    stem = paper_stem(base_name(source_file))
-    out = df.select(F.pmod(F.xxhash64(stem), F.lit(buckets)).alias("bucket"),
-                    record_json(analysis, source_file, run_ts).alias("value"))
-    # rebalance: AQE gives each bucket its own tasks (splitting large ones,
-    # merging small ones), so a run writes a few well-sized files per bucket
-    # instead of one small file per task and bucket.
-    out.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").text(path)
-    keys = df.select(stem.alias("stem"), F.lit(run_ts).cast("string").alias("processed_date"))
-    keys.hint("rebalance").write.mode("append").parquet(f"{path}/{KEYS_DIR}")
+
+def save_analyses(df: DataFrame, path: str, run_ts: str, batch: str | None = None, analysis: str = "analysis",
+                  source_file: str = "paper_name") -> str:
+    """``save_outcomes`` of papers that all succeeded."""
+    ok = df.withColumn("_status", F.lit(fixed.STATUS_SUCCESS)).withColumn("_error", F.lit(None).cast("string"))
+    return save_outcomes(ok, path, run_ts, batch, analysis, source_file, "_status", "_error")
+
+
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Every row of the sink; no rows when nothing was ever written."""
+    try:
+        return spark.read.schema(SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
 
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
-    """Every saved record: stem, source_file, processed_date, analysis."""
-    raw = spark.read.text(path)
-    m = F.from_json(F.col("value"), ANALYSIS_TYPE)
-    meta = F.element_at(m, F.lit(fixed.METADATA_KEY))
-    src = F.try_variant_get(meta, "$.source_file", "string")
-    return raw.select(paper_stem(base_name(src)).alias("stem"), src.alias("source_file"),
-                      F.try_variant_get(meta, "$.processed_date", "string").alias("processed_date"),
-                      m.alias("analysis"))
+    """Every saved record: stem, source_file, processed_at, batch, analysis."""
+    rows = read_outcomes(spark, path).where(F.col("status") == fixed.STATUS_SUCCESS)
+    return rows.select("stem", "source_file", "processed_at", "batch", "value",
+                       F.from_json("value", ANALYSIS_TYPE).alias("analysis"))
 
 
 def latest_analyses(spark: SparkSession, path: str) -> DataFrame:
-    """The current record per paper: the latest write wins."""
-    return latest_by_key(read_analyses(spark, path), "stem", "processed_date")
+    """The current record per paper: the latest timestamp wins; equal ones go
+    to the later batch name, then file name, then record text."""
+    rows = read_outcomes(spark, path).where(F.col("status") == fixed.STATUS_SUCCESS)
+    latest = latest_by_key(rows.select("stem", "source_file", "processed_at", "batch", "value"), "stem",
+                           "processed_at", "batch", "source_file", "value")
+    return latest.withColumn("analysis", F.from_json("value", ANALYSIS_TYPE))
 
 
 def processed_keys(spark: SparkSession, path: str | None) -> DataFrame | None:
     """Stems that already have an output; ``None`` when there is no output
-    location (then nothing counts as processed).  Reads the key index (one
-    parquet column), not the records."""
+    location (then nothing counts as processed).  Two columns of the table
+    are read."""
     if path is None:
         return None
-    try:
-        return spark.read.parquet(f"{path}/{KEYS_DIR}").select("stem")
-    except Exception as e:  # no output written yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return spark.createDataFrame([], "stem string")
-        raise
+    return read_outcomes(spark, path).where(F.col("status") == fixed.STATUS_SUCCESS).select("stem")

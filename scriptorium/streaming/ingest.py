@@ -1,49 +1,48 @@
 """Incremental ingestion with Structured Streaming.
 
-The original skips a paper when its output file exists.  Here a file
-stream over the input folder (explicit schema, ``Trigger.AvailableNow``)
-hands each new batch to ``foreachBatch``: an anti-join against the keys
-already in the sink, the flow, and an append to the sink.  The checkpoint
-remembers which input files were consumed, the anti-join makes a replayed
-batch (after a failure between the sink write and the checkpoint commit)
-harmless, so every paper is written once.
+The original skips a paper when its output file exists.  Here a file stream
+over the input folder (explicit schema, ``Trigger.AvailableNow``) hands each
+new batch to ``foreachBatch``, which is ``run_batch``: skip what the sink
+already holds, run the flow, store every outcome in one write.  The sink's
+batch is named after the stream's id and the batch number, so a batch that is
+replayed replaces its own rows; a stream with a new checkpoint has a new id
+and finds the stored papers by their keys.  Failed papers are stored as errors
+only and come up again when their file is read again (``run_batch`` over the
+folder, or a new checkpoint).
 """
 
 from __future__ import annotations
 
-from typing import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import fixed
-from ..functions.text import base_name, paper_stem
-from ..operators.joins import skip_processed
-from ..plans.flows import Responder, flow_first_chunk
-from ..sources import sink
+from ..plans.flows import Responder, run_batch
+from ..plans.settings import JobSettings
 
 DOC_SCHEMA = "doc_id bigint, paper_name string, text string"
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, respond: Responder,
-                  chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, run_ts: str | None = None,
-                  schema: str = DOC_SCHEMA,
-                  flow: Callable[..., DataFrame] = flow_first_chunk,
-                  max_files_per_trigger: int | None = None) -> None:
-    """Process every new parquet file of ``in_dir`` once and append the
-    analyses to ``out_dir``; returns when all available input is done.
+                  chunk_size: int | None = None, run_ts: str | None = None,
+                  schema: str = DOC_SCHEMA, flow: str = "first_chunk",
+                  max_files_per_trigger: int | None = None, settings: JobSettings | None = None) -> None:
+    """Process every new parquet file of ``in_dir`` once and store the
+    outcomes in ``out_dir``; returns when all available input is done.
     ``max_files_per_trigger`` bounds each micro-batch when a large backlog
-    arrives (AvailableNow still drains all of it)."""
+    arrives (AvailableNow still drains all of it).  ``run_ts`` stamps the
+    records (by default the time of the batch)."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(in_dir)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        files = df.withColumn("stem", paper_stem(base_name("paper_name")))
-        todo = skip_processed(files, sink.processed_keys(spark, out_dir))
-        result = flow(todo, respond, chunk_size)
-        ts = run_ts or f"epoch-{epoch_id:012d}"
-        sink.save_analyses(result.select("paper_name", "analysis"), out_dir, run_ts=ts)
+        session = df.sparkSession
+        stream_id = session.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        at = run_ts or datetime.now(timezone.utc).isoformat(timespec="microseconds")
+        run_batch(df, respond, out_dir, at, chunk_size, flow=flow, settings=settings,
+                  batch=f"{stream_id}-{epoch_id:012d}")
 
     query = (stream.writeStream.foreachBatch(batch)
              .option("checkpointLocation", checkpoint)

@@ -1,82 +1,176 @@
+"""Answers, prompts, merge and reports: written-out expectations."""
+
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import answers as an
+from scriptorium.functions import fixed
 from scriptorium.functions import prompts as pr
 from scriptorium.operators import merge as mg
 from scriptorium.operators import report as rp
 from scriptorium.operators import responses as rs
-from tests import models
 
 J = '{"nombre":"P","resumen":"R","exito":true,"performance":0.5,"extra":["a","b"]}'
-CONTENTS = ["```json\n" + J + "\n```", J, "```\n" + J + "\n```", "x ```json" + J + "``` y ```json {} ```",
-            " plain prose ", '{"nombre":"","resumen":"r","exito":false}', "[1,2]", "```python\n" + J + "```",
-            None, "{}", "null", '"text"', "1", "```json\n" + J, J + " trailing", "0]", "1,2]x", "[1] ]",
-            '{"a":1}}', '{"nombre":0}',
-            '{"nombre":[]}', '{"nombre":null,"a":1}', '{"nombre":false}', '"has nombre inside"']
+T = "```"
+
+# content -> (branch, nombre, keys)
+ALL = "nombre,resumen,exito,performance,extra"
+FALLBACK = ("fallback", "doc.pdf", "nombre,resumen,resultados,exito,performance")
+ERROR = ("error", "doc.pdf", "nombre,error,resumen,resultados,exito,performance")
+ANSWERS = {
+    T + "json\n" + J + "\n" + T: ("parsed", "P", ALL),
+    J: ("parsed", "P", ALL),
+    T + "\n" + J + "\n" + T: ("parsed", "P", ALL),
+    "x " + T + "json" + J + T + " y " + T + "json {} " + T: ("parsed", "P", ALL),
+    T + "json\n" + J: ("parsed", "P", ALL),
+    " plain prose ": FALLBACK,
+    T + "python\n" + J + T: FALLBACK,
+    J + " trailing": FALLBACK,
+    "0]": FALLBACK, "1,2]x": FALLBACK, "[1] ]": FALLBACK, '{"a":1}}': FALLBACK, "": FALLBACK,
+    '{"nombre":"","resumen":"r","exito":false}': ("parsed", "doc.pdf", "nombre,resumen,exito"),
+    "{}": ("parsed", "doc.pdf", "nombre"),
+    '{"nombre":0}': ("parsed", "doc.pdf", "nombre"),
+    '{"nombre":[]}': ("parsed", "doc.pdf", "nombre"),
+    '{"nombre":null,"a":1}': ("parsed", "doc.pdf", "nombre,a"),
+    '{"a":1,"nombre":false}': ("parsed", "doc.pdf", "a,nombre"),
+    '{"a":1}': ("parsed", "doc.pdf", "a,nombre"),
+    '{"nombre":["x"]}': ("parsed", '["x"]', "nombre"),
+    "[1,2]": ERROR, "null": ERROR, '"text"': ERROR, "1": ERROR, '"has nombre inside"': ERROR, None: ERROR,
+}
 
 
-def test_parse_branches_and_name(spark):
-    df = spark.createDataFrame([(i, c, "doc.pdf") for i, c in enumerate(CONTENTS)],
+def _parse(spark, contents):
+    df = spark.createDataFrame([(i, c, "doc.pdf") for i, c in enumerate(contents)],
                                "i int, content string, paper_name string")
-    out = rs.analysis_columns(rs.parse_response(df)).orderBy("i").collect()
-    for r, c in zip(out, CONTENTS):
-        branch, obj = models.parse(c, "doc.pdf")
-        assert r.branch == branch, (c, r.branch)
-        if branch == "parsed":
-            assert r.keys.split(",") == list(obj.keys())
-            assert r.nombre == (obj["nombre"] if isinstance(obj["nombre"], str) else json.dumps(obj["nombre"]))
-        if branch == "fallback":
-            assert r.resumen == c.strip()
-        if branch == "error":
-            assert r.error.startswith("Error al procesar la respuesta: ")
-
-
-def test_error_messages(spark):
-    df = spark.createDataFrame([(0, None), (1, "[1]"), (2, '"abc"'), (3, '"xnombre"'), (4, "1"), (5, "1.5"),
-                                (6, "true"), (7, "null")], "i int, content string")
-    got = [r.error for r in rs.analysis_columns(rs.parse_response(df.withColumn("paper_name", F.lit("n"))))
-           .orderBy("i").collect()]
-    msgs = []
-    for c in [None, "[1]", '"abc"', '"xnombre"', "1", "1.5", "true", "null"]:
-        try:
-            if c is None:
-                "```json" in c  # noqa: B015 - raises like the original
-            a = json.loads(c)
-            if "nombre" not in a or not a["nombre"]:
-                a["nombre"] = "n"
-        except TypeError as e:
-            msgs.append("Error al procesar la respuesta: " + str(e))
-    assert got == msgs
-
-
-def test_truncate_edges(spark):
-    L = 50
-    cases = ["x" * L, "x" * (L + 1), "a-----b" + "y" * 60, "h-----" + "b" * 80 + "-----t",
-             "h-----" + "b" * 80 + "-----t-----four-----five", "H" * 30 + "-----" + "b" * 40 + "-----" + "T" * 30]
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, p string")
-    got = [r[0] for r in df.orderBy("i").select(pr.truncate_prompt("p", L)).collect()]
-    assert got == [models.truncate(c, L) for c in cases]
-
-
-def test_merge_matches_fold(spark):
-    groups = {1: [("s", "a")], 2: [("s", "a"), ("s", "b")], 3: [("s", "a"), ("n", None)],
-              4: [("n", None), ("s", "b")], 5: [("n", "7"), ("s", "x"), ("s", "y")], 6: [("n", "1"), ("n", "2")]}
-    rows = [(g, "k", i, kind == "s", v) for g, items in groups.items() for i, (kind, v) in enumerate(items)]
+    return rs.analysis_columns(rs.parse_response(df)).orderBy("i").collect()
+
+
+def test_parse_table(spark):
+    for r, (content, want) in zip(_parse(spark, ANSWERS), ANSWERS.items()):
+        assert (r.branch, r.nombre, r.keys) == want, content
+        if r.branch == "fallback":
+            assert r.resumen == content.strip()
+
+
+@pytest.mark.parametrize("content,message", [
+    (None, fixed.ERROR_NONE_CONTENT), ("[1]", fixed.ERROR_LIST), ('"abc"', fixed.ERROR_STR_ASSIGN),
+    ('"xnombre"', fixed.ERROR_STR_INDEX), ("1", fixed.ERROR_NOT_ITERABLE.format("int")),
+    ("1.5", fixed.ERROR_NOT_ITERABLE.format("float")), ("true", fixed.ERROR_NOT_ITERABLE.format("bool")),
+    ("null", fixed.ERROR_NOT_ITERABLE.format("NoneType"))])
+def test_error_messages(spark, content, message):
+    assert [r.error for r in _parse(spark, [content])] == [fixed.ERROR_PREFIX + message]
+
+
+def test_fenced_json_table(spark):
+    rows = {"no fence": "no fence", f"{T}json a {T}": "a", f"x{T}json\n{{}}\n{T} y": "{}", f"{T} b {T} c": "b",
+            f"{T}json a": "a", f"{T}": "", f"{T}json a{T}json b {T}": "a", f"p {T}q{T}json r {T}": "r",
+            f"{T}`json a": "a", f"{T}json\xa0a\xa0{T}": "a", "``": "``"}
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, c string")
+    got = [r[0] for r in df.orderBy("i").select(an.fenced_json("c")).collect()]
+    assert got == list(rows.values())
+
+
+def test_truncate_table(spark):
+    rows = {"x" * 50: "x" * 50, "x" * 51: "x" * 50,
+            "a-----b" + "y" * 60: ("a-----b" + "y" * 60)[:50],
+            "h-----" + "b" * 80 + "-----t": "h-----" + "b" * 38 + "... [texto truncado]-----t",
+            "h-----" + "b" * 80 + "-----t-----four-----five": "h-----" + "b" * 38 + "... [texto truncado]-----t",
+            # heads that leave a negative budget drop that many characters from the end of the body
+            "H" * 30 + "-----" + "b" * 40 + "-----" + "T" * 30:
+                "H" * 30 + "-----" + "b" * 20 + "... [texto truncado]-----" + "T" * 30}
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, p string")
+    got = [r[0] for r in df.orderBy("i").select(pr.truncate_prompt("p", 50)).collect()]
+    assert got == list(rows.values())
+
+
+def test_prompts_keep_slots_and_keys(spark):
+    df = spark.createDataFrame([("BODY", "other")], "t string, s string")
+    one = df.select(pr.analysis_prompt("t"), pr.section_prompt("t", "s"), pr.comparison_prompt("t", "s"),
+                    pr.chunk_prompt("t", F.lit("LABEL"), F.lit("final"))).collect()[0]
+    analysis, section, comparison, chunk = one
+    assert analysis.split("-----")[1] == "\nBODY\n" and len(analysis.split("-----")) == 3
+    assert all(k in analysis for k in ("nombre", "resumen", "resultados", "exito", "performance"))
+    assert "other" in section.split("-----")[0] and section.split("-----")[1] == "\nBODY\n"
+    assert [comparison.split("-----")[k] for k in (1, 3)] == ["\nBODY\n", "\nother\n"]
+    assert "LABEL" in chunk and all(k in chunk for k in ("conclusiones", "limitaciones", "trabajo_futuro"))
+
+
+def test_merge_table(spark):
+    # position, is a string, value
+    groups = {1: [(0, True, "a")], 2: [(0, True, "a"), (1, True, "b")], 3: [(0, True, "a"), (1, False, None)],
+              4: [(0, False, None), (1, True, "b")], 5: [(0, False, "7"), (1, True, "x"), (2, True, "y")],
+              6: [(0, False, "1"), (1, False, "2")], 7: [(5000, True, "late"), (3, True, "early"), (4, False, "n")]}
+    want = {1: ("a", True), 2: ("a\n\nb", True), 3: (None, False), 4: ("b", True), 5: ("x\n\ny", True),
+            6: ("2", False), 7: ("late", True)}
+    rows = [(g, "k", *item) for g, items in groups.items() for item in items]
     df = spark.createDataFrame(rows, "conv_id bigint, k string, seq bigint, is_str boolean, v string")
-    got = {r.conv_id: r.merged for r in mg.merge_results(df).collect()}
-    for g, items in groups.items():
-        want = models.merge([("k", v if kind == "s" else ("N", v)) for kind, v in items])["k"]
-        assert got[g] == (want[1] if isinstance(want, tuple) else want)
+    for width in (1024, 2):
+        got = {r.conv_id: (r.merged, r.merged_is_str) for r in mg.merge_results(df, bucket_width=width).collect()}
+        assert got == want
+
+
+def _analyses(spark, items):
+    df = spark.createDataFrame(list(enumerate(items)), "i int, js string")
+    return df.withColumn("analysis", F.from_json("js", "map<string,variant>"))
+
+
+def test_python_rendering_of_values(spark):
+    values = [["a", "b"], {"k": [1, None, True, False, 0.5]}, [], {}, ["it's", 'say "x"', "both ' and \""],
+              ["line\nbreak\tand \\ slash"], "plain", None, True, 3, [["n"], {"a": {"b": "c"}}]]
+    df = _analyses(spark, [json.dumps({"v": v}) for v in values])
+    got = [r[0] for r in df.orderBy("i").select(an.py_str(an.field(F.col("analysis"), "v"))).collect()]
+    assert got == [str(v) for v in values]
+
+
+def test_report_and_block(spark):
+    items = ['{"nombre":"N","resumen":"S","resultados":["r1","r2"],"exito":true,"performance":null}', "{}",
+             '{"exito":false,"k":"v","resumen":""}', '{"exito":null}', '{"exito":"false","l":[1]}']
+    rows = rp.human_report(_analyses(spark, items)).withColumn(
+        "block", mg.consolidation_block("i", "analysis")).orderBy("i").collect()
+    rule = "=" * 54
+    assert rows[0].report == (f"\nANÁLISIS DEL PAPER: N\n{rule}\n\nRESUMEN:\nS\n\nPRINCIPALES RESULTADOS:\n['r1', 'r2']"
+                              "\n\nÉXITO DEL PAPER: Sí\n\nMÉTRICAS DE RENDIMIENTO:\nNone\n")
+    assert rows[1].report == (f"\nANÁLISIS DEL PAPER: Paper sin título\n{rule}\n\nRESUMEN:\nNo hay resumen disponible"
+                              "\n\nPRINCIPALES RESULTADOS:\nNo hay resultados disponibles\n\nÉXITO DEL PAPER: "
+                              "No determinado\n\nMÉTRICAS DE RENDIMIENTO:\nNo especificado\n")
+    labels = [r.report.split("ÉXITO DEL PAPER: ")[1].split("\n")[0] for r in rows]
+    assert labels == ["Sí", "No determinado", "No", "No determinado", "Sí"]
+    assert rows[0].block == "\nPARTE 1:\nResumen: S\nResultados: ['r1', 'r2']\n"
+    assert rows[1].block == "\nPARTE 2:\nResumen: No disponible\nResultados: No disponible\n"
+    assert rows[2].block == "\nPARTE 3:\nResumen: \nResultados: No disponible\nk: v\n"
+    assert rows[4].block == "\nPARTE 5:\nResumen: No disponible\nResultados: No disponible\nl: [1]\n"
 
 
-def test_human_report_success_label(spark):
-    an = ['{"exito":true}', '{"exito":false}', '{"exito":null}', "{}", '{"exito":"false"}']
-    df = spark.createDataFrame([(i, a) for i, a in enumerate(an)], "i int, js string")
-    df = df.withColumn("analysis", F.from_json("js", "map<string,variant>"))
-    labels = [r.report.split("ÉXITO DEL PAPER: ")[1].split("\n")[0]
-              for r in rp.human_report(df).orderBy("i").collect()]
-    assert labels == ["Sí", "No", "No determinado", "No determinado", "Sí"]
+def test_structure_text_table(spark):
+    cols = "i int, title string, authors string, arxiv_id string, section string, chunk_part string, total_chunks int"
+    rows = {(0, "", "", "", None, None, None): "body",
+            (1, "T", "", "", None, None, None): "Título: T\n\n\nbody",
+            (2, "T", "A", "x1", "abstract", "2", 3):
+                "Título: T\nAutores: A\nArXiv ID: x1\nSección: abstract\nParte: 2\nTotal de partes: 3\n\n\nbody",
+            (3, "", "", "", "", None, 4): "Sección: \nTotal de partes: 4\n\n\nbody"}
+    df = spark.createDataFrame(list(rows), cols).withColumn("text", F.lit("body"))
+    got = [r[0] for r in df.orderBy("i").select(pr.structure_text(
+        "text", "title", "authors", "arxiv_id", "section", "chunk_part", "total_chunks")).collect()]
+    assert got == list(rows.values())
+
+
+def test_summary_listing_table(spark):
+    schema = "status string, nombre string, error string"
+
+    def text(runs):
+        lines = rp.summary_listing(spark.createDataFrame(runs, schema)).collect()
+        return [r.line for r in sorted(lines, key=lambda r: (r.block, r.sort_key or "", r.n))]
+
+    assert text([]) == ["No se procesaron archivos."]
+    head = ["Procesamiento completado.", "Total procesados: 3", "Exitosos: 2", "Con errores: 1", "",
+            "Papers procesados exitosamente:", "- Desconocido", "- b"]
+    assert text([("success", "b", None), ("error", "c", None), ("success", None, None)]) == \
+        head + ["", "Papers con errores:", "- c: Error desconocido"]
+    assert text([("error", "a", "boom")]) == [
+        "Procesamiento completado.", "Total procesados: 1", "Exitosos: 0", "Con errores: 1", "", "",
+        "Papers con errores:", "- a: boom"]
 
 
 def test_first_success(spark):
@@ -85,3 +179,8 @@ def test_first_success(spark):
     df = spark.createDataFrame(rows, "request_id bigint, attempt int, ok boolean, content string")
     got = {r.request_id: (r.attempt, r.ok, r.content) for r in rs.first_success(df).collect()}
     assert got == {1: (2, True, "ok2"), 2: (3, False, "e3")}
+
+
+def test_latest_by_key_breaks_ties(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 5, "w")], "k string, s int, v string")
+    assert {r.k: r.v for r in mg.latest_by_key(df, "k", "s", "v").collect()} == {"a": "z", "b": "w"}

@@ -18,17 +18,28 @@ def test_sink_latest_wins_and_keys(spark):
                                          ("/in/b.PDF", '{"resumen":"b"}')]), path, "2026-01-01T00:00:00")
     sink.save_analyses(_analyses(spark, [("/in/a.pdf", '{"resumen":"new","k":[1]}')]), path,
                        "2026-01-02T00:00:00")
-    latest = {r.stem: r.source_file for r in sink.latest_analyses(spark, path).collect()}
-    assert set(latest) == {"a", "b"}
-    rec = spark.read.text(path).collect()
-    assert len(rec) == 3
-    got = sink.latest_analyses(spark, path).select(
-        "stem", F.to_json("analysis").alias("j")).collect()
-    by = {r.stem: r.j for r in got}
+    assert sink.read_analyses(spark, path).count() == 3
+    by = {r.stem: r.value for r in sink.latest_analyses(spark, path).collect()}
+    assert set(by) == {"a", "b"}
     assert by["a"].startswith('{"resumen":"new","k":[1],"__metadata__":')
+    assert '"processed_date":"2026-01-02T00:00:00"' in by["a"]
     assert sorted(r.stem for r in sink.processed_keys(spark, path).distinct().collect()) == ["a", "b"]
 
 
+def test_sink_ties_replays_and_missing_folder(spark):
+    path = scratch_path(spark, "test-sink")
+    assert sink.processed_keys(spark, path).count() == 0 and sink.latest_analyses(spark, path).count() == 0
+    rows = [("/in/a.pdf", '{"resumen":"1"}'), ("/x/a.pdf", '{"resumen":"2"}')]
+    for _ in range(2):  # a replayed batch replaces its own rows
+        sink.save_analyses(_analyses(spark, rows), path, "2026-01-01T00:00:00", batch="b1")
+    assert sink.read_analyses(spark, path).count() == 2
+    # equal timestamps: the later file name wins, whatever the order of the rows
+    assert [r.source_file for r in sink.latest_analyses(spark, path).collect()] == ["/x/a.pdf"]
+    # a stream's record does not beat a later one by its spelling
+    sink.save_analyses(_analyses(spark, [("/in/a.pdf", '{"resumen":"3"}')]), path, "2027-01-01T00:00:00", batch="a0")
+    assert ['"resumen":"3"' in r.value for r in sink.latest_analyses(spark, path).collect()] == [True]
+
+
 def test_no_output_location_keeps_everything(spark):
     files = spark.createDataFrame([("x",), ("y",)], "stem string")
     assert sink.processed_keys(spark, None) is None
@@ -50,13 +61,18 @@ def test_manifest_extension_case(spark):
     assert got == [("a.pdf", "a"), ("b.PDF", "b")]
 
 
-def test_skip_processed_large_done_set(spark, monkeypatch):
-    from scriptorium.operators import joins
-    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 1)
+def test_skip_processed_repeated_and_null_keys(spark):
     files = spark.createDataFrame([(s,) for s in "abcde"], "stem string")
     done = spark.createDataFrame([("a",)] * 50 + [("c",), (None,)], "stem string")
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_rows=1: False)
-    assert sorted(r.stem for r in joins.skip_processed(files, done).collect()) == ["b", "d", "e"]
+    assert sorted(r.stem for r in jn.skip_processed(files, done).collect()) == ["b", "d", "e"]
+
+
+def test_pairs_with_a_missing_paper(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    pairs = spark.createDataFrame([(1, 2), (2, 9)], "a_id bigint, b_id bigint")
+    assert jn.pair_papers(pairs, docs).count() == 1
+    got = {(r.a_id, r.b_id): (r.a_text, r.b_text) for r in jn.pair_papers(pairs, docs, keep_missing=True).collect()}
+    assert got == {(1, 2): ("a", "b"), (2, 9): ("b", None)}
 
 
 def test_scan_files_lists_pdfs_without_reading_them(spark, tmp_path):
@@ -90,7 +106,7 @@ def test_stream_in_small_batches_writes_each_paper_once(spark):
 
 def test_replayed_input_is_not_written_twice(spark):
     """A lost stream checkpoint replays every input file; the anti join
-    against the sink's key index keeps each paper's record single."""
+    against the sink's keys keeps each paper's record single."""
     from scriptorium.plans import flows as fl
     from scriptorium.streaming import ingest
     base = scratch_path(spark, "test-replay")
@@ -103,3 +119,22 @@ def test_replayed_input_is_not_written_twice(spark):
     ingest.ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt-2", respond, 100)
     stems = sorted(r.stem for r in sink.read_analyses(spark, f"{base}/out").collect())
     assert stems == [f"paper_{i}" for i in range(6)]
+
+
+def test_failed_papers_are_not_keys_and_are_tried_again(spark):
+    from scriptorium.plans import flows as fl
+    from scriptorium.streaming import ingest
+    base = scratch_path(spark, "test-outage")
+    docs = spark.createDataFrame([(i, f"paper_{i}.pdf", f"Text {i}. body") for i in range(4)],
+                                 "doc_id bigint, paper_name string, text string")
+    ingest.stage_documents(docs, f"{base}/in", parts=2)
+    outcome = [(i, '{"resumen":"r"}' if i % 2 else None, bool(i % 2), None if i % 2 else "down") for i in range(4)]
+    answers = spark.createDataFrame(outcome, "doc_id bigint, content string, ok boolean, call_error string")
+    ingest.ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c1", fl.table_responder(answers, ["doc_id"]), 100)
+    assert sorted(r.stem for r in sink.processed_keys(spark, f"{base}/out").collect()) == ["paper_1", "paper_3"]
+    assert sink.read_outcomes(spark, f"{base}/out").where("status = 'error'").count() == 2
+    well = answers.withColumn("ok", F.lit(True)).withColumn("content", F.lit('{"resumen":"late"}'))
+    ingest.ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/c2", fl.table_responder(well, ["doc_id"]), 100)
+    latest = {r.stem: r.value for r in sink.latest_analyses(spark, f"{base}/out").collect()}
+    assert sorted(latest) == [f"paper_{i}" for i in range(4)]
+    assert '"r"' in latest["paper_1"] and '"late"' in latest["paper_2"]

@@ -39,6 +39,20 @@ def test_chunking_adds_no_shuffle(spark):
     assert len(re.findall(r"\bExchange\b", tree)) == 1
 
 
-def test_small_done_set_is_broadcast(spark):
+def test_skip_processed_has_no_single_partition_limit(spark):
     txt = plan_text(entry.queries()["skip_processed"](spark, SF))
-    assert "BroadcastHashJoin" in txt and "LeftAnti" in txt
+    assert "LeftAnti" in txt and "Limit" not in txt and "SinglePartition" not in txt
+
+
+@pytest.mark.parametrize("name", ["section_cascade", "normalize_text", "skip_processed", "merge_results"])
+def test_building_a_query_runs_no_job(spark, name):
+    tracker, group = spark.sparkContext.statusTracker(), f"build-{name}"
+    entry.queries()[name](spark, SF)  # the tables' footers are read here
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        entry.queries()[name](spark, SF)
+        jobs = tracker.getJobIdsForGroup(group)
+        stages = sum(len(tracker.getJobInfo(j).stageIds) for j in jobs)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages <= 3  # schema reads only, one small stage each

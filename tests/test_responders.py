@@ -103,13 +103,54 @@ def test_run_batch_saves_successes_and_skips_them_next_time(spark):
             raise RuntimeError("service down")
         return '{"resumen": "ok"}'
 
-    results, summary = fl.run_batch(docs, call_responder(model), out, "2026-01-01T00:00:00", chunk_size=50)
+    results, summary = fl.run_batch(docs, call_responder(model, concurrency=4), out, "2026-01-01T00:00:00",
+                                    chunk_size=50)
     s = summary.collect()[0]
     assert (s.total, s.successes, s.errors) == (6, 5, 1)
     err = results.filter("status = 'error'").collect()
-    assert [(r.doc_id, r.error) for r in err] == [(3, "Error: service down")]
+    assert [(r.stem, r.nombre, r.error, r.output_path) for r in err] == [
+        ("paper_3", "paper_3.pdf", "Error: service down", None)]
+    assert {r.output_path for r in results.filter("status = 'success'").collect()} == {out}
     assert sorted(r.stem for r in sink.processed_keys(spark, out).collect()) == \
         ["paper_0", "paper_1", "paper_2", "paper_4", "paper_5"]
     results2, summary2 = fl.run_batch(docs, call_responder(lambda r: '{"resumen": "again"}'), out,
-                                      "2026-01-02T00:00:00", chunk_size=50)
-    assert [r.doc_id for r in results2.collect()] == [3]
+                                      "2026-01-02T00:00:00", chunk_size=50, flow="map_reduce")
+    assert [r.stem for r in results2.collect()] == ["paper_3"]
+
+
+def test_run_batch_takes_one_paper_per_stem_and_a_named_batch_once(spark):
+    from scriptorium.session import scratch_path
+    out = scratch_path(spark, "run-batch")
+    docs = spark.createDataFrame([(1, "/x/a.pdf", "One."), (2, "/x/a.PDF", "Two."), (3, "/x/b.pdf", "Three.")],
+                                 "doc_id bigint, paper_name string, text string")
+    answer = call_responder(lambda r: '{"resumen": "ok"}')
+    for stamp in ("2026-01-01T00:00:00", "2026-01-02T00:00:00"):
+        results, _ = fl.run_batch(docs, answer, out, stamp, batch="only")
+        assert sorted(r.paper_name for r in results.collect()) == ["/x/a.PDF", "/x/b.pdf"]
+
+
+def test_settings_reach_the_requests_and_cuts_are_told(spark):
+    from scriptorium.plans.settings import JobSettings
+
+    def model(request):
+        return '{"resumen": "%s %.1f %d"}' % (request["model"], request["temperature"], request["max_tokens"])
+
+    s = JobSettings(model="m", temperature=0.7, max_tokens=50, chunk_size=1000, prompt_limit=700)
+    rows = rs.analysis_columns(fl.flow_direct(_docs(spark), call_responder(model), settings=s)).collect()
+    assert {r.resumen for r in rows} == {"m 0.7 50"}
+    assert {r.doc_id: r.truncated for r in rows}[0] is False and {r.doc_id: r.truncated for r in rows}[5] is True
+    assert all(len(r.prompt) <= 700 + 40 for r in rows)
+
+
+def test_a_failed_chunk_fails_the_paper_without_a_second_request(spark):
+    def model(request):
+        prompt = request["messages"][1]["content"]
+        assert "PARTE 1:" not in prompt or "paper_5" not in prompt
+        if "Title 5" in prompt:
+            raise RuntimeError("down")
+        return '{"resumen": "r"}'
+
+    out = {r.doc_id: r for r in fl.flow_map_reduce(_docs(spark), call_responder(model, 1), chunk_size=40).collect()}
+    assert sorted(out) == list(range(6))
+    assert (out[5].ok, out[5].branch, out[5].call_error, out[5].analysis) == (False, "failed", "down", None)
+    assert out[4].ok and out[4].branch == "parsed"
