@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
-PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-
-
-def ship(spark: SparkSession) -> None:
-    """Let the Python workers import this package, once per application.
-
-    Functions sent to the executors refer to these modules by name.  Where
-    the package is not installed on the workers, Spark's own file server
-    hands them a zip of its sources (a few kilobytes)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_scriptorium_shipped", False):
-        return
-    name = os.path.basename(PACKAGE)
-    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}_src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(PACKAGE):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, PACKAGE)))
-    sc.addPyFile(path)
-    sc._scriptorium_shipped = True
+from ..session import scratch_path, ship
+
+__all__ = ["blocks_of", "components", "runs", "ship", "slices", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

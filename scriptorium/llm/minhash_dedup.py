@@ -19,12 +19,12 @@ a lost executor repeats only its own tasks):
    centre.  So the members of every bucket that still spans several
    components are compared by signature: dealt into blocks, one pair of blocks
    per task unit, only pairs of different components whose estimated
-   similarity comes within ``margin`` of the threshold leave the unit, and
-   they are confirmed like the others.  A bucket of any size is spread over
+   similarity comes within ``margin`` of the threshold leave the unit, each
+   from the first bucket it shares, and they are confirmed like the others.  A bucket of any size is spread over
    the cluster, none is cut short, and its pairs are never written out.
 
 A pair at exactly 85 % shares a bucket with probability 1 - 3e-7 and passes
-the estimate with probability 1 - 5e-5 (192 parts, margin 0.1).
+the estimate with probability 1 - 3e-5 (512 parts, margin 0.065).
 
 Defined results: a NULL, empty or blank text has the empty set, links with
 nothing and is kept.  A row without id takes no part in links
@@ -43,9 +43,10 @@ from . import shingles as sh
 from .common import components, runs, ship, slices, written
 
 BANDS, ROWS = 32, 6
-MARGIN = 0.1  # below the threshold, for estimates from the signature
+PARTS = 512  # of the signature that estimates similarity within a bucket
+MARGIN = 0.065  # below the threshold, for those estimates: over four standard deviations
 BLOCK = 512  # members of a bucket compared in one unit
-STAR_BLOCK = 2048  # members compared with one shipped copy of a centre's set
+STAR_BLOCK = 512  # members compared with one shipped copy of a centre's set
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bands: int = BANDS,
@@ -67,20 +68,21 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bands:
     return src.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame, id_col: str, text: str, bins: int) -> DataFrame:
+def shingle_table(docs: DataFrame, ids: DataFrame, id_col: str, text: str, bands: int, rows: int) -> DataFrame:
     """doc, shingles (the whole set as uint64 bytes), signature (the low byte
-    of each part) of ``ids``."""
+    of each of ``PARTS`` parts), bands (int64 bytes) of ``ids``."""
     def run(batches):
         for pdf in slices(batches):
             with np.errstate(over="ignore"):
                 sets = [sh.shingle_set(t) for t in pdf["text"]]
-                low = sh.signatures(sets, bins).astype(np.uint8)
+                low = sh.signatures(sets, PARTS).astype(np.uint8)
+                keys = sh.band_hashes(sh.signatures(sets, bands * rows), rows)
             yield pd.DataFrame({"doc": pdf["doc"], "shingles": [s.tobytes() for s in sets],
-                                "signature": [r.tobytes() for r in low]})
+                                "signature": [r.tobytes() for r in low], "bands": [k.tobytes() for k in keys]})
 
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     return src.join(ids, "doc", "left_semi").mapInPandas(
-        run, "doc long, shingles binary, signature binary")
+        run, "doc long, shingles binary, signature binary, bands binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -93,6 +95,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     size = written(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR_BLOCK).alias("blocks")), "stars")
     dealt = (pairs.join(size, "centre")
              .select("centre", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).alias("block")))
+    sets = sets.select("doc", "shingles")
     members = (dealt.join(sets, dealt["member"] == sets["doc"])
                .select("centre", "block", "member", "shingles"))
     heads = size.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -120,8 +123,9 @@ def alike(cells: DataFrame, percent: int, margin: float) -> DataFrame:
     """Pairs (centre, member) of different components with similar signatures,
     from sorted cells (bucket, lo, hi)."""
     def run(batches):
-        for (_, lo, hi), pdf in runs(batches, ["bucket", "lo", "hi"]):
+        for (bucket, lo, hi), pdf in runs(batches, ["bucket", "lo", "hi"]):
             sig = np.stack([np.frombuffer(s, np.uint8) for s in pdf["signature"]])
+            keys = np.stack([np.frombuffer(s, np.int64) for s in pdf["bands"]])
             doc, comp = pdf["doc"].to_numpy(), pdf["component"].to_numpy()
             size, block = pdf["n_shingles"].to_numpy(), pdf["block"].to_numpy()
             right = np.flatnonzero(block == hi)
@@ -133,6 +137,7 @@ def alike(cells: DataFrame, percent: int, margin: float) -> DataFrame:
                 if lo == hi:
                     others = others[others > i]
                 close = others[(sig[others] == sig[i]).sum(1) >= least]
+                close = close[keys[i][(keys[close] == keys[i]).argmax(1)] == bucket]
                 a += np.minimum(doc[i], doc[close]).tolist()
                 b += np.maximum(doc[i], doc[close]).tolist()
             if a:
@@ -165,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     weight = written(in_shared.groupBy("doc").agg(F.sum("size").alias("weight")), "weights")
     members = written(in_shared.join(weight, "doc")
                       .select("bucket", "doc", "n_shingles", "weight"), "buckets")
-    sets = written(shingle_table(docs, weight.select("doc"), id_col, text, bands * rows), "sets")
+    sets = written(shingle_table(docs, weight.select("doc"), id_col, text, bands, rows), "sets")
 
     def can_link(a, b):  # the smaller set must reach percent of the larger one
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -185,9 +190,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         .where("least <> most").select("bucket", "blocks"), "open")
     dealt = placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = (dealt.join(sets.select(F.col("doc").alias("_doc"), "signature"), F.col("doc") == F.col("_doc"))
+    cells = (dealt.join(sets.select(F.col("doc").alias("_doc"), "signature", "bands"), F.col("doc") == F.col("_doc"))
              .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                     "block", "doc", "component", "n_shingles", "signature")
+                     "block", "doc", "component", "n_shingles", "signature", "bands")
              .repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi"))
     more = written(confirmed(alike(cells, percent, margin), sets, percent), "links")
     labels = components(links.unionByName(more))
