@@ -42,7 +42,7 @@ from . import chunk_ids
 from .common import blocks_of, ship, slices, written
 
 LENGTH = 2048
-PER_SHARD = 8192
+PER_SHARD = 2048
 ROUNDS = 6
 KEY = 0x5EED0F7A11A9C0DE
 SEPARATOR = "\n"

@@ -64,26 +64,27 @@ def cascade_sql(src: str, key: str = "doc_id", text: str = "text") -> str:
     return "WITH " + ",\n".join(steps) + "\n" + "\nUNION ALL\n".join(parts)
 
 
-_PASS1 = "|".join(alt for p in SEGMENT_PATTERNS.values() for alt in p.split("|")
-                  if alt != "discussion").replace(r"\s", WS_CLASS)
-
-
 def segments_sql(src: str, key: str = "doc_id", text: str = "text") -> str:
-    """All heading segments: key, seq, section, start_pos, text."""
-    marked = (f"regexp_replace(regexp_replace({text}, '(?i)(?:{_PASS1})', chr(1) || '\\0', 'g'), "
-              f"'(?i)discussion', chr(1) || '\\0', 'g')")
-    h = "lower(substr(seg, 1, 3))"
-    h1 = "lower(substr(seg, 1, 1))"
-    name = (f"CASE WHEN {h} = 'abs' THEN 'abstract' WHEN {h} = 'app' THEN 'methodology' "
-            f"WHEN {h1} IN ('m', '2') THEN 'methodology' WHEN {h1} IN ('i', '1') THEN 'introduction' "
-            f"WHEN {h} = 'res' THEN 'results' WHEN {h1} IN ('e', '3') THEN 'results' "
-            f"WHEN {h} = 'ref' THEN 'references' WHEN {h1} = 'b' THEN 'references' "
-            f"WHEN {h1} IN ('c', 'd', '4') THEN 'conclusion' END")
+    """All heading segments: key, seq, section, start_pos, text.
+
+    Stated per pattern: its hits one after another, each starting after the
+    texts between the hits and the hits before it; of two patterns that hit at
+    one place the later one names the segment, which runs to the next start."""
+    hits = "\nUNION ALL\n".join(
+        f"SELECT {key}, {text} AS t, '{name}' AS section, {i} AS ord, "
+        f"string_split_regex({text}, '(?i){pattern(p)}') AS gaps, "
+        f"regexp_extract_all({text}, '(?i){pattern(p)}') AS hits FROM docs"
+        for i, (name, p) in enumerate(SEGMENT_PATTERNS.items()))
+    before = ("list_transform(range(1, len(hits) + 1), lambda k: "
+              "list_sum(list_transform(gaps[1:k], lambda x: length(x))) "
+              "+ coalesce(list_sum(list_transform(hits[1:k - 1], lambda y: length(y))), 0))")
     return f"""
-WITH m AS (SELECT {key}, string_split({marked}, chr(1)) AS parts FROM {src}),
-u AS (SELECT {key}, unnest(parts) AS seg, generate_subscripts(parts, 1) AS idx FROM m),
-o AS (SELECT *, coalesce(sum(length(seg)) OVER (PARTITION BY {key} ORDER BY idx
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos FROM u)
-SELECT {key}, CAST(idx - 1 AS BIGINT) AS seq, {name} AS section, CAST(start_pos AS BIGINT) AS start_pos,
-       {py_strip('seg')} AS text
-FROM o WHERE idx > 1"""
+WITH docs AS MATERIALIZED (SELECT {key}, {text} FROM {src}),
+h AS ({hits}),
+p AS (SELECT {key}, t, section, ord, unnest({before}) AS start_pos FROM h),
+d AS (SELECT {key}, start_pos, any_value(t) AS t, arg_max(section, ord) AS section FROM p GROUP BY {key}, start_pos),
+s AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start_pos) AS seq,
+             lead(start_pos) OVER (PARTITION BY {key} ORDER BY start_pos) AS stop FROM d)
+SELECT {key}, CAST(seq AS BIGINT) AS seq, section, CAST(start_pos AS BIGINT) AS start_pos,
+       {py_strip('substr(t, CAST(start_pos AS BIGINT) + 1, CAST(coalesce(stop, length(t)) - start_pos AS BIGINT))')} AS text
+FROM s"""
