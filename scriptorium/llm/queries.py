@@ -87,7 +87,56 @@ QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_t
                                    op5_best_fit_packing, op6_token_counts, op7_line_dedup, op8_language_id,
                                    op9_training_order, op10_chat_formatting)}
 
+_COMPONENT = """
+reach as (
+  select {id}, {id} as node from {nodes}
+  union
+  select r.{id}, l.b from reach r join links l on l.a = r.node),
+c as (select {id}, min(node) as component_id from reach group by {id})"""
+
 ORACLE: dict[str, str] = {
+    "op2_embedding_dedup": f"""
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+u as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from v
+      where len(v) > 0 and list_bool_and(list_transform(v, lambda x: x is not null and isfinite(x)))),
+links as (
+  select x.vec_id as a, y.vec_id as b from u x join u y on x.vec_id <> y.vec_id and len(x.v) = len(y.v)
+  where x.norm > 0 and y.norm > 0 and list_inner_product(x.v, y.v) / (x.norm * y.norm) >= 0.95),
+{_COMPONENT.format(id='vec_id', nodes='embeddings')}
+select c.vec_id, (select count(*) from links l where l.a = c.vec_id) as n_links, component_id,
+       c.vec_id = component_id as kept
+from c
+""",
+    "op3_topk_search": """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+s as (
+  select q.vec_id as query_id, e.vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score
+  from e q join e on q.vec_id <> e.vec_id and len(q.v) = len(e.v) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+""",
+    "op4_minhash_dedup": rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-]+') as w
+  from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+  from w),
+x as (select doc_id, len(s) as n, unnest(s) as shingle from s),
+p as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) + any_value(b.n) as total, count(*) as common
+  from x a join x b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from p where 100 * common >= 85 * (total - common)),
+{_COMPONENT.format(id='doc_id', nodes='documents')}
+select c.doc_id, cast(len(s.s) as bigint) as n_shingles, component_id, c.doc_id = component_id as kept
+from c join s on c.doc_id = s.doc_id
+""",
     "op7_line_dedup": f"""
 with l as (
   select doc_id, 's' || source as site, text, unnest(string_split(text, chr(10))) as line,
