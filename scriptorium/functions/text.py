@@ -27,9 +27,6 @@ WS_CHARS = "".join(chr(c) for c in (
      0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Characters kept by the cleaner: printable ASCII.
 NON_PRINTABLE = r"[^\x20-\x7E]"
-# Everything that is neither printable ASCII nor whitespace.
-NON_PRINTABLE_NON_WS = (r"[^\x20-\x7E\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-                        r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 DIGIT = r"\p{Nd}"
 # Non-ASCII whitespace; mapped to a space first, so the regexes below need
 # ASCII classes only (a negated class with wide Unicode ranges is tested
@@ -142,10 +139,6 @@ def token_estimate(c) -> Column:
     return F.floor(F.length(col_of(c)) / F.lit(fixed.CHARS_PER_TOKEN)).cast("bigint")
 
 
-def fits_one_chunk(c, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE) -> Column:
-    return token_estimate(c) <= F.lit(chunk_size)
-
-
 def base_name(c) -> Column:
     """``os.path.basename``: everything after the last ``/``."""
     return F.substring_index(col_of(c), "/", -1)

@@ -135,11 +135,6 @@ def fits_one_chunk_rows(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZ
     return est.filter(F.col("est_tokens") <= chunk_size)
 
 
-def first_chunk(chunks: DataFrame) -> DataFrame:
-    """Table form: the chunk with index 0 of each document."""
-    return chunks.filter(F.col("chunk_index") == 0)
-
-
 def chunk_role(chunks: DataFrame) -> DataFrame:
     """initial / middle / final by position (one chunk: initial)."""
     idx, total = F.col("chunk_index"), F.coalesce(F.col("total_chunks"), F.lit(1))
@@ -150,6 +145,6 @@ def chunk_role(chunks: DataFrame) -> DataFrame:
 def chunk_counts(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """Chunks per document, by arithmetic on section lengths: no chunk text
-    is built, nothing is exploded, no shuffle."""
+    is built, nothing is exploded, no shuffle.  A NULL text has none."""
     c = first_chunk_struct(text, chunk_size)["total_chunks"]
-    return df.select(key, F.coalesce(c, F.lit(1)).alias("n_chunks"))
+    return df.select(key, F.when(F.col(text).isNull(), 0).otherwise(F.coalesce(c, F.lit(1))).alias("n_chunks"))

@@ -889,6 +889,25 @@ def q_batch_summary(spark, sf_dir):
     return _batch(spark, sf_dir)[1]
 
 
+_LISTED_SQL = f"""
+SELECT f.doc_id, regexp_extract(f.path, '[^/]*$', 0) AS paper_name, g.text AS text, coalesce(n_pages, 0) AS n_pages
+FROM ({_FILES_SQL}) f LEFT JOIN (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS text, count(*) AS n_pages
+                                 FROM conversations GROUP BY conv_id) g ON f.doc_id = g.conv_id
+WHERE lower(regexp_extract(f.path, '[^/]*$', 0)) LIKE '%.pdf'"""
+
+
+@register("listed_papers", f"SELECT paper_name, {_STEM_SQL.replace('name', 'paper_name')} AS stem, "
+                           f"{dk.normalize('text')} AS text, n_pages FROM ({_LISTED_SQL})")
+def q_listed_papers(spark, sf_dir):
+    """Listing -> manifest -> page texts -> cleaned papers."""
+    files = fx.files(spark, sf_dir)
+    pages = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("page_no"), F.col("text").alias("page_text"))
+    pages = files.select("path", "doc_id").join(pages, F.col("doc_id") == F.col("conv_id"))
+    out = src_pages.listed_papers(files, pages)
+    return out.select("paper_name", "stem", tx.normalize_text("text").alias("text"), "n_pages")
+
+
 @register("incremental_ingest", f"""
 SELECT 'paper_' || CAST(doc_id AS VARCHAR) AS stem, branch, nombre, resumen, resultados, exito, performance,
        error, keys || ',__metadata__' AS keys FROM ({_parse_sql(f'(SELECT *, {_NAME_SQL} AS paper_name FROM ({_RESP_SQL}))', 'paper_name')})""")

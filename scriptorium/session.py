@@ -32,6 +32,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SCRIPTORIUM_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -60,8 +61,24 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder name below the shared scratch folder."""
-    return f"{checkpoint_root(spark)}/scriptorium/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder name below this application's scratch folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        app = "shared"
+    return f"{checkpoint_root(spark)}/scriptorium/{app}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to its scratch folder.  Results are
+    lazy and may still read it: call this once they are stored elsewhere."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
