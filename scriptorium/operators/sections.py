@@ -40,11 +40,6 @@ CASCADE_PATTERNS = {
 }
 
 
-def java_pattern(p: str) -> str:
-    """Case-insensitive pattern with Python's Unicode whitespace class."""
-    return "(?i)(?:" + p.replace(r"\s", WS_CLASS) + ")"
-
-
 _MARK = "\x01"  # cannot occur in cleaned text
 # Every heading alternative except "discussion": no hit of one of them can
 # start inside a hit of another, so one scan finds them all.  "discussion"
@@ -164,8 +159,20 @@ def cascade_array(c) -> Column:
     return let(col_of(c), _cascade)
 
 
+def _first_hit(low: Column, pattern: str) -> Column:
+    """1-based position of a pattern's first hit in lower-cased text, NULL if
+    none: the least over its alternatives.  Plain words are found by a byte
+    search, the rest by a regex that begins with a digit; either is several
+    times cheaper than one case-insensitive alternation."""
+    found = [F.instr(low, alt) if alt.isalpha() else F.regexp_instr(low, F.lit(alt.replace(r"\s", WS_CLASS)))
+             for alt in pattern.split("|")]
+    hits = [F.nullif(f, F.lit(0)) for f in found]
+    return F.least(*hits) if len(hits) > 1 else hits[0]
+
+
 def _cascade(t: Column) -> Column:
-    firsts = F.array(*[F.regexp_instr(t, F.lit(java_pattern(p))) for p in CASCADE_PATTERNS.values()])
+    firsts = let(F.lower(t), lambda low: F.array(
+        *[F.coalesce(_first_hit(low, p), F.lit(0)) for p in CASCADE_PATTERNS.values()]))
 
     def body(s):
         n = F.length(t)
