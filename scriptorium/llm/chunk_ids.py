@@ -19,8 +19,8 @@ import os
 import re
 from array import array
 
-CHUNKS = 250_000  # remembered per Python worker, about 200 bytes each
-PRETOKENS = 350_000
+CHUNKS = 350_000  # remembered per Python worker, about 200 bytes each
+PRETOKENS = 400_000
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{LATIN}]*")

@@ -37,6 +37,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 20_000  # pieces packed in one task
 OPEN_BELOW = 0.97  # bins filled less are opened again on the next level
+PARTNERS = 32  # emptiest and fullest bins that a giving bin tries exchanges with
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text",
@@ -96,7 +97,7 @@ def _exchange(bins: list[list[int]], lengths: np.ndarray, capacity: int, least:
         giver, changed = live[0], True
         while changed and bins[giver]:
             changed = False
-            for taker in reversed(live[1:]):
+            for taker in _partners(live):
                 room = capacity - fill[taker]
                 if room and fill[taker] >= fill[giver] and _improve(bins, lengths, fill, giver, taker, room):
                     changed = True
@@ -109,6 +110,13 @@ def _exchange(bins: list[list[int]], lengths: np.ndarray, capacity: int, least:
             live = sorted((b for b in live[1:] if fill[b] < capacity), key=lambda b: fill[b])
 
 
+def _partners(live: list[int]) -> list[int]:
+    """Bins to try, fullest first: the search looks at the fullest and the
+    emptiest ones, so its time stays linear where nothing combines."""
+    rest = live[1:]
+    return rest[::-1] if len(rest) <= 2 * PARTNERS else rest[:-PARTNERS - 1:-1] + rest[PARTNERS - 1::-1]
+
+
 def _improve(bins, lengths, fill, giver: int, taker: int, room: int) -> bool:
     """The exchange that moves most tokens from giver to taker, if any fits."""
     give = [(int(lengths[i]), (i,)) for i in bins[giver]]

@@ -131,9 +131,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
             import pyarrow as pa
             import zstandard
             unpack = zstandard.ZstdDecompressor().decompress
-            for batch in batches:
-                rows = [unpack(x).ljust(length * size, b"\xff") for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["shard", "record"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):  # a few megabytes of records at a time
+                    batch = whole.slice(at, 500)
+                    rows = [unpack(x).ljust(length * size, b"\xff") for x in batch.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())],
+                                                     names=["shard", "record"])
 
         start = F.broadcast(spark.createDataFrame(starts, "part int, start long"))  # one row per task of step 1
         (made.join(start, "part")
@@ -180,7 +183,7 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
                         ids = np.frombuffer(content, dtype, m["length"], k * m["stride"])
                         n = int(np.count_nonzero(ids != m["padding"]))
                         rows.append((slot, shard, n, content[k * m["stride"]:k * m["stride"] + n * m["bytes_per_id"]]))
-                    if len(rows) == 1024:
+                    if len(rows) == 500:
                         yield pd.DataFrame(rows, columns=["slot", "shard", "n_tokens", "ids"])
                         rows = []
                 if rows:

@@ -147,6 +147,7 @@ def test_exchange_beats_best_fit():
     """Best-fit decreasing needs five bins here; swaps reach the bound."""
     sizes = np.array([44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 20])
     assert sizes.sum() == 200 and len(packing.pack(sizes, 100)) == 2
+    assert len(packing.pack(np.full(20_000, 2100), 4096)) == 20_000  # nothing combines: told in linear time
     hard = np.array([6, 5, 5, 4, 4, 3, 3])  # capacity 10: 6+4, 5+5, 4+3+3
     assert len(packing.pack(hard, 10)) == 3
 
