@@ -38,8 +38,9 @@ from pyspark.sql import types as T
 from .common import ship
 
 MARK = "▁"
-CACHE = 400_000  # words, and pairs of pieces, kept per Python worker
-SLICE = 2000  # texts whose new words share one trie
+CACHE = 600_000  # words kept per Python worker, about 200 bytes each
+PAIRS = 400_000  # pairs of pieces kept per Python worker
+SLICE = 1000  # texts whose new words share one trie
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _UNIGRAM, _BPE = 1, 2
 
@@ -110,7 +111,7 @@ class Model:
             ends.setdefault(p[-2:], set()).add(len(p))
         self.ends = {e: sorted(n, reverse=True) for e, n in ends.items()}
         self.worst = min(self.scores, default=0.0) - 10.0  # the library's penalty for an unknown character
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by a * pieces + b
         self.surface = [p.replace(MARK, " ").encode("utf-8") if k == 1 else bytes([int(p[3:5], 16)]) if k == 6
                         else " ⁇ ".encode("utf-8") if k == 2 else b"" for p, k in zip(self.pieces, kinds)]
 
@@ -138,20 +139,20 @@ class Model:
 
     def _open(self, a: int, b: int) -> bool:
         """May piece ``b`` follow piece ``a`` (-1: the start or an unknown character)?"""
-        if len(self.fits) >= CACHE:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         if a < 0:
             ok = self.merged(self.pieces[b]) == [b]
         else:
             ok = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
-        self.fits[a, b] = ok
+        self.fits[a * len(self.pieces) + b] = ok
         return ok
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids (int32 bytes) of distinct words: one walk over their trie."""
         out: dict[str, bytes] = {}
         ids, ends, fits, scores = self.ids, self.ends, self.fits, self.scores
-        bpe, none, two = self.kind == _BPE, (), []
+        bpe, none, many = self.kind == _BPE, (), len(self.pieces)
         # By prefix length: the piece that the prefix ends in (-1 unknown character), where it starts, its score.
         last, back, best = [-1], [0], [0.0]
         before = ""
@@ -172,7 +173,7 @@ class Model:
                         continue
                     if bpe:
                         a = last[i - size]
-                        ok = fits.get((a, p))
+                        ok = fits.get(a * many + p)
                         if ok is None:
                             ok = self._open(a, p)
                         if ok:
@@ -209,34 +210,51 @@ class Model:
 
 
 @functools.lru_cache(2)
-def load(path: str) -> tuple[Model, dict[str, bytes]]:
-    return Model(path), {}
+def load(path: str) -> tuple[Model, dict[str, bytes], dict[str, bytes]]:
+    """The model, and the remembered words: those between single spaces
+    without their mark, all others as they are marked."""
+    return Model(path), {}, {}
+
+
+def _unknown(known: dict[str, bytes], texts: list[list[str]]) -> set[str]:
+    """Words not remembered.  A full memory keeps what these texts use, which
+    are the frequent words, and drops the rest."""
+    here = set().union(*texts)
+    if len(known) > CACHE:
+        kept = {w: known[w] for w in here if w in known}
+        known.clear()
+        known.update(kept)
+    return here.difference(known)
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each whole text, as int32 bytes."""
-    model, cache = load(path)
-    if len(cache) > CACHE:
-        cache.clear()
-    cut = []
+    model, spaced, marked = load(path)
+    cut, plain = [], []
     for t in texts:
+        simple = bool(t) and model.by_word and model.normaliser is None and model.prefix and "  " not in t \
+            and MARK not in t and t[0] != " " and t[-1] != " "
+        plain.append(simple)
         if not t:
             cut.append([])
-        elif model.by_word and model.normaliser is None and model.prefix and "  " not in t and MARK not in t \
-                and t[0] != " " and t[-1] != " ":
-            cut.append([MARK + w for w in t.split(" ")])
+        elif simple:
+            cut.append(t.split(" "))
         else:
-            marked = model.normal(t)
-            cut.append(_WORD.findall(marked) if model.by_word else [marked])
-    new = {w for ws in cut for w in ws if w not in cache}
+            m = model.normal(t)
+            cut.append(_WORD.findall(m) if model.by_word else [m])
+    new = _unknown(spaced, [c for c, p in zip(cut, plain) if p])
+    if new:
+        found = model.encode_words([MARK + w for w in new])
+        spaced.update((w[1:], ids) for w, ids in found.items())
+    new = _unknown(marked, [c for c, p in zip(cut, plain) if not p])
     if new:
-        cache.update(model.encode_words(list(new)))
-    return [b"".join(map(cache.__getitem__, ws)) for ws in cut]
+        marked.update(model.encode_words(list(new)))
+    return [b"".join(map((spaced if p else marked).__getitem__, c)) for c, p in zip(cut, plain)]
 
 
 def decode_ids(ids, path: str) -> str:
     """Text of one id sequence; the mark that stands before the first word goes."""
-    model, _ = load(path)
+    model = load(path)[0]
     text = b"".join(map(model.surface.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if model.prefix and text[:1] == " " else text
 
@@ -271,8 +289,9 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(lo, SLICE)
-                lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-                out = pa.array([decode_ids(x, model) if x else "" for x in lists], pa.string())
+                lists = batch.column(batch.schema.get_field_index(ids))
+                # one document's ids at a time become Python numbers
+                out = pa.array([decode_ids(x.values.to_pylist(), model) if x.is_valid else "" for x in lists], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, text])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
