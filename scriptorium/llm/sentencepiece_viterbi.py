@@ -287,11 +287,13 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
     def run(batches):
         import pyarrow as pa
         for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(lo, SLICE)
+            for first in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(first, SLICE)
                 lists = batch.column(batch.schema.get_field_index(ids))
+                values = lists.values.fill_null(load(model)[0].unknown).to_numpy(zero_copy_only=False)
+                at = lists.offsets.to_numpy()
                 # one document's ids at a time become Python numbers
-                out = pa.array([decode_ids(x.values.to_pylist(), model) if x.is_valid else "" for x in lists], pa.string())
+                out = pa.array([decode_ids(values[lo:hi].tolist(), model) for lo, hi in zip(at, at[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, text])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
