@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
 
-__all__ = ["blocks_of", "components", "runs", "ship", "slices", "table", "written"]
+__all__ = ["blocks_of", "components", "runs", "ship", "slices", "table", "whole_runs", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,3 +86,24 @@ def runs(batches, keys: list[str]):
             parts.append(pdf.iloc[lo:hi])
     if parts:
         yield current, pd.concat(parts) if len(parts) > 1 else parts[0]
+
+
+def whole_runs(batches, keys: list[str]):
+    """(rows, starts) from the sorted batches of a task: pandas frames that hold
+    whole runs of equal keys, and where each run starts.  For many short runs:
+    they come a batch at a time.  A run that a batch cuts waits for the next."""
+    import numpy as np
+    import pandas as pd
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+        last = starts[-1]
+        if last:
+            yield pdf.iloc[:last].reset_index(drop=True), starts[:-1]
+        rest = pdf.iloc[last:]
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True), np.zeros(1, np.int64)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cross_polytope as cp
-from .common import components, runs, ship, written
+from .common import components, ship, whole_runs, written
 
 BLOCK = 1024
 _PAIRS = 50_000  # linked pairs whose codes are compared at once
@@ -81,50 +81,80 @@ def _buckets(classes: DataFrame, tables: int, depth: int, probes: int) -> DataFr
     return classes.mapInPandas(run, "rep long, copies long, vector array<double>, codes array<long>")
 
 
-def _links(cells: DataFrame, tables: int, width: int, least: float) -> DataFrame:
-    """a, b, n: counts (b NULL) and forest edges (n NULL) of sorted cells."""
-    def edges_of(i, j, size):
-        """A spanning forest of the pairs, as (member, root)."""
-        root = np.arange(size)
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-        for x, y in zip(i.tolist(), j.tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        return [(x, find(x)) for x in range(size) if find(x) != x]
+class _Unit:
+    """Counts and forest of the linked pairs of some rows, pair by pair only
+    where rows are linked."""
+
+    def __init__(self, pdf: pd.DataFrame, tables: int, width: int, least: float):
+        self.x = cp.unit_rows(np.stack(pdf["vector"].tolist()), len(pdf["vector"].iat[0]))
+        self.codes = np.stack(pdf["codes"].tolist()).reshape(len(pdf), tables, width)
+        self.block, self.lo, self.hi, self.table, self.bucket, self.ids, self.copies = (
+            pdf[c].to_numpy() for c in ("block", "lo", "hi", "table", "bucket", "rep", "copies"))
+        self.least, self.count, self.root = least, np.zeros(len(pdf), np.int64), {}
+
+    def pairs_of_two(self, first: np.ndarray) -> None:
+        """Runs of two rows, all at once."""
+        i, j = first, first + 1
+        meet = (self.block[i] == self.lo[i]) & (self.block[j] == self.hi[i]) \
+            | (self.block[j] == self.lo[i]) & (self.block[i] == self.hi[i])
+        close = meet & (np.einsum("ij,ij->i", self.x[i], self.x[j]) >= self.least)
+        self.link(i[close], j[close])
+
+    def pairs_of_run(self, at: int, stop: int) -> None:
+        """A longer run: one matrix of cosines."""
+        block, lo, hi = self.block[at:stop], self.lo[at], self.hi[at]
+        left, right = at + np.flatnonzero(block == lo), at + np.flatnonzero(block == hi)
+        close = self.x[left] @ self.x[right].T >= self.least
+        if lo == hi:
+            close = np.triu(close, 1)
+        i, j = np.nonzero(close)
+        self.link(left[i], right[j])
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Count the pairs whose first shared bucket is this one."""
+        for at in range(0, len(i), _PAIRS):
+            a, b = i[at:at + _PAIRS], j[at:at + _PAIRS]
+            same = self.codes[a][:, :, :, None] == self.codes[b][:, :, None, :]
+            first = same.any((2, 3)).argmax(1)
+            here = same[np.arange(len(a)), first]
+            met = np.where(here, self.codes[a, first][:, :, None], np.iinfo(np.int64).max).min((1, 2))
+            mine = (first == self.table[a]) & (met == self.bucket[a])
+            a, b = a[mine], b[mine]
+            np.add.at(self.count, a, self.copies[b])
+            np.add.at(self.count, b, self.copies[a])
+            for p, q in zip(self.ids[a].tolist(), self.ids[b].tolist()):
+                p, q = self.find(p), self.find(q)
+                if p != q:
+                    self.root[max(p, q)] = min(p, q)
+
+    def find(self, i: int) -> int:
+        while (up := self.root.get(i, i)) != i:
+            self.root[i] = self.root.get(up, up)
+            i = up
+        return i
+
+    def rows(self) -> pd.DataFrame | None:
+        out = [(int(self.ids[k]), None, int(self.count[k])) for k in np.flatnonzero(self.count)]
+        out += [(i, self.find(i), None) for i in list(self.root) if self.find(i) != i]
+        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("Int64") if out else None
+
 
+def _links(cells: DataFrame, tables: int, width: int, least: float) -> DataFrame:
+    """a, b, n: counts (b NULL) and forest edges (n NULL) of sorted cells.  Each
+    linked pair is taken up in one cell only, so the forests join all links."""
     def run(batches):
-        for (table, bucket, dims, lo, hi), pdf in runs(batches, ["table", "bucket", "dims", "lo", "hi"]):
-            if len(pdf) < 2:
-                continue
-            x = cp.unit_rows(np.stack(pdf["vector"].tolist()), int(dims))
-            codes = np.stack(pdf["codes"].tolist()).reshape(len(pdf), tables, width)
-            block, ids = pdf["block"].to_numpy(), pdf["rep"].to_numpy()
-            copies, count = pdf["copies"].to_numpy(), np.zeros(len(pdf), np.int64)
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            close = x[left] @ x[right].T >= least
-            if lo == hi:
-                close = np.triu(close, 1)
-            i, j = np.nonzero(close)
-            i, j = left[i], right[j]
-            for at in range(0, len(i), _PAIRS):
-                a, b = i[at:at + _PAIRS], j[at:at + _PAIRS]
-                same = codes[a][:, :, :, None] == codes[b][:, :, None, :]
-                first = same.any((2, 3)).argmax(1)
-                here = same[np.arange(len(a)), first]
-                met = np.where(here, codes[a, first][:, :, None], np.iinfo(np.int64).max).min((1, 2))
-                mine = (first == table) & (met == bucket)
-                np.add.at(count, a[mine], copies[b[mine]])
-                np.add.at(count, b[mine], copies[a[mine]])
-            rows = [(int(ids[k]), None, int(count[k])) for k in np.flatnonzero(count)]
-            rows += [(int(ids[p]), int(ids[q]), None) for p, q in edges_of(i, j, len(pdf))]
-            if rows:
-                yield pd.DataFrame(rows, columns=["a", "b", "n"]).astype("Int64")
+        for pdf, starts in whole_runs(batches, ["table", "bucket", "dims", "lo", "hi"]):
+            for dims in pdf["dims"].unique():
+                rows = np.flatnonzero(pdf["dims"] == dims)
+                own = np.searchsorted(rows, starts[np.isin(starts, rows)])
+                size = np.diff(np.append(own, len(rows)))
+                unit = _Unit(pdf.iloc[rows], tables, width, least)
+                unit.pairs_of_two(own[size == 2])
+                for k in np.flatnonzero(size > 2):
+                    unit.pairs_of_run(own[k], own[k] + size[k])
+                out = unit.rows()
+                if out is not None:
+                    yield out
 
     return cells.mapInPandas(run, "a long, b long, n long")
 
