@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 from .common import ship
 
 MARK = "▁"
-CACHE = 600_000  # words kept per Python worker, about 200 bytes each
-PAIRS = 400_000  # pairs of pieces kept per Python worker
-SLICE = 1000  # texts whose new words share one trie
+CACHE = 350_000  # words kept per Python worker, about 200 bytes each
+PAIRS = 300_000  # pairs of pieces kept per Python worker
+SLICE = 500  # texts whose new words share one trie
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _UNIGRAM, _BPE = 1, 2
 
