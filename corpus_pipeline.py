@@ -33,10 +33,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand on many sites; ``n_chars``
-    follows the text.  A document that loses all its lines goes: every one of
+    """Documents without the lines that stand on many sites, every site of
+    every copy counted; lines that only copies of one text have are left to
+    the dedup stage.  ``n_chars`` follows the text.  A document that loses all its lines goes: every one of
     them stays in the document that has it first."""
-    out = line_spread.remove_boilerplate(docs)
+    out = line_spread.remove_boilerplate(docs, every_site=True)
     out = out.where(~((F.col("_spread_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spread_removed") > 0, F.length("text").cast("long"))

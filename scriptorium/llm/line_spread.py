@@ -7,6 +7,9 @@ menu, a banner.  DataFrame functions only:
    (line, distinct text) is one row, so exact copies of a document count as
    one document of one site (its first in sort order).  This aggregation also
    shrinks hot lines before the next shuffle.
+   With ``every_site`` each (line, site) is one row instead, so every site on
+   which a copy stands counts; lines that one text alone has are spared (its
+   copies are whole-text duplicates, for the dedup stage).
 2. A HyperLogLog sketch of the sites per line, merged by aggregation, and the
    least document id that has the line.
 3. Estimates clearly above or below the threshold decide at once; lines whose
@@ -50,16 +53,25 @@ def _lines(docs: DataFrame, id_col: str, site: str, text: str) -> DataFrame:
         "line is not null")
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
+def _standing(lines: DataFrame, every_site: bool) -> DataFrame:
+    """line, site, first, and the least and the greatest text that has the line there."""
+    if every_site:
+        return lines.groupBy("line", "site").agg(
+            F.min("id").alias("first"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
+    return lines.groupBy("line", "text_hash").agg(F.min("site").alias("site"), F.min("id").alias("first"))
+
+
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN,
+                every_site: bool = False) -> DataFrame:
     """line, first (the least id that has it) of lines on ``min_sites`` sites or more."""
-    per_text = lines.groupBy("line", "text_hash").agg(F.min("site").alias("site"), F.min("id").alias("first"))
-    spread = per_text.groupBy("line").agg(
-        F.hll_sketch_agg("site", F.lit(LOG2_REGISTERS)).alias("sketch"), F.min("first").alias("first"))
+    several = F.min("least") < F.max("most") if every_site else F.lit(True)
+    spread = _standing(lines, every_site).groupBy("line").agg(
+        F.hll_sketch_agg("site", F.lit(LOG2_REGISTERS)).alias("sketch"), F.min("first").alias("first"),
+        several.alias("several")).where("several")
     spread = written(spread.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites"))
                      .where(F.col("sites") >= min_sites * (1 - margin)), "spread")
     near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line", "first")
-    exact = (lines.join(near.select("line"), "line", "left_semi")
-             .groupBy("line", "text_hash").agg(F.min("site").alias("site"))
+    exact = (_standing(lines.join(near.select("line"), "line", "left_semi"), every_site)
              .groupBy("line", "site").agg(F.lit(1).alias("one"))
              .groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites))
     return (spread.where(F.col("sites") > min_sites * (1 + margin)).select("line", "first")
@@ -67,7 +79,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MA
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text",
-                       min_sites: int = MIN_SITES, margin: float = MARGIN, prefix: str = "_spread_") -> DataFrame:
+                       min_sites: int = MIN_SITES, margin: float = MARGIN, prefix: str = "_spread_",
+                       every_site: bool = False) -> DataFrame:
     """All columns of ``docs`` with the cleaned text, plus ``<prefix>lines``
     and ``<prefix>removed`` (how many of the text's lines there are and went).
 
@@ -75,7 +88,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", site: str = "sou
     (id, hash of the text) and joined to the texts once; a document none of
     whose lines goes has no flags."""
     lines = _lines(docs, id_col, site, text)
-    common = written(boilerplate(lines, min_sites, margin), "boilerplate")
+    common = written(boilerplate(lines, min_sites, margin, every_site), "boilerplate")
     gone = (lines.join(common, "line").where("id <> first")
             .groupBy("id", "text_hash").agg(F.collect_set("pos").alias("gone")))
     # Sorted positions become one flag per line, so that a text of n lines takes n steps.

@@ -50,6 +50,30 @@ def test_line_spread_matches_brute_force(spark, least, margin):
     assert {(r.first, r.line) for r in out} == {(1, "x")}
 
 
+@pytest.mark.parametrize("margin", [0.1, 0.9])
+def test_every_site_of_a_copied_text_counts(spark, margin):
+    """Two texts, each copied over sites, share a line: all their sites count.
+    Lines of one text alone stay, on however many sites its copies stand."""
+    rows = [(10 * k + i, f"Shared banner\nonly in {k}", "en", f"s{'ab'[k] if i else ''}{i}", 0)
+            for k in range(2) for i in range(4)]  # s0 sorts first and stands in both
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def texts(least):
+        out = line_spread.remove_boilerplate(df, min_sites=least, margin=margin, every_site=True).collect()
+        return {r.doc_id: r.text for r in out}
+
+    assert texts(7) == {i: t if i == 0 else t.split("\n")[1] for i, t, *_ in rows}
+    assert texts(8) == {i: t for i, t, *_ in rows}
+
+
+def test_pipeline_counts_every_site(spark, tmp_path):
+    import corpus_pipeline
+    rows = [(10 * k + i, f"Shared banner\nonly in {k}", "en", f"s{i + 6 * k if i else 0}", 0)
+            for k in range(2) for i in range(6)]
+    out = corpus_pipeline.lines(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in out} == {i: t if i == 0 else t.split("\n")[1] for i, t, *_ in rows}
+
+
 def test_line_spread_of_an_empty_table(spark):
     assert line_spread.remove_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
 
