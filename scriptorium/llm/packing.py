@@ -8,9 +8,9 @@ task:
 
 * best-fit decreasing gives the first packing;
 * then pieces are exchanged between underfull bins - moved, swapped one for
-  one, or two for one - whenever that raises the sum of squared fills, until
-  bins run empty, no exchange helps, or the group has as few bins as its
-  token total allows.
+  one, or two for one - from an emptier to a fuller bin, which raises the sum
+  of squared fills, in passes over all of them, until a whole pass finds no
+  exchange or the group has as few bins as its token total allows.
 
 Bins that a group leaves underfull are opened again and their pieces dealt
 into fewer, mixed groups, level after level, until one group is left.
@@ -23,6 +23,7 @@ gives an empty table.  Other columns are not read.
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 
 import numpy as np
@@ -37,7 +38,6 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 20_000  # pieces packed in one task
 OPEN_BELOW = 0.97  # bins filled less are opened again on the next level
-PARTNERS = 32  # emptiest and fullest bins that a giving bin tries exchanges with
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text",
@@ -87,65 +87,119 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 def _exchange(bins: list[list[int]], lengths: np.ndarray, capacity: int, least: int) -> None:
     """Local search in place: raise the sum of squared fills until bins empty.
 
-    The emptiest bin gives to the fuller ones.  Every exchange moves a
-    positive amount from it to a fuller bin, so the sum of squared fills
-    rises and the search ends."""
+    In a pass over all underfull bins, from the emptiest up, each gives to
+    bins at least as full, of which all are looked at.  Every exchange moves a
+    positive amount to such a bin, so the sum of squared fills rises and the
+    search ends: with a pass that makes no exchange, or at ``least`` bins."""
     fill = [int(sum(lengths[i] for i in b)) for b in bins]
-    live = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
     left = sum(1 for b in bins if b)
-    while live and left > least:
-        giver, changed = live[0], True
-        while changed and bins[giver]:
-            changed = False
-            for taker in _partners(live):
-                room = capacity - fill[taker]
-                if room and fill[taker] >= fill[giver] and _improve(bins, lengths, fill, giver, taker, room):
-                    changed = True
-                    if not bins[giver]:
-                        break
-        if bins[giver]:
-            live.pop(0)  # as little as can be: the next emptiest gives
-        else:
-            left -= 1
-            live = sorted((b for b in live[1:] if fill[b] < capacity), key=lambda b: fill[b])
-
-
-def _partners(live: list[int]) -> list[int]:
-    """Bins to try, fullest first: the search looks at the fullest and the
-    emptiest ones, so its time stays linear where nothing combines."""
-    rest = live[1:]
-    return rest[::-1] if len(rest) <= 2 * PARTNERS else rest[:-PARTNERS - 1:-1] + rest[PARTNERS - 1::-1]
-
-
-def _improve(bins, lengths, fill, giver: int, taker: int, room: int) -> bool:
-    """The exchange that moves most tokens from giver to taker, if any fits."""
-    give = [(int(lengths[i]), (i,)) for i in bins[giver]]
-    pairs = [(a + b, (i, j)) for x, (a, (i,)) in enumerate(give) for b, (j,) in give[x + 1:]]
-    take = sorted([(0, ()), *[(int(lengths[i]), (i,)) for i in bins[taker]]])
-    if len(bins[taker]) > 1:  # two of the taker for one of the giver
-        own = take[1:]
-        take += [(a + b, (i, j)) for x, (a, (i,)) in enumerate(own) for b, (j,) in own[x + 1:]]
-        take.sort()
-    sizes = [t[0] for t in take]
-    best, chosen = 0, None
-    for n, out in give + pairs:
-        at = bisect.bisect_left(sizes, n - room)
-        while at < len(take):
-            back_n, back = take[at]
-            if n - back_n <= best:
-                break
-            if len(out) + len(back) <= 3:
-                best, chosen = n - back_n, (out, back)
-                break
-            at += 1
-    if chosen is None:
-        return False
-    out, back = chosen
-    bins[giver] = [i for i in bins[giver] if i not in out] + list(back)
-    bins[taker] = [i for i in bins[taker] if i not in back] + list(out)
-    fill[giver] -= best
-    fill[taker] += best
-    return True
+    takers, changed = _Takers(bins, lengths, fill, capacity), True
+    while changed and left > least:
+        changed = False
+        order = [(fill[b], b) for b in range(len(bins)) if bins[b] and fill[b] < capacity]
+        for _, b in order:
+            takers.add(b)
+        heapq.heapify(order)
+        level, equals = 0, set()  # bins that have given and still take from equally full ones
+        while order and left > least:
+            f, giver = heapq.heappop(order)
+            if f != fill[giver]:
+                continue  # it has taken since, and stands further back
+            if f > level:
+                for b in equals:
+                    takers.remove(b)
+                level, equals = f, set()
+            takers.remove(giver)
+            while bins[giver] and (found := takers.best(bins[giver])):
+                out, taker, back = found
+                takers.remove(taker)
+                n = sum(int(lengths[i]) for i in out) - sum(int(lengths[i]) for i in back)
+                bins[giver] = [i for i in bins[giver] if i not in out] + list(back)
+                bins[taker] = [i for i in bins[taker] if i not in back] + list(out)
+                fill[giver] -= n
+                fill[taker] += n
+                if fill[taker] < capacity:
+                    takers.add(taker)
+                    heapq.heappush(order, (fill[taker], taker))
+                equals.discard(taker)
+                changed = True
+            left -= not bins[giver]
+            if fill[giver] == f and order and order[0][0] == f:
+                takers.add(giver)
+                equals.add(giver)
+        for b in equals:
+            takers.remove(b)
+
+
+class _Takers:
+    """Underfull bins by what they can give back: for no, one and two of a
+    bin's pieces, the bins that have pieces of that sum, by free room."""
+
+    def __init__(self, bins, lengths: np.ndarray, fill: list[int], capacity: int):
+        self.bins, self.lengths, self.fill, self.capacity = bins, lengths, fill, capacity
+        self.rooms = [[[] for _ in range(capacity)] for _ in range(2)]  # 0 or 1 piece back, 2 pieces back
+        self.reach = [np.full(capacity, -1, np.int64) for _ in range(2)]  # most that fits for this much back
+        self.most = [None, None]  # running maximum of reach
+
+    def _sums(self, b: int):
+        n = np.sort(self.lengths[self.bins[b]])
+        twos = n[:, None] + n
+        return [0, *np.unique(n).tolist()], np.unique(twos[np.triu_indices(len(n), 1)]).tolist()
+
+    def add(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        for k, sums in enumerate(self._sums(b)):
+            for s in sums:
+                bisect.insort(self.rooms[k][s], (room, b))
+                if s + room > self.reach[k][s]:
+                    self.reach[k][s], self.most[k] = s + room, None
+
+    def remove(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        for k, sums in enumerate(self._sums(b)):
+            for s in sums:
+                at = self.rooms[k][s]
+                del at[bisect.bisect_left(at, (room, b))]
+                now = s + at[-1][0] if at else -1
+                if now < self.reach[k][s]:
+                    self.reach[k][s], self.most[k] = now, None
+
+    def best(self, giver: list[int]):
+        """(out, taker, back) of the exchange that moves most tokens; of the
+        bins that can make it, the fullest takes."""
+        own = self.lengths[giver]
+        x, y = np.triu_indices(len(own), 1)
+        ones, twos = own, own[x] + own[y]
+        found = (0, None, None, 0)
+        for k, sums, pair in ((0, ones, False), (0, twos, True), (1, ones, False)):
+            if not len(sums):
+                continue
+            if self.most[k] is None:
+                self.most[k] = np.maximum.accumulate(self.reach[k])
+            back = np.searchsorted(self.most[k], sums)  # the least that makes room
+            gain = np.where(back < self.capacity, sums - back, 0)
+            at = int(gain.argmax())
+            if gain[at] > found[0]:
+                found = (int(gain[at]), k, (x[at], y[at]) if pair else (at,), int(back[at]))
+        gain, k, places, back = found
+        if not gain:
+            return None
+        at = self.rooms[k][back]
+        taker = at[bisect.bisect_left(at, (gain, -1))][1]
+        return [giver[p] for p in places], taker, self._pick(self.bins[taker], back, k)
+
+    def _pick(self, pieces: list[int], total: int, k: int) -> tuple[int, ...]:
+        if not total:
+            return ()
+        where: dict[int, int] = {}
+        for i in pieces:
+            n = int(self.lengths[i])
+            if k == 0 and n == total:
+                return (i,)
+            if k == 1 and total - n in where:
+                return (where[total - n], i)
+            where[n] = i
+        raise AssertionError("no such pieces")
 
 
 def best_fit(items: DataFrame, length: str = "length", capacity: int = CAPACITY,
