@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, embedding_dedup, language_id, line_spread, minhash_dedup, packing, sentencepiece_viterbi,
-               token_counts, topk_threshold, training_order)
+from ..session import scratch_path
+from . import (chat_format, cross_alignment, embedding_dedup, language_id, line_spread, minhash_dedup, packing,
+               sentencepiece_viterbi, token_counts, topk_threshold, training_order, warc, whitening)
 from .common import table
 
 
@@ -83,9 +84,39 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of tokens, groups and links of every text, and corpus-wide counts of its linked pairs."""
+    aligned = cross_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                    public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    aligned = aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "pairs")
+    return cross_alignment.link_scores(aligned)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything is read back from the written archives."""
+    path = scratch_path(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archive(spark, path)
+    kind = warc.field("WARC-Type")
+    stored = kind == "response"
+    return records.select(
+        warc.page_of("WARC-Record-ID").alias("page_id"),
+        F.when(stored, F.octet_length("payload")).otherwise(warc.field("Content-Length", "http")).cast("long")
+        .alias("payload_bytes"),
+        F.when(stored, warc.base32_sha1(F.col("payload")))
+        .otherwise(F.regexp_replace(warc.field("WARC-Payload-Digest"), "^sha1:", "")).alias("payload_digest"),
+        kind.alias("record_type"), warc.page_of("WARC-Refers-To").alias("refers_to"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_topk_search, op4_minhash_dedup,
                                    op5_best_fit_packing, op6_token_counts, op7_line_dedup, op8_language_id,
-                                   op9_training_order, op10_chat_formatting)}
+                                   op9_training_order, op10_chat_formatting, op11_cross_alignment, op12_warc,
+                                   op13_whitening)}
 
 _COMPONENT = """
 reach as (
@@ -122,7 +153,8 @@ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
 with recursive w as (
   select doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+') as w
+    '[^ 	-
+]+') as w
   from documents),
 s as (
   select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
@@ -167,5 +199,16 @@ s as (
 select conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_chars,
        sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars
 from s
+""",
+    "op12_warc": """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+f as (select *, min(page_id) over (partition by payload) as first, sha1(payload) as hex from p)
+select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((cast('0x' || substr(hex, 5 * cast(i // 4 as int) + 1, 5) as bigint)
+               >> cast(15 - 5 * (i % 4) as int)) & 31), 1)), '') as payload_digest,
+       case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+       case when first is not null and page_id is distinct from first then first end as refers_to
+from f
 """,
 }
