@@ -27,18 +27,17 @@ other columns do not matter: only the id and the text are read.
 from __future__ import annotations
 
 import functools
-import os
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunk_ids
-from .common import ship, written
+from .common import begin, remembers, ship, written
 
-LANE = 512  # A tokens per lane, about
+LANE = 192  # A tokens per lane, about
 HOT_PAIRS = 20_000  # most frequent pairs that are broadcast, at most
-SLICE_CHARS = 1_000_000  # text held as tokens at a time (a single longer text is held whole)
+SLICE_CHARS = 600_000  # text held as tokens at a time (a single longer text is held whole)
 SLICE_ROWS = 400
 LARGE_GROUP = 4096  # links of one group from which ids are counted before they are crossed
 
@@ -56,18 +55,24 @@ class Side:
 
 
 @functools.lru_cache(2)
-def _byte_level(path: str) -> tuple[object, Side]:
-    """The library's tokenizer with special strings as plain text, and its bytes."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)  # an own instance: the setting must not reach other operators
-    tokenizer.encode_special_tokens = True
+def _byte_level(path: str) -> Side:
+    """The bytes of a byte-level vocabulary."""
     alphabet = chunk_ids.byte_alphabet()
-    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    vocab = chunk_ids.library(path).get_vocab(with_added_tokens=True)
     spelled = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         spelled[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode("utf-8")
-    return tokenizer, Side(spelled)
+    return Side(spelled)
+
+
+@functools.lru_cache(2)
+def _plain_specials(path: str):
+    """The library's tokenizer, told to read special strings as plain text: an
+    own instance, as the setting must not reach other operators."""
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
 
 
 @functools.lru_cache(2)
@@ -82,6 +87,14 @@ def _pieces(path: str) -> tuple[object, Side]:
     return model, Side(spelled)
 
 
+def _forget() -> None:
+    for memory in (_byte_level, _plain_specials, _pieces):
+        memory.cache_clear()
+
+
+remembers("chunks", _forget)
+
+
 def _lanes(a_end: np.ndarray, b_end: np.ndarray, lane: int) -> list[tuple[int, int, int, int]]:
     """(first A, past A, first B, past B) of the lanes of one text: from every
     ``lane``-th A token on, the next end that B shares parts two lanes."""
@@ -172,37 +185,37 @@ def _link_counts(text, first_a, n_a, first_b, n_b, a_ids, b_ids):
     return key // width // height, key // width % height, key % width, times
 
 
-def _rendered(groups, a_ids, b_ids, a: Side, b: Side) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids of each group in order."""
+def _rendered(groups, a_ids, b_ids, a: Side, b: Side) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3;``, token by token: ids of each group in order."""
     _, a0, a1, b0, b1 = groups
-    at_a = np.arange(len(a_ids)) + np.repeat(b0, a1 - a0)
-    at_b = np.arange(len(b_ids)) + np.repeat(a1, b1 - b0)
     mark_a, mark_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
     mark_a[a1 - 1], mark_b[b1 - 1] = 1, 2
     out = np.empty(len(a_ids) + len(b_ids), object)
-    out[at_a] = list(map(a.decimal.__getitem__, (a_ids * 3 + mark_a).tolist()))
-    out[at_b] = list(map(b.decimal.__getitem__, (b_ids * 3 + mark_b).tolist()))
-    return "".join(out.tolist())[:-1]
+    out[np.arange(len(a_ids)) + np.repeat(b0, a1 - a0)] = list(
+        map(a.decimal.__getitem__, (a_ids * 3 + mark_a).tolist()))
+    out[np.arange(len(b_ids)) + np.repeat(a1, b1 - b0)] = list(
+        map(b.decimal.__getitem__, (b_ids * 3 + mark_b).tolist()))
+    return out.tolist()
 
 
-def _encode_a(texts: list[str], path: str, tokenizer) -> list[np.ndarray]:
+def _encode_a(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of a space and each text.  Texts that hold a special string go to the
     library, told to read it as plain text; the others use remembered chunks."""
     special = chunk_ids.specials(path)
     plain = [not any(s in t for s in special) for t in texts]
     known = iter(chunk_ids.encode([" " + t for t, ok in zip(texts, plain) if ok], path, "spaced"))
     return [np.frombuffer(next(known), np.uint32).astype(np.int64) if ok
-            else np.array(tokenizer.encode(" " + t, add_special_tokens=False).ids, np.int64)
+            else np.array(_plain_specials(path).encode(" " + t, add_special_tokens=False).ids, np.int64)
             for t, ok in zip(texts, plain)]
 
 
 def align_texts(texts: list[str | None], path_a: str, path_b: str, lane: int = LANE) -> dict[str, object]:
     """Columns of ``ALIGNED`` but the id, for a list of whole texts."""
     import pyarrow as pa
-    tokenizer, a = _byte_level(path_a)
+    a = _byte_level(path_a)
     model, b = _pieces(path_b)
     full = [t or "" for t in texts]
-    tokens_a = _encode_a(full, path_a, tokenizer)
+    tokens_a = _encode_a(full, path_a)
     tokens_b = [np.array(x, np.int64) for x in model.encode(full, num_threads=1)]
     none = np.empty(0, np.int64)
     for i, t in enumerate(full):
@@ -210,25 +223,29 @@ def align_texts(texts: list[str | None], path_a: str, path_b: str, lane: int = L
         if not t or b"".join(map(a.spelled.__getitem__, tokens_a[i].tolist())) != raw \
                 or b"".join(map(b.spelled.__getitem__, tokens_b[i].tolist())) != raw:
             tokens_a[i] = tokens_b[i] = none
-    ends_a = [np.cumsum(a.size[x]) for x in tokens_a]
-    groups = lockstep(ends_a, [np.cumsum(b.size[x]) for x in tokens_b], lane)
-    text, a0, a1, b0, b1 = groups
     n_a, n_b = np.array([len(x) for x in tokens_a], np.int64), np.array([len(x) for x in tokens_b], np.int64)
     base_a, base_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-    t, pair_a, pair_b, times = _link_counts(text, a0 + base_a[text], a1 - a0, b0 + base_b[text], b1 - b0,
-                                            np.concatenate([*tokens_a, none]), np.concatenate([*tokens_b, none]))
+    ends_a = [np.cumsum(a.size[x]) for x in tokens_a]
+    groups = lockstep(ends_a, [np.cumsum(b.size[x]) for x in tokens_b], lane)
+    flat_a, flat_b = np.concatenate([*tokens_a, none]), np.concatenate([*tokens_b, none])
+    text = groups[0]
+    groups[1:3] += base_a[text]  # from here on, places in the flat arrays
+    groups[3:5] += base_b[text]
+    _, a0, a1, b0, b1 = groups
+    t, pair_a, pair_b, times = _link_counts(text, a0, a1 - a0, b0, b1 - b0, flat_a, flat_b)
     n = len(full)
     first = np.searchsorted(text, np.arange(n + 1))
     n_links = np.zeros(n, np.int64)
     np.add.at(n_links, text, (a1 - a0) * (b1 - b0))
+    said = _rendered(groups, flat_a, flat_b, a, b)
+    at = np.append(base_a + base_b, len(said)).tolist()
     flat_ends = np.concatenate([*ends_a, none])
     pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (pair_a, pair_b, times)],
                                        names=["a", "b", "times"])
     return {
         "n_a": n_a, "n_b": n_b, "n_groups": np.diff(first), "n_links": n_links,
-        "groups": [_rendered(groups[:, first[i]:first[i + 1]], tokens_a[i], tokens_b[i], a, b) for i in range(n)],
-        "cuts": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)),
-                                         pa.array(flat_ends[base_a[text] + a1 - 1].astype(np.int32))),
+        "groups": ["".join(said[lo:hi])[:-1] for lo, hi in zip(at, at[1:])],
+        "cuts": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat_ends[a1 - 1].astype(np.int32))),
         "pairs": pa.ListArray.from_arrays(pa.array(np.searchsorted(t, np.arange(n + 1)).astype(np.int32)), pairs),
     }
 
@@ -254,6 +271,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
     def run(batches):
         import pyarrow as pa
+        begin("chunks")
         for batch in batches:
             sizes = batch.column(1).fill_null("")
             sizes = pa.compute.binary_length(sizes).to_pylist()

@@ -22,7 +22,7 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 
 def spelled_tokens(text):
     """(ids, byte ends) of both tokenizers, or None where a side does not spell a space and the text."""
-    tokenizer, a = cross_alignment._byte_level(A)
+    tokenizer, a = cross_alignment._plain_specials(A), cross_alignment._byte_level(A)
     model, b = cross_alignment._pieces(B)
     if not text:
         return None
