@@ -3,13 +3,11 @@
 A line that stands in documents of many sites is boilerplate: a licence, a
 menu, a banner.  DataFrame functions only:
 
-1. Lines (split at ``\\n``, white space trimmed) become 64-bit hashes; each
-   (line, distinct text) is one row, so exact copies of a document count as
-   one document of one site (its first in sort order).  This aggregation also
-   shrinks hot lines before the next shuffle.
-   With ``every_site`` each (line, site) is one row instead, so every site on
-   which a copy stands counts; lines that one text alone has are spared (its
-   copies are whole-text duplicates, for the dedup stage).
+1. Lines (split at ``\\n``, white space trimmed) become 64-bit hashes, written
+   once per document.  Each (line, site) is one row: this aggregation combines
+   map-side and shrinks hot lines before the next shuffle.  A line that one text
+   alone has is spared, on however many sites its copies stand: those are
+   whole-text duplicates, for a dedup stage.
 2. A HyperLogLog sketch of the sites per line, merged by aggregation, and the
    least document id that has the line.
 3. Estimates clearly above or below the threshold decide at once; lines whose
@@ -20,7 +18,8 @@ menu, a banner.  DataFrame functions only:
 Defined results: NULL and empty texts stay as they are; blank lines are never
 boilerplate.  A NULL site is a site of its own.  Rows without id come last
 when the first document of a line is chosen.  Repeated rows have the same
-result.  Columns of the input are kept by ``remove_boilerplate``.
+result.  An empty table gives an empty one.  Columns of the input are kept by
+``remove_boilerplate``, whatever their names, but for two named like its results.
 """
 
 from __future__ import annotations
@@ -41,72 +40,76 @@ def _line_hash(line):
     return F.xxhash64(F.trim(line, F.lit(_SPACE)))
 
 
-def _lines(docs: DataFrame, id_col: str, site: str, text: str) -> DataFrame:
-    """One row per non-blank line: text hash, id, site, position, line hash."""
-    src = docs.where(F.col(text).isNotNull()).select(
+def _hashed(docs: DataFrame, id_col: str, site: str, text: str) -> DataFrame:
+    """id, site, text hash and the hashes of its lines (NULL for blank ones), per document."""
+    return docs.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"),
         F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("")).alias("site"),
         F.xxhash64(text).alias("text_hash"),
         F.transform(F.split(text, "\n"),
                     lambda x: F.when(F.trim(x, F.lit(_SPACE)) != "", _line_hash(x))).alias("hashes"))
-    return src.select("id", "site", "text_hash", F.posexplode_outer("hashes").alias("pos", "line")).where(
+
+
+def _lines(hashed: DataFrame) -> DataFrame:
+    """One row per non-blank line: text hash, id, site, position, line hash."""
+    return hashed.select("id", "site", "text_hash", F.posexplode_outer("hashes").alias("pos", "line")).where(
         "line is not null")
 
 
-def _standing(lines: DataFrame, every_site: bool) -> DataFrame:
+def _standing(lines: DataFrame) -> DataFrame:
     """line, site, first, and the least and the greatest text that has the line there."""
-    if every_site:
-        return lines.groupBy("line", "site").agg(
-            F.min("id").alias("first"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
-    return lines.groupBy("line", "text_hash").agg(F.min("site").alias("site"), F.min("id").alias("first"))
+    return lines.groupBy("line", "site").agg(
+        F.min("id").alias("first"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN,
-                every_site: bool = False) -> DataFrame:
-    """line, first (the least id that has it) of lines on ``min_sites`` sites or more."""
-    several = F.min("least") < F.max("most") if every_site else F.lit(True)
-    spread = _standing(lines, every_site).groupBy("line").agg(
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
+    """line, first (the least id that has it) of lines of several texts on ``min_sites`` sites or more."""
+    spread = _standing(lines).groupBy("line").agg(
         F.hll_sketch_agg("site", F.lit(LOG2_REGISTERS)).alias("sketch"), F.min("first").alias("first"),
-        several.alias("several")).where("several")
+        (F.min("least") < F.max("most")).alias("several")).where("several")
     spread = written(spread.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites"))
                      .where(F.col("sites") >= min_sites * (1 - margin)), "spread")
     near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line", "first")
-    exact = (_standing(lines.join(near.select("line"), "line", "left_semi"), every_site)
-             .groupBy("line", "site").agg(F.lit(1).alias("one"))
+    exact = (lines.join(near.select("line"), "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one"))
              .groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites))
     return (spread.where(F.col("sites") > min_sites * (1 + margin)).select("line", "first")
             .unionByName(near.join(exact.select("line"), "line", "left_semi")))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text",
-                       min_sites: int = MIN_SITES, margin: float = MARGIN, prefix: str = "_spread_",
-                       every_site: bool = False) -> DataFrame:
-    """All columns of ``docs`` with the cleaned text, plus ``<prefix>lines``
-    and ``<prefix>removed`` (how many of the text's lines there are and went).
+def cleaned(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text",
+            min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``, whatever their names), the
+    cleaned ``text``, ``lines`` and ``removed`` (how many the text has, how many went).
 
     Only positions travel: the flags of a document's lines are gathered by
     (id, hash of the text) and joined to the texts once; a document none of
     whose lines goes has no flags."""
-    lines = _lines(docs, id_col, site, text)
-    common = written(boilerplate(lines, min_sites, margin, every_site), "boilerplate")
+    lines = _lines(written(_hashed(docs, id_col, site, text), "lines"))
+    common = written(boilerplate(lines, min_sites, margin), "boilerplate")
     gone = (lines.join(common, "line").where("id <> first")
             .groupBy("id", "text_hash").agg(F.collect_set("pos").alias("gone")))
     # Sorted positions become one flag per line, so that a text of n lines takes n steps.
-    flags = gone.select(
-        F.col("id").alias(f"{prefix}id"), F.col("text_hash").alias(f"{prefix}hash"),
-        F.array_sort("gone").alias("gone")).withColumn(
-        f"{prefix}flags", F.expr(
-            "split(concat_ws('', transform(gone, (p, i) -> concat(repeat('0', p - "
-            "if(i = 0, 0, get(gone, i - 1) + 1)), '1'))), '')")).drop("gone")
-    keyed = docs.withColumn(f"{prefix}key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(
-        f"{prefix}text", F.xxhash64(text))
-    joined = keyed.join(flags, (F.col(f"{prefix}key") == F.col(f"{prefix}id"))
-                        & (F.col(f"{prefix}text") == F.col(f"{prefix}hash")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.coalesce(
-        F.get(F.col(f"{prefix}flags"), i) != "1", F.lit(True))), "\n")
-    removed = F.coalesce(F.size(F.filter(f"{prefix}flags", lambda x: x == "1")), F.lit(0))
-    cols = [F.when(F.col(f"{prefix}flags").isNull(), F.col(text)).otherwise(kept).alias(text)
-            if c == text else F.col(f"`{c}`") for c in docs.columns]
+    flags = gone.select("id", "text_hash", F.array_sort("gone").alias("gone")).withColumn(
+        "flags", F.expr("split(concat_ws('', transform(gone, (p, i) -> concat(repeat('0', p - "
+                        "if(i = 0, 0, get(gone, i - 1) + 1)), '1'))), '')")).drop("gone")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.col(f"`{text}`").alias("text"),
+                        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"))
+    joined = keyed.withColumn("text_hash", F.xxhash64("text")).join(flags, ["id", "text_hash"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(
+        F.get(F.col("flags"), i) != "1", F.lit(True))), "\n")
+    removed = F.coalesce(F.size(F.filter("flags", lambda x: x == "1")), F.lit(0))
     return joined.select(
-        *cols, F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias(f"{prefix}lines"),
-        F.when(F.col(f"{prefix}flags").isNull(), F.lit(0)).otherwise(removed).cast("long").alias(f"{prefix}removed"))
+        "row", F.when(F.col("flags").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("lines"),
+        F.when(F.col("flags").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("removed"))
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text",
+                       min_sites: int = MIN_SITES, margin: float = MARGIN, prefix: str = "_spread_") -> DataFrame:
+    """All columns of ``docs`` (but those named like the results) with the
+    cleaned text, plus ``<prefix>lines`` and ``<prefix>removed``."""
+    results = (f"{prefix}lines", f"{prefix}removed")
+    return cleaned(docs, id_col, site, text, min_sites, margin).select(
+        *[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c not in results],
+        F.col("lines").alias(results[0]), F.col("removed").alias(results[1]))

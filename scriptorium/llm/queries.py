@@ -171,13 +171,12 @@ from c join s on c.doc_id = s.doc_id
 """,
     "op7_line_dedup": f"""
 with l as (
-  select doc_id, 's' || source as site, text, unnest(string_split(text, chr(10))) as line,
+  select doc_id, coalesce('s' || source, '') as site, text, unnest(string_split(text, chr(10))) as line,
          generate_subscripts(string_split(text, chr(10)), 1) as pos
   from documents),
 k as (select *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t from l),
-per_text as (select t, text, min(site) as site, min(doc_id) as first from k where t <> '' group by t, text),
-b as (select t, min(first) as first from per_text group by t
-      having count(distinct site) >= {line_spread.MIN_SITES}),
+b as (select t, min(doc_id) as first from k where t <> '' group by t
+      having count(distinct site) >= {line_spread.MIN_SITES} and count(distinct text) > 1),
 j as (select k.doc_id, k.pos, k.line, coalesce(k.doc_id <> b.first, false) as gone
       from k left join b on k.t = b.t)
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,

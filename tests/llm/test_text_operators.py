@@ -14,7 +14,7 @@ def _sites():
     own = "own line {0} of the text\nand one more {0}"
     rows = [(i, f"Menu | Home\n{own.format(i)}\r\n  All rights reserved  \n\nNear {i % 4}", "en", f"s{i % 6}", 0)
             for i in range(24)]
-    rows += [(100 + i, "copied text\nwith lines", "en", f"s{i}", 0) for i in range(6)]  # copies: one site
+    rows += [(100 + i, "copied text\nwith lines", "en", f"s{i}", 0) for i in range(6)]  # one text's lines stay
     rows += [(200, None, "en", "s0", 0), (201, "", "en", None, 0), (202, "\n\n", None, "s1", 0),
              (None, "Menu | Home\nlast", "en", "s9", 0), (None, "Menu | Home\nlast", "en", "s9", 0),
              (3, rows[3][1], "en", "s3", 0), (203, "Menu | Home", "en", "s2", 0),
@@ -28,7 +28,7 @@ def _spread_brute(rows, least):
         for line in {x.strip(" \t\r\x0b\x0c") for x in (t or "").split("\n")} - {""}:
             texts.setdefault(line, {}).setdefault(t, set()).add("" if s is None else "s" + s)
             first[line] = min(first.get(line, 1 << 64), 1 << 63 if i is None else i)
-    common = {x for x, by in texts.items() if len({min(v) for v in by.values()}) >= least}
+    common = {x for x, by in texts.items() if len(by) > 1 and len(set().union(*by.values())) >= least}
     out = []
     for i, t, *_ in rows:
         lines = [] if t is None else t.split("\n")
@@ -59,7 +59,7 @@ def test_every_site_of_a_copied_text_counts(spark, margin):
     df = spark.createDataFrame(rows, SCHEMA)
 
     def texts(least):
-        out = line_spread.remove_boilerplate(df, min_sites=least, margin=margin, every_site=True).collect()
+        out = line_spread.remove_boilerplate(df, min_sites=least, margin=margin).collect()
         return {r.doc_id: r.text for r in out}
 
     assert texts(7) == {i: t if i == 0 else t.split("\n")[1] for i, t, *_ in rows}
