@@ -13,7 +13,8 @@ task:
   exchange or the group has as few bins as its token total allows.
 
 Bins that a group leaves underfull are opened again and their pieces dealt
-into fewer, mixed groups, level after level, until one group is left.
+into other, mixed groups, level after level, until a level saves no more than
+one of 500 of the bins it opened; the better of its packing and the one before stays.
 
 Defined results: a NULL or empty text is one piece holding the end id.
 Repeated rows and repeated or NULL ids are packed row by row.  An empty table
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunk_ids
-from .common import blocks_of, ship, slices, written
+from .common import begin, blocks_of, ship, slices, written
 
 CAPACITY = 4096
 END_ID = 1
 GROUP = 20_000  # pieces packed in one task
 OPEN_BELOW = 0.97  # bins filled less are opened again on the next level
+LEAST_SAVING = 0.002  # part of the opened bins that a level must save for another one to follow
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text",
@@ -46,6 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     ship(docs.sparkSession)
 
     def run(batches):
+        begin("chunks")
         tail = np.array([end_id], "<u4").tobytes()
         for pdf in slices(batches):
             rows = []
@@ -56,10 +59,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                     cut = ids[at:at + 4 * capacity]
                     rows.append((i, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # Ids pass pandas as text: a column of numbers with a NULL would become floating there.
+    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"))
+    return (src.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long")
+            .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -213,8 +218,9 @@ def best_fit(items: DataFrame, length: str = "length", capacity: int = CAPACITY,
                                     F.monotonically_increasing_id().alias("_row")), "pieces")
     small = numbered.where(F.col(length) < capacity).select("_row", F.col(length).cast("long").alias("_length"))
 
-    def run(level: int, last: bool):
+    def run(level: int):
         def one(pdf):
+            begin("packing")
             lengths = pdf["_length"].to_numpy()
             base = (level << 56) + (int(pdf["_group"].iloc[0]) << 20)
             seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
@@ -222,26 +228,35 @@ def best_fit(items: DataFrame, length: str = "length", capacity: int = CAPACITY,
             for k, b in enumerate(pack(lengths, capacity)):
                 n = lengths[b]
                 seq[b], off[b] = base + k, np.cumsum(n) - n
-                full[b] = last or n.sum() >= OPEN_BELOW * capacity
+                full[b] = n.sum() >= OPEN_BELOW * capacity
             return pd.DataFrame({"_row": pdf["_row"], "_length": lengths, "_seq": seq, "_off": off, "_done": full})
         return one
 
-    placed, level, before = None, 1, None
+    def dealt(rows, groups: int, level: int):
+        return written(
+            rows.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(groups)))
+            .groupBy("_group").applyInPandas(run(level), "_row long, _length long, _seq long, _off long, _done boolean"),
+            "packed")
+
+    def bins(rows) -> int:
+        return rows.agg(F.count_if(F.col("_off") == 0)).first()[0]  # every bin has one piece at its start
+
+    placed, level, opened = None, 1, None
+    packed = dealt(small, blocks_of(small.count(), group), level)
     while True:
-        count = small.count()
-        groups = blocks_of(count, group)
-        # pieces that hardly combine (all over half a sequence, say) are mixed once, then stay
-        last = groups == 1 or (before is not None and 2 * count > before)
-        before = count
-        packed = written(
-            small.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-            .groupBy("_group").applyInPandas(run(level, last),
-                                             "_row long, _length long, _seq long, _off long, _done boolean"), "packed")
-        done = packed.where("_done").select("_row", "_seq", "_off")
-        placed = done if placed is None else placed.unionByName(done)
-        if last:
+        done, rest = packed.where("_done"), packed.where("not _done").drop("_done")
+        place = done.select("_row", "_seq", "_off")
+        placed = place if placed is None else placed.unionByName(place)
+        opened = bins(rest)
+        if not opened:
+            break
+        level += 1
+        again = dealt(rest.select("_row", "_length"), blocks_of(rest.count(), group), level)
+        saved = opened - bins(again)
+        if saved < LEAST_SAVING * opened:  # mixing them anew hardly helps: the better of both stays
+            placed = placed.unionByName((again if saved > 0 else rest).select("_row", "_seq", "_off"))
             break
-        small, level = packed.where("not _done").select("_row", "_length"), level + 1
+        packed = again
     out = numbered.join(placed.withColumnRenamed("_row", "_at"), numbered["_row"] == F.col("_at"), "left")
     return out.select(*[F.col(f"`{c}`") for c in kept],
                       F.coalesce("_seq", -1 - F.col("_row")).alias("sequence_id"),
