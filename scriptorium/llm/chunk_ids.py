@@ -4,7 +4,7 @@ A text is cut where its tokenizer would cut it anyway, so that the ids of the
 text are the ids of its chunks in a row.  A chunk is cut further into the
 tokenizer's pre-tokens, and those are merged by the tokenizers library's BPE
 model.  Each Python worker remembers chunks and pre-tokens it has met, both in
-bounded dictionaries that start anew when full.
+dictionaries of a bounded number of bytes that start anew when full.
 
 Pre-tokens are found here for chunks in Latin letters, ASCII signs and white
 space, where this pattern and the library's name the same characters; a chunk
@@ -19,8 +19,10 @@ import os
 import re
 from array import array
 
-CHUNKS = 350_000  # remembered per Python worker, about 200 bytes each
-PRETOKENS = 400_000
+from .common import remembers
+
+MEMORY = 80_000_000  # bytes of chunks and pre-tokens remembered per Python worker, as estimated
+_ENTRY = 150  # of them, for an entry's objects and its place in the dictionary
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{LATIN}]*")
@@ -95,6 +97,7 @@ class _Chunks(dict):
         self.path, self.kind, self.code = path, kind, code
         self.pretokens: dict[str, bytes] = {}
         self.pattern = _WORD_PATTERN if kind == "words" else BYTE_PATTERN
+        self.held = 0  # bytes, of both dictionaries
 
     def ids(self, chunk: str) -> bytes:
         if not plain(chunk, self.path):
@@ -103,11 +106,17 @@ class _Chunks(dict):
         known = self.pretokens
         for p in found:
             if p not in known:
-                known[p] = array(self.code, merge(p, self.path)).tobytes()
+                b = known[p] = array(self.code, merge(p, self.path)).tobytes()
+                self.held += len(p) + len(b) + _ENTRY
         return known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
 
     def __missing__(self, chunk: str) -> bytes:
+        if self.held > MEMORY:
+            self.clear()
+            self.pretokens.clear()
+            self.held = 0
         b = self[chunk] = self.ids(chunk if self.kind == "words" else " " + chunk)
+        self.held += len(chunk) + len(b) + _ENTRY
         return b
 
 
@@ -116,6 +125,14 @@ def _remembered(path: str, kind: str, code: str) -> _Chunks:
     return _Chunks(path, kind, code)
 
 
+def _forget() -> None:
+    for memory in (library, specials, _model, _remembered):
+        memory.cache_clear()
+
+
+remembers("chunks", _forget)
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -128,10 +145,6 @@ def encode(texts: list[str | None], path: str, kind: str, code: str = "I") -> li
     """Ids of each whole text as integers of array type ``code`` (little-endian
     on the machines Spark runs on).  ``kind``: ``words`` or ``spaced``."""
     known = _remembered(path, kind, code)
-    if len(known) > CHUNKS:
-        known.clear()
-    if len(known.pretokens) > PRETOKENS:
-        known.pretokens.clear()
     out = []
     for t in texts:
         if not t:

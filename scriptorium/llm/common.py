@@ -1,13 +1,16 @@
-"""Helpers shared by the operators: tables, written intermediates, components."""
+"""Helpers shared by the operators: tables, written intermediates, components, worker memories."""
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
 
-__all__ = ["blocks_of", "components", "runs", "ship", "slices", "table", "whole_runs", "written"]
+__all__ = ["begin", "blocks_of", "components", "remembers", "runs", "ship", "slices", "table", "whole_runs", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +61,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+_memories: list[tuple[str, Callable[[], None]]] = []
+_holder: str | None = None
+
+
+def remembers(holder: str, clear: Callable[[], None]) -> None:
+    """A module's memory in a Python worker, and how to empty it."""
+    _memories.append((holder, clear))
+
+
+def begin(holder: str) -> None:
+    """Called by every task's function first.  Spark uses its Python workers
+    again for later stages; what an earlier stage's function remembered there
+    is dropped when another one starts, so memories do not pile up."""
+    global _holder
+    if holder == _holder:
+        return
+    for owner, clear in _memories:
+        if owner != holder:
+            clear()
+    _holder = holder
+    gc.collect()
+    import pyarrow
+    pyarrow.default_memory_pool().release_unused()
+
+
 def slices(batches, rows: int = 500):
     """Cut the pandas batches of a task into small ones, so that what is built
     for one slice stays small whatever the batch size is."""

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices
+from .common import begin, remembers, ship, slices
 
 DIMENSIONS = 1024
 FOLDS = 5
 UNDETERMINED = "und"
+PRODUCT = 4_000_000  # entries of a matrix that a batch builds, at most
 _SHIFT = np.uint64(21)
 
 
@@ -53,6 +54,14 @@ def _letter_vector(code: int, dims: int) -> np.ndarray:
     return bits * 2 - 1
 
 
+def _forget() -> None:
+    _letters.cache_clear()
+    _letter_vector.cache_clear()
+
+
+remembers("letters", _forget)
+
+
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, 3-gram code) of every 3-gram of the texts.
 
@@ -94,9 +103,9 @@ def _bundle(texts: list[str | None], dims: int, group: np.ndarray | None = None,
         owner = group[owner]
     distinct, at = np.unique(gram, return_inverse=True)
     out = np.zeros((n, dims))
-    step = max(1, 8_000_000 // max(n, dims))  # bounds both matrices of a product
+    step = max(1, PRODUCT // max(n, dims))  # bounds both matrices of a product
     counts = np.bincount(owner * len(distinct) + at, minlength=n * len(distinct)) \
-        if n * len(distinct) <= 8_000_000 else None
+        if n * len(distinct) <= PRODUCT else None
     for lo in range(0, len(distinct), step):
         hi = min(lo + step, len(distinct))
         if counts is not None:
@@ -114,6 +123,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", dims: int = D
     ship(docs.sparkSession)
 
     def run(batches):
+        begin("letters")
         total: dict[str, np.ndarray] = {}
         for pdf in slices(batches, 400):
             names, group = np.unique(pdf["lang"].to_numpy(str), return_inverse=True)
@@ -146,6 +156,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                            T.StructField(score, T.DoubleType())])
 
     def run(batches):
+        begin("letters")
         import pyarrow as pa
         for whole in batches:
             for lo in range(0, whole.num_rows, 400):

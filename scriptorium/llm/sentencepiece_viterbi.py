@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import begin, remembers, ship
 
 MARK = "▁"
 CACHE = 350_000  # words kept per Python worker, about 200 bytes each
@@ -216,6 +216,9 @@ def load(path: str) -> tuple[Model, dict[str, bytes], dict[str, bytes]]:
     return Model(path), {}, {}
 
 
+remembers("pieces", load.cache_clear)
+
+
 def _unknown(known: dict[str, bytes], texts: list[list[str]]) -> set[str]:
     """Words not remembered.  A full memory keeps what these texts use, which
     are the frequent words, and drops the rest."""
@@ -265,6 +268,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != ids])
 
     def run(batches):
+        begin("pieces")
         import pyarrow as pa
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
@@ -285,6 +289,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
     rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != text])
 
     def run(batches):
+        begin("pieces")
         import pyarrow as pa
         for whole in batches:
             for first in range(0, whole.num_rows, SLICE):

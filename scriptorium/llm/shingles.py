@@ -16,8 +16,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import remembers
+
 WIDTH = 5
-WORD_CACHE = 300_000  # word hashes kept per Python worker
+WORD_CACHE = 200_000  # word hashes kept per Python worker
 
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                     0xA0761D6478BD642F], dtype=np.uint64)
@@ -32,6 +34,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+remembers("shingles", _words.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunk_ids
-from .common import ship, slices
+from .common import begin, remembers, ship, slices
+
 
 def prove_whole(path: str) -> frozenset[str]:
     """The vocabulary strings that encode alone as one token, their own."""
@@ -45,17 +46,23 @@ def prove_whole(path: str) -> frozenset[str]:
     return frozenset(s for (s, i), e in zip(strings, encoded) if e.ids == [i])
 
 
+CHUNKS = 350_000  # remembered per Python worker, and as many pre-tokens
+
+
 @functools.lru_cache(2)
 def _caches(path: str) -> tuple[dict[str, int], dict[str, int]]:
     return {}, {}
 
 
+remembers("chunks", _caches.cache_clear)
+
+
 def count(texts: list[str | None], path: str, whole: frozenset[str]) -> list[int]:
     """Tokens of each whole text."""
     chunks, merged = _caches(path)
-    if len(chunks) > chunk_ids.CHUNKS:
+    if len(chunks) > CHUNKS:
         chunks.clear()
-    if len(merged) > chunk_ids.PRETOKENS:
+    if len(merged) > CHUNKS:
         merged.clear()
     special = chunk_ids.specials(path)
 
@@ -101,11 +108,13 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole(tokenizer))
 
     def run(batches):
+        begin("chunks")
         for pdf in slices(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"],
                                 "n_tokens": count(pdf["text"].tolist(), tokenizer, whole.value)})
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"),
+    # Ids pass pandas as text: a column of numbers with a NULL would become floating there.
+    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"),
                       F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    out = src.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = src.mapInPandas(run, "doc_id string, n_bytes long, n_tokens long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)

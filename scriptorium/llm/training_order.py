@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import chunk_ids
-from .common import blocks_of, ship, slices, written
+from .common import begin, blocks_of, ship, slices, written
 
 LENGTH = 2048
 PER_SHARD = 2048
@@ -81,6 +81,7 @@ def sequences(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text",
     def run(batches):
         import zstandard
         from pyspark import TaskContext
+        begin("chunks")
         part, place, width = TaskContext.get().partitionId(), 0, length * array(code).itemsize
         pack = zstandard.ZstdCompressor(level=3).compress
         end, stream = array(code, [end_id]).tobytes(), bytearray()
@@ -129,6 +130,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
 
         def records(batches):
             import pyarrow as pa
+            begin("records")
             import zstandard
             unpack = zstandard.ZstdDecompressor().decompress
             for whole in batches:
