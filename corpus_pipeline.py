@@ -8,54 +8,81 @@ last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import language_id, line_spread, minhash_dedup, packing
 from scriptorium.llm.common import table, written
 
 MIN_LANGUAGE_SCORE = 0.06  # cosine with the nearest prototype: two standard deviations of chance at 1024 dimensions
+MIN_LETTERS = 64  # one 3-gram each; with fewer the cosine says more about length than about language
 NEAR_PERCENT = 80
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _row(docs: DataFrame) -> Column:
+    """All columns of a document as one value, so that no name of theirs can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _columns(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled documents;
-    those without letters, or unlike every language, go."""
+    """Documents in one of the languages learned from the labelled documents.
+
+    Documents without a letter (NULL and empty texts too) go, and those of 64
+    letters or more that are unlike every language.  Where no document has a
+    label and a text, nothing is learned and every document with a letter
+    stays.  Labels, ids and sources may be NULL; repeated rows share a result."""
     prototypes = language_id.learn(language_id.train_rows(docs))
-    told = language_id.predict(docs, prototypes, pred="_lang_pred", score="_lang_score")
-    return _columns(told.where((F.col("_lang_pred") != language_id.UNDETERMINED)
-                               & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)), docs)
+    rows = docs.select(_row(docs).alias("row"), F.col("text").alias("text"))
+    told = language_id.predict(rows, prototypes, pred="language", score="score")
+    letters = F.length(F.regexp_replace("text", r"\P{L}", ""))
+    kept = letters > 0
+    if prototypes:
+        kept = kept & ((letters < MIN_LETTERS) | (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return _columns(told.where(kept), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand on many sites, every site of
-    every copy counted; lines that only copies of one text have are left to
-    the dedup stage.  ``n_chars`` follows the text.  A document that loses all its lines goes: every one of
-    them stays in the document that has it first."""
-    out = line_spread.remove_boilerplate(docs, every_site=True)
-    out = out.where(~((F.col("_spread_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
+    """Documents without the lines that several texts have on many sites.
+
+    ``n_chars`` follows the text.  A document that loses all its lines goes:
+    every one of them stays in the document that has it first.  NULL and empty
+    texts stay; repeated rows share a result."""
+    out = line_spread.cleaned(docs)
+    out = out.where(~((F.col("removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spread_removed") > 0, F.length("text").cast("long"))
-                             .otherwise(F.col("n_chars")))
-    return _columns(out, docs)
+        changed["n_chars"] = F.when(F.col("removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return _columns(out, docs, **changed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id.
-    Documents without id stay."""
-    found = minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _columns(one.unionByName(docs.where("doc_id is null")), docs)
+    """One document of each group of near copies: the one with the least id
+    (NULL last, then the least hash of id and text).
+
+    What is grouped is an id with its text, so rows that repeat an id with
+    other texts are documents of their own; of rows equal in both, one stays.
+    NULL, empty and blank texts are near nothing: each id keeps its own."""
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    rows = docs.select(_row(docs).alias("row"), key.alias("key"), F.col("text").alias("text"))
+    found = minhash_dedup.near_duplicates(rows.select("key", "text"), id_col="key", percent=NEAR_PERCENT)
+    ids = rows.groupBy("key").agg(F.min("row.doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    named = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key")
+    first = named.groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n")).alias("first"))
+    first = written(first.select("first.key", "first.n"), "first")
+    single = rows.join(first.where("n = 1"), "key", "left_semi")
+    repeated = rows.join(first.where("n > 1"), "key", "left_semi").dropDuplicates(["key"])
+    return _columns(single.unionByName(repeated), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: its place in the packed sequences."""
+    """One row per piece: its place in the packed sequences.  NULL and empty
+    texts are one piece with the end id; rows are packed one by one."""
     return packing.packed_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
