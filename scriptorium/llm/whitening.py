@@ -44,7 +44,8 @@ SCALE, OFFSET = 64, 1_000_000
 COMPONENTS = 32
 NODES = 8  # quadrature nodes of the upper half circle
 PER_INTERVAL = 12  # eigenvalues of one search interval, about
-ROUNDS = 30
+WIDE = 0.04  # gap below an interval, as part of its width, that is wide enough
+ROUNDS = 40
 _LARGEST = 2 ** 40
 
 
@@ -159,9 +160,8 @@ def inertia(diagonal: np.ndarray, off: np.ndarray, shifts) -> np.ndarray:
     return below
 
 
-def _eigenvalues(counts, ranks: list[int], low: float, high: float) -> np.ndarray:
+def _eigenvalues(counts, ranks: np.ndarray, low: float, high: float) -> np.ndarray:
     """Eigenvalues of the given ranks from below (from 1), roughly, by halving on the counts."""
-    ranks = np.array(ranks)
     lo, hi = np.full(len(ranks), low), np.full(len(ranks), high)
     for _ in range(48):
         mid = (lo + hi) / 2
@@ -172,8 +172,11 @@ def _eigenvalues(counts, ranks: list[int], low: float, high: float) -> np.ndarra
 
 def intervals(v: np.ndarray, wanted: int, per_interval: int = PER_INTERVAL) -> list[tuple[float, float, int]]:
     """(low, high, number of eigenvalues) from the top down, holding the
-    ``wanted`` largest positive eigenvalues.  An end stands in the widest gap
-    among some neighbours, or further down where those are one cluster."""
+    ``wanted`` largest positive eigenvalues.
+
+    An interval takes as many eigenvalues as it can (about ``per_interval``)
+    with a gap below them that is wide beside its own width, as the quadrature
+    tells apart what stands apart on the scale of its circle."""
     diagonal, off = tridiagonal(v)
     counts = lambda s: inertia(diagonal, off, s)
     size = len(v)
@@ -182,25 +185,28 @@ def intervals(v: np.ndarray, wanted: int, per_interval: int = PER_INTERVAL) -> l
     zeros = int(counts(floor)[0])
     wanted = min(wanted, size - zeros)
     out: list[tuple[float, float, int]] = []
-    high, done = top, 0
+    above, done = top, 0
     while done < wanted:
         left = size - zeros - done  # positive eigenvalues that no interval holds yet
-        goal, spare = min(per_interval, wanted - done), 4
+        most = min(per_interval, left)
         while True:
-            last = min(goal + spare, left)
-            numbers = list(range(min(goal, last), last + 1))
-            values = _eigenvalues(counts, [size - done - r + 1 for r in numbers], floor, high)
-            below = np.append(values[1:], 0.0 if last == left else values[-1])
-            gaps = values - below
-            best = int(gaps.argmax())
-            if gaps[best] > top * 1e-9 or last == left:
+            ranks = np.arange(1, min(most + 4, left) + 1)
+            values = _eigenvalues(counts, size - done - ranks + 1, floor, above)
+            below = np.append(values[1:], 0.0 if len(ranks) == left else values[-1])
+            apart = (values - below) / np.maximum(values[0] - below, top * 1e-300)
+            if apart.max() > 1e-7 or len(ranks) == left:
                 break
-            spare *= 2
-        low = (values[best] + below[best]) / 2
+            most *= 2  # one cluster: look further down
+        wide = np.flatnonzero(apart >= WIDE)
+        cut = int(wide[-1]) if len(wide) else int(apart.argmax())
+        low = (values[cut] + below[cut]) / 2
+        high = min(above, values[0] + (values[0] - low) / 2)
+        if int(counts(high)[0]) != size - done:
+            high = above
         number = size - done - int(counts(low)[0])
-        out.append((low, high, number))
+        out.append((float(low), float(high), number))
         done += number
-        high = low
+        above = low
     return out
 
 
@@ -275,9 +281,8 @@ def feast(spark: SparkSession, v: np.ndarray, wanted: int, nodes: int = NODES,
                     done.append((values[inside], found))
                     continue
                 raise ArithmeticError("the contour integration found other eigenvalues than inertia counts")
-            t["worst"] = residual if complete else np.inf
-            t["y"] = vectors
-            if not complete and t["left"] % 5 == 0 and vectors.shape[1] < size:  # a larger subspace misses none
+            t["worst"], t["y"] = (residual if complete else np.inf), vectors
+            if t["left"] % 5 == 0 and vectors.shape[1] < size:  # slow, or some missed: a larger subspace
                 more = min(size - vectors.shape[1], t["count"] + 4)
                 t["y"] = np.concatenate([vectors, random.standard_normal((size, more))], axis=1)
             again.append(t)
@@ -299,18 +304,19 @@ def whiten(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
     whitened, explained, identity_error."""
     spark = embeddings.sparkSession
     rows = integers(embeddings, id_col, vector)
-    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("component", T.IntegerType()),
+    schema = T.StructType([T.StructField("vec_id", T.StringType()), T.StructField("component", T.IntegerType()),
                            T.StructField("n", T.LongType()), T.StructField("deviation", T.LongType()),
                            T.StructField("whitened", T.DoubleType()), T.StructField("explained", T.DoubleType()),
                            T.StructField("identity_error", T.DoubleType())])
+    none = spark.createDataFrame([], schema).withColumn("vec_id", F.col("vec_id").cast("long"))
     fitted = fit(rows)
     if fitted is None:
-        return spark.createDataFrame([], schema)
+        return none
     n, s, v = fitted
     values, vectors = feast(spark, v, components)
     k = len(values)
     if not k:
-        return spark.createDataFrame([], schema)
+        return none
     explained = values / np.trace(v)
     filters = vectors / np.sqrt(values)
     sums = np.array(s, object)
@@ -340,8 +346,10 @@ def whiten(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
             if any(int(x) >= 2 ** 63 for x in deviation):
                 raise ArithmeticError("a deviation is beyond a long")
             yield pd.DataFrame({
-                "vec_id": pdf["vec_id"].astype("Int64").repeat(k).to_numpy(), "component": np.tile(np.arange(1, k + 1), len(pdf)),
+                "vec_id": pdf["vec_id"].repeat(k).to_numpy(), "component": np.tile(np.arange(1, k + 1), len(pdf)),
                 "n": n, "deviation": np.repeat(deviation.astype(np.int64), k), "whitened": projected(d).ravel(),
                 "explained": np.tile(explained, len(pdf)), "identity_error": error})
 
-    return rows.mapInPandas(run, schema)
+    # Ids pass pandas as text: a column of numbers with a NULL would become floating there.
+    named = rows.withColumn("vec_id", F.col("vec_id").cast("string"))
+    return named.mapInPandas(run, schema).withColumn("vec_id", F.col("vec_id").cast("long"))
