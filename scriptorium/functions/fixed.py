@@ -100,6 +100,7 @@ DEFAULT_TEMPERATURE = 0.2
 DEFAULT_MAX_TOKENS = 1000
 ANSWER_TOKEN_CAP = 1000
 MAX_ATTEMPTS = 3
+RETRY_DELAY = 5.0
 
 # --- fixed values: chunking --------------------------------------------------
 CHARS_PER_TOKEN = 4

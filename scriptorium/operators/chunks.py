@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.text import col_of, compute_once, explode_array, let, token_estimate
@@ -142,6 +143,19 @@ def chunk_role(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("role", role)
 
 
+def number_chunks(chunks: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("start", "text")) -> DataFrame:
+    """``chunk_index`` and ``total_chunks`` of chunks that come without them:
+    the place by ``order`` (NULL first) and the count, within their document.
+
+    One exchange by document serves both windows.  A document's chunks are one
+    group, bounded by the document."""
+    place = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    whole = Window.partitionBy(key)
+    return chunks.withColumns({
+        "chunk_index": (F.row_number().over(place) - 1).cast("int"),
+        "total_chunks": F.count(F.lit(1)).over(whole).cast("int")})
+
+
 def chunk_counts(df: DataFrame, chunk_size: int = fixed.DEFAULT_CHUNK_SIZE, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """Chunks per document, by arithmetic on section lengths: no chunk text

@@ -1,32 +1,46 @@
-"""Joins: skipping processed inputs, pairing papers.  No hints and no size
-checks: Spark's own size limit and adaptive execution choose the strategy."""
+"""Joins: skipping processed inputs, one input per key, pairing papers.  No
+hints and no size checks: Spark's own size limit and adaptive execution choose
+the strategy.  Wide rows that certainly have no partner skip a join altogether
+(see ``prefilter``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefilter import BITS, anti_join
 
-def skip_processed(files: DataFrame, done: DataFrame | None, key: str = "stem") -> DataFrame:
+
+def skip_processed(files: DataFrame, done: DataFrame | None, key: str = "stem", bits: int = BITS) -> DataFrame:
     """Inputs whose key has no output yet; ``done=None`` (no output
-    location) keeps every input, as the original does.
+    location) keeps every input, as the original does.  An input without key
+    is never done.
 
-    ``distinct`` is a partial aggregate, so a key written many times shrinks
-    to one row per map task; the files side of a sort-merge anti join can be
-    split by AQE's skew handling.
+    A bitmap of the done keys (``bits`` bits) lets every input that is
+    certainly new pass without a shuffle; the others meet the done keys in an
+    exact anti join, of which ``distinct`` keeps one row per key.
     """
     if done is None:
         return files
-    return files.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return anti_join(files, done.select(key).where(F.col(key).isNotNull()), [key], bits)
 
 
-def first_per_key(files: DataFrame, key: str = "stem", order: str = "paper_name", row: str = "doc_id") -> DataFrame:
+def first_per_key(files: DataFrame, key: str = "stem", order: str = "paper_name", row: str = "doc_id",
+                  bits: int = BITS) -> DataFrame:
     """One input per key within a run: the first by ``order`` (then ``row``).
-    The others would find its output and be skipped, as in the original."""
-    first = files.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(row).alias("r")))
-                                                      .alias("_f"))
-    return (files.join(first, files[key].eqNullSafe(first["_k"])
-                       & files[order].eqNullSafe(first["_f"]["o"]) & files[row].eqNullSafe(first["_f"]["r"]), "left_semi"))
+    The others would find its output and be skipped, as in the original.
+
+    A pass over the three key columns finds the inputs that lose, which are
+    few; those are taken out, and all other rows, with their texts, stay where
+    they are.  Rows equal in all three columns are all first."""
+    keys = files.select(key, order, row)
+    first = keys.groupBy(F.col(key).alias("_k")).agg(
+        F.min(F.struct(F.col(order).alias("o"), F.col(row).alias("r"))).alias("_f"),
+        F.max(F.struct(F.col(order).alias("o"), F.col(row).alias("r"))).alias("_l")).where(
+        ~F.col("_f").eqNullSafe(F.col("_l"))).select("_k", "_f")
+    losing = keys.join(first, keys[key].eqNullSafe(first["_k"])).where(
+        ~(F.col(order).eqNullSafe(F.col("_f.o")) & F.col(row).eqNullSafe(F.col("_f.r")))).select(key, order, row)
+    return anti_join(files, losing, [key, order, row], bits)
 
 
 def pair_papers(pairs: DataFrame, docs: DataFrame, a: str = "a_id", b: str = "b_id",

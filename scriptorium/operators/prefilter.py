@@ -41,3 +41,19 @@ def with_may_match(rows: DataFrame, bitmap: DataFrame, key: str, bits: int = BIT
     found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     return (rows.join(F.broadcast(bitmap), page == F.col("_page"), "left")
             .select(*[F.col(f"`{c}`") for c in rows.columns], found.alias(name)))
+
+
+def anti_join(rows: DataFrame, others: DataFrame, on: list[str], bits: int = BITS) -> DataFrame:
+    """``rows`` without a partner in ``others`` (NULL equals NULL in ``on``).
+
+    Rows whose bit is not set pass at once, with all their columns where they
+    are; only the others take part in the exact join."""
+    probe, place = "_prefilter_key", "_prefilter_may"
+    hashed = others.select(*[F.col(c).alias(f"_other_{c}") for c in on], F.xxhash64(*on).alias(probe)).distinct()
+    told = with_may_match(rows.withColumn(probe, F.xxhash64(*on)), key_bitmap(hashed, probe, bits), probe, bits, place)
+    sure = told.where(~F.col(place)).drop(probe, place)
+    maybe = told.where(F.col(place)).drop(place)
+    same = maybe[probe] == hashed[probe]
+    for c in on:
+        same = same & maybe[c].eqNullSafe(hashed[f"_other_{c}"])
+    return sure.unionByName(maybe.join(hashed, same, "left_anti").drop(probe))

@@ -210,6 +210,19 @@ def q_chunk_role(spark, sf_dir):
             .select("doc_id", "chunk_index", "role"))
 
 
+@register("chunk_role_unnumbered",
+          f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section NULLS FIRST, text) - 1 AS INTEGER) "
+          f"AS chunk_index, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY section NULLS FIRST, text) = 1 "
+          f"THEN 'initial' WHEN row_number() OVER (PARTITION BY doc_id ORDER BY section NULLS FIRST, text) = "
+          f"count(*) OVER (PARTITION BY doc_id) THEN 'final' ELSE 'middle' END AS role, length(text) AS n_chars "
+          f"FROM ({_chunks_sql(CHUNK_SIZE)})")
+def q_chunk_role_unnumbered(spark, sf_dir):
+    """Chunks that come without index and total: numbered by a stated order."""
+    bare = ch.split_chunks(papers(spark, sf_dir), CHUNK_SIZE).select("doc_id", "section", "text")
+    out = ch.chunk_role(ch.number_chunks(bare, order=("section", "text")))
+    return out.select("doc_id", "chunk_index", "role", F.length("text").cast("long").alias("n_chars"))
+
+
 _WIN_SIZE, _WIN_OVERLAP = 1000, 100
 
 
@@ -784,7 +797,19 @@ def q_flow_first_chunk(spark, sf_dir):
 _MULTI_DOCS = f"(SELECT doc_id FROM {D_PAPERS} WHERE length(text) // 4 > {CHUNK_SIZE})"
 _MR_REQUESTS = (f"SELECT doc_id, CAST(1 AS BIGINT) AS n_parts, {_PROMPT_OF('structured')} AS prompt FROM ({_PRE_SQL}) "
                 f"WHERE doc_id NOT IN {_MULTI_DOCS} "
-                f"UNION ALL SELECT doc_id, n_parts, prompt FROM ({_CONSOLIDATION_SQL}) WHERE doc_id IN {_MULTI_DOCS}")
+                f"UNION ALL SELECT doc_id, n_parts, {_truncate_sql('prompt', fixed.PROMPT_CHAR_LIMIT)} AS prompt "
+                f"FROM ({_CONSOLIDATION_SQL}) WHERE doc_id IN {_MULTI_DOCS}")
+
+
+def _chunk_text(prompt: str) -> F.Column:
+    """The chunk in a chunk request, read back from its prompt."""
+    out = F.lit(None).cast("string")
+    for role in ("initial", "middle", "final"):
+        focus, tail = pr.CHUNK_FOCUS[role], pr.CHUNK_TAIL[role]
+        begin = F.instr(prompt, focus) + len(focus)
+        out = F.when(F.instr(prompt, focus) > 0, F.substr(
+            F.col(prompt), begin, F.length(prompt) - begin + 1 - len(tail))).otherwise(out)
+    return out
 
 
 def _fixture_model(spark, sf_dir):
@@ -796,7 +821,8 @@ def _fixture_model(spark, sf_dir):
     def respond(requests: DataFrame) -> DataFrame:
         if "_single" not in requests.columns:
             return per_paper(requests)
-        c = fx.chunk_responses(requests).withColumnRenamed("content", "_cc").drop("kind", "j")
+        c = fx.chunk_responses(requests.withColumn("text", _chunk_text("prompt"))).withColumnRenamed(
+            "content", "_cc").drop("kind", "j", "s", "text")
         f = per_paper(c).withColumnRenamed("content", "_fc")
         return (f.withColumn("content", F.when(F.col("_single"), F.col("_fc")).otherwise(F.col("_cc")))
                 .drop("_cc", "_fc"))
@@ -805,13 +831,9 @@ def _fixture_model(spark, sf_dir):
 
 @register("flow_map_reduce", _flow_sql(_MR_REQUESTS, ", n_parts"))
 def q_flow_map_reduce(spark, sf_dir):
-    """With each paper's last request; that of a one-chunk paper is rebuilt."""
-    docs = named_papers(spark, sf_dir)
-    out = fl.flow_map_reduce(docs, _fixture_model(spark, sf_dir), CHUNK_SIZE)
-    only = (fl.map_requests(docs, JobSettings(chunk_size=CHUNK_SIZE)).where("_single")
-            .select("doc_id", F.col("prompt").alias("_only")))
-    out = out.join(only, "doc_id", "left").withColumn("prompt", F.coalesce("prompt", "_only"))
-    return _flow_out(out, ["n_parts"])
+    """With each paper's last request."""
+    return _flow_out(fl.flow_map_reduce(named_papers(spark, sf_dir), _fixture_model(spark, sf_dir), CHUNK_SIZE),
+                     ["n_parts"])
 
 
 _FS_SQL = ORACLE["first_success"]
@@ -825,16 +847,17 @@ def _called(spark, sf_dir) -> DataFrame:
 
 
 @register("flow_call_failures", f"""
-SELECT request_id AS doc_id, CASE WHEN ok THEN 'parsed' ELSE 'failed' END AS branch,
+SELECT q.doc_id, CASE WHEN ok THEN 'parsed' ELSE 'failed' END AS branch,
        CASE WHEN ok THEN json_extract_string(content, '$.nombre') END AS nombre,
        CASE WHEN ok THEN json_extract_string(content, '$.resumen') END AS resumen,
-       CASE WHEN NOT ok THEN content END AS call_error
-FROM ({_FS_SQL})""")
+       CASE WHEN NOT ok THEN content END AS call_error, sha256(prompt) AS prompt_sha256
+FROM ({_FS_SQL}) JOIN ({_FIRST_SQL}) q ON request_id = q.doc_id""")
 def q_flow_call_failures(spark, sf_dir):
     """Papers whose calls all failed keep their row, without an analysis."""
     respond = fl.table_responder(_called(spark, sf_dir), ["doc_id"])
     out = rs.analysis_columns(fl.flow_first_chunk(named_papers(spark, sf_dir), respond, CHUNK_SIZE))
-    return out.select("doc_id", "branch", "nombre", "resumen", "call_error")
+    return out.select("doc_id", "branch", "nombre", "resumen", "call_error",
+                      F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha256"))
 
 
 @register("flow_chunk_failures", f"""
@@ -859,9 +882,17 @@ def q_flow_chunk_failures(spark, sf_dir):
 
 
 def _batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = documents(spark, sf_dir).select("doc_id", "text", paper_name("doc_id").alias("paper_name"))
+    docs = named_papers(spark, sf_dir).select("doc_id", "text", "paper_name")
     done = table(spark, sf_dir, "labels").select(tx.paper_stem(paper_name("doc_id")).alias("stem"))
-    respond = fl.table_responder(_called(spark, sf_dir), ["doc_id"])
+    called = fl.table_responder(_called(spark, sf_dir).select("doc_id", "ok", "call_error", F.lit("").alias("content")),
+                                ["doc_id"])
+
+    def respond(requests: DataFrame) -> DataFrame:
+        """Answers with the digest of the whole prompt as the summary."""
+        said = F.concat(F.lit('{"nombre":"P'), F.col("doc_id").cast("string"), F.lit('","resumen":"'),
+                        F.sha2(F.col("prompt").cast("binary"), 256), F.lit('"}'))
+        return called(requests).withColumn("content", F.when(F.col("ok"), said))
+
     return fl.run_batch(docs, respond, scratch_path(spark, "batch"), "2026-01-01T00:00:00", CHUNK_SIZE, done=done)
 
 
@@ -870,12 +901,13 @@ _TODO_SQL = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FRO
 
 @register("flow_batch_report", f"""
 SELECT 'paper_' || CAST(t.doc_id AS VARCHAR) AS stem,
-       CASE WHEN fs.ok THEN json_extract_string(content, '$.nombre')
+       CASE WHEN fs.ok THEN 'P' || CAST(t.doc_id AS VARCHAR)
             ELSE 'paper_' || CAST(t.doc_id AS VARCHAR) || '.pdf' END AS nombre,
-       CASE WHEN fs.ok THEN json_extract_string(content, '$.resumen') END AS resumen,
+       CASE WHEN fs.ok THEN sha256(q.prompt) END AS resumen,
        CASE WHEN fs.ok THEN 'success' ELSE 'error' END AS status, fs.ok AS saved,
        CASE WHEN NOT fs.ok THEN {dk.lit(fixed.PAPER_ERROR_PREFIX)} || content END AS error
-FROM ({_TODO_SQL}) t JOIN ({_FS_SQL}) fs ON t.doc_id = fs.request_id""")
+FROM ({_TODO_SQL}) t JOIN ({_FS_SQL}) fs ON t.doc_id = fs.request_id
+JOIN ({_FIRST_SQL}) q ON q.doc_id = t.doc_id""")
 def q_flow_batch_report(spark, sf_dir):
     """The whole batch: skip, first-chunk flow, store, result rows."""
     results, _ = _batch(spark, sf_dir)
@@ -919,7 +951,12 @@ def q_incremental_ingest(spark, sf_dir):
     in_dir, out_dir, ckpt = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
     docs = table(spark, sf_dir, "documents").select("doc_id", paper_name("doc_id").alias("paper_name"), "text")
     ingest.stage_documents(docs, in_dir)
-    respond = _table_responder(spark, sf_dir)
+    answers = _table_responder(spark, sf_dir)
+
+    def respond(requests: DataFrame) -> DataFrame:
+        """The paper's answer, to a request that has a prompt."""
+        return answers(requests).withColumn("content", F.when(F.length("prompt") > 0, F.col("content")))
+
     for _ in range(2):
         ingest.ingest_stream(spark, in_dir, out_dir, ckpt, respond, CHUNK_SIZE)
     back = rs.analysis_columns(sink.read_analyses(spark, out_dir))

@@ -59,22 +59,22 @@ from (select doc_id, text, s, '{{"nombre":"P' || CAST(doc_id AS {S}) || '","resu
 """.replace("@TEXT@", _json_string("text"))
 
 # F-CHUNK-RESP: answers to chunk requests, one kind per parse branch by
-# (doc_id + chunk_index) % 9, with extra keys of every JSON type.
+# (doc_id + chunk_index) % 9, with the chunk's text and extra keys of every JSON type.
 F_CHUNK_RESP = r"""
 select t.*, (doc_id + chunk_index) % 9 as kind, CASE (doc_id + chunk_index) % 9
  WHEN 0 THEN '```json' || chr(10) || j || chr(10) || '```'
  WHEN 1 THEN j
  WHEN 2 THEN '```' || chr(10) || j || chr(10) || '```'
  WHEN 3 THEN 'Here you go: ```json' || j || '``` hope it helps ```json {{}} ```'
- WHEN 4 THEN ' plain prose, no json '
- WHEN 5 THEN '{{"nombre":"","resumen":"r","exito":false}}'
- WHEN 6 THEN '[1,2]'
+ WHEN 4 THEN ' plain prose, no json: ' || text || ' '
+ WHEN 5 THEN '{{"nombre":"","resumen":"' || s || '","exito":false}}'
+ WHEN 6 THEN '[1,"' || s || '"]'
  WHEN 7 THEN '```python' || chr(10) || j || '```'
  ELSE NULL END as content
-from (select *, '{{"resumen":"R' || CAST(doc_id AS {S}) || '.' || CAST(chunk_index AS {S})
+from (select *, '{{"resumen":"R' || CAST(doc_id AS {S}) || '.' || CAST(chunk_index AS {S}) || ' ' || s
       || '","resultados":"S' || CAST(chunk_index AS {S}) || '","conceptos_clave":["a","b"],"score":0.5,'
-      || '"ok":true,"none":null}}' as j from {chunks}) t
-"""
+      || '"ok":true,"none":null}}' as j from (select *, @TEXT@ as s from {chunks}) c) t
+""".replace("@TEXT@", _json_string("text"))
 
 # F-FILES: a directory listing; extension by doc_id % 4; size unknown for
 # every seventh file (stat failed).

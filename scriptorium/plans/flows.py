@@ -36,7 +36,7 @@ from ..operators import merge as mg
 from ..operators import report as rp
 from ..operators import requests as rq
 from ..operators import responses as rs
-from ..session import checkpoint_root
+from ..session import checkpoint_root, stored
 from ..sources import sink
 from .settings import JobSettings
 
@@ -131,43 +131,41 @@ def flow_map_reduce(docs: DataFrame, respond: Responder, chunk_size: int | None
                     name: str = "paper_name", settings: JobSettings | None = None) -> DataFrame:
     """doc_id, paper_name, n_parts, prompt, truncated, ok, call_error, branch, analysis.
 
-    ``prompt`` is the consolidation request; it is NULL for a paper that fits
-    in one chunk, whose only request ``map_requests`` gives again at any time.
+    ``prompt`` is the paper's last request: the consolidation request, or the
+    only one of a paper that fits in one chunk.
 
     The call is eager: building the result makes the model calls, each once.
-    The first-stage answers are checkpointed without their prompts; papers of
-    one chunk are finished in their own rows, and only the consolidation
-    blocks of longer papers are shuffled.  The second-stage answers are
-    checkpointed too, so no action on the result repeats a call.
+    The answers of both stages are stored in columns, the first stage's
+    without the prompts of chunks, so no action on the result repeats a call
+    and a step reads only what it uses.  Papers of one chunk are finished in
+    their own rows; only the consolidation blocks of longer papers are shuffled.
     """
     s = _settings(chunk_size, settings)
-    checkpoint_root(docs.sparkSession)
     answered = _call(map_requests(docs, s, name), respond)
-    first = answered.select("doc_id", "chunk_index", name, "_single", "truncated", "ok", "call_error",
-                            "content").checkpoint(eager=True)
+    first = stored(answered.select("doc_id", "chunk_index", name, "_single", "truncated", "ok", "call_error", "content",
+                                   F.when(F.col("_single"), F.col("prompt")).alias("prompt")), "answers")
     chunk_name = F.concat(F.col(name), F.lit("_chunk_"), (F.col("chunk_index") + 1).cast("string"))
     columns = ("doc_id", name, "n_parts", "prompt", "truncated", "ok", "call_error", "branch", "analysis")
 
-    done = _parsed(first.where("_single"), name).withColumns(
-        {"n_parts": F.lit(1).cast("long"), "prompt": F.lit(None).cast("string")}).select(*columns)
+    done = _parsed(first.where("_single"), name).withColumn("n_parts", F.lit(1).cast("long")).select(*columns)
 
     parts = _parsed(first.where("not _single").withColumn("_chunk_name", chunk_name), "_chunk_name")
-    papers = parts.select(
+    papers = stored(parts.select(
         "doc_id", name, "chunk_index", "truncated", "ok", "call_error",
         F.when(F.col("ok"), mg.consolidation_block("chunk_index", "analysis")).alias("_block"),
     ).groupBy("doc_id").agg(
         F.first(name).alias(name), F.count(F.lit(1)).alias("n_parts"), F.bool_or("truncated").alias("_cut"),
         F.bool_and("ok").alias("ok"),
         F.min_by("call_error", F.when(~F.col("ok"), F.col("chunk_index"))).alias("call_error"),
-        F.expr("listagg(_block, '') WITHIN GROUP (ORDER BY chunk_index)").alias("_blocks")).checkpoint(eager=True)
+        F.expr("listagg(_block, '') WITHIN GROUP (ORDER BY chunk_index)").alias("_blocks")), "papers")
 
     failed = papers.where("not ok").select(
         "doc_id", name, "n_parts", F.lit(None).cast("string").alias("prompt"), F.col("_cut").alias("truncated"), "ok",
         "call_error", F.lit(FAILED).alias("branch"), F.lit(None).cast("map<string,variant>").alias("analysis"))
     ask = _requests(papers.where("ok").select("doc_id", name, "n_parts", "_cut", pr.consolidation_prompt_text(
         F.col(name), F.col("_blocks")).alias("_p")), F.col("_p"), s).drop("_p")
-    second = _call(ask, respond).withColumn("truncated", F.col("truncated") | F.col("_cut")).select(
-        "doc_id", name, "n_parts", "prompt", "truncated", "ok", "call_error", "content").checkpoint(eager=True)
+    second = stored(_call(ask, respond).withColumn("truncated", F.col("truncated") | F.col("_cut")).select(
+        "doc_id", name, "n_parts", "prompt", "truncated", "ok", "call_error", "content"), "answers")
     final = _parsed(second, name).select(*columns)
     return done.unionByName(final).unionByName(failed)
 
@@ -215,15 +213,15 @@ def run_batch(docs: DataFrame, respond: Responder, out_dir: str | None, run_ts:
         if out_dir:
             batch = sink.save_outcomes(analysed, out_dir, run_ts, batch, source_file=name)
     if out_dir:
-        stored = sink.read_outcomes(spark, out_dir).where(F.col("batch") == batch).select(
+        kept = sink.read_outcomes(spark, out_dir).where(F.col("batch") == batch).select(
             "stem", F.col("source_file").alias(name), "status", F.col("error").alias("_error"),
             F.from_json("value", "map<string,variant>").alias("analysis"))
     else:
         checkpoint_root(spark)
-        stored = analysed.select(paper_stem(base_name(name)).alias("stem"), name, "status",
+        kept = analysed.select(paper_stem(base_name(name)).alias("stem"), name, "status",
                                  F.col("error").alias("_error"), "analysis").checkpoint(eager=True)
     failed = F.col("status") == fixed.STATUS_ERROR
-    results = rs.analysis_columns(stored).select(
+    results = rs.analysis_columns(kept).select(
         "stem", name, F.when(failed, base_name(name)).otherwise(F.col("nombre")).alias("nombre"), "resumen",
         "resultados", "exito", "performance", "status",
         F.when(~failed, F.lit(out_dir)).alias("output_path"), F.col("_error").alias("error"))

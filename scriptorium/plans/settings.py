@@ -13,8 +13,8 @@ class JobSettings:
 
     ``prompt_limit`` bounds a prompt in characters; a prompt beyond it is cut
     and its row says so (``truncated``).  ``max_attempts``, ``retry_delay``
-    (seconds) and ``concurrency`` (calls in flight per task) are the
-    responder's.
+    (seconds between attempts) and ``concurrency`` (calls in flight per task)
+    are those of the responder that ``responders.from_settings`` makes.
     """
 
     model: str = fixed.DEFAULT_MODEL
@@ -23,5 +23,5 @@ class JobSettings:
     chunk_size: int = fixed.DEFAULT_CHUNK_SIZE
     prompt_limit: int = fixed.PROMPT_CHAR_LIMIT
     max_attempts: int = fixed.MAX_ATTEMPTS
-    retry_delay: float = 0.0
+    retry_delay: float = fixed.RETRY_DELAY
     concurrency: int = 1

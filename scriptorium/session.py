@@ -49,7 +49,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = None
     root = spark.conf.get(_CHECKPOINT_KEY, None) or (sc.getCheckpointDir() if sc else None)
     if not root:
-        if sc and not sc.master.startswith("local[") and sc.master != "local":
+        if sc is None or not (sc.master.startswith("local[") or sc.master == "local"):
             raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, root)
@@ -65,6 +65,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """``df`` written once, in columns, to the shared scratch folder and read
+    back: later steps read only the columns they use, and repeat no work."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _scratch_root(spark: SparkSession) -> str:
     try:
         app = spark.sparkContext.applicationId
