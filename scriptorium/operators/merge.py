@@ -5,12 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import answers as an
 from ..functions import fixed
 from ..functions import prompts as pr
-from ..session import stored
 
 
 def merge_results(partials: DataFrame, group: str = "conv_id", seq: str = "seq", key: str = "k",
@@ -18,35 +16,35 @@ def merge_results(partials: DataFrame, group: str = "conv_id", seq: str = "seq",
     """Per (group, key) left fold of partial results: a string onto a string
     is joined with a blank line, anything else replaces.
 
-    Parts are taken in the order of ``seq``, then other values before strings,
-    then by value; repeated rows count each.
+    Parts are taken in the order of ``seq``; at one ``seq`` other values come
+    first (the greatest of several counts), then strings by their hash, equal
+    ones side by side.
 
     Closed form: with L the last non-string part, its value if it is the last
     part, else the strings after L joined in order.
 
     First L and the last part per key (``max`` combines map-side), then only
-    the strings after L travel: they are joined in blocks of ``bucket_width``
-    parts and the blocks in order.  A block is cut by a part's rank within its
-    key, so a key with very many parts is spread over its blocks, also when
-    they share one ``seq``; the last step sees one row per block.
+    the strings after L travel, equal ones counted before the shuffle.  They
+    are joined in blocks and the blocks in order.  A block is ``bucket_width``
+    positions of ``seq``; where those hold many more strings, it is cut by
+    ``seq`` and then, by counts, into even ranges of the hash.  So a key with
+    very many parts is spread over its blocks, also when they share one
+    ``seq``; the last step sees one row per block.
     """
     order = F.struct(F.col(seq).alias("s"), F.col(is_str).alias("t"), F.col(value).alias("v"))
     ends = partials.groupBy(group, key).agg(
         F.max(F.struct(F.col(seq).alias("s"), F.col(is_str).alias("t"))).alias("_last"),
-        F.max(F.when(~F.col(is_str), order)).alias("_L"), F.count(F.lit(1)).alias("_n"))
-    tail = (partials.where(F.col(is_str)).join(ends.select(group, key, F.col("_L.s").alias("_from"), "_n"), [group, key])
+        F.max(F.when(~F.col(is_str), order)).alias("_L"))
+    tail = (partials.where(F.col(is_str)).join(ends.select(group, key, F.col("_L.s").alias("_from")), [group, key])
             .where(F.col("_from").isNull() | (F.col(seq) >= F.col("_from")))
-            .select(group, key, F.col(seq).alias("_s"), F.col(value).alias("_v"), "_n"))
-    few, many = tail.where(F.col("_n") <= bucket_width), tail.where(F.col("_n") > bucket_width)
-    numbered = few.select(group, key, F.lit(0).cast("long").alias("_b"), "_s", "_v")  # one block, whatever the ranks
-    if not partials.groupBy(group, key).count().where(F.col("count") > bucket_width).isEmpty():
-        ranks = _ranked(many.select(group, key, "_s", "_v"), [group, key], ["_s", "_v"])
-        numbered = numbered.unionByName(ranks.select(
-            group, key, F.floor(F.col("_rank") / F.lit(bucket_width)).alias("_b"), "_s", "_v"))
-    blocks = numbered.groupBy(group, key, "_b").agg(F.array_sort(F.collect_list(F.struct("_s", "_v"))).alias("_p"))
-    joined = (blocks.select(group, key, "_b", F.array_join(F.transform("_p", lambda x: x["_v"]), fixed.MERGE_JOIN)
-                            .alias("_t"))
-              .groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_p"))
+            .select(group, key, F.floor(F.col(seq) / F.lit(bucket_width)).alias("_b"), F.col(seq).alias("_s"),
+                    F.xxhash64(value).alias("_h"), F.col(value).alias("_v")))
+    blocks = _cut(tail, [group, key], bucket_width).groupBy(group, key, "_b", "_at", "_range").agg(
+        F.array_sort(F.collect_list(F.struct("_s", "_h", "_v", "_n"))).alias("_p"))
+    many = F.flatten(F.transform("_p", lambda x: F.array_repeat(x["_v"], x["_n"].cast("int"))))
+    joined = (blocks.select(group, key, F.struct("_b", "_at", "_range").alias("_place"),
+                            F.array_join(many, fixed.MERGE_JOIN).alias("_t"))
+              .groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("_place", "_t"))).alias("_p"))
               .select(group, key, F.array_join(F.transform("_p", lambda x: x["_t"]), fixed.MERGE_JOIN).alias("_joined")))
     last_is_value = ~F.col("_last.t")
     return ends.join(joined, [group, key], "left").select(
@@ -54,22 +52,19 @@ def merge_results(partials: DataFrame, group: str = "conv_id", seq: str = "seq",
         (~last_is_value).alias("merged_is_str"))
 
 
-def _ranked(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """``rows`` plus ``_rank``, their place (from 0) among the rows of their key.
-
-    The rows are dealt to ranges of (key, order), so that a large key lies in
-    several partitions, and stored in that order; counts per key and partition
-    give each partition's start, and the place in the partition the rest."""
-    mixed = rows.withColumn("_mix", F.rand(7))  # parts equal in everything may lie in any order, and in any partition
-    placed = stored(mixed.repartitionByRange(*key, *order, "_mix").sortWithinPartitions(*key, *order, "_mix").drop("_mix")
-                    .withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", 33)
-    runs = placed.groupBy(*key, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_many"))
-    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select(*key, "_part", "_first", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_before"))
-    joined = placed.withColumn("_part", part).join(starts, [*key, "_part"])
-    return joined.withColumn("_rank", F.col("_before") + F.col("_at") - F.col("_first")).drop(
-        "_part", "_first", "_before", "_at")
+def _cut(tail: DataFrame, key: list[str], width: int) -> DataFrame:
+    """Distinct strings (``_n`` of each) with their block: ``_b``, and ``_at``
+    and ``_range`` where ``_b`` holds more than twice ``width`` strings."""
+    one = tail.groupBy(*key, "_b", "_s", "_h", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    per_seq = tail.groupBy(*key, "_b", "_s").agg(F.count(F.lit(1)).alias("_many"))
+    full = per_seq.groupBy(*key, "_b").agg(F.sum("_many").alias("_all")).where(F.col("_all") > 2 * width)
+    cuts = per_seq.join(full, [*key, "_b"]).select(
+        *key, "_b", "_s", F.ceil(F.col("_many") / F.lit(width)).alias("_ranges"))
+    # The hash is even over its 2**64 values: its share of them times the number of ranges.
+    share = F.col("_h").cast("double") / F.lit(2.0 ** 64) + 0.5
+    return one.join(cuts, [*key, "_b", "_s"], "left").withColumns({
+        "_at": F.when(F.col("_ranges").isNotNull(), F.col("_s")),
+        "_range": F.when(F.col("_ranges").isNotNull(), F.floor(share * F.col("_ranges")))})
 
 
 def consolidation_block(index, analysis) -> F.Column:

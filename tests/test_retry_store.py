@@ -201,28 +201,30 @@ def test_chunks_without_numbers(spark):
         (2, 0, 1, "initial", "only"), (None, 0, 2, "initial", "x"), (None, 1, 2, "final", "y")], key=str)
 
 
-def _fold(parts):
+def _fold(parts, digest):
+    """The left fold in the stated order: others before strings, strings by hash."""
     merged, is_str = None, True
-    for n, (_, text, value) in enumerate(sorted(parts, key=lambda p: (p[0], p[1], p[2]))):
+    for n, (_, text, value) in enumerate(sorted(parts, key=lambda p: (p[0], p[1], digest[p[2]] if p[1] else 0, p[2]))):
         merged, is_str = (f"{merged}\n\n{value}" if n and is_str and text else value), text
     return merged, is_str
 
 
-def test_merge_of_large_keys_by_rank(spark):
+def test_merge_of_large_keys_in_blocks(spark):
     rng = random.Random(8)
     rows = [(1, "k", 5, True, f"v{i % 900:04d}") for i in range(2500)]  # one seq, repeated values
     rows += [(2, "k", rng.randrange(4), rng.random() < .9, f"w{rng.randrange(50)}") for _ in range(400)]
     rows += [(3, k, rng.randrange(3), rng.random() < .5, f"x{rng.randrange(9)}") for k in "abc" for _ in range(6)]
+    rows += [(4, "k", rng.randrange(3000), True, f"y{i}") for i in range(900)]
     df = spark.createDataFrame(rows, "conv_id long, k string, seq long, is_str boolean, v string").repartition(5)
+    digest = {r.v: r.h for r in df.select("v", F.xxhash64("v").alias("h")).distinct().collect()}
     parts = {}
     for c, k, s, t, v in rows:
         parts.setdefault((c, k), []).append((s, t, v))
-    want = {key: _fold(p) for key, p in parts.items()}
+    want = {key: _fold(p, digest) for key, p in parts.items()}
     for width in (16, 100, 1024):
         got = {(r.conv_id, r.k): (r.merged, r.merged_is_str) for r in mg.merge_results(df, bucket_width=width).collect()}
         assert got == want
-    ranked = mg._ranked(df.where("conv_id = 1").select("conv_id", "k", "seq", "v"), ["conv_id", "k"], ["seq", "v"])
-    placed = sorted((r._rank, r.v) for r in ranked.collect())
-    assert [r for r, _ in placed] == list(range(2500)) and [v for _, v in placed] == sorted(v for _, v in placed)
-    sizes = [r["count"] for r in ranked.groupBy(F.floor(F.col("_rank") / 100)).count().collect()]
-    assert sizes == [100] * 25
+    tail = df.where("conv_id = 1").select("conv_id", "k", F.lit(0).alias("_b"), F.col("seq").alias("_s"),
+                                          F.xxhash64("v").alias("_h"), F.col("v").alias("_v"))
+    sizes = [r["count"] for r in mg._cut(tail, ["conv_id", "k"], 100).groupBy("_at", "_range").count().collect()]
+    assert len(sizes) == 25 and max(sizes) < 80  # 900 values over 25 ranges
