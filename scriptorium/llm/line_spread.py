@@ -93,15 +93,16 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text:
         "flags", F.expr("split(concat_ws('', transform(gone, (p, i) -> concat(repeat('0', p - "
                         "if(i = 0, 0, get(gone, i - 1) + 1)), '1'))), '')")).drop("gone")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                        F.col(f"`{text}`").alias("text"),
+                        F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
                         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"))
-    joined = keyed.withColumn("text_hash", F.xxhash64("text")).join(flags, ["id", "text_hash"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(
+    joined = keyed.join(flags, ["id", "text_hash"], "left")
+    whole = F.col(f"row.`{text}`")
+    kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: F.coalesce(
         F.get(F.col("flags"), i) != "1", F.lit(True))), "\n")
     removed = F.coalesce(F.size(F.filter("flags", lambda x: x == "1")), F.lit(0))
     return joined.select(
-        "row", F.when(F.col("flags").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("lines"),
+        "row", F.when(F.col("flags").isNull(), whole).otherwise(kept).alias("text"),
+        F.coalesce(F.size(F.split(whole, "\n")), F.lit(0)).cast("long").alias("lines"),
         F.when(F.col("flags").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("removed"))
 
 
