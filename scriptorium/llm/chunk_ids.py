@@ -21,7 +21,7 @@ from array import array
 
 from .common import remembers
 
-MEMORY = 80_000_000  # bytes of chunks and pre-tokens remembered per Python worker, as estimated
+MEMORY = 55_000_000  # bytes of chunks, and of pre-tokens, remembered per Python worker, as estimated
 _ENTRY = 150  # of them, for an entry's objects and its place in the dictionary
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -97,7 +97,7 @@ class _Chunks(dict):
         self.path, self.kind, self.code = path, kind, code
         self.pretokens: dict[str, bytes] = {}
         self.pattern = _WORD_PATTERN if kind == "words" else BYTE_PATTERN
-        self.held = 0  # bytes, of both dictionaries
+        self.held = self.held_pretokens = 0  # bytes of either dictionary
 
     def ids(self, chunk: str) -> bytes:
         if not plain(chunk, self.path):
@@ -107,14 +107,16 @@ class _Chunks(dict):
         for p in found:
             if p not in known:
                 b = known[p] = array(self.code, merge(p, self.path)).tobytes()
-                self.held += len(p) + len(b) + _ENTRY
+                self.held_pretokens += len(p) + len(b) + _ENTRY
         return known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
 
     def __missing__(self, chunk: str) -> bytes:
         if self.held > MEMORY:
             self.clear()
-            self.pretokens.clear()
             self.held = 0
+        if self.held_pretokens > MEMORY:
+            self.pretokens.clear()
+            self.held_pretokens = 0
         b = self[chunk] = self.ids(chunk if self.kind == "words" else " " + chunk)
         self.held += len(chunk) + len(b) + _ENTRY
         return b
