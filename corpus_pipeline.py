@@ -37,13 +37,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     label and a text, nothing is learned and every document with a letter
     stays.  Labels, ids and sources may be NULL; repeated rows share a result."""
     prototypes = language_id.learn(language_id.train_rows(docs))
-    rows = docs.select(_row(docs).alias("row"), F.col("text").alias("text"))
-    told = language_id.predict(rows, prototypes, pred="language", score="score")
-    letters = F.length(F.regexp_replace("text", r"\P{L}", ""))
-    kept = letters > 0
+    places = [f"c{i}" for i in range(len(docs.columns))]  # no name of theirs can clash
+    text = places[docs.columns.index("text")]
+    told = language_id.predict(docs.toDF(*places), prototypes, text=text, pred="language", score="score")
+    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
+    kept = F.col("language") != language_id.UNDETERMINED if prototypes else letters > 0
     if prototypes:
-        kept = kept & ((letters < MIN_LETTERS) | (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return _columns(told.where(kept), docs)
+        kept = kept & ((F.col("score") >= MIN_LANGUAGE_SCORE) | (letters < MIN_LETTERS))
+    return told.where(kept).select(*places).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +69,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     other texts are documents of their own; of rows equal in both, one stays.
     NULL, empty and blank texts are near nothing: each id keeps its own."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    rows = docs.select(_row(docs).alias("row"), key.alias("key"), F.col("text").alias("text"))
-    found = minhash_dedup.near_duplicates(rows.select("key", "text"), id_col="key", percent=NEAR_PERCENT)
+    rows = docs.select(_row(docs).alias("row"), key.alias("key"))
+    found = minhash_dedup.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key", percent=NEAR_PERCENT)
     ids = rows.groupBy("key").agg(F.min("row.doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     named = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key")
     first = named.groupBy("component_id").agg(
