@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import language_id, line_spread, minhash_dedup, packing
 from scriptorium.llm.common import table, written
+from scriptorium.operators.prefilter import anti_join, key_bitmap, with_may_match
 
 MIN_LANGUAGE_SCORE = 0.06  # cosine with the nearest prototype: two standard deviations of chance at 1024 dimensions
 MIN_LETTERS = 64  # one 3-gram each; with fewer the cosine says more about length than about language
@@ -76,8 +77,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = named.groupBy("component_id").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n")).alias("first"))
     first = written(first.select("first.key", "first.n"), "first")
-    single = rows.join(first.where("n = 1"), "key", "left_semi")
-    repeated = rows.join(first.where("n > 1"), "key", "left_semi").dropDuplicates(["key"])
+    # Most documents are the only row of their key and stay: a bitmap lets them pass without a shuffle.
+    again = first.where("n > 1").select("key")
+    leaving = ids.select("key").join(first, "key", "left_anti")
+    single = anti_join(rows, written(leaving.unionByName(again), "leaving"), ["key"])
+    repeated = with_may_match(rows, key_bitmap(again, "key"), "key").where("_may_match").drop("_may_match")
+    repeated = repeated.join(again, "key", "left_semi").dropDuplicates(["key"])
     return _columns(single.unionByName(repeated), docs)
 
 
