@@ -7,8 +7,8 @@ keep their JSON types.  ``to_json`` of the map is the saved record.
 Parser strictness: the original parser rejects trailing text after the
 value, accepts duplicate keys (last wins) and NaN.  Spark's
 ``try_parse_json`` accepts trailing text, so validity is checked on two
-wrappings (see ``json_kind``); duplicate keys and NaN are rejected by it and
-therefore lead to the fallback record (an accepted difference).
+wrappings (see ``json_kind``); it rejects duplicate keys and NaN, so an
+object or array that it rejects is looked at token by token (``relaxed``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col_of, let, py_strip
+from .text import col_of, exclusive_sums, let, py_strip
 
 JSON_WS = " \t\n\r"
 ANALYSIS_TYPE = "map<string,variant>"
@@ -60,6 +60,97 @@ def json_kind(js) -> Column:
                   .when(head == "n", "null").otherwise(number_kind))
 
 
+# Strings, words and numbers, and every other character but JSON's blanks.
+_ANY_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^ \t\n\r"\[\]{},:]++|[^ \t\n\r]'
+_CONSTANTS = ("NaN", "Infinity", "-Infinity")
+_KEY, _COMMA, _CLOSE = 0, 1, 2
+
+
+def _container_kind(j: Column) -> Column:
+    head = F.substring(F.ltrim(j, F.lit(JSON_WS)), 1, 1)
+    return F.when(head == "{", "object").when(head == "[", "array")
+
+
+def relaxed(js) -> Column:
+    """struct<text, names> of an object or array that may repeat keys and hold
+    NaN, Infinity or -Infinity; NULL when it is no JSON otherwise.
+
+    ``text`` is strict JSON: of the members of one object with equal names, at
+    any depth, the last stays, and the constants are strings of their name.
+    ``names`` are the names of the outermost object in the order of their first
+    members.  All steps are sorts and running sums over the tokens, none
+    compares them pairwise."""
+
+    def body(t):
+        def is_key(x, i):
+            return F.startswith(x, F.lit('"')) & F.coalesce(F.get(t, i + 1) == ":", F.lit(False))
+
+        # With a number added to each name no name repeats, and the strict parser judges the rest.
+        numbered = F.array_join(F.transform(t, lambda x, i: F.when(is_key(x, i), F.concat(
+            F.substr(x, F.lit(1), F.length(x) - 1), F.lit("#"), i.cast("string"), F.lit('"'))).otherwise(x)), " ")
+        depth = exclusive_sums(F.transform(t, lambda x: F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1)
+                                           .otherwise(0)))
+        return F.when(json_kind(numbered).isNotNull(), let(depth, lambda d: let(_marks(t, d, is_key),
+                                                                                lambda m: _last_members(t, m))))
+
+    def constants_as_strings(raw):  # as values only: a bare name is no JSON
+        return F.transform(raw, lambda x, i: F.when(
+            x.isin(*_CONSTANTS) & ~F.coalesce(F.get(raw, i + 1) == ":", F.lit(False)),
+            F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x))
+
+    tokens = let(F.regexp_extract_all(col_of(js), F.lit(_ANY_TOKEN), F.lit(0)), constants_as_strings)
+    return let(tokens, body)
+
+
+def _marks(t: Column, depth: Column, is_key) -> Column:
+    """Names, commas and closing brackets, those of one object after another:
+    within a depth, an object ends before the next one begins."""
+    def mark(x, i):
+        key = is_key(x, i)
+        kind = F.when(key, _KEY).when(x == ",", _COMMA).when(x.isin("}", "]"), _CLOSE)
+        name = F.when(key, F.try_variant_get(F.try_parse_json(x), "$", "string"))
+        return F.struct(depth[i].alias("depth"), i.alias("pos"), kind.alias("kind"), name.alias("name"))
+
+    return F.array_sort(F.filter(F.transform(t, mark), lambda m: m["kind"].isNotNull()))
+
+
+def _last_members(t: Column, m: Column) -> Column:
+    def members(closed):
+        # A name's next mark is the comma or bracket that ends its member.
+        return F.array_sort(F.transform(F.filter(F.transform(m, lambda x, i: F.struct(
+            closed[i].alias("object"), x["name"].alias("name"), x["pos"].alias("pos"),
+            F.get(m, i + 1)["pos"].alias("end"), x["kind"].alias("kind"))), lambda x: x["kind"] == _KEY),
+            lambda x: x.dropFields("kind")))
+
+    def earlier(s):
+        def again(x, i):
+            following = F.get(s, i + 1)
+            return (following["object"] == x["object"]) & (following["name"] == x["name"])
+
+        return F.filter(F.transform(s, lambda x, i: F.struct(
+            x["pos"].alias("pos"), x["end"].alias("end"), again(x, i).alias("again"))), lambda x: x["again"])
+
+    def event(pos, place, change, token):
+        return F.struct(pos.alias("pos"), F.lit(place).alias("place"), F.lit(change).alias("change"),
+                        token.alias("token"))
+
+    def kept(gone):
+        none = F.lit(None).cast("string")
+        events = F.array_sort(F.concat(F.transform(t, lambda x, i: event(i, 1, 0, x)),
+                                       F.transform(gone, lambda g: event(g["pos"], 0, 1, none)),
+                                       F.transform(gone, lambda g: event(g["end"], 2, -1, none))))
+        return let(events, lambda e: let(
+            exclusive_sums(F.transform(e, lambda x: x["change"])),
+            lambda inside: F.array_join(F.transform(F.filter(
+                e, lambda x, i: (x["place"] == 1) & (inside[i] == 0)), lambda x: x["token"]), " ")))
+
+    closed = exclusive_sums(F.transform(m, lambda x: F.when(x["kind"] == _CLOSE, 1).otherwise(0)))
+    text = let(let(let(closed, members), earlier), kept)
+    names = F.array_distinct(F.transform(F.filter(m, lambda x: (x["kind"] == _KEY) & (x["depth"] == 1)),
+                                         lambda x: x["name"]))
+    return F.struct(text.alias("text"), names.alias("names"))
+
+
 def as_variant(c) -> Column:
     return col_of(c).cast("variant")
 
@@ -189,14 +280,24 @@ def parse_answer(content, name) -> Column:
     c = col_of(content)
 
     def body(js):
-        def with_kind(kind):
+        def with_kind(strict):
+            again = F.when(strict.isNull() & _container_kind(js).isNotNull(), relaxed(js))
+            return let(again, lambda r: outcome(strict, r))
+
+        def outcome(strict, r):
+            constant = F.when(F.btrim(js, F.lit(JSON_WS)).isin(*_CONSTANTS), "float")
+            kind = F.coalesce(strict, F.when(r.isNotNull(), _container_kind(js)), constant)
             branch = (F.when(c.isNull(), F.lit("error")).when(kind.isNull(), F.lit("fallback"))
                       .when(kind == "object", F.lit("parsed")).otherwise(F.lit("error")))
             message = F.when(c.isNull(), F.lit(fixed.ERROR_NONE_CONTENT)).otherwise(_type_error(kind, js))
+            found = F.when(r.isNull(), F.from_json(js, ANALYSIS_TYPE)).otherwise(let(
+                F.from_json(r["text"], ANALYSIS_TYPE),
+                lambda m: F.map_from_arrays(r["names"], F.transform(r["names"], lambda n: F.element_at(m, n)))))
             return let(branch, lambda b: F.struct(b.alias("branch"), (
-                F.when(b == "parsed", with_name(F.from_json(js, ANALYSIS_TYPE), name))
+                F.when(b == "parsed", with_name(found, name))
                 .when(b == "fallback", fallback_record(name, c))
                 .otherwise(error_record(name, message))).alias("analysis")))
+
         return let(json_kind(js), with_kind)
 
     return let(fenced_json(c), body)

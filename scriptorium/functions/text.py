@@ -53,6 +53,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _scan(numbers: Column, start: Column) -> Column:
+    """``start``, ``start`` + first, ...: one entry per number."""
+    return F.aggregate(numbers, F.struct(start.alias("total"), F.array().cast("array<int>").alias("sums")),
+                       lambda s, x: F.struct((s["total"] + x).alias("total"),
+                                             F.array_append(s["sums"], s["total"]).alias("sums")),
+                       lambda s: s["sums"])
+
+
+def exclusive_sums(numbers: Column) -> Column:
+    """Exclusive running sums of an int array of any size, in two levels.
+
+    Spark has no scan over arrays, and appending inside ``aggregate`` copies
+    what is there.  With k numbers in blocks of sqrt(k), the blocks' sums are
+    scanned first and every block then from its start, so no appended array is
+    longer than sqrt(k) and the copies are k * sqrt(k) entries."""
+    def run(a):
+        width = F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / width).cast("int")),
+                             lambda b: F.slice(a, b * width + 1, width))
+
+        def from_starts(bs):
+            totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+            return let(_scan(totals, F.lit(0)), lambda st: F.flatten(F.transform(bs, lambda b, i: _scan(b, st[i]))))
+
+        return F.when(F.size(a) == 0, a).otherwise(let(blocks, from_starts))
+
+    return let(numbers, run)
+
+
 def explode_array(df, arr: Column, keep: list, pos: str | None = None, item: str = "_x"):
     """One row per array element, without re-evaluating ``arr``.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import WS_CLASS, col_of, explode_array, let, py_strip
+from ..functions.text import WS_CLASS, col_of, exclusive_sums, explode_array, let, py_strip
 
 # fixed values: heading patterns of the segment splitter, in this order
 SEGMENT_PATTERNS = {
@@ -71,48 +71,16 @@ def segment_name(seg: Column) -> Column:
             .when(h1.isin("c", "d", "4"), "conclusion"))
 
 
-def _bind(fn, d):
-    # PySpark counts lambda parameters (element vs element+index), so
-    # closures must take exactly one argument.
-    return lambda a: fn(a, d)
-
-
 def _named(name):
     return lambda s: s["section"] == F.lit(name)
 
 
-def _exclusive_prefix_sums(lengths: Column, rounds: int = 24) -> Column:
-    """Exclusive prefix sums of an int array in O(k log k) (Hillis-Steele).
-
-    Spark has no scan over arrays; doubling steps keep it linear-logarithmic
-    instead of the quadratic cost of appending inside ``aggregate``.  Every
-    intermediate array is bound once (``let``), so no step re-evaluates the
-    one before.  Handles up to 2**rounds elements and raises an
-    error beyond (the analyzer cannot nest many more steps).
-    """
-    def step(a, d):
-        return F.when(F.size(a) > d, F.transform(
-            a, lambda v, i: F.when(i >= d, v + a[i - d]).otherwise(v))).otherwise(a)
-
-    def run(lens):
-        acc = F.transform(lens, lambda v, i: F.when(i == 0, F.lit(0)).otherwise(lens[i - 1]))
-        for r in range(rounds):
-            acc = let(acc, _bind(step, 1 << r))
-        return acc
-
-    def checked(lens):
-        return F.when(F.size(lens) <= 1 << rounds, run(lens)).otherwise(
-            F.raise_error(F.lit(f"more than {1 << rounds} headings in one text")).cast("array<int>"))
-
-    return let(lengths, checked)
-
-
 def _segments(c) -> Column:
     """array<struct<seq, section, start_pos, text>> of all heading segments."""
     parts = F.split(mark_headings(c), _MARK, -1)
 
     def with_starts(p):
-        starts = _exclusive_prefix_sums(F.transform(p, lambda s: F.length(s)))
+        starts = exclusive_sums(F.transform(p, lambda s: F.length(s)))
         return let(starts, lambda st: F.slice(F.transform(p, lambda s, i: F.struct(
             i.alias("seq"), segment_name(s).alias("section"),
             st[i].alias("start_pos"), py_strip(s).alias("text"))),

@@ -54,6 +54,42 @@ def test_parse_table(spark):
             assert r.resumen == content.strip()
 
 
+REPEATED = [
+    '{"a":1,"a":2}', '{"a":1,"b":{"x":[1,{"y":1,"y":[2,{"y":3}]}],"x":0},"a":{"a":1,"a":{}}}',
+    '{"nombre":"P","v":NaN,"w":[Infinity,-Infinity,{"z":NaN,"z":1}]}', '{"b":1,"a":2,"b":{"c":"x, y: {\\"c\\"","c":[]}}',
+    '{"a":1,"\\u0061":2,"nombre":"","nombre":"Q"}', '[{"a":1,"a":2}]', '{"a":[{"k":1},{"k":2}],"b":{"k":3},"a":{"k":4},"k":5}',
+    '{"a#3":1,"a":2,"a":3,"a#3":4}', ' {"":1, "":2}\n', '{"a":{"a":{"a":{}}},"a":{"a":{"a":{"b":1,"b":2}}}}',
+    '{"a":"NaN","a":NaN}', 'NaN', '[NaN]', '-Infinity']
+NOT_JSON = ['{"a":1,"a":2,}', '{"a":1 "a":2}', '{"a":1,"a":2} x', '{"a":bad,"a":1}', '{"a":1,"a":}', '{"a":1 2,"a":3}',
+            '{"a":+NaN}', '{"a":nan}', '{"\\q":1,"a":1,"a":2}', '{"a":1,"a":2', '[1}', '{"a":1,"a":2]', '{"a":"x,"a":1}',
+            '{"a":1,#"a":2}', '{NaN:1}', '{a:1,a:2}']
+
+
+def test_repeated_keys_and_constants_like_the_original(spark):
+    """Every accepted text gives what Python's parser makes of it (constants as
+    strings of their name); what that parser rejects stays a fallback."""
+    for content, r in zip(REPEATED, _parse(spark, REPEATED)):
+        want = json.loads(content, parse_constant=str)
+        if not isinstance(want, dict):
+            kind = "list" if isinstance(want, list) else "float"
+            assert r.branch == "error" and kind in r.error or r.error == fixed.ERROR_PREFIX + fixed.ERROR_LIST, content
+            continue
+        want = want if want.get("nombre") else {**want, "nombre": "doc.pdf"}
+        got = {k: json.loads(v.toJson()) for k, v in r.analysis.items()}
+        assert r.branch == "parsed" and got == want and r["keys"] == ",".join(want), content
+    for content, r in zip(NOT_JSON, _parse(spark, NOT_JSON)):
+        with pytest.raises(ValueError):
+            json.loads(content)
+        assert r.branch == "fallback", content
+
+
+def test_a_long_answer_with_repeated_keys(spark):
+    content = "{" + ",".join(f'"k{i % 3000}":{{"v":{i},"v":[{i}]}}' for i in range(6000)) + "}"
+    r = _parse(spark, [content])[0]
+    want = {**json.loads(content), "nombre": "doc.pdf"}
+    assert {k: json.loads(v.toJson()) for k, v in r.analysis.items()} == want and r["keys"] == ",".join(want)
+
+
 @pytest.mark.parametrize("content,message", [
     (None, fixed.ERROR_NONE_CONTENT), ("[1]", fixed.ERROR_LIST), ('"abc"', fixed.ERROR_STR_ASSIGN),
     ('"xnombre"', fixed.ERROR_STR_INDEX), ("1", fixed.ERROR_NOT_ITERABLE.format("int")),
