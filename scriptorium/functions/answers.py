@@ -90,7 +90,7 @@ def relaxed(js) -> Column:
             F.substr(x, F.lit(1), F.length(x) - 1), F.lit("#"), i.cast("string"), F.lit('"'))).otherwise(x)), " ")
         depth = exclusive_sums(F.transform(t, lambda x: F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1)
                                            .otherwise(0)))
-        return F.when(json_kind(numbered).isNotNull(), let(depth, lambda d: let(_marks(t, d, is_key),
+        return F.when(let(numbered, lambda n: json_kind(n).isNotNull()), let(depth, lambda d: let(_marks(t, d, is_key),
                                                                                 lambda m: _last_members(t, m))))
 
     def constants_as_strings(raw):  # as values only: a bare name is no JSON
@@ -286,7 +286,10 @@ def parse_answer(content, name) -> Column:
 
         def outcome(strict, r):
             constant = F.when(F.btrim(js, F.lit(JSON_WS)).isin(*_CONSTANTS), "float")
-            kind = F.coalesce(strict, F.when(r.isNotNull(), _container_kind(js)), constant)
+            return let(F.coalesce(strict, F.when(r.isNotNull(), _container_kind(js)), constant),
+                       lambda kind: record(kind, r))
+
+        def record(kind, r):
             branch = (F.when(c.isNull(), F.lit("error")).when(kind.isNull(), F.lit("fallback"))
                       .when(kind == "object", F.lit("parsed")).otherwise(F.lit("error")))
             message = F.when(c.isNull(), F.lit(fixed.ERROR_NONE_CONTENT)).otherwise(_type_error(kind, js))
