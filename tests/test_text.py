@@ -4,6 +4,7 @@ import os
 import string
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 
@@ -98,3 +99,10 @@ def test_preprocess_is_one_pass_on_raw_text(spark):
                                "authors string, arxiv_id string")
     row = rq.preprocess(df, 10, count="n_chunks").collect()[0]
     assert (row.structured, row.n_chunks) == ("a  b.", 1)
+
+
+def test_running_sums_of_any_size(spark):
+    arrays = [list(range(-3, n - 3)) for n in (0, 1, 2, 3, 4, 5, 8, 9, 10, 99, 100, 101, 5000)] + [None]
+    df = spark.createDataFrame(list(enumerate(arrays)), "i int, a array<int>")
+    got = [r[0] for r in df.orderBy("i").select(tx.exclusive_sums(F.col("a"))).collect()]
+    assert got == [a and [sum(a[:i]) for i in range(len(a))] if a is not None else None for a in arrays]
