@@ -73,6 +73,23 @@ def test_cross_polytope_recall(rows):
     assert met.mean() >= 0.999
 
 
+def test_codes_do_not_depend_on_the_batch():
+    rows = np.random.default_rng(3).normal(size=(700, 24)).astype(np.float32)
+    x = cp.unit_rows(rows.tolist(), 24)
+    whole = cp.codes(x, 8, 3, 4)
+    assert all(np.array_equal(whole[i:i + n], cp.codes(x[i:i + n], 8, 3, 4)) for i, n in [(0, 1), (5, 2), (100, 333)])
+    assert all(np.array_equal(x[i], cp.unit_rows(rows[i:i + 1], 24)[0]) for i in range(50))
+
+
+@pytest.mark.parametrize("entries", [1, 40, 10_000])
+def test_small_units_find_the_same_links(spark, monkeypatch, entries):
+    df = spark.createDataFrame([r for r in _vectors(7) if r[0] is not None], "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    monkeypatch.setattr(embedding_dedup, "_ENTRIES", entries)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == want
+
+
 def test_hadamard_rotation_keeps_lengths_and_angles():
     x = np.random.default_rng(0).normal(size=(50, 24))
     y = cp.rotated(x, 5)
