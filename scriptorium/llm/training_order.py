@@ -11,15 +11,18 @@ as fixed-stride binary shards.
    until it falls below the number of sequences, maps numbers to slots: a
    bijection on 0..n-1 that any reader can compute, with no shuffle file, no
    sort key and no state.
-4. Sequences move once, to the shard that owns their range of slots, and each
-   shard is written in slot order by one task through Spark's commit protocol:
-   a lost executor leaves no partial shard.
+4. Sequences move once, to the task that owns their range of slots.  A task
+   owns neighbouring shards, as many as keep the number of tasks at ``writers``
+   or below, and writes them in slot order through Spark's commit protocol: a
+   lost executor leaves no partial shard.
 
 A record has ``length`` little-endian ids (unsigned 16 bit if the ids and the
 padding fit, else 32 bit), padded with the largest value, and one closing
 newline byte, so slot s of a shard starts at byte ``(s % per_shard) * stride``.
 ``manifest`` holds the numbers a reader needs; ``read_slots`` opens only the
-shards of the slots asked for, so training resumes at any slot.
+shards of the slots asked for, so training resumes at any slot.  Spark's binary
+reader hands over a shard as one value, so ``per_shard * stride`` bytes (34 MB
+by default) is also what a reading task holds.
 
 Defined results: a NULL or empty text contributes its end id.  Repeated rows
 and repeated or NULL ids contribute row by row.  An empty table gives no
@@ -42,7 +45,8 @@ from . import chunk_ids
 from .common import begin, blocks_of, ship, slices, written
 
 LENGTH = 2048
-PER_SHARD = 2048
+PER_SHARD = 8192
+WRITERS = 8192  # tasks that write shards, at most
 ROUNDS = 6
 KEY = 0x5EED0F7A11A9C0DE
 SEPARATOR = "\n"
@@ -105,7 +109,7 @@ def sequences(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text",
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text",
-                 length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> dict:
+                 length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, writers: int = WRITERS) -> dict:
     """Write ``docs`` as shards under ``path``; returns the manifest."""
     if sys.byteorder != "little":
         raise RuntimeError("shards are little-endian")
@@ -140,11 +144,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())],
                                                      names=["shard", "record"])
 
-        start = F.broadcast(spark.createDataFrame(starts, "part int, start long"))  # one row per task of step 1
+        each = blocks_of(manifest["shards"], writers)  # shards of a task
+        # One row per task of step 1, as a table: Spark sees its size and chooses the join by it.
+        start = written(spark.createDataFrame(starts, "part int, start long").coalesce(1), "starts")
         (made.join(start, "part")
          .withColumn("slot", slot_of(F.col("start") + F.col("place")))
          .select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "ids")
-         .repartition(manifest["shards"], "shard").sortWithinPartitions("shard", "slot")
+         .repartitionById(blocks_of(manifest["shards"], each), F.floor(F.col("shard") / each).cast("int"))
+         .sortWithinPartitions("shard", "slot")
          .select("shard", "ids").mapInArrow(records, "shard long, record binary")
          .select("shard", F.col("record").cast("string").alias("record"))
          .write.partitionBy("shard").option("lineSep", SEPARATOR).option("compression", "none").text(f"{path}/shards"))

@@ -106,6 +106,60 @@ def test_language_id_edge_rows(spark):
     assert {r.doc_id: (r.lang_pred, r.score) for r in plain} == got
 
 
+def _profile_by_hand(text, dims, vectors):
+    """A text's 3-grams one by one from its definition, as Python integers."""
+    letters = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text]
+    marked = [0]
+    for c, code in zip(text, letters):
+        code = code if c.isalpha() else 0
+        if code or marked[-1]:
+            marked.append(code)
+    if marked[-1]:
+        marked.append(0)
+    total = [0] * dims
+    for a, b, c in zip(marked, marked[1:], marked[2:]):
+        if b:
+            va, vb, vc = vectors(a), vectors(b), vectors(c)
+            for d in range(dims):
+                total[d] += va[(d - 2) % dims] * vb[(d - 1) % dims] * vc[d]
+    return total
+
+
+def test_language_id_equals_plain_profiles(spark):
+    """Prototypes, predictions, scores and ties, text by text, against plain Python."""
+    dims = 64
+    texts = ["the house and the garden", "das Haus, der Garten!", "THE  house\n9 x", "über ÄÖ ß", "", None, "12 !",
+             "日本語 と", "İstanbul", "a", "the house and the garden", "x" * 300, "e\u0301te \U0001d4d0"]
+    langs = ["en", "de", "en", "de", "en", "de", "de", "ja", None, "en", "fr", "de", "fr"]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs))],
+                               "doc_id long, text string, lang string")
+
+    def vectors(code):
+        return language_id._letter_vector(code, dims).tolist()
+
+    profile = [_profile_by_hand(t or "", dims, vectors) for t in texts]
+    sums = {}
+    for t, g, v in zip(texts, langs, profile):
+        if g is not None and t is not None:
+            sums[g] = [a + b for a, b in zip(sums.get(g, [0] * dims), v)]
+    unit = {g: [x / sum(y * y for y in v) ** 0.5 for x in v] for g, v in sorted(sums.items()) if any(v)}
+    learned = language_id.learn(df, dims=dims)
+    assert list(learned) == list(unit) and all(learned[g].tolist() == pytest.approx(unit[g]) for g in unit)
+    got = {r.doc_id: r for r in language_id.predict(df, learned).collect()}
+    for i, (t, v) in enumerate(zip(texts, profile)):
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        size = sum(x * x for x in v) ** 0.5
+        cosine = {g: sum(a * b for a, b in zip(v, u)) / size for g, u in unit.items()}
+        most = max(cosine.values())
+        assert got[i].score == pytest.approx(min(1, max(0, most)))
+        assert got[i].lang_pred in [g for g, c in cosine.items() if c > most - 1e-9]
+    # equal prototypes: the language that sorts first
+    same = {g: learned["en"] for g in ("aa", "en", "zz")}
+    assert {r.lang_pred for r in language_id.predict(df, same).collect()} == {"aa", "und"}
+
+
 def test_bundles_do_not_depend_on_the_batch():
     import numpy as np
     texts = ["the house", "", None, "das Haus", "the house", "a1b2c"]

@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
-from scriptorium.llm import chunk_ids, packing, sentencepiece_viterbi as sv, token_counts, training_order
+from scriptorium.llm import chunk_ids, packing, queries, sentencepiece_viterbi as sv, token_counts, training_order
 from scriptorium.session import scratch_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -203,5 +203,45 @@ def test_training_order_round_trip(spark):
     assert sorted((r.slot, bytes(r.ids)) for r in some) == [(r.slot, bytes(r.ids)) for r in rows[45:130]]
 
 
+def _sequences_by_hand(docs, length):
+    """Sequence by sequence: ids of each partition end to end, cut (plain lists)."""
+    library, out = chunk_ids.library(WORDS), []
+    for rows in docs.rdd.glom().collect():
+        ids = [i for r in rows for i in [*library.encode(r.text or "", add_special_tokens=False).ids, 49407]]
+        out += [ids[k:k + length] for k in range(0, len(ids), length)]
+    return out
+
+
+@pytest.mark.parametrize("length, per_shard, writers", [(16, 7, 3), (16, 7, 1), (2048, 2, 100), (5, 1000, 8192)])
+def test_every_slot_holds_its_sequence(spark, length, per_shard, writers):
+    path = scratch_path(spark, "test-slots")
+    docs = _docs(spark, [(i, f"text number {i} " * (1 + i % 90), "s") for i in range(150)]).repartition(4, "doc_id")
+    docs = docs.sortWithinPartitions("doc_id")
+    m = training_order.write_shards(docs, path, WORDS, end_id=49407, length=length, per_shard=per_shard,
+                                    writers=writers)
+    want = _sequences_by_hand(docs, length)
+    place = training_order.slots(np.arange(len(want)), len(want))
+    rows = training_order.read_slots(spark, path).collect()
+    assert m["sequences"] == len(want) == len(rows) and m["shards"] == -(-len(want) // per_shard)
+    got = {r.slot: np.frombuffer(r.ids, "<u2").tolist() for r in rows}
+    assert got == {int(s): ids for s, ids in zip(place, want)}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/shards").select("path")
+    assert files.count() == m["shards"]  # one file each, by at most `writers` tasks
+    tasks = {r.path.rsplit("part-", 1)[1][:5] for r in files.collect()}
+    assert len(tasks) <= writers
+
+
+def test_op9_holds_every_document_once(spark, tmp_path):
+    texts = ["the house " * 3000, None, "", "the house " * 3000] + [f"a short text {i}" for i in range(40)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    rows = sorted(queries.op9_training_order(spark, str(tmp_path)).collect())
+    want = _sequences_by_hand(spark.read.parquet(str(tmp_path / "documents.parquet")), 2048)
+    place = training_order.slots(np.arange(len(want)), len(want))
+    check = [zlib.crc32(np.array(ids, "<u2").tobytes()) for ids in want]
+    assert [(r.slot, r.n_tokens, r.ids_crc32) for r in rows] == sorted(
+        (int(s), len(ids), c) for s, ids, c in zip(place, want, check))
+
+
 def test_training_order_of_an_empty_table(spark):
     assert training_order.materialise(_docs(spark, []), WORDS, end_id=1).count() == 0
