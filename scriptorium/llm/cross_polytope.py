@@ -27,6 +27,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def axes(dims: int) -> int:
+    """Signed axes of rotated vectors of up to ``dims`` components, at least: a
+    code of ``depth`` axes is below this to the power of ``depth``."""
+    return 2 * (1 << max(1, (max(dims, 2) - 1).bit_length()))
+
+
 @functools.lru_cache(512)
 def _signs(seed: int, size: int) -> np.ndarray:
     bits = np.random.Generator(np.random.Philox(key=seed + 1)).integers(0, 2, (ROUNDS, size), dtype=np.int8)

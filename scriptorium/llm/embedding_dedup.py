@@ -11,8 +11,8 @@ rotations, multiprobe buckets, verified pairs.
    spread over the cluster.  A unit computes cosines in double precision.  It
    returns counts of links per vector and a spanning forest of its links,
    never the pairs.  A pair that shares several buckets is counted in the
-   first of them only.  Vectors travel in the input's own type and without
-   codes: a unit computes the codes of its linked vectors again.
+   first of them only (both codes travel with the vectors, in 32 bits where
+   they fit; vectors in the input's own type).
 5. Links joined into components give ``component_id``.
 
 ``depth`` (axes per code) grows with the number of vectors so that unrelated
@@ -39,14 +39,13 @@ from .common import components, ship, slices, whole_runs, written
 
 BLOCK = 1024
 _PAIRS = 50_000  # linked pairs whose codes are compared at once
-_SLICE = 500  # vectors whose codes are computed at once
 _ENTRIES = 2_000_000  # components of the runs that a unit holds, but for its last run
 
 
 def shape(rows: int, dims: int) -> tuple[int, int, int]:
     """(tables, depth, probes): codes of ``depth`` axes out of 2 * dims, as
     many as give each vector a bucket of its own, at least three."""
-    axes = 2 * (1 << max(1, (max(dims, 2) - 1).bit_length()))
+    axes = cp.axes(dims)
     depth = 3
     while axes ** depth < rows and (depth + 1) * np.log2(axes) < 62:
         depth += 1
@@ -70,8 +69,8 @@ def _classes(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
                           (usable(vec) & F.col(id_col).isNotNull()).alias("ok"), plain.alias("vector"))
 
 
-def _buckets(classes: DataFrame, tables: int, depth: int, probes: int) -> DataFrame:
-    """rep, dims, codes (tables x (1 + probes), row by row)."""
+def _buckets(classes: DataFrame, tables: int, depth: int, probes: int, kind: str) -> DataFrame:
+    """rep, copies, vector, codes (tables x (1 + probes), row by row)."""
     def run(batches):
         for pdf in slices(batches):
             sizes = pdf["vector"].map(len)
@@ -79,21 +78,22 @@ def _buckets(classes: DataFrame, tables: int, depth: int, probes: int) -> DataFr
             for d in sizes.unique():
                 at = np.flatnonzero(sizes == d)
                 x = cp.unit_rows(np.stack(pdf["vector"].iloc[at].tolist()), int(d))
-                c = cp.codes(x, tables, depth, probes).reshape(len(at), -1)
+                c = cp.codes(x, tables, depth, probes).reshape(len(at), -1).astype(np.int32 if kind == "int" else np.int64)
                 for k, i in enumerate(at):
                     codes[i] = c[k]
-            yield pd.DataFrame({"rep": pdf["rep"], "dims": sizes, "codes": codes})
+            yield pdf.assign(codes=codes)
 
-    return classes.mapInPandas(run, "rep long, dims int, codes array<long>")
+    own = classes.schema["vector"].dataType.simpleString()
+    return classes.mapInPandas(run, f"rep long, copies long, vector {own}, codes array<{kind}>")
 
 
 class _Unit:
     """Counts and forest of the linked pairs of some rows, pair by pair only
     where rows are linked."""
 
-    def __init__(self, pdf: pd.DataFrame, tables: int, depth: int, probes: int, least: float):
+    def __init__(self, pdf: pd.DataFrame, tables: int, width: int, least: float):
         self.x = cp.unit_rows(np.stack(pdf["vector"].tolist()), len(pdf["vector"].iat[0]))
-        self.shape, self.place, self.codes = (tables, depth, probes), np.full(len(pdf), -1), []
+        self.codes = np.stack(pdf["codes"].tolist()).reshape(len(pdf), tables, width)
         self.block, self.lo, self.hi, self.table, self.bucket, self.ids, self.copies = (
             pdf[c].to_numpy() for c in ("block", "lo", "hi", "table", "bucket", "rep", "copies"))
         self.least, self.count, self.root = least, np.zeros(len(pdf), np.int64), {}
@@ -116,26 +116,15 @@ class _Unit:
         i, j = np.nonzero(close)
         self.link(left[i], right[j])
 
-    def codes_of(self, rows: np.ndarray) -> np.ndarray:
-        """Codes of some rows, computed when a row is first linked."""
-        fresh = np.unique(rows[self.place[rows] < 0])
-        if len(fresh):
-            known = len(self.codes)
-            new = np.concatenate([cp.codes(self.x[fresh[k:k + _SLICE]], *self.shape)
-                                  for k in range(0, len(fresh), _SLICE)])
-            self.place[fresh] = known + np.arange(len(fresh))
-            self.codes = np.concatenate((self.codes, new)) if known else new
-        return self.codes[self.place[rows]]
-
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         """Count the pairs whose first shared bucket is this one."""
         for at in range(0, len(i), _PAIRS):
             a, b = i[at:at + _PAIRS], j[at:at + _PAIRS]
-            left, right = self.codes_of(a), self.codes_of(b)
+            left, right = self.codes[a], self.codes[b]
             same = left[:, :, :, None] == right[:, :, None, :]
             first = same.any((2, 3)).argmax(1)
             pair = np.arange(len(a))
-            met = np.where(same[pair, first], left[pair, first][:, :, None], np.iinfo(np.int64).max).min((1, 2))
+            met = np.where(same[pair, first], left[pair, first][:, :, None], np.iinfo(left.dtype).max).min((1, 2))
             mine = (first == self.table[a]) & (met == self.bucket[a])
             a, b = a[mine], b[mine]
             np.add.at(self.count, a, self.copies[b])
@@ -157,7 +146,7 @@ class _Unit:
         return pd.DataFrame(out, columns=["a", "b", "n"]).astype("Int64") if out else None
 
 
-def _links(cells: DataFrame, tables: int, depth: int, probes: int, least: float) -> DataFrame:
+def _links(cells: DataFrame, tables: int, width: int, least: float) -> DataFrame:
     """a, b, n: counts (b NULL) and forest edges (n NULL) of sorted cells.  Each
     linked pair is taken up in one cell only, so the forests join all links."""
     entries = _ENTRIES
@@ -171,7 +160,7 @@ def _links(cells: DataFrame, tables: int, depth: int, probes: int, least: float)
                 # runs side by side while their vectors stay below _ENTRIES
                 for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(own * int(dims) // entries)) + 1):
                     at, n = own[part] - own[part[0]], size[part]
-                    unit = _Unit(pdf.iloc[rows[own[part[0]]:own[part[0]] + n.sum()]], tables, depth, probes, least)
+                    unit = _Unit(pdf.iloc[rows[own[part[0]]:own[part[0]] + n.sum()]], tables, width, least)
                     unit.pairs_of_two(at[n == 2])
                     for k in np.flatnonzero(n > 2):
                         unit.pairs_of_run(at[k], at[k] + n[k])
@@ -196,9 +185,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embe
     size = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     tables, depth, probes = shape(size["n"], size["d"] or 1)
     width = 1 + probes
-    coded = written(_buckets(classes.select("rep", "vector"), tables, depth, probes), "codes")
+    kind = "int" if cp.axes(size["d"] or 1) ** depth < 2 ** 31 else "bigint"
+    coded = written(_buckets(classes.select("rep", "copies", "vector"), tables, depth, probes, kind), "codes")
 
-    spots = coded.select("rep", "dims", F.posexplode("codes").alias("at", "bucket")).select(
+    spots = coded.select("rep", F.size("vector").alias("dims"), F.posexplode("codes").alias("at", "bucket")).select(
         "rep", "dims", F.floor(F.col("at") / width).cast("int").alias("table"), "bucket").distinct()
     key = ["table", "bucket", "dims"]
     shared = spots.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
@@ -208,9 +198,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embe
     dealt = dealt.withColumn("other", each).select(
         *key, "rep", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     order = [*key, "lo", "hi"]
-    cells = (dealt.join(classes, "rep").select(*order, "block", "rep", "copies", "vector")
+    cells = (dealt.join(coded, "rep").select(*order, "block", "rep", "copies", "vector", "codes")
              .repartition(*order).sortWithinPartitions(*order))
-    found = written(_links(cells, tables, depth, probes, least), "links")
+    found = written(_links(cells, tables, width, least), "links")
 
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("near"))
     labels = components(found.where("b is not null"))
