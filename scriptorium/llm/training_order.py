@@ -21,7 +21,7 @@ padding fit, else 32 bit), padded with the largest value, and one closing
 newline byte, so slot s of a shard starts at byte ``(s % per_shard) * stride``.
 ``manifest`` holds the numbers a reader needs; ``read_slots`` opens only the
 shards of the slots asked for, so training resumes at any slot.  Spark's binary
-reader hands over a shard as one value, so ``per_shard * stride`` bytes (34 MB
+reader hands over a shard as one value, so ``per_shard * stride`` bytes (17 MB
 by default) is also what a reading task holds.
 
 Defined results: a NULL or empty text contributes its end id.  Repeated rows
@@ -45,7 +45,7 @@ from . import chunk_ids
 from .common import begin, blocks_of, ship, slices, written
 
 LENGTH = 2048
-PER_SHARD = 8192
+PER_SHARD = 4096
 WRITERS = 8192  # tasks that write shards, at most
 ROUNDS = 6
 KEY = 0x5EED0F7A11A9C0DE
@@ -181,24 +181,26 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
              .load(paths))
 
     def run(batches):
-        width, dtype = m["length"] * m["bytes_per_id"], np.dtype(f"<u{m['bytes_per_id']}")
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                shard = int(file.rsplit("shard=", 1)[1].split("/", 1)[0])
-                rows = []
-                for k in range(len(content) // m["stride"]):
-                    slot = shard * m["per_shard"] + k
-                    if start <= slot < stop:
-                        ids = np.frombuffer(content, dtype, m["length"], k * m["stride"])
-                        n = int(np.count_nonzero(ids != m["padding"]))
-                        rows.append((slot, shard, n, content[k * m["stride"]:k * m["stride"] + n * m["bytes_per_id"]]))
-                    if len(rows) == 500:
-                        yield pd.DataFrame(rows, columns=["slot", "shard", "n_tokens", "ids"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["slot", "shard", "n_tokens", "ids"])
-
-    return files.select("path", "content").mapInPandas(run, schema)
+        import pyarrow as pa
+        begin("slots")
+        size, width, dtype = m["bytes_per_id"], m["length"] * m["bytes_per_id"], np.dtype(f"<u{m['bytes_per_id']}")
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1)):
+                shard = int(file.as_py().rsplit("shard=", 1)[1].split("/", 1)[0])
+                data = np.frombuffer(content.as_buffer(), np.uint8)
+                records = data.reshape(-1, m["stride"])[:, :width]
+                base = shard * m["per_shard"]
+                lo, hi = max(0, start - base), min(len(records), stop - base)
+                for at in range(lo, hi, 500):  # a few megabytes of records at a time
+                    block = np.ascontiguousarray(records[at:min(at + 500, hi)])
+                    n = (block.view(dtype) != m["padding"]).sum(1)
+                    ids = [row[:k * size].tobytes() for row, k in zip(block, n.tolist())]
+                    slot = base + at + np.arange(len(block))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(slot, pa.int64()), pa.array(np.full(len(block), shard), pa.int64()),
+                         pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["slot", "shard", "n_tokens", "ids"])
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def materialise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", length: int = LENGTH,
