@@ -21,8 +21,8 @@ padding fit, else 32 bit), padded with the largest value, and one closing
 newline byte, so slot s of a shard starts at byte ``(s % per_shard) * stride``.
 ``manifest`` holds the numbers a reader needs; ``read_slots`` opens only the
 shards of the slots asked for, so training resumes at any slot.  Spark's binary
-reader hands over a shard as one value, so ``per_shard * stride`` bytes (17 MB
-by default) is also what a reading task holds.
+reader hands over a shard as one value, so ``per_shard * stride`` bytes (8 MB
+by default; larger shards make fewer files and need that much more memory) is also what a reading task holds.
 
 Defined results: a NULL or empty text contributes its end id.  Repeated rows
 and repeated or NULL ids contribute row by row.  An empty table gives no
@@ -45,7 +45,7 @@ from . import chunk_ids
 from .common import begin, blocks_of, ship, slices, written
 
 LENGTH = 2048
-PER_SHARD = 4096
+PER_SHARD = 2048
 WRITERS = 8192  # tasks that write shards, at most
 ROUNDS = 6
 KEY = 0x5EED0F7A11A9C0DE
