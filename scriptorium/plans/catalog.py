@@ -41,9 +41,10 @@ ORACLE: dict[str, str] = {}
 CHUNK_SIZE = 250
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, widen: bool = True):
+    """``widen``: int columns come out as long; off where the statement declares int."""
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: widen_ints(fn(spark, sf_dir))
+        QUERIES[name] = (lambda spark, sf_dir: widen_ints(fn(spark, sf_dir))) if widen else fn
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -215,7 +216,7 @@ def q_chunk_role(spark, sf_dir):
           f"AS chunk_index, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY section NULLS FIRST, text) = 1 "
           f"THEN 'initial' WHEN row_number() OVER (PARTITION BY doc_id ORDER BY section NULLS FIRST, text) = "
           f"count(*) OVER (PARTITION BY doc_id) THEN 'final' ELSE 'middle' END AS role, length(text) AS n_chars "
-          f"FROM ({_chunks_sql(CHUNK_SIZE)})")
+          f"FROM ({_chunks_sql(CHUNK_SIZE)})", widen=False)
 def q_chunk_role_unnumbered(spark, sf_dir):
     """Chunks that come without index and total: numbered by a stated order."""
     bare = ch.split_chunks(papers(spark, sf_dir), CHUNK_SIZE).select("doc_id", "section", "text")
