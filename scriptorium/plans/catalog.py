@@ -945,8 +945,8 @@ def q_listed_papers(spark, sf_dir):
 SELECT 'paper_' || CAST(doc_id AS VARCHAR) AS stem, branch, nombre, resumen, resultados, exito, performance,
        error, keys || ',__metadata__' AS keys FROM ({_parse_sql(f'(SELECT *, {_NAME_SQL} AS paper_name FROM ({_RESP_SQL}))', 'paper_name')})""")
 def q_incremental_ingest(spark, sf_dir):
-    """Stage the documents as two input files, stream them in twice: the
-    second run finds nothing new, so each paper appears once."""
+    """Stage the documents as input files (two or more), stream them in twice:
+    the second run finds nothing new, so each paper appears once."""
     from ..streaming import ingest
     base = scratch_path(spark, "ingest")
     in_dir, out_dir, ckpt = f"{base}/in", f"{base}/out", f"{base}/checkpoint"

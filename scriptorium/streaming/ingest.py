@@ -110,8 +110,11 @@ def _drop(spark: SparkSession, folders: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def stage_documents(docs: DataFrame, in_dir: str, parts: int = 2) -> None:
-    """Write documents as parquet input files for the stream."""
-    (docs.select("doc_id", "paper_name", "text").repartition(parts, "doc_id")
-     .write.mode("append").parquet(in_dir))
+def stage_documents(docs: DataFrame, in_dir: str, parts: int | None = None) -> None:
+    """Write documents as parquet input files for the stream: ``parts`` of
+    them, by default as many as ``docs`` has partitions (a scan's follow its
+    size, so that a task writes about one split) and at least two."""
+    papers = docs.select("doc_id", "paper_name", "text")
+    parts = parts or max(2, papers.rdd.getNumPartitions())
+    papers.repartition(parts, "doc_id").write.mode("append").parquet(in_dir)
 

@@ -104,6 +104,18 @@ def test_stream_in_small_batches_writes_each_paper_once(spark):
     assert stems == [f"paper_{i}" for i in range(8)]
 
 
+def test_staged_files_follow_the_partitions_of_the_documents(spark):
+    from scriptorium.streaming import ingest
+    docs = spark.range(0, 400, 1, 6).select(F.col("id").alias("doc_id"), F.lit("p.pdf").alias("paper_name"),
+                                            F.lit("a text").alias("text"))
+    for rows, files in ((docs, 6), (docs.coalesce(1), 2)):
+        in_dir = scratch_path(spark, "test-stage")
+        ingest.stage_documents(rows, in_dir)
+        back = spark.read.parquet(in_dir)
+        assert back.select("doc_id").distinct().count() == back.count() == 400
+        assert back.select(F.input_file_name()).distinct().count() == files
+
+
 def test_replayed_input_is_not_written_twice(spark):
     """A lost stream checkpoint replays every input file; the anti join
     against the sink's keys keeps each paper's record single."""
