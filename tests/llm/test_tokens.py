@@ -4,6 +4,7 @@ against the libraries, by round trip and on edge rows."""
 import itertools
 import random
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -245,3 +246,43 @@ def test_op9_holds_every_document_once(spark, tmp_path):
 
 def test_training_order_of_an_empty_table(spark):
     assert training_order.materialise(_docs(spark, []), WORDS, end_id=1).count() == 0
+
+
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_texts_are_encoded_together_as_the_library_does_alone(name, kind, monkeypatch):
+    """New pre-tokens of all texts are merged in one call, not one by one."""
+    path = public_tokenizers.path(name)
+    chunk_ids._forget()
+    odd = ["", None, " ", "  a", "a ", " a b", "a\n b", "\nA b", "a\n", "a <|endoftext|> b", "Straße ÀB İ", "日本 語 a",
+           "'S 't x's", " 12 3.4 \t a", "a\u0085b c", "a\x1f b", "x" * 300]
+    many = [" ".join(f"w{i}x{k}, Zq{i * k}" for k in range(40)) for i in range(100)]
+    library, calls = chunk_ids.library(path), []
+    split, width = chunk_ids._splitter(path)
+
+    class Counted:
+        def encode_batch_fast(self, *a, **k):
+            calls.append(1)
+            return split.encode_batch_fast(*a, **k)
+
+    monkeypatch.setattr(chunk_ids, "_splitter", lambda _: (Counted(), width))
+    monkeypatch.setattr(chunk_ids, "merge", None)  # the way for one pre-token
+    got = chunk_ids.encode(many, path, kind)
+    assert len(calls) <= 1 + len(many) * (kind == "spaced")  # the start of a text is a chunk of its own
+    texts = many + odd + [t and " " + t for t in odd]
+    for limit in (chunk_ids.TOGETHER, 30):
+        monkeypatch.setattr(chunk_ids, "TOGETHER", limit)
+        got = chunk_ids.encode(texts, path, kind)
+        for t, ids in zip(texts, got):
+            assert list(array("I", ids)) == (library.encode(t, add_special_tokens=False).ids if t else []), t
+    chunk_ids._remembered.cache_clear()
+
+
+def test_pretokens_merged_in_one_call_fall_back_to_single_ones(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = [" the", "xqzzy", "\n", " über", "..."]
+    alone = [array("H", chunk_ids.merge(w, path)).tobytes() for w in words]
+    assert chunk_ids.merge_all(words, path, "H") == alone
+    split, width = chunk_ids._splitter(path)
+    monkeypatch.setattr(chunk_ids, "_splitter", lambda _: (split, width + 1))  # ends that do not meet
+    assert chunk_ids.merge_all(words, path, "H") == alone
+    assert chunk_ids.merge_all([], path) == []
