@@ -51,7 +51,14 @@ class Side:
     def __init__(self, spelled: list[bytes]):
         self.spelled = spelled
         self.size = np.array([len(x) for x in spelled], np.int64)
-        self.decimal = [f"{i}{mark}" for i in range(len(spelled)) for mark in ",|;"]
+        self.flat = np.frombuffer(b"".join(spelled), np.uint8)
+        decimal = [f"{i}{mark}" for i in range(len(spelled)) for mark in ",|;"]
+        self.decimal_size = np.array([len(x) for x in decimal], np.int64)
+        self.decimal = np.frombuffer("".join(decimal).encode("ascii"), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of tokens in a row."""
+        return chunk_ids.laid(self.flat, self.size, ids)
 
 
 @functools.lru_cache(2)
@@ -185,17 +192,16 @@ def _link_counts(text, first_a, n_a, first_b, n_b, a_ids, b_ids):
     return key // width // height, key // width % height, key % width, times
 
 
-def _rendered(groups, a_ids, b_ids, a: Side, b: Side) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3;``, token by token: ids of each group in order."""
+def _rendered(groups, a_ids, b_ids, a: Side, b: Side) -> tuple[bytes, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;``: ids of each group in order, and where each token's part ends."""
     _, a0, a1, b0, b1 = groups
     mark_a, mark_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
     mark_a[a1 - 1], mark_b[b1 - 1] = 1, 2
-    out = np.empty(len(a_ids) + len(b_ids), object)
-    out[np.arange(len(a_ids)) + np.repeat(b0, a1 - a0)] = list(
-        map(a.decimal.__getitem__, (a_ids * 3 + mark_a).tolist()))
-    out[np.arange(len(b_ids)) + np.repeat(a1, b1 - b0)] = list(
-        map(b.decimal.__getitem__, (b_ids * 3 + mark_b).tolist()))
-    return out.tolist()
+    which = np.empty(len(a_ids) + len(b_ids), np.int64)
+    which[np.arange(len(a_ids)) + np.repeat(b0, a1 - a0)] = a_ids * 3 + mark_a
+    which[np.arange(len(b_ids)) + np.repeat(a1, b1 - b0)] = b_ids * 3 + mark_b + len(a.decimal_size)
+    size = np.concatenate([a.decimal_size, b.decimal_size])
+    return chunk_ids.laid(np.concatenate([a.decimal, b.decimal]), size, which), np.cumsum(size[which])
 
 
 def _encode_a(texts: list[str], path: str) -> list[np.ndarray]:
@@ -218,11 +224,14 @@ def align_texts(texts: list[str | None], path_a: str, path_b: str, lane: int = L
     tokens_a = _encode_a(full, path_a)
     tokens_b = [np.array(x, np.int64) for x in model.encode(full, num_threads=1)]
     none = np.empty(0, np.int64)
+    spelled_a, spelled_b = a.spell(np.concatenate([*tokens_a, none])), b.spell(np.concatenate([*tokens_b, none]))
+    at_a = at_b = 0
     for i, t in enumerate(full):
         raw = (" " + t).encode("utf-8")
-        if not t or b"".join(map(a.spelled.__getitem__, tokens_a[i].tolist())) != raw \
-                or b"".join(map(b.spelled.__getitem__, tokens_b[i].tolist())) != raw:
+        to_a, to_b = at_a + int(a.size[tokens_a[i]].sum()), at_b + int(b.size[tokens_b[i]].sum())
+        if not t or spelled_a[at_a:to_a] != raw or spelled_b[at_b:to_b] != raw:
             tokens_a[i] = tokens_b[i] = none
+        at_a, at_b = to_a, to_b
     n_a, n_b = np.array([len(x) for x in tokens_a], np.int64), np.array([len(x) for x in tokens_b], np.int64)
     base_a, base_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
     ends_a = [np.cumsum(a.size[x]) for x in tokens_a]
@@ -237,14 +246,14 @@ def align_texts(texts: list[str | None], path_a: str, path_b: str, lane: int = L
     first = np.searchsorted(text, np.arange(n + 1))
     n_links = np.zeros(n, np.int64)
     np.add.at(n_links, text, (a1 - a0) * (b1 - b0))
-    said = _rendered(groups, flat_a, flat_b, a, b)
-    at = np.append(base_a + base_b, len(said)).tolist()
+    said, said_ends = _rendered(groups, flat_a, flat_b, a, b)
+    at = np.append(0, said_ends)[np.append(base_a + base_b, len(said_ends))].tolist()
     flat_ends = np.concatenate([*ends_a, none])
     pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (pair_a, pair_b, times)],
                                        names=["a", "b", "times"])
     return {
         "n_a": n_a, "n_b": n_b, "n_groups": np.diff(first), "n_links": n_links,
-        "groups": ["".join(said[lo:hi])[:-1] for lo, hi in zip(at, at[1:])],
+        "groups": [said[lo:max(lo, hi - 1)].decode("ascii") for lo, hi in zip(at, at[1:])],
         "cuts": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat_ends[a1 - 1].astype(np.int32))),
         "pairs": pa.ListArray.from_arrays(pa.array(np.searchsorted(t, np.arange(n + 1)).astype(np.int32)), pairs),
     }

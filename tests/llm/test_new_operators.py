@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import cross_alignment, queries, warc, whitening
+from scriptorium.llm import chunk_ids, cross_alignment, queries, warc, whitening
 from scriptorium.session import scratch_path
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -312,3 +312,14 @@ def test_op13_on_the_smallest_table(spark):
     got = queries.op13_whitening(spark, "/root/testdata/sf0.001").collect()
     assert got and max(r["identity_error"] for r in got) < 1e-4
     assert sum(r["explained"] for r in got if r["vec_id"] == got[0]["vec_id"]) <= 1 + 1e-9
+
+
+def test_entries_are_laid_in_a_row_by_blocks():
+    """The bytes of tokens come from one table, a block at a time, not token by token."""
+    words = [b"ab", b"", b"cde", b"f"]
+    side = cross_alignment.Side(words)
+    which = np.array([2, 1, 0, 3, 3, 2, 1])
+    expected = b"".join(words[k] for k in which)
+    assert side.spell(which) == expected and side.spell(which[:0]) == b""
+    for block in (1, 2, 3, 100):
+        assert chunk_ids.laid(side.flat, side.size, which, block) == expected
