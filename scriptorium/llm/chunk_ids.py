@@ -179,16 +179,20 @@ class _Chunks(dict):
                 if not plain(chunks[i], self.path):
                     ids[i] = self[chunks[i]]
             new = [i for i in new if ids[i] is None]
-        if self.kind == "words":
-            found = list(map(self.pattern.findall, [chunks[i].lower() for i in new]))
-        else:
-            found = list(map(self.pattern.findall, [" " + chunks[i] for i in new]))
-        self.meet([p for f in found for p in f])
-        known = self.pretokens
-        for i, f in zip(new, found):
-            c = chunks[i]
-            b = ids[i] = self[c] = known[f[0]] if len(f) == 1 else b"".join([known[p] for p in f])
-            self.held += len(c) + len(b) + _ENTRY
+        lead, lower = ("", str.lower) if self.kind == "words" else (" ", str)
+        for lo in range(0, len(new), AT_ONCE):
+            self.bound()
+            some = new[lo:lo + AT_ONCE]
+            found = [self.pattern.findall(lead + lower(chunks[i])) for i in some]
+            self.meet([p for f in found for p in f])
+            known = self.pretokens
+            for i, f in zip(some, found):
+                c = chunks[i]
+                if self.held > MEMORY:
+                    self.clear()
+                    self.held = 0
+                b = ids[i] = self[c] = known[f[0]] if len(f) == 1 else b"".join([known[p] for p in f])
+                self.held += len(c) + len(b) + _ENTRY
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
